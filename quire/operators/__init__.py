@@ -1,0 +1 @@
+"""operators layer of the document layout engine."""

@@ -1,0 +1 @@
+"""plans layer of the document layout engine."""

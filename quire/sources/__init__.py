@@ -1,0 +1 @@
+"""sources layer of the document layout engine."""

@@ -1,0 +1 @@
+"""streaming layer of the document layout engine."""
