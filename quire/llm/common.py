@@ -86,3 +86,19 @@ def words_of(text: pa.Array, lut: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     keep = np.asarray(pc.not_equal(pc.binary_length(flat), 0))  # splitting leaves an empty word where a text begins or ends with a space
     kept = np.concatenate([[0], np.cumsum(keep)])
     return flat.filter(pa.array(keep)), kept[starts - starts[0]]
+
+
+def segment_sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` between neighbouring starts; zero for empty segments."""
+    out = np.zeros((len(starts) - 1, *values.shape[1:]), dtype=values.dtype)
+    full = starts[1:] > starts[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, starts[:-1][full], axis=0)
+    return out
+
+
+def blocks(sizes: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows that hold about ``most`` bytes each."""
+    total = np.cumsum(np.asarray(pc.fill_null(sizes, 0), dtype=np.int64)) // most
+    edges = [0, *(np.flatnonzero(np.diff(total)) + 1).tolist(), len(total)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
