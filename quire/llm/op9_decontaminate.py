@@ -33,7 +33,7 @@ from quire.llm.common import WORD_BYTES, blocks, segment_sum, settle, small_batc
 WINDOW, STEP = 24, 8
 RANK, OVERSAMPLE, POWER = 256, 16, 2
 ITEMS = 20_000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 512 << 10
 LEAKS = "array<struct<item_id:long,at:int,ratio:double>>"
 
 
@@ -121,7 +121,7 @@ class LatentIndex:
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, rare: float, basis: np.ndarray, vectors: np.ndarray, owner: np.ndarray, items: list[list[int]], ids: list[int]):
         self.vocabulary, self.idf, self.rare = vocabulary, idf, rare
-        self.basis = (basis * idf[:, None]).astype(np.float32)
+        self.basis = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
         norm = np.linalg.norm(vectors, axis=1)
         self.vectors, self.owner, self.items, self.ids = (vectors / np.maximum(norm, 1e-9)[:, None]).astype(np.float32), owner, items, ids
 
@@ -135,17 +135,21 @@ class LatentIndex:
         known = ids >= 0
         weight = np.where(known, self.idf[np.maximum(ids, 0)], self.rare)
         squares = np.bincount(step, weights=weight * weight, minlength=first[-1])
-        at = np.searchsorted(step[known], np.arange(first[-1] + 1))
-        sums = segment_sum(self.basis[ids[known]], at)
+        # the words of a step by their places in it; whatever isn't known has the last row of the basis, which is zero
+        slots = np.full((first[-1] + 1, STEP), len(self.basis) - 1)
+        slots[step, (np.arange(len(ids)) - starts[row]) % STEP] = np.where(known, ids, len(self.basis) - 1)
+        sums = self.basis[slots[:, 0]]
+        for k in range(1, STEP):
+            sums += self.basis[slots[:, k]]
         wide = WINDOW // STEP
         spans = np.maximum(1, steps - wide + 1)
         of = np.repeat(np.arange(n), spans)
         begin = np.arange(len(of)) - np.repeat(np.cumsum(spans) - spans, spans) + first[of]
-        total, square = np.zeros((len(of), sums.shape[1]), np.float32), np.zeros(len(of))
-        for k in range(wide):
-            inside = begin + k < first[of + 1]
-            total[inside] += sums[(begin + k)[inside]]
-            square[inside] += squares[(begin + k)[inside]]
+        total, square, squares = sums[begin], squares[begin], np.append(squares, 0.0)
+        for k in range(1, wide):
+            at = np.where(begin + k < first[of + 1], begin + k, first[-1])
+            total += sums[at]
+            square += squares[at]
         # a repeated word counts once in square for each time; no vector is shorter than its projection
         return of, (begin - first[of]) * STEP, total, np.sqrt(np.maximum(np.maximum(square, np.einsum("ij,ij->i", total, total)), 1e-12))
 
