@@ -27,7 +27,7 @@ from quire.llm.common import WORD_BYTES, blocks, recoded, segment_sum, small_bat
 
 BUCKETS = 1 << 16
 FACTORS = 8
-SAMPLE = 8000  # labelled rows to learn from, at most
+SAMPLE = 4000  # labelled rows to learn from, at most
 BLOCK_BYTES = 4 << 20
 
 _KIND = np.array([0 if 97 <= b <= 122 or b >= 128 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b in (9, 11, 12, 13, 32) else 4 if b == 10 else 5 if chr(b) in ".,;:!?'\"-()" else 6 for b in range(256)], dtype=np.uint8)
@@ -150,12 +150,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     n_chars = F.coalesce(F.col("n_chars").cast("long"), F.lit(0)) if "n_chars" in docs.columns else F.lit(0).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), n_chars.alias("n_chars")).join(F.broadcast(chosen), "doc_id")
     # features are made where the texts are; a row to the driver has a few hundred numbers
-    made = rows.mapInArrow(_packed, "doc_id long, quality int, buckets binary, counts binary, stats binary").toPandas().sort_values(["doc_id", "stats"])
-    if not len(made) or made["quality"].nunique() < 2:
+    made = rows.mapInArrow(_packed, "doc_id long, quality int, buckets binary, counts binary, stats binary").orderBy("doc_id", "stats").toArrow()
+    y = np.asarray(made["quality"], dtype=np.float64)
+    if len(np.unique(y)) < 2:
         return None
-    buckets = [np.frombuffer(b, np.int32) for b in made["buckets"]]
-    x = Features(np.concatenate([[0], np.cumsum([len(b) for b in buckets])]), np.concatenate(buckets).astype(np.int64), np.concatenate([np.frombuffer(b, np.float32) for b in made["counts"]]).astype(np.float64), np.stack([np.frombuffer(b, np.float64) for b in made["stats"]]))
-    return train(x, made["quality"].to_numpy(np.float64))
+    whole = lambda c, kind: np.frombuffer(b"".join(made[c].to_pylist()), kind)
+    lengths = np.concatenate([np.zeros(0, np.int64), *(np.asarray(pc.binary_length(c), dtype=np.int64) // 4 for c in made["buckets"].chunks)])
+    x = Features(np.concatenate([[0], np.cumsum(lengths)]), whole("buckets", np.int32).astype(np.int64), whole("counts", np.float32).astype(np.float64), whole("stats", np.float64).reshape(len(y), STATISTICS))
+    return train(x, y)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,7 @@ from quire.llm.common import WORD_BYTES, blocks, segment_sum, settle, small_batc
 WINDOW, STEP = 24, 8
 RANK, OVERSAMPLE, POWER = 256, 16, 2
 ITEMS = 20_000
+PASSAGES = 10_000  # of a task of the decomposition
 BLOCK_BYTES = 512 << 10
 LEAKS = "array<struct<item_id:long,at:int,ratio:double>>"
 
@@ -105,6 +106,7 @@ def randomised_svd(passages: DataFrame, words: int, rank: int = RANK, oversample
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sum"])
 
         rows = passages.mapInArrow(part, "sum binary").collect()
+        shared.destroy()
         shape = (q.shape[1], q.shape[1]) if gram else q.shape
         return sum((np.frombuffer(r[0]).reshape(shape) for r in rows), np.zeros(shape))
 
@@ -134,7 +136,7 @@ class LatentIndex:
         step = first[row] + (np.arange(len(ids)) - starts[row]) // STEP
         known = ids >= 0
         weight = np.where(known, self.idf[np.maximum(ids, 0)], self.rare)
-        squares = np.bincount(step, weights=weight * weight, minlength=first[-1])
+        squares = np.bincount(step, weights=weight * weight, minlength=first[-1]).astype(np.float64)
         # the words of a step by their places in it; whatever isn't known has the last row of the basis, which is zero
         slots = np.full((first[-1] + 1, STEP), len(self.basis) - 1)
         slots[step, (np.arange(len(ids)) - starts[row]) % STEP] = np.where(known, ids, len(self.basis) - 1)
@@ -194,7 +196,7 @@ def _index(docs: DataFrame, text: str, items: DataFrame) -> LatentIndex | None:
         ids, counts = np.unique(p, return_counts=True)
         values = counts * idf[ids]
         made.append((ids.tolist(), (values / np.linalg.norm(values)).tolist()))
-    passages = docs.sparkSession.createDataFrame(made, "words array<int>, weights array<double>").repartition(8)
+    passages = docs.sparkSession.createDataFrame(made, "words array<int>, weights array<double>").repartition(-(-len(made) // PASSAGES))  # each part's sum comes to the driver
     basis, _ = randomised_svd(settle(passages), len(vocabulary))
     vectors = np.stack([np.asarray(v) @ basis[ids] for ids, v in made])
     return LatentIndex(vocabulary, idf, float(np.log(n + 1) + 0.1), basis, vectors, np.array([k for k, _ in cut]), [[number[w] for w in words] for _, words in rows], [i for i, _ in rows])
