@@ -140,6 +140,7 @@ def build_shards(lines: DataFrame, shards: int, least_docs: int) -> DataFrame:
 
 def line_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = 40, least_docs: int = 5, shards: int | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The rows with ``lines`` (of the text), ``dropped`` (their indexes from 0, sorted) and ``kept_text``."""
+    docs = docs.drop("lines", "dropped", "kept_text")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), hashed(line_keys(split), least_chars).alias("hashes"))
     if shards is None:  # about 100,000 documents' frequent lines to a shard

@@ -88,19 +88,19 @@ def rule_index(tokens: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
 
 def filter_urls(pages: DataFrame, url: str = "url", host_rules: tuple[UrlRule, ...] = HOST_RULES, pattern_rules: tuple[UrlRule, ...] = PATTERN_RULES) -> DataFrame:
     """The rows with host, path, rule and verdict."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parsed = pages.select(*kept).withColumns({"host": host_of(url), "path": path_of(url)})
-    tokenised = parsed.withColumn("tokens", tokens_of(F.col("host"), F.col("path"), F.col(url)))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    # the table's own columns travel in a struct, so none can clash with those made here
+    parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col(url).alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    tokenised = parsed.withColumn("tokens", tokens_of(F.col("host"), F.col("path"), F.col("url")))
     index = rule_index(tokenised.select("tokens"), host_rules + pattern_rules)
-    rows = tokenised.withColumn("__row", F.monotonically_increasing_id()).select("*", F.explode("tokens").alias("token")).drop("tokens")
+    rows = tokenised.withColumn("row", F.monotonically_increasing_id()).select("*", F.explode("tokens").alias("token")).drop("tokens")
     # the index has a row per rule: Spark broadcasts it where its size is below the threshold, and else shuffles
     tried = rows.join(index, "token", "left").withColumn("site", F.concat("host", "path"))
-    fits = F.when(F.col("is_pattern"), F.expr(f"rlike(`{url}`, regex)")).otherwise(F.expr("rlike(site, regex)"))
-    hit = tried.withColumn("fits", F.coalesce(fits, F.lit(False)))
-    best = F.max(F.when(F.col("fits") & ~F.col("is_pattern"), F.struct("rank", "rule_text", "rule_verdict")))
-    pattern = F.min(F.when(F.col("fits") & F.col("is_pattern"), F.col("rule_verdict")))  # allow sorts before block
-    judged = hit.groupBy("__row").agg(*[F.first(c).alias(c) for c in [*kept, "host", "path"]], best.alias("__best"), pattern.alias("__pattern"))
-    return judged.select(*kept, "host", "path", F.col("__best.rule_text").alias("rule"), F.coalesce(F.col("__best.rule_verdict"), F.col("__pattern"), F.lit("allow")).alias("verdict"))
+    fits = F.coalesce(F.when(F.col("is_pattern"), F.expr("rlike(url, regex)")).otherwise(F.expr("rlike(site, regex)")), F.lit(False))
+    best = F.max(F.when(fits & ~F.col("is_pattern"), F.struct("rank", "rule_text", "rule_verdict")))
+    pattern = F.min(F.when(fits & F.col("is_pattern"), F.col("rule_verdict")))  # allow sorts before block
+    judged = tried.groupBy("row").agg(*[F.first(c).alias(c) for c in ("kept", "host", "path")], best.alias("best"), pattern.alias("pattern"))
+    return judged.select("kept.*", "host", "path", F.col("best.rule_text").alias("rule"), F.coalesce(F.col("best.rule_verdict"), F.col("pattern"), F.lit("allow")).alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
