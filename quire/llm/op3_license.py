@@ -37,7 +37,9 @@ KNOWN = (
 
 def canonical(text: Column) -> Column:
     """The canonical form, with single spaces around every word; a single space if nothing is left."""
-    folded = F.translate(lower_ascii(F.regexp_replace(text, COPYRIGHT, " ")), PUNCTUATION, " " * len(PUNCTUATION))
+    # the expression for copyright lines runs only where one of its words is
+    marked = F.contains(lower_ascii(text), F.lit("copyright")) | F.contains(lower_ascii(text), F.lit("(c)")) | F.contains(text, F.lit("©"))
+    folded = F.translate(lower_ascii(F.when(marked, F.regexp_replace(text, COPYRIGHT, " ")).otherwise(text)), PUNCTUATION, " " * len(PUNCTUATION))
     folded = F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, " +", " ")), F.lit(" "))
     for said, meant in EQUIVALENT:
         folded = F.replace(folded, F.lit(f" {said} "), F.lit(f" {meant} "))
