@@ -56,27 +56,32 @@ def repeated_groups(rows: DataFrame, o: RepeatedOptions, pages: DataFrame | None
     odd = F.col("page") % 2 == 1
     by_doc = available.groupBy("doc").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("n_pages"), F.count_if(odd).alias("n_odd"), F.count_if(~odd).alias("n_even"))
     seen = rows.groupBy("doc").agg(F.expr("percentile(CASE WHEN font > 0 THEN font END, 0.5)").alias("doc_font"), F.count_distinct("page").alias("total_pages"))
-    numbers = rows.where("sequential").select("doc", "page").distinct().groupBy("doc").agg(F.count("*").alias("number_pages"), F.sort_array(F.collect_list("page")).alias("number_list"))
+    numbers = rows.where("sequential").select("doc", "page").distinct().groupBy("doc").agg(F.count("*").alias("number_pages"))
     docs = by_doc.join(seen, "doc").join(numbers, "doc", "left").withColumn("numbered", F.coalesce(F.col("number_pages") >= 2, F.lit(False)))
     rest = rows.join(docs.select("doc", "numbered", "first_page", "last_page"), "doc").where(~(F.col("sequential") & F.col("numbered")))
     edge = lambda c, size: F.col(c) / F.col(size)
     spread = {"x0": "page_w", "y0": "page_h", "x1": "page_w", "y1": "page_h"}
     font = F.when(F.col("font") > 0, F.col("font"))
-    per_text = rest.groupBy(*KEY).agg(
-        F.collect_set("page").alias("pages"),
-        F.min("region").alias("region"), F.max("region").alias("region_max"),
-        *[(F.max(edge(c, s)) - F.min(edge(c, s))).alias(f"spread_{c}") for c, s in spread.items()],
-        F.min(font).alias("font_min"), F.max(font).alias("font_max"), F.expr("percentile(CASE WHEN font > 0 THEN font END, 0.5)").alias("font_mid"), F.min("font").alias("font_least"),
-        F.min(edge("y0", "page_h")).alias("y_least"), F.max(edge("y0", "page_h")).alias("y_most"),
-        F.count("*").alias("n_blocks"),
-    ).where((F.col("norm") != "") & (F.size("pages") >= 2))
-    g = per_text.join(docs, "doc").withColumn("pages", F.sort_array("pages"))
-    observed = F.size("pages").cast("double")
-    head = F.when(F.array_contains("pages", F.col("first_page")), 0).otherwise(1)
-    tail = F.when((F.col("n_pages") - head > 0) & ~F.array_contains("pages", F.col("last_page")), 1).otherwise(0)
-    g = g.withColumn("raw", observed / F.greatest(F.col("n_pages") - head - tail, F.lit(1)))
-    share = lambda rest_of, n: F.size(F.filter("pages", lambda p: p % 2 == rest_of)) / F.greatest(F.col(n), F.lit(1))
-    g = g.withColumns({"odd": share(1, "n_odd"), "even": share(0, "n_even")})
+    # by page first: then a text has a row per page, pages are counted and not collected, and a text on every page of a huge document is no large state
+    per_page = rest.groupBy(*KEY, "page").agg(
+        F.min("region").alias("region"), F.max("region").alias("region_max"), F.max("first_page").alias("first_page"), F.max("last_page").alias("last_page"),
+        *[f(edge(c, s)).alias(f"{c}_{k}") for c, s in spread.items() for k, f in (("min", F.min), ("max", F.max))],
+        F.count("*").alias("n"),
+    )
+    font_of = rest.groupBy(*KEY).agg(F.min(font).alias("font_min"), F.max(font).alias("font_max"), F.expr("percentile(CASE WHEN font > 0 THEN font END, 0.5)").alias("font_mid"), F.min("font").alias("font_least"))
+    on_odd = F.col("page") % 2 == 1
+    per_text = per_page.groupBy(*KEY).agg(
+        F.count("*").alias("observed"), F.count_if(on_odd).alias("seen_odd"), F.count_if(~on_odd).alias("seen_even"),
+        F.max(F.col("page") == F.col("first_page")).alias("on_first"), F.max(F.col("page") == F.col("last_page")).alias("on_last"),
+        F.min("region").alias("region"), F.max("region_max").alias("region_max"),
+        *[(F.max(f"{c}_max") - F.min(f"{c}_min")).alias(f"spread_{c}") for c in spread],
+        F.min("y0_min").alias("y_least"), F.max("y0_max").alias("y_most"), F.sum("n").cast("long").alias("n_blocks"),
+    ).where((F.col("norm") != "") & (F.col("observed") >= 2))
+    g = per_text.join(font_of, KEY).join(docs.drop("first_page", "last_page"), "doc")
+    head = F.when(F.col("on_first"), 0).otherwise(1)
+    tail = F.when((F.col("n_pages") - head > 0) & ~F.col("on_last"), 1).otherwise(0)
+    g = g.withColumn("raw", F.col("observed") / F.greatest(F.col("n_pages") - head - tail, F.lit(1)))
+    g = g.withColumns({k: F.col(f"seen_{k}") / F.greatest(F.col(f"n_{k}"), F.lit(1)) for k in ("odd", "even")})
     parity = F.when((F.col("odd") > F.col("raw")) & (F.col("odd") >= F.col("even")), "odd").when(F.col("even") > F.col("raw"), "even").otherwise("all")
     g = g.withColumns({"parity": parity, "ratio": F.least(F.col("raw"), F.lit(1.0))})
     one_region = F.col("region") == F.col("region_max")
@@ -99,14 +104,19 @@ def repeated_groups(rows: DataFrame, o: RepeatedOptions, pages: DataFrame | None
         by_kind({"watermark_candidate": F.lit("skip"), "unknown_repeated": F.lit("preserve")}, F.lit("translate")).alias("policy"),
         by_kind({"repeated_boilerplate": F.lit(0.94), "watermark_candidate": F.lit(0.82), "unknown_repeated": F.lit(0.55)}, F.least(F.lit(0.98), 0.76 + F.col("ratio") * 0.22)).alias("confidence"),
         F.col("kind").isin("watermark_candidate", "unknown_repeated").alias("ambiguous"),
-        group_id(F.col("kind"), F.col("norm"), F.col("parity")).alias("group_id"), "parity", "ratio", "pages", "n_blocks",
+        group_id(F.col("kind"), F.col("norm"), F.col("parity")).alias("group_id"), "parity", "ratio", F.col("observed").alias("n_pages"), "n_blocks",
     )
     sequence = docs.where("numbered").select(
         "doc", F.lit("page-sequence").alias("norm"), F.lit(True).alias("sequence"), F.lit("page_number").alias("kind"), F.lit("preserve").alias("policy"), F.lit(0.99).alias("confidence"), F.lit(False).alias("ambiguous"),
-        group_id(F.lit("page_number"), F.lit("page-sequence"), F.lit("sequence")).alias("group_id"), F.lit("sequence").alias("parity"), (F.col("number_pages") / F.greatest(F.col("total_pages"), F.lit(1))).alias("ratio"), F.col("number_list").alias("pages"), F.col("number_pages").alias("n_blocks"),
+        group_id(F.lit("page_number"), F.lit("page-sequence"), F.lit("sequence")).alias("group_id"), F.lit("sequence").alias("parity"), (F.col("number_pages") / F.greatest(F.col("total_pages"), F.lit(1))).alias("ratio"), F.col("number_pages").alias("n_pages"), F.col("number_pages").alias("n_blocks"),
     )
     return g.unionByName(sequence)
 
 
+def group_pages(labelled: DataFrame) -> DataFrame:
+    """The pages of each group, a row per page."""
+    return labelled.where("group_id IS NOT NULL").select("doc", "group_id", "page").distinct()
+
+
 def kind_counts(labelled: DataFrame, *by: str) -> DataFrame:
     return labelled.groupBy(*by, "kind").agg(F.count("*").alias("n_blocks"), F.count_if("ambiguous").alias("n_ambiguous"), F.count_distinct("doc", "group_id").alias("n_groups"))

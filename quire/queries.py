@@ -103,7 +103,7 @@ def repeated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of repeated texts and page sequences."""
     o = repeated.RepeatedOptions()
     groups = repeated.repeated_groups(repeated.candidates(_furniture(spark, sf_dir), o), o)
-    return groups.select("doc", "norm", "kind", "parity", "ratio", "n_blocks", "group_id", F.size("pages").cast("long").alias("n_pages"))
+    return groups.select("doc", "norm", "kind", "parity", "ratio", "n_blocks", "group_id", "n_pages")
 
 
 @query(f"WITH {_REPEATED} SELECT doc, page, block_id, kind, group_id FROM labelled")

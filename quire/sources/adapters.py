@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+NUMBERED = 4096
+
+
 def _block(text: Column, x0: Column | float, y0: Column | float, x1: Column | float, y1: Column | float, font: float) -> Column:
     number = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     return F.struct(text.alias("text"), number(x0).alias("x0"), number(y0).alias("y0"), number(x1).alias("x1"), number(y1).alias("y1"), F.lit(float(font)).alias("font"))
@@ -18,9 +21,17 @@ def _blocks(pages: DataFrame, blocks: Column, page_w: Column, page_h: Column) ->
 
 
 def furniture(documents: DataFrame) -> DataFrame:
-    """A logical document per source: a header, a block per line, a legal line, a watermark and a page number on each page."""
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    pages = documents.select(F.col("source").alias("doc"), page.alias("page"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    """A logical document per source: a header, a block per line, a legal line, a watermark and a page number on each page.
+
+    Pages are numbered by blocks of doc_ids, so that a source with most of the rows is no single task.
+    """
+    docs = documents.select("source", "doc_id", "text", F.floor(F.col("doc_id") / NUMBERED).alias("block"))
+    counts = docs.groupBy("source", "block").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("source").alias("s"), F.col("block").alias("b"), before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("source", "block").orderBy("doc_id"))
+    numbered = docs.join(counts, F.col("source").eqNullSafe(F.col("s")) & F.col("block").eqNullSafe(F.col("b"))).withColumn("page", (F.col("before") + within).cast("int"))
+    pages = numbered.select(F.col("source").alias("doc"), "page", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     n = F.size("lines").cast("double")
     h = F.greatest(F.lit(800.0), 120.0 + 12.0 * n)
     lines = F.transform("lines", lambda x, k: _block(x, 50, 60.0 + 12.0 * k.cast("double"), 50.0 + F.least(F.lit(500.0), 5.0 * F.length(x).cast("double")), 70.0 + 12.0 * k.cast("double"), 10))
