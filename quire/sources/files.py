@@ -70,7 +70,7 @@ def extract(files: DataFrame, extractor: Callable[[str, bytes], Iterator[dict]],
                     rows += [{"path": path, "error": None} | r for r in extractor(path, content)]
                 except Exception as e:  # the reader's own errors are data here
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows).reindex(columns=names)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     full = f"path string, error string, {schema}"
     names = [f.strip().split(" ")[0] for f in re.sub(r"<[^<>]*(?:<[^<>]*>)?[^<>]*>", "", full).split(",")]
