@@ -32,6 +32,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A thin table, written and counted: broadcast if it has at most so many rows, else left for a shuffled join."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import settle, small_batches
+from quire.llm.common import settle, small_batches, small_side
 from quire.llm.graph import components
 from quire.llm.op8_simhash import BUCKET, hashes_of, majority, plan_partitions, probe_keys, word_lists
 
@@ -68,12 +68,13 @@ def _jaccard(a: str, b: str) -> Column:
 
 
 def _near_pairs(tau: int, check_bits: int) -> Column:
-    """Of a bucket's members (fingerprint, check, node, label): pairs of different labels that are near in both fingerprints."""
+    """Of a bucket's members (fingerprint, check, node, label): pairs of different labels (null: the node) that are near in both fingerprints."""
 
     @F.arrow_udf("array<struct<u:long,v:long>>")
     def pairs(members: pa.Array) -> pa.Array:
         flat, at = members.flatten(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(members), dtype=np.int64))])
-        prints, checks, nodes, labels = (np.asarray(pc.struct_field(flat, k), dtype=np.int64) for k in range(4))
+        prints, checks, nodes = (np.asarray(pc.struct_field(flat, k), dtype=np.int64) for k in range(3))
+        labels = np.asarray(pc.coalesce(pc.struct_field(flat, 3), pc.struct_field(flat, 2)), dtype=np.int64)
         us, vs, ends = [], [], [0]
         for a, b in zip(at, at[1:], strict=False):
             p, c, n, g = prints[a:b], checks[a:b], nodes[a:b], labels[a:b]
@@ -92,7 +93,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: in
     """The pairs u, v of classes whose texts are similar enough."""
     pairs = settle(pairs.where("u <> v").distinct())
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = docs.join(classes.join(needed, "node", "left_semi").select("node", F.col("least").alias("__least")), "node").where(F.col("doc").eqNullSafe(F.col("__least")))
+    wanted = small_side(classes.join(needed, "node", "left_semi").select("node", F.col("least").alias("__least")))
+    texts = docs.join(wanted, "node").where(F.col("doc").eqNullSafe(F.col("__least")))
     sets = settle(texts.select("node", _shingles(F.col("body"), shingle).alias("set")).dropDuplicates(["node"]))
     joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     size_ok = F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b"))  # else they can't be similar
@@ -105,18 +107,18 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
     rows = settle(docs.select("doc", "node", _prints(F.col("body"), shingle).alias("p")).select("doc", "node", "p.*"))
     classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("check").alias("check")))
     parts = plan_partitions(settle(classes.select("fingerprint").distinct()), tau)
-    member = F.struct("fingerprint", "check", "node", "label")
+    member = F.struct("fingerprint", "check", "node", F.nullif(F.col("label"), F.col("node")).alias("label"))
     keys_of = lambda labelled: probe_keys(labelled.select("fingerprint", "check", "node", "label"), parts).drop("own")
     keys = keys_of(classes.withColumn("label", F.col("node")))
-    large = settle(keys.groupBy("part", "value").agg(F.count("*").alias("n"), F.min(F.struct("node", "fingerprint", "check")).alias("first")).where(F.col("n") > bucket))
+    large = small_side(keys.groupBy("part", "value").agg(F.count("*").alias("n"), F.min(F.struct("node", "fingerprint", "check")).alias("first")).where(F.col("n") > bucket))
     found = None
-    if large.limit(1).count():
+    if not large.isEmpty():
         near = lambda a, b, bits: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
         stars = keys.join(large, ["part", "value"]).where(near("fingerprint", "first.fingerprint", tau) & near("check", "first.check", check_bits)).select(F.greatest("node", "first.node").alias("u"), F.least("node", "first.node").alias("v"))
         edges = settle(_verified(docs, classes, stars, shingle, similarity))
         found = settle(components(edges))
         keys = keys_of(classes.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        mixed = settle(keys.join(large.select("part", "value", "n"), ["part", "value"]).groupBy("part", "value").agg(F.first("n").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b"))
+        mixed = small_side(keys.join(large.select("part", "value", "n"), ["part", "value"]).groupBy("part", "value").agg(F.first("n").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b"))
         g = F.ceil(F.col("n") * 2 / bucket).cast("int")
         dealt = keys.join(mixed, ["part", "value"]).withColumns({"g": g, "k": F.pmod(F.xxhash64("node"), g).cast("int")})
         blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).groupBy("part", "value", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(member).alias("members"))
@@ -139,7 +141,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     labelled = classes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     kept = settle(labelled.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("k")).select(F.col("k.node").alias("node"), F.col("k.least").alias("least")))
     dropped = rows.join(kept.withColumn("keeps", F.lit(True)), "node", "left").where(F.col("keeps").isNull() | ~F.col("doc").eqNullSafe(F.col("least")))
-    gone = settle(dropped.select(F.col("doc").alias("__doc"), F.col("node").alias("__gone")).distinct())
+    gone = small_side(dropped.select(F.col("doc").alias("__doc"), F.col("node").alias("__gone")).distinct())
     left = docs.withColumn("__node", F.xxhash64(body))
     left = left.join(gone, (F.col("__node") == F.col("__gone")) & F.col(doc_id).eqNullSafe(F.col("__doc")), "left_anti")
     if rows.groupBy("doc", "node").count().where("count > 1").limit(1).count():
