@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,30 +41,7 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``most`` bytes of a text column each, so that what a task builds from them stays bounded."""
-    if not batch.num_rows:
-        return
-    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
-    block = np.cumsum(sizes) // most
-    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(edges, edges[1:], strict=False):
-        yield batch.slice(a, b - a)
-
-
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str | None = None) -> DataFrame:
-    """mapInArrow by slices; ``fn`` may return None for a slice without output."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, text) if text else ([batch] if batch.num_rows else []):
-                if (out := fn(part)) is not None and out.num_rows:
-                    yield out
-
-    return df.mapInArrow(run, schema)
-
-
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of an Arrow batch, since a batch of very long texts is built whole in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -19,10 +19,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER_BYTES, recoded, small_batches, table
+from quire.llm.common import LOWER_BYTES, blocks, recoded, small_batches, table
 
 MOST_STRINGS = 64  # of a set of alternatives; beyond it a query is closed and a new one begun
 BLOCK_BYTES = 2 << 20
@@ -191,11 +192,9 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, .
             return found
 
         for texts in batches:
-            sizes = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)) // BLOCK_BYTES
-            edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
             out: list = []
-            for a, b in zip(edges, edges[1:], strict=False):
-                out += [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in sorted(row)] for row in block(texts.slice(a, b - a))] if b > a else []
+            for a, b in blocks(pc.binary_length(texts), BLOCK_BYTES):
+                out += [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in sorted(row)] for row in block(texts.slice(a, b - a))]
             yield pa.array(out, kind)
 
     return docs.withColumn(name, spans(F.col(text)))

@@ -75,7 +75,7 @@ def test_simhash_groups(documents, awkward):
     assert simhash_groups(documents([])).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [512, 2])
+@pytest.mark.parametrize("bucket", [512, 24])
 def test_near_duplicates(documents, awkward, bucket):
     rng = np.random.default_rng(10)
     vocabulary = np.array([f"w{i}" for i in range(3000)])
