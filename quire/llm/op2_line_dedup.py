@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import lower_ascii, settle, table
+from quire.llm.common import LOWER_BYTES, recoded, settle, small_batches, table
 
-STRIP = " \t\n\x0b\x0c\r"
+STRIP = b" \t\n\x0b\x0c\r"
 GAMMA = 2.0  # bits of a level for each of its keys
 SALTS = 8  # copies of a shard, where lines are dealt to shards
 NULL_ID = -(1 << 63)
@@ -117,13 +117,28 @@ class LineShard:
         return out
 
 
-def line_keys(lines: Column) -> Column:
-    return F.transform(lines, lambda x: lower_ascii(F.btrim(x, F.lit(STRIP))))
+def line_hashes(text: Column, least_chars: int) -> Column:
+    """For each line of a text: the two halves of its key's hash; null for short keys."""
+    kind = pa.struct([("first", pa.int64()), ("second", pa.int64())])
 
+    @F.arrow_udf("array<struct<first:long,second:long>>")
+    def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            _, offsets, data = recoded(texts, LOWER_BYTES).buffers()
+            at, raw = np.frombuffer(offsets, dtype=np.int64)[: len(texts) + 1].tolist(), data.to_pybytes() if data is not None else b""
+            digests, short, ends = bytearray(), [], [0]
+            for a, b in zip(at, at[1:], strict=False):
+                for line in raw[a:b].split(b"\n"):
+                    key = line.strip(STRIP)
+                    long = len(key) >= least_chars and (len(key) >= 4 * least_chars or len(key.decode()) >= least_chars)
+                    digests += xxhash.xxh3_128_digest(key) if long else bytes(16)
+                    short.append(not long)
+                ends.append(len(short))
+            halves = np.frombuffer(bytes(digests), dtype="<i8").reshape(-1, 2)
+            values = pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1])], fields=list(kind), mask=pa.array(short, pa.bool_()))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-def hashed(keys: Column, least_chars: int) -> Column:
-    """For each line: its two hashes; null for short keys."""
-    return F.transform(keys, lambda k: F.when(F.char_length(k) >= least_chars, F.struct(F.xxhash64(k).alias("first"), F.xxhash64(F.lit("second"), k).alias("second"))))
+    return hashes(text)
 
 
 def build_shards(lines: DataFrame, shards: int, least_docs: int) -> DataFrame:
@@ -140,15 +155,16 @@ def build_shards(lines: DataFrame, shards: int, least_docs: int) -> DataFrame:
 
 def line_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = 40, least_docs: int = 5, shards: int | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The rows with ``lines`` (of the text), ``dropped`` (their indexes from 0, sorted) and ``kept_text``."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lines", "dropped", "kept_text")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), hashed(line_keys(split), least_chars).alias("hashes"))
+    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), line_hashes(F.col(text), least_chars).alias("hashes"))
     if shards is None:  # about 100,000 documents' frequent lines to a shard
         shards = max(4, docs.count() // 100_000)
     made = settle(build_shards(lines, shards, least_docs))
     size = made.agg(F.sum(F.length("data"))).first()[0] or 0
     rows = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "lines": split})
-    rows = rows.withColumn("__hashes", hashed(line_keys(F.col("lines")), least_chars))
+    rows = rows.withColumn("__hashes", line_hashes(F.col(text), least_chars))
     flagged = _probe_here(rows, made, shards) if size <= broadcast_bytes else _probe_there(rows, made, shards)
     kept = F.transform(F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("dropped", s["i"])), lambda s: s["x"])
     return flagged.withColumn("kept_text", F.array_join(kept, "\n")).drop("__doc", "__hashes")
