@@ -1,6 +1,6 @@
 """Licence scans by canonical digest.
 
-A text is brought to a canonical form: ASCII letters lower-cased, copyright lines dropped, punctuation and white space
+A text is brought to a canonical form: lower-cased, copyright lines dropped, punctuation and white space
 folded to single spaces, and spellings that licence readers hold equivalent folded to one. The digest of the whole
 canonical text is looked up among the digests of known licence texts. The same lookup is applied to each line of a
 document as a text of its own, which finds licence notices inside documents.
@@ -14,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import lower_ascii, table
+from quire.llm.common import table
 
 #: Spellings to treat as equal, whole words of the canonical form.
 EQUIVALENT = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("noncommercially", "noncommercial"), ("whilst", "while"), ("acknowledgement", "acknowledgment"),
     ("favour", "favor"), ("honour", "honor"), ("organisation", "organization"), ("programme", "program"), ("copyright owner", "copyright holder"), ("v3", "version 3"), ("v2", "version 2"), ("gpl", "general public license"), ("this software is", "this work is"),
 )
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c\n"
+#: ASCII punctuation, white space and controls.
+PUNCTUATION = r"[\x00-\x20!-/:-@\[-`{-~]+"
 COPYRIGHT = r"(?im)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 #: Known licence texts and notices.
 KNOWN = (
@@ -37,10 +38,11 @@ KNOWN = (
 
 def canonical(text: Column) -> Column:
     """The canonical form, with single spaces around every word; a single space if nothing is left."""
+    lowered = F.lower(text)
     # the expression for copyright lines runs only where one of its words is
-    marked = F.contains(lower_ascii(text), F.lit("copyright")) | F.contains(lower_ascii(text), F.lit("(c)")) | F.contains(text, F.lit("©"))
-    folded = F.translate(lower_ascii(F.when(marked, F.regexp_replace(text, COPYRIGHT, " ")).otherwise(text)), PUNCTUATION, " " * len(PUNCTUATION))
-    folded = F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, " +", " ")), F.lit(" "))
+    marked = F.contains(lowered, F.lit("copyright")) | F.contains(lowered, F.lit("(c)")) | F.contains(lowered, F.lit("©"))
+    bare = F.when(marked, F.regexp_replace(lowered, COPYRIGHT, " ")).otherwise(lowered)
+    folded = F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, PUNCTUATION, " ")), F.lit(" "))
     for said, meant in EQUIVALENT:
         folded = F.replace(folded, F.lit(f" {said} "), F.lit(f" {meant} "))
     return folded
@@ -76,9 +78,7 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    quoted = PUNCTUATION.replace("'", "''")
-    form = rf"translate(translate(regexp_replace({text}, '{COPYRIGHT}', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{quoted}', '{' ' * len(PUNCTUATION)}')"
-    form = f"' ' || trim(regexp_replace({form}, ' +', ' ', 'g'), ' ') || ' '"
+    form = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT}', ' ', 'g'), '{PUNCTUATION}', ' ', 'g'), ' ') || ' '"
     for said, meant in EQUIVALENT:
         form = f"replace({form}, ' {said} ', ' {meant} ')"
     return form
