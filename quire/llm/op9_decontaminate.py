@@ -5,8 +5,11 @@
 2. A randomised SVD of the TF-IDF passages, computed by distributed products A^T (A Q) over the passage table, gives the
    latent space. Passages and all windows of all documents (``WINDOW`` words, a step of ``STEP``) are projected into it.
 3. Windows whose cosine with a passage is at least ``cosine`` are candidates. A window whose projection is too short for
-   any passage to reach it is passed over, which loses none (Cauchy-Schwarz).
-4. Around each candidate window the longest common subsequence with the whole item is measured. A document leaks the item
+   any passage to reach it is passed over, which loses none of those (Cauchy-Schwarz).
+4. The latent space keeps little of a passage if the benchmark is large, so stretches are also retrieved by words alone.
+   If n of an item's words must be there, at most its length less n are missing; so of that many and m more of its rarest
+   words, m at least are there. Stretches of three item lengths with m of them are candidates, which loses none.
+5. Around each candidate the longest common subsequence with the whole item is measured. A document leaks the item
    if ``whole`` of its words are there in order, or if ``paraphrase`` of them are and so is its answer: the last
    quarter of the item, of which ``answer`` must be there in order.
 
@@ -20,6 +23,7 @@ column named like this operator's is replaced; others pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +39,7 @@ RANK, OVERSAMPLE, POWER = 256, 16, 2
 ITEMS = 20_000
 PASSAGES = 10_000  # of a task of the decomposition
 BLOCK_BYTES = 512 << 10
+HITS = 1 << 20  # word occurrences that are counted at once
 LEAKS = "array<struct<item_id:long,at:int,ratio:double>>"
 
 
@@ -118,14 +123,63 @@ def randomised_svd(passages: DataFrame, words: int, rank: int = RANK, oversample
     return q @ turn[:, keep], np.sqrt(np.maximum(values[keep], 0))
 
 
+class WordIndex:
+    """Postings of the rarest words of pieces of text, by which all stretches that may hold ``need[i]`` words of piece i are found."""
+
+    def __init__(self, pieces: list[list[int]], need: list[int], idf: np.ndarray):
+        self.span = np.array([len(x) for x in pieces], dtype=np.int64)
+        self.least = np.array([max(1, n // 2) for n in need], dtype=np.int64)
+        words, owners, counts = [], [], []
+        for k, (piece, n) in enumerate(zip(pieces, need, strict=True)):
+            chosen = sorted(piece, key=lambda w: (-idf[w], w))[: len(piece) - n + int(self.least[k])]
+            w, c = np.unique(chosen, return_counts=True)
+            words.append(w)
+            owners.append(np.full(len(w), k))
+            counts.append(c)
+        word, order = np.concatenate(words), np.argsort(np.concatenate(words), kind="stable")
+        self.owner, self.count = np.concatenate(owners)[order], np.concatenate(counts)[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(idf)))])
+
+    def stretches(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Text, piece and first word; a stretch has three times the words of the piece, and any two lengths lie in one."""
+        posted = np.where(ids >= 0, np.diff(self.starts)[np.maximum(ids, 0)], 0)
+        total = np.concatenate([[0], np.cumsum(posted)])[starts]
+        edges = [0, *(np.flatnonzero(np.diff(total // HITS)) + 1).tolist(), len(starts) - 1]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if total[b] > total[a]:
+                yield from self._stretches(ids, posted, starts, a, b)
+
+    def _stretches(self, ids: np.ndarray, posted: np.ndarray, starts: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        n = posted[starts[a] : starts[b]]
+        at = np.repeat(np.arange(len(n)), n)
+        posting = self.starts[ids[starts[a] : starts[b]][at]] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        row = np.repeat(np.arange(b - a), np.diff(starts[a : b + 1]))[at]
+        piece = self.owner[posting]
+        part = (at + starts[a] - starts[a + row]) // self.span[piece]
+        parts = int(part.max()) + 3
+        key = (row * len(self.span) + piece) * parts + part
+        order = np.argsort(key)
+        key, count = key[order], self.count[posting[order]]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, count = key[first], np.add.reduceat(count, first)
+        here = count.copy()
+        for k in (1, 2):
+            here[:-k] += np.where(key[k:] - key[:-k] <= 2, count[k:], 0)
+        piece = key // parts % len(self.span)
+        found = np.flatnonzero(here >= self.least[piece])
+        row, piece = key[found] // parts // len(self.span) + a, piece[found]
+        yield from zip(row.tolist(), piece.tolist(), (key[found] % parts * self.span[piece]).tolist(), strict=True)
+
+
 class LatentIndex:
     """The latent vectors of the passages, and the items to check against."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, rare: float, basis: np.ndarray, vectors: np.ndarray, owner: np.ndarray, items: list[list[int]], ids: list[int]):
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, rare: float, basis: np.ndarray, vectors: np.ndarray, owner: np.ndarray, items: list[list[int]], ids: list[int], pieces: WordIndex):
         self.vocabulary, self.idf, self.rare = vocabulary, idf, rare
         self.basis = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
         norm = np.linalg.norm(vectors, axis=1)
         self.vectors, self.owner, self.items, self.ids = (vectors / np.maximum(norm, 1e-9)[:, None]).astype(np.float32), owner, items, ids
+        self.pieces = pieces
 
     def windows(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, first word, projection and length of each window of the texts."""
@@ -160,6 +214,15 @@ class LatentIndex:
         ids = np.asarray(pc.index_in(words, value_set=known).fill_null(-1), dtype=np.int64)
         row, at, projected, length = self.windows(ids, starts)
         out: list[list[dict]] = [[] for _ in range(len(texts))]
+
+        def judge(r: int, j: int, at: int, low: int, high: int) -> None:
+            """Takes down item j for text r if its words from low to high hold it."""
+            item, region = self.items[j], ids[starts[r] + max(0, low) : min(starts[r + 1], starts[r] + high)].tolist()
+            ratio = common_length(item, region) / len(item)
+            tail = item[-max(3, len(item) // 4) :]
+            if ratio >= whole or (ratio >= paraphrase and common_length(tail, region) >= answer * len(tail)):
+                out[r].append({"item_id": self.ids[j], "at": int(at), "ratio": ratio})
+
         able = np.flatnonzero(np.einsum("ij,ij->i", projected, projected) >= (cosine * length) ** 2)
         for part in (able[i : i + 4096] for i in range(0, len(able), 4096)):
             near = (projected[part] @ self.vectors.T) / length[part][:, None]
@@ -172,17 +235,15 @@ class LatentIndex:
                 if any(abs(at[i] - t) < STEP * 2 for t in tried) or any(x["item_id"] == self.ids[j] for x in out[r]):
                     continue
                 tried.append(at[i])
-                low = max(0, at[i] - len(item))
-                region = ids[starts[r] + low : min(starts[r + 1], starts[r] + at[i] + WINDOW + len(item))].tolist()
-                ratio = common_length(item, region) / len(item)
-                tail = item[-max(3, len(item) // 4) :]
-                if ratio >= whole or (ratio >= paraphrase and common_length(tail, region) >= answer * len(tail)):
-                    out[r].append({"item_id": self.ids[j], "at": int(at[i]), "ratio": ratio})
+                judge(r, j, at[i], at[i] - len(item), at[i] + WINDOW + len(item))
+        for r, j, first in self.pieces.stretches(ids, starts):
+            if not any(x["item_id"] == self.ids[j] for x in out[r]):
+                judge(r, j, first, first, first + 3 * len(self.items[j]))
         return [sorted(x, key=lambda y: y["item_id"]) for x in out]
 
 
-def _index(docs: DataFrame, text: str, items: DataFrame) -> LatentIndex | None:
-    """items: item_id, text; a bounded number of them."""
+def _index(docs: DataFrame, text: str, items: DataFrame, share: float) -> LatentIndex | None:
+    """items: item_id, text; a bounded number of them. No check accepts less than ``share`` of an item."""
     rows = [(i, w) for i, w in zip(*(lambda t: (t["item_id"].to_pylist(), item_words(t["text"].combine_chunks())))(items.toArrow()), strict=True) if w]
     if not rows:
         return None
@@ -199,7 +260,9 @@ def _index(docs: DataFrame, text: str, items: DataFrame) -> LatentIndex | None:
     passages = docs.sparkSession.createDataFrame(made, "words array<int>, weights array<double>").repartition(-(-len(made) // PASSAGES))  # each part's sum comes to the driver
     basis, _ = randomised_svd(settle(passages), len(vocabulary))
     vectors = np.stack([np.asarray(v) @ basis[ids] for ids, v in made])
-    return LatentIndex(vocabulary, idf, float(np.log(n + 1) + 0.1), basis, vectors, np.array([k for k, _ in cut]), [[number[w] for w in words] for _, words in rows], [i for i, _ in rows])
+    numbered = [[number[w] for w in words] for _, words in rows]
+    pieces = WordIndex(numbered, [max(1, math.ceil(share * len(x) - 1e-9)) for x in numbered], idf)
+    return LatentIndex(vocabulary, idf, float(np.log(n + 1) + 0.1), basis, vectors, np.array([k for k, _ in cut]), numbered, [i for i, _ in rows], pieces)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine: float = 0.3, whole: float = 0.8, paraphrase: float = 0.6, answer: float = 0.6, name: str = "leaks") -> DataFrame:
@@ -209,7 +272,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine
     rounds = max(1, -(-usable.count() // ITEMS))
     found = []
     for k in range(rounds):
-        index = _index(docs, text, usable.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k))
+        index = _index(docs, text, usable.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k), min(whole, paraphrase))
         if index is not None:
             found.append(_search(docs, text, index, cosine, whole, paraphrase, answer))
     leaks = F.array_sort(F.flatten(F.array(*found))) if found else F.array().cast(LEAKS)

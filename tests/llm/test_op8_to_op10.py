@@ -126,6 +126,24 @@ def test_leaks(documents, awkward, spark):
     assert all(r["leaks"] == [] for r in leaks.find_leaks(awkward, bench.limit(0)).collect()) and leaks.find_leaks(documents([]), bench).count() == 0
 
 
+def test_leaks_of_a_large_benchmark(documents, spark):
+    """The latent space keeps little of each of thousands of items; copies and paraphrases are found all the same."""
+    rng = np.random.default_rng(14)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    items = [list(rng.choice(vocabulary, int(rng.integers(15, 60)))) for _ in range(2000)]
+    rows = []
+    for i in range(0, 2000, 25):
+        own = list(items[i])
+        if i % 2:
+            for at in rng.choice(len(own) * 3 // 4, len(own) // 4, replace=False):
+                own[at] = "other"
+        rows.append((i, " ".join([*rng.choice(vocabulary, i % 90), *own, *rng.choice(vocabulary, 40)]), "s"))
+    rows += [(9000 + i, " ".join(rng.choice(vocabulary, 100)), "s") for i in range(50)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in leaks.find_leaks(documents(rows), bench).collect()}
+    assert found == {d: [d] if d < 2000 else [] for d, _, _ in rows}
+
+
 def test_common_length():
     def plain(a, b):
         row = [0] * (len(b) + 1)
