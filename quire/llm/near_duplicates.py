@@ -1,12 +1,14 @@
-"""Near-duplicate groups by text: SimHash candidates from the generalised pigeonhole search, verified on word shingles.
+"""Near-duplicate groups by text: candidates from the prefixes of shingle sets, verified on the sets.
 
-Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``. A changed word costs
-several shingles but one word, so the fingerprint that the pigeonhole search uses is that of a text's distinct words; within
-``tau`` bits of it, a second fingerprint, of the shingles, must be within ``check_bits``, and then the sets are compared.
+Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``, s. All sets are sorted
+in one order, rare shingles first. Of n shingles of a set s n at least must be in a similar one, so by the pigeonhole
+principle two similar sets share one of their first n - ceil(s n) + 1. At the first that they share, as many more must be left
+in both as the similarity needs; pairs with fewer, or of too different sizes, are passed over. None of this loses a link. The order comes
+from a sample of texts; another sample changes the work but no result.
 
-Equal texts are one class and never paired. Buckets of bounded size are compared in one task each. For larger ones all
-members are first compared with the bucket's smallest; what that links is one group already, and only members of different
-groups are compared further, in blocks of bounded size. So no link between different texts is lost for a bucket's size.
+Equal texts are one class and never paired. All members of a bucket (the texts with a shingle in their prefixes) are first
+compared with its smallest; what that links is one group already, and only members of different groups are compared further,
+in blocks of bounded size. So no link between different texts is lost for a bucket's size.
 
 Nulls: a null text counts as empty; texts without words are near-duplicates of each other. A null doc_id is kept only in
 a group without others. Of repeated rows one stays. An empty table gives no rows.
@@ -14,6 +16,7 @@ a group without others. Of repeated rows one stays. An empty table gives no rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,22 +27,40 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import settle, small_batches, small_side
 from quire.llm.graph import components
-from quire.llm.op8_simhash import BUCKET, hashes_of, majority, plan_partitions, probe_keys, word_lists
+from quire.llm.op8_simhash import BUCKET, hashes_of, word_lists
 
-TAU, CHECK_BITS = 10, 18
+SAMPLE = 2000  # texts by which shingles are ordered
+ORDERED = 100_000  # shingles that are known to be frequent, at most
 
 
-def _prints(text: Column, shingle: int) -> Column:
-    kind = pa.struct([("fingerprint", pa.int64()), ("check", pa.int64())])
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, sorted, and how many have each."""
+    rate = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod("node", F.lit(rate)) == 0).dropDuplicates(["node"])
+    counts = sample.select(F.explode(_shingles(F.col("body"), shingle)).alias("key")).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(ORDERED).collect()
+    found = np.array(sorted((r[0], r[1]) for r in counts), dtype=np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
-    @F.arrow_udf("struct<fingerprint:long,check:long>")
-    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+
+def _prefixes(text: Column, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Column:
+    """The size of a text's shingle set, and as much of the sorted set as a similar one must share a shingle with."""
+    known, counts = frequent
+    kind = pa.struct([("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("struct<size:int,keys:array<long>>")
+    def prefixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            both = [(majority(hashes_of(list(dict.fromkeys(w)), 1) if len(w) > 1 else hashes_of(w, 1)), majority(hashes_of(w, shingle))) for w in word_lists(texts)]
-            columns = np.array(both, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(columns[:, k]) for k in (0, 1)], fields=list(kind))
+            sizes, keys = [], []
+            for w in word_lists(texts):
+                own = np.unique(np.array(hashes_of(w, shingle), dtype=np.uint64).view(np.int64))
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                often = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), np.int64)
+                sizes.append(len(own))
+                keys.append(own[np.lexsort((own, often))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if len(own) else np.zeros(1, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lists], fields=list(kind))
 
-    return prints(text)
+    return prefixes(text)
 
 
 def _shingles(text: Column, shingle: int) -> Column:
@@ -67,21 +88,21 @@ def _jaccard(a: str, b: str) -> Column:
     return similarity(a, b)
 
 
-def _near_pairs(tau: int, check_bits: int) -> Column:
-    """Of a bucket's members (fingerprint, check, node, label): pairs of different labels (null: the node) that are near in both fingerprints."""
+def _near_pairs(similarity: float) -> Column:
+    """Of a bucket's members (size, at, node, label): pairs of different labels that may be similar."""
 
     @F.arrow_udf("array<struct<u:long,v:long>>")
     def pairs(members: pa.Array) -> pa.Array:
-        flat, at = members.flatten(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(members), dtype=np.int64))])
-        prints, checks, nodes = (np.asarray(pc.struct_field(flat, k), dtype=np.int64) for k in range(3))
-        labels = np.asarray(pc.coalesce(pc.struct_field(flat, 3), pc.struct_field(flat, 2)), dtype=np.int64)
+        flat, ends_of = members.flatten(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(members), dtype=np.int64))])
+        sizes, places, nodes, labels = (np.asarray(pc.struct_field(flat, k), dtype=np.int64) for k in range(4))
         us, vs, ends = [], [], [0]
-        for a, b in zip(at, at[1:], strict=False):
-            p, c, n, g = prints[a:b], checks[a:b], nodes[a:b], labels[a:b]
-            i, j = np.nonzero(np.triu(np.bitwise_count((p[:, None] ^ p[None, :]).view(np.uint64)) <= tau, 1))
-            keep = (np.bitwise_count((c[i] ^ c[j]).view(np.uint64)) <= check_bits) & (g[i] != g[j])
-            us.append(np.maximum(n[i[keep]], n[j[keep]]))
-            vs.append(np.minimum(n[i[keep]], n[j[keep]]))
+        for a, b in zip(ends_of, ends_of[1:], strict=False):
+            n, left, node, label = sizes[a:b], (sizes - places)[a:b], nodes[a:b], labels[a:b]
+            i, j = np.nonzero(np.triu(label[:, None] != label[None, :], 1))
+            least = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+            keep = (np.minimum(left[i], left[j]) >= least) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+            us.append(np.maximum(node[i[keep]], node[j[keep]]))
+            vs.append(np.minimum(node[i[keep]], node[j[keep]]))
             ends.append(ends[-1] + len(us[-1]))
         values = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in (us, vs)], names=["u", "v"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
@@ -97,39 +118,34 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: in
     texts = docs.join(wanted, "node").where(F.col("doc").eqNullSafe(F.col("__least")))
     sets = settle(texts.select("node", _shingles(F.col("body"), shingle).alias("set")).dropDuplicates(["node"]))
     joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    size_ok = F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b"))  # else they can't be similar
+    size_ok = F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")) - 1e-6  # else they can't be similar
     return joined.where(size_ok).where(_jaccard("a", "b") >= similarity).select("u", "v")
 
 
-def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = TAU, check_bits: int = CHECK_BITS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: doc, body. Gives the rows (doc, node), the classes of equal texts (node, least doc) and labels (node, label)."""
     docs = docs.withColumn("node", F.xxhash64("body"))
-    rows = settle(docs.select("doc", "node", _prints(F.col("body"), shingle).alias("p")).select("doc", "node", "p.*"))
-    classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("check").alias("check")))
-    parts = plan_partitions(settle(classes.select("fingerprint").distinct()), tau)
-    member = F.struct("fingerprint", "check", "node", F.nullif(F.col("label"), F.col("node")).alias("label"))
-    keys_of = lambda labelled: probe_keys(labelled.select("fingerprint", "check", "node", "label"), parts).drop("own")
+    prefix = _prefixes(F.col("body"), shingle, similarity, _frequent(docs, shingle))
+    rows = settle(docs.select("doc", "node", prefix.alias("p")).select("doc", "node", "p.*"))
+    classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    keys_of = lambda labelled: labelled.select("node", "size", "label", F.posexplode("keys").alias("at", "value"))
     keys = keys_of(classes.withColumn("label", F.col("node")))
-    large = small_side(keys.groupBy("part", "value").agg(F.count("*").alias("n"), F.min(F.struct("node", "fingerprint", "check")).alias("first")).where(F.col("n") > bucket))
-    found = None
-    if not large.isEmpty():
-        near = lambda a, b, bits: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-        stars = keys.join(large, ["part", "value"]).where(near("fingerprint", "first.fingerprint", tau) & near("check", "first.check", check_bits)).select(F.greatest("node", "first.node").alias("u"), F.least("node", "first.node").alias("v"))
-        edges = settle(_verified(docs, classes, stars, shingle, similarity))
-        found = settle(components(edges))
-        keys = keys_of(classes.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        mixed = small_side(keys.join(large.select("part", "value", "n"), ["part", "value"]).groupBy("part", "value").agg(F.first("n").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b"))
-        g = F.ceil(F.col("n") * 2 / bucket).cast("int")
-        dealt = keys.join(mixed, ["part", "value"]).withColumns({"g": g, "k": F.pmod(F.xxhash64("node"), g).cast("int")})
-        blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).groupBy("part", "value", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(member).alias("members"))
-        small = keys.join(large, ["part", "value"], "left_anti").groupBy("part", "value").agg(F.collect_list(member).alias("members"))
-        members = small.select("members").unionByName(blocks.select("members"))
-    else:
-        members = keys.groupBy("part", "value").agg(F.collect_list(member).alias("members"))
-    pairs = members.where(F.size("members") > 1).select(F.explode(_near_pairs(tau, check_bits)).alias("e")).select("e.*")
-    links = _verified(docs, classes, pairs, shingle, similarity)
-    if found is not None:
-        links = links.unionByName(edges)
+    shared = small_side(keys.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "at")).alias("first")).where("n > 1"))
+    left = F.least(F.col("size") - F.col("at"), F.col("first.size") - F.col("first.at"))
+    may = (left >= similarity / (1 + similarity) * (F.col("size") + F.col("first.size")) - 1e-6) & (F.least("size", "first.size") >= similarity * F.greatest("size", "first.size") - 1e-6)
+    stars = keys.join(shared, "value").where(may).select(F.greatest("node", "first.node").alias("u"), F.least("node", "first.node").alias("v"))
+    edges = settle(_verified(docs, classes, stars, shingle, similarity))
+    found = settle(components(edges))
+    keys = keys_of(classes.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    # pairs with the smallest are settled; the others of a bucket matter if they are of several groups
+    rest = keys.join(shared.where("n > 2"), "value").where(F.col("node") != F.col("first.node")).select("value", "n", "node", "size", "at", "label")
+    mixed = small_side(rest.groupBy("value").agg(F.first("n").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("value", "n"))
+    g = F.ceil(F.col("n") * 2 / bucket).cast("int")
+    dealt = rest.drop("n").join(mixed, "value").withColumn("g", F.when(F.col("n") > bucket, g).otherwise(1)).withColumn("k", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    member = F.struct("size", "at", "node", "label")
+    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).groupBy("value", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(member).alias("members"))
+    pairs = blocks.where(F.size("members") > 1).select(F.explode(_near_pairs(similarity)).alias("e")).select("e.*")
+    links = _verified(docs, classes, pairs, shingle, similarity).unionByName(edges)
     return rows, classes, settle(components(links))
 
 

@@ -96,6 +96,24 @@ def test_near_duplicates(documents, awkward, bucket):
     assert drop_near_duplicates(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [512, 24])
+def test_near_duplicates_with_contiguous_edits(documents, bucket):
+    """Appended, cut and replaced blocks, down to a similarity of 0.8 and just below, against all pairs."""
+    rng = np.random.default_rng(15)
+    say = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    common, rows = say(12), []
+    for i in range(60):
+        own = say(200 + i) + common
+        n = len(own) - 4
+        for cut in (int(n / 4) - 1, int(n / 4), int(n / 4) + 1, n // 5, n // 9 - 5):
+            rows += [own + say(cut), own[:-cut] if i % 2 else own[cut:], say(cut) + own[cut:]][i % 3 : i % 3 + 1]
+        rows.append(own)
+    rows = [(k, " ".join(rows[k]), "s") for k in range(len(rows))]
+    sets = {d: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for d, t, _ in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sorted(r["doc_id"] for r in drop_near_duplicates(documents(rows), bucket=bucket).collect()) == sorted(set(union(pairs, sets).values()))
+
+
 def plain_leaks(text, items):
     words = lambda t: "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in (t or "").translate(LOWER)).split()
     w, out = words(text), set()
