@@ -11,7 +11,8 @@
    words, m at least are there. Stretches of three item lengths with m of them are candidates, which loses none.
 5. Around each candidate the longest common subsequence with the whole item is measured. A document leaks the item
    if ``whole`` of its words are there in order, or if ``paraphrase`` of them are and so is its answer: the last
-   quarter of the item, of which ``answer`` must be there in order.
+   quarter of the item, of which ``answer`` must be there in order. Excerpts of longer items leak them too: ``whole`` of the
+   words of a passage in order, or any ``WINDOW`` consecutive words of the item. Passages are retrieved by words as items are.
 
 The projection, search and checks run where the text is, so documents are not shuffled and no candidate is cut off. The
 benchmark is worked through in blocks of ``ITEMS`` items, so what tasks hold is bounded whatever the benchmark's size.
@@ -49,10 +50,14 @@ def item_words(texts: pa.Array) -> list[list[str]]:
     return [plain[a:b] for a, b in zip(starts, starts[1:], strict=False)]
 
 
+def passage_starts(words: int) -> list[int]:
+    last = max(0, words - WINDOW)
+    return sorted({*range(0, last, WINDOW // 2), last})
+
+
 def passages_of(words: list[str]) -> list[list[str]]:
     """Pieces of WINDOW words, half overlapping, the last flush with the end; a shorter text is one piece."""
-    last = max(0, len(words) - WINDOW)
-    return [words[i : i + WINDOW] for i in sorted({*range(0, last, WINDOW // 2), last})] if words else []
+    return [words[i : i + WINDOW] for i in passage_starts(len(words))] if words else []
 
 
 def common_length(pattern: list[int], text: list[int]) -> int:
@@ -174,12 +179,12 @@ class WordIndex:
 class LatentIndex:
     """The latent vectors of the passages, and the items to check against."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, rare: float, basis: np.ndarray, vectors: np.ndarray, owner: np.ndarray, items: list[list[int]], ids: list[int], pieces: WordIndex):
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, rare: float, basis: np.ndarray, vectors: np.ndarray, owner: np.ndarray, items: list[list[int]], ids: list[int], excerpts: list[tuple[int, int]], pieces: WordIndex):
         self.vocabulary, self.idf, self.rare = vocabulary, idf, rare
         self.basis = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
         norm = np.linalg.norm(vectors, axis=1)
         self.vectors, self.owner, self.items, self.ids = (vectors / np.maximum(norm, 1e-9)[:, None]).astype(np.float32), owner, items, ids
-        self.pieces = pieces
+        self.excerpts, self.pieces = excerpts, pieces
 
     def windows(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, first word, projection and length of each window of the texts."""
@@ -223,6 +228,19 @@ class LatentIndex:
             if ratio >= whole or (ratio >= paraphrase and common_length(tail, region) >= answer * len(tail)):
                 out[r].append({"item_id": self.ids[j], "at": int(at), "ratio": ratio})
 
+        def judge_passage(r: int, k: int, first: int) -> None:
+            """Takes down the item of passage k if the passage is there, or a run of WINDOW words of the item."""
+            j, p = self.excerpts[k]
+            item, passage = self.items[j], self.items[j][p : p + WINDOW]
+            begin, end = starts[r] + first, min(starts[r + 1], starts[r] + first + 3 * WINDOW)
+            found = common_length(passage, ids[begin:end].tolist())
+            if found < whole * WINDOW:
+                wide = ids[max(starts[r], begin - WINDOW) : min(starts[r + 1], end + WINDOW)].tolist()
+                runs = {tuple(wide[i : i + WINDOW]) for i in range(len(wide) - WINDOW + 1)}
+                if not any(tuple(item[i : i + WINDOW]) in runs for i in range(max(0, p - WINDOW // 2), min(p + WINDOW // 2, len(item) - WINDOW) + 1)):
+                    return
+            out[r].append({"item_id": self.ids[j], "at": int(first), "ratio": found / len(item)})
+
         able = np.flatnonzero(np.einsum("ij,ij->i", projected, projected) >= (cosine * length) ** 2)
         for part in (able[i : i + 4096] for i in range(0, len(able), 4096)):
             near = (projected[part] @ self.vectors.T) / length[part][:, None]
@@ -236,14 +254,21 @@ class LatentIndex:
                     continue
                 tried.append(at[i])
                 judge(r, j, at[i], at[i] - len(item), at[i] + WINDOW + len(item))
+        passages = []  # judged after the items
         for r, j, first in self.pieces.stretches(ids, starts):
-            if not any(x["item_id"] == self.ids[j] for x in out[r]):
+            k = j - len(self.items)
+            if k >= 0:
+                passages.append((r, k, first))
+            elif not any(x["item_id"] == self.ids[j] for x in out[r]):
                 judge(r, j, first, first, first + 3 * len(self.items[j]))
+        for r, k, first in passages:
+            if not any(x["item_id"] == self.ids[self.excerpts[k][0]] for x in out[r]):
+                judge_passage(r, k, first)
         return [sorted(x, key=lambda y: y["item_id"]) for x in out]
 
 
-def _index(docs: DataFrame, text: str, items: DataFrame, share: float) -> LatentIndex | None:
-    """items: item_id, text; a bounded number of them. No check accepts less than ``share`` of an item."""
+def _index(docs: DataFrame, text: str, items: DataFrame, share: float, part: float) -> LatentIndex | None:
+    """items: item_id, text; a bounded number of them. No check accepts less than ``share`` of an item or ``part`` of a passage but by a run."""
     rows = [(i, w) for i, w in zip(*(lambda t: (t["item_id"].to_pylist(), item_words(t["text"].combine_chunks())))(items.toArrow()), strict=True) if w]
     if not rows:
         return None
@@ -261,8 +286,11 @@ def _index(docs: DataFrame, text: str, items: DataFrame, share: float) -> Latent
     basis, _ = randomised_svd(settle(passages), len(vocabulary))
     vectors = np.stack([np.asarray(v) @ basis[ids] for ids, v in made])
     numbered = [[number[w] for w in words] for _, words in rows]
-    pieces = WordIndex(numbered, [max(1, math.ceil(share * len(x) - 1e-9)) for x in numbered], idf)
-    return LatentIndex(vocabulary, idf, float(np.log(n + 1) + 0.1), basis, vectors, np.array([k for k, _ in cut]), numbered, [i for i, _ in rows], pieces)
+    excerpts = [(k, p) for k, x in enumerate(numbered) if len(x) > WINDOW for p in passage_starts(len(x))]
+    # a run of WINDOW words has all but a quarter of WINDOW in common with the nearest passage
+    need = [max(1, math.ceil(share * len(x) - 1e-9)) for x in numbered] + [max(1, min(math.ceil(part * WINDOW - 1e-9), WINDOW - WINDOW // 4))] * len(excerpts)
+    pieces = WordIndex(numbered + [numbered[k][p : p + WINDOW] for k, p in excerpts], need, idf)
+    return LatentIndex(vocabulary, idf, float(np.log(n + 1) + 0.1), basis, vectors, np.array([k for k, _ in cut]), numbered, [i for i, _ in rows], excerpts, pieces)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine: float = 0.3, whole: float = 0.8, paraphrase: float = 0.6, answer: float = 0.6, name: str = "leaks") -> DataFrame:
@@ -272,7 +300,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine
     rounds = max(1, -(-usable.count() // ITEMS))
     found = []
     for k in range(rounds):
-        index = _index(docs, text, usable.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k), min(whole, paraphrase))
+        index = _index(docs, text, usable.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k), min(whole, paraphrase), whole)
         if index is not None:
             found.append(_search(docs, text, index, cosine, whole, paraphrase, answer))
     leaks = F.array_sort(F.flatten(F.array(*found))) if found else F.array().cast(LEAKS)

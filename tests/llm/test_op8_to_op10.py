@@ -162,6 +162,19 @@ def test_leaks_of_a_large_benchmark(documents, spark):
     assert found == {d: [d] if d < 2000 else [] for d, _, _ in rows}
 
 
+def test_leaks_of_excerpts(documents, spark):
+    """Verbatim parts of long items: 45 of 59 words, 100 of 400, and runs of a window at any place; shorter ones are no leaks."""
+    rng = np.random.default_rng(16)
+    say = lambda n: [f"word{i}" for i in rng.integers(0, 5000, n)]
+    items = [say(59), say(400), say(50)]
+    parts = [(0, 0, 45), (1, 130, 230)] + [(2, i, i + leaks.WINDOW) for i in range(50 - leaks.WINDOW + 1)]
+    rows = [(k, " ".join(say(37 + k) + items[j][a:b] + say(30)), "s") for k, (j, a, b) in enumerate(parts)]
+    rows += [(100 + k, " ".join(say(50) + items[k][5:17] + say(50)), "s") for k in range(3)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in leaks.find_leaks(documents(rows), bench).collect()}
+    assert found == {k: [j] for k, (j, _, _) in enumerate(parts)} | {100 + k: [] for k in range(3)}
+
+
 def test_common_length():
     def plain(a, b):
         row = [0] * (len(b) + 1)
