@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import settle
+from quire.llm.common import scratch, settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -51,12 +51,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame, small: int = 1 << 18) -> DataFrame:
     """edges: u, v long. Gives node, label: the smallest node of its component, for all nodes but those smallest ones."""
-    found, before = settle(edges.where("u <> v").select("u", "v").distinct()), None
-    while True:
-        now = found.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] <= small:
-            return found.coalesce(1).mapInArrow(_finish, "node long, label long")
-        if now == before:
-            return found.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = now
-        found = _stars(_stars(found, True), False)
+    with scratch(edges.sparkSession) as outer:
+        found, before = settle(edges.where("u <> v").select("u", "v").distinct()), None
+        while True:
+            now = found.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now[0] <= small:
+                return settle(found.coalesce(1).mapInArrow(_finish, "node long, label long"), outer)
+            if now == before:
+                return settle(found.select(F.col("u").alias("node"), F.col("v").alias("label")), outer)
+            before = now
+            found = _stars(_stars(found, True), False)

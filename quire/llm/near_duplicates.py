@@ -1,17 +1,25 @@
-"""Near-duplicate groups by text: candidates from the prefixes of shingle sets, verified on the sets.
+"""Near-duplicate groups by text: candidates from SimHash fingerprints and from prefixes of shingle sets, verified on the sets.
 
-Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``, s. All sets are sorted
-in one order, rare shingles first. Of n shingles of a set s n at least must be in a similar one, so by the pigeonhole
-principle two similar sets share one of their first n - ceil(s n) + 1. At the first that they share, as many more must be left
-in both as the similarity needs; pairs with fewer, or of too different sizes, are passed over. None of this loses a link. The order comes
-from a sample of texts; another sample changes the work but no result.
+Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``, s. Equal texts are one
+class and never paired. Classes are gathered into clusters, whose members are compared with each other:
 
-Equal texts are one class and never paired. All members of a bucket (the texts with a shingle in their prefixes) are first
-compared with its smallest; what that links is one group already, and only members of different groups are compared further,
-in blocks of bounded size. So no link between different texts is lost for a bucket's size.
+1. A cluster for each component of fingerprints that the SimHash operator links (``tau`` bits or fewer).
+2. Prefixes complete what fingerprints miss. All sets are sorted in one order, rare shingles first. Of n shingles of a set s n
+   at least must be in a similar one, so by the pigeonhole principle two similar sets share one of their first n - ceil(s n) + 1.
+   The classes that share a shingle in their prefixes gather around the smallest of them, their pivot: one cluster for each
+   pivot, however many shingles it shares. The order comes from a sample of texts; another sample changes the work but no result.
+
+Clusters are compared in rounds: those of fingerprints; each class with its smallest pivot; all clusters of prefixes. A round
+leaves out clusters whose members are of one group already, deals the members of the others into blocks of ``block_bytes``
+of text, and finds the links between groups inside each block from the whole shingle sets: a task gives at most one link less than its
+block has members, never pairs. So all texts of a cluster meet in its block or, if it has several blocks, most of its groups
+merge; a last round then lets the members outside the cluster's largest group meet all others. So no link between texts of
+different groups is lost, whatever a cluster's size, and what is shuffled grows with the members, not with their pairs.
 
 Nulls: a null text counts as empty; texts without words are near-duplicates of each other. A null doc_id is kept only in
-a group without others. Of repeated rows one stays. An empty table gives no rows.
+a group without others. Of repeated rows, and of texts of one group with one doc_id, one stays. Very long texts are compared whole; one that is larger than a block is a
+block of its own. Ties go to the smaller doc_id, then to the smaller hash of the text. Other columns pass through, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,145 +29,194 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import settle, small_batches, small_side
+from quire.llm.common import scratch, settle, small_batches, small_side
 from quire.llm.graph import components
-from quire.llm.op8_simhash import BUCKET, hashes_of, word_lists
+from quire.llm.op8_simhash import hashes_of, majority, print_components, word_lists
 
 SAMPLE = 2000  # texts by which shingles are ordered
 ORDERED = 100_000  # shingles that are known to be frequent, at most
+BLOCK_BYTES = 16 << 20  # of text that one task compares
+DENSE = 32  # a shingle that more than one in so many members have is a bit, rarer ones are postings
+
+
+def _own(words: list[bytes], shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(np.array(hashes_of(words, shingle), dtype=np.uint64)).view(np.int64)
 
 
 def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, sorted, and how many have each."""
+
+    @F.arrow_udf("array<long>")
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([_own(w, shingle) for w in word_lists(texts)], pa.list_(pa.int64()))
+
     rate = max(1, docs.count() // SAMPLE)
     sample = docs.where(F.pmod("node", F.lit(rate)) == 0).dropDuplicates(["node"])
-    counts = sample.select(F.explode(_shingles(F.col("body"), shingle)).alias("key")).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(ORDERED).collect()
+    counts = sample.select(F.explode(sets(F.col("body"))).alias("key")).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(ORDERED).collect()
     found = np.array(sorted((r[0], r[1]) for r in counts), dtype=np.int64).reshape(-1, 2)
     return found[:, 0], found[:, 1]
 
 
-def _prefixes(text: Column, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Column:
-    """The size of a text's shingle set, and as much of the sorted set as a similar one must share a shingle with."""
+def _sketch(text: Column, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Column:
+    """A text's fingerprint, and as much of its sorted shingle set as a similar one must share a shingle with."""
     known, counts = frequent
-    kind = pa.struct([("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<size:int,keys:array<long>>")
-    def prefixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<fingerprint:long,keys:array<long>>")
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            sizes, keys = [], []
+            prints, keys = [], []
             for w in word_lists(texts):
-                own = np.unique(np.array(hashes_of(w, shingle), dtype=np.uint64).view(np.int64))
+                hashes = np.array(hashes_of(w, shingle), dtype=np.uint64)
+                own = np.unique(hashes).view(np.int64)
                 at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
                 often = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), np.int64)
-                sizes.append(len(own))
+                prints.append(majority(hashes))
                 keys.append(own[np.lexsort((own, often))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if len(own) else np.zeros(1, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lists], fields=list(kind))
-
-    return prefixes(text)
-
-
-def _shingles(text: Column, shingle: int) -> Column:
-    """The sorted distinct hashes of a text's shingles."""
-
-    @F.arrow_udf("array<long>")
-    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            found = [np.unique(np.array(hashes_of(w, shingle), dtype=np.uint64).view(np.int64)) for w in word_lists(texts)]
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-
-    return sets(text)
-
-
-def _jaccard(a: str, b: str) -> Column:
-    @F.arrow_udf("double")
-    def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for one, other in zip(left, right, strict=True):
-            x, y = np.asarray(one.values), np.asarray(other.values)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
-        return pa.array(out, pa.float64())
-
-    return similarity(a, b)
-
-
-def _near_pairs(similarity: float) -> Column:
-    """Of a bucket's members (size, at, node, label): pairs of different labels that may be similar."""
-
-    @F.arrow_udf("array<struct<u:long,v:long>>")
-    def pairs(members: pa.Array) -> pa.Array:
-        flat, ends_of = members.flatten(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(members), dtype=np.int64))])
-        sizes, places, nodes, labels = (np.asarray(pc.struct_field(flat, k), dtype=np.int64) for k in range(4))
-        us, vs, ends = [], [], [0]
-        for a, b in zip(ends_of, ends_of[1:], strict=False):
-            n, left, node, label = sizes[a:b], (sizes - places)[a:b], nodes[a:b], labels[a:b]
-            i, j = np.nonzero(np.triu(label[:, None] != label[None, :], 1))
-            least = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
-            keep = (np.minimum(left[i], left[j]) >= least) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
-            us.append(np.maximum(node[i[keep]], node[j[keep]]))
-            vs.append(np.minimum(node[i[keep]], node[j[keep]]))
-            ends.append(ends[-1] + len(us[-1]))
-        values = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in (us, vs)], names=["u", "v"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-
-    return pairs(F.col("members"))
-
-
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs u, v of classes whose texts are similar enough."""
-    pairs = settle(pairs.where("u <> v").distinct())
-    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = small_side(classes.join(needed, "node", "left_semi").select("node", F.col("least").alias("__least")))
-    texts = docs.join(wanted, "node").where(F.col("doc").eqNullSafe(F.col("__least")))
-    sets = settle(texts.select("node", _shingles(F.col("body"), shingle).alias("set")).dropDuplicates(["node"]))
-    joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    size_ok = F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")) - 1e-6  # else they can't be similar
-    return joined.where(size_ok).where(_jaccard("a", "b") >= similarity).select("u", "v")
-
-
-def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs: doc, body. Gives the rows (doc, node), the classes of equal texts (node, least doc) and labels (node, label)."""
-    docs = docs.withColumn("node", F.xxhash64("body"))
-    prefix = _prefixes(F.col("body"), shingle, similarity, _frequent(docs, shingle))
-    rows = settle(docs.select("doc", "node", prefix.alias("p")).select("doc", "node", "p.*"))
-    classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    keys_of = lambda labelled: labelled.select("node", "size", "label", F.posexplode("keys").alias("at", "value"))
-    keys = keys_of(classes.withColumn("label", F.col("node")))
-    shared = small_side(keys.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "at")).alias("first")).where("n > 1"))
-    left = F.least(F.col("size") - F.col("at"), F.col("first.size") - F.col("first.at"))
-    may = (left >= similarity / (1 + similarity) * (F.col("size") + F.col("first.size")) - 1e-6) & (F.least("size", "first.size") >= similarity * F.greatest("size", "first.size") - 1e-6)
-    stars = keys.join(shared, "value").where(may).select(F.greatest("node", "first.node").alias("u"), F.least("node", "first.node").alias("v"))
-    edges = settle(_verified(docs, classes, stars, shingle, similarity))
-    found = settle(components(edges))
-    keys = keys_of(classes.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    # pairs with the smallest are settled; the others of a bucket matter if they are of several groups
-    rest = keys.join(shared.where("n > 2"), "value").where(F.col("node") != F.col("first.node")).select("value", "n", "node", "size", "at", "label")
-    mixed = small_side(rest.groupBy("value").agg(F.first("n").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("value", "n"))
-    g = F.ceil(F.col("n") * 2 / bucket).cast("int")
-    dealt = rest.drop("n").join(mixed, "value").withColumn("g", F.when(F.col("n") > bucket, g).otherwise(1)).withColumn("k", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    member = F.struct("size", "at", "node", "label")
-    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).groupBy("value", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")).agg(F.collect_list(member).alias("members"))
-    pairs = blocks.where(F.size("members") > 1).select(F.explode(_near_pairs(similarity)).alias("e")).select("e.*")
-    links = _verified(docs, classes, pairs, shingle, similarity).unionByName(edges)
-    return rows, classes, settle(components(links))
+            yield pa.StructArray.from_arrays([pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), lists], names=["fingerprint", "keys"])
+
+    return sketch(text)
+
+
+def links_among(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions that join all groups (members of one label) between which similar sets are; none within a group."""
+    m = len(sets)
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order], dtype=np.int64)
+    flat, row = np.concatenate([sets[i] for i in order]) if m else np.zeros(0, np.int64), np.repeat(np.arange(m), size)
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    limit = max(1, m // DENSE)
+    dense = count > limit
+    bits = np.zeros((m, -(-int(dense.sum()) // 64)), dtype=np.uint64)
+    place = np.cumsum(dense) - 1
+    here = dense[number]
+    at = place[number[here]]
+    np.bitwise_or.at(bits, (row[here], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    rare = ~here & (count[number] > 1)
+    by_number = np.argsort(number[rare], kind="stable")
+    posted, owner = number[rare][by_number], row[rare][by_number]
+    first, last = np.searchsorted(posted, number, side="left"), np.searchsorted(posted, number, side="right")
+    starts = np.concatenate([[0], np.cumsum(size)])
+    group = np.unique(labels[order], return_inverse=True)[1]
+    out = []
+    for x in range(m):
+        end = int(np.searchsorted(size, size[x] / similarity + 1e-6, side="right")) if size[x] else int((size == 0).sum())
+        others = x + 1 + np.flatnonzero(group[x + 1 : end] != group[x])
+        if not len(others):
+            continue
+        both = np.bitwise_count(bits[others] & bits[x]).sum(axis=1, dtype=np.int64)
+        mine = np.flatnonzero(rare[starts[x] : starts[x + 1]]) + starts[x]
+        if len(mine):
+            both += np.bincount(np.concatenate([owner[first[k] : last[k]] for k in mine]), minlength=m)[others]
+        union = size[x] + size[others] - both
+        near = others[np.where(union > 0, both / np.maximum(union, 1), 1.0) >= similarity]
+        joined, one = np.unique(group[near], return_index=True)
+        out += [(int(order[x]), int(order[near[k]])) for k in one]
+        if len(joined):
+            group[np.isin(group, joined)] = group[x]
+    return out
+
+
+def _links(dealt: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links u, v between members of different labels in each block. dealt: block (an array), node, label."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: tuple = ()
+        members: dict[int, tuple[int, np.ndarray]] = {}
+
+        def found() -> pa.RecordBatch | None:
+            nodes, labels = np.array(list(members), dtype=np.int64), np.array([v[0] for v in members.values()], dtype=np.int64)
+            pairs = np.array(links_among([v[1] for v in members.values()], labels, similarity), dtype=np.int64).reshape(-1, 2)
+            ends = nodes[pairs]
+            return pa.record_batch([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], names=["u", "v"]) if len(pairs) else None
+
+        for b in batches:
+            keys = zip(*(b[c].to_pylist() for c in ("cluster", "i", "j", "node", "label")), strict=True)
+            for (cluster, i, j, node, label), words in zip(keys, word_lists(b["body"]), strict=True):
+                if (cluster, i, j) != block:
+                    if len(members) > 1 and (out := found()):
+                        yield out
+                    block, members = (cluster, i, j), {}
+                members[node] = (label, _own(words, shingle))
+        if len(members) > 1 and (out := found()):
+            yield out
+
+    rows = dealt.join(texts, "node").select("cluster", "i", "j", "node", "label", "body")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(link, "u long, v long")
+
+
+def _compare(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, block_bytes: int, seed: int, last: bool) -> DataFrame | None:
+    """The links of a round, or None if no cluster needs it. members: cluster, node. nodes: node, bytes, label."""
+    with_label = members.join(nodes, "node")
+    # the members of a label are summed first, so that a large cluster is a few rows
+    groups = with_label.groupBy("cluster", "label").agg(F.sum("bytes").alias("bytes"))
+    clusters = groups.groupBy("cluster").agg(F.max(F.struct("bytes", "label")).alias("top"), F.sum("bytes").alias("total"), F.count("*").alias("n")).where("n > 1")
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(block_bytes))).cast("int")
+    clusters = clusters.select("cluster", F.col("top.label").alias("most"), parts(F.col("total")).alias("parts"), parts(F.col("top.bytes")).alias("inner"), parts(F.col("total") - F.col("top.bytes")).alias("outer"))
+    clusters = small_side(clusters.where("parts > 1") if last else clusters)
+    if not clusters.take(1):
+        return None
+    dealt = with_label.join(clusters, "cluster")
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    if not last:
+        dealt = dealt.withColumns({"i": part("parts"), "j": F.lit(0)})
+    else:  # blocks of the largest group are columns from 0, of the others from ``inner``; rows are blocks of the others
+        dealt = dealt.withColumns({"inside": F.col("label") == F.col("most")}).withColumn("k", F.when(F.col("inside"), part("inner")).otherwise(part("outer")))
+        row_of = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        k = F.col("k")
+        inside = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: row_of(o, k))
+        outside = F.concat(F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda c: row_of(k, c)), F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: row_of(F.least(k, o), F.col("inner") + F.greatest(k, o))))
+        dealt = dealt.withColumn("at", F.explode(F.when(F.col("inside"), inside).otherwise(outside))).select("cluster", "at.i", "at.j", "node", "label")
+    return _links(dealt.select("cluster", "i", "j", "node", "label"), texts, shingle, similarity)
+
+
+def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs: doc, node (hash of body), body. Gives the classes of equal texts: node, least (doc), label (the smallest node of its group)."""
+    with scratch(docs.sparkSession) as outer:
+        sketch = _sketch(F.col("body"), shingle, similarity, _frequent(docs, shingle))
+        rows = docs.select("doc", "node", F.octet_length("body").cast("long").alias("bytes"), sketch.alias("s"))
+        classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("bytes").alias("bytes"), F.first("s.fingerprint").alias("fingerprint"), F.first("s.keys").alias("keys")))
+
+        keys = classes.select("node", F.explode("keys").alias("value"))
+        ends = keys.groupBy("value").agg(F.min("node").alias("cluster"), F.max("node").alias("last")).where("cluster <> last").drop("last")
+        around = settle(keys.join(small_side(ends), "value").select("cluster", "node").distinct())
+        found = print_components(classes.select("fingerprint").distinct(), tau)
+        alike = classes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(F.coalesce("label", "fingerprint").alias("cluster"), "node")
+        shared = alike.groupBy("cluster").count().where("count > 1").select("cluster")
+        alike = settle(alike.join(shared, "cluster").select("cluster", "node"))
+        nearest = around.groupBy("node").agg(F.min("cluster").alias("cluster"))
+
+        wanted = small_side(classes.join(around.select("node").unionByName(alike.select("node")).distinct(), "node", "left_semi").select("node", F.col("least").alias("__least")))
+        texts = docs.join(wanted, "node").where(F.col("doc").eqNullSafe(F.col("__least"))).select("node", "body")
+        texts = settle(texts.dropDuplicates(["node"]))
+        thin = classes.select("node", "least", "bytes")
+        labelled, links = thin.withColumn("label", F.col("node")), None
+        for seed, (members, last) in enumerate([(alike, False), (nearest, False), (around, False), (around, True)]):
+            new = _compare(members, labelled, texts, shingle, similarity, block_bytes, seed, last)
+            if new is None:
+                continue
+            links = settle(new if links is None else links.unionByName(new))
+            labelled = thin.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return settle(labelled.select("node", "least", "label"), outer)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, **options: int) -> DataFrame:
     """The rows without those that are near-duplicates of one with a smaller doc_id in their group."""
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows, classes, labels = near_duplicate_classes(docs.select(F.col(doc_id).alias("doc"), body.alias("body")), shingle, similarity, **options)
-    labelled = classes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    kept = settle(labelled.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("k")).select(F.col("k.node").alias("node"), F.col("k.least").alias("least")))
-    dropped = rows.join(kept.withColumn("keeps", F.lit(True)), "node", "left").where(F.col("keeps").isNull() | ~F.col("doc").eqNullSafe(F.col("least")))
-    gone = small_side(dropped.select(F.col("doc").alias("__doc"), F.col("node").alias("__gone")).distinct())
+    rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(body).alias("node"))
+    labelled = near_duplicate_classes(docs.select(F.col(doc_id).alias("doc"), F.xxhash64(body).alias("node"), body.alias("body")), shingle, similarity, **options)
+    kept = labelled.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("k")).select(F.col("k.node").alias("node"), F.col("k.least").alias("least"))
+    kept = settle(kept.withColumn("keeps", F.lit(True)))
+    counted = settle(rows.groupBy("doc", "node").count().join(kept, "node", "left").withColumn("keeps", F.coalesce(F.col("keeps") & F.col("doc").eqNullSafe(F.col("least")), F.lit(False))))
+    gone = small_side(counted.where("NOT keeps").select(F.col("doc").alias("__doc"), F.col("node").alias("__gone")))
     left = docs.withColumn("__node", F.xxhash64(body))
     left = left.join(gone, (F.col("__node") == F.col("__gone")) & F.col(doc_id).eqNullSafe(F.col("__doc")), "left_anti")
-    if rows.groupBy("doc", "node").count().where("count > 1").limit(1).count():
+    if counted.where("keeps AND count > 1").take(1):
         left = left.dropDuplicates([doc_id, "__node"])
     return left.drop("__node")

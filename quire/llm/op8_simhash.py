@@ -7,11 +7,13 @@ for several numbers of partitions; the cheapest plan is used. A threshold of 0 p
 one-bit neighbours, 2 lets both sides emit one-bit neighbours, and -1 leaves the partition out.
 
 Equal fingerprints are one node. Buckets of bounded size are verified in one task each and emit a star for each group of
-linked members, never all pairs. Larger buckets are left to an exact form whose groups are small by nature: two different
-fingerprints within 2 bits share one of their 65 one-bit neighbours, and at most 65 fingerprints meet at one.
+linked members, never all pairs. Larger buckets have exact forms. For up to 2 bits: two different fingerprints within 2 bits
+share one of their 65 one-bit neighbours, and at most 65 fingerprints meet at one. For more bits the pigeonhole principle is
+applied again inside the bucket, with other groups of bits, level by level, until all buckets are small.
 
 Nulls: a null text counts as empty, whose fingerprint is zero; a null doc_id never becomes a component's id, unless no
-other is in it. Repeated rows are all kept. An empty table gives no rows. Columns named like this operator's are replaced.
+other is in it. Very long texts are read whole. Repeated rows are all kept; so are ties. An empty table gives no rows. The
+result has the three columns of this operator, whatever others the table has.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER_BYTES, recoded, settle, small_batches, table
+from quire.llm.common import LOWER_BYTES, recoded, scratch, settle, small_batches, table
 from quire.llm.graph import components
 
 BITS = 64
@@ -35,9 +37,9 @@ BUCKET = 512
 KEY_COST, PAIR_COST = 100.0, 1.0
 
 
-def majority(hashes: list[int]) -> int:
+def majority(hashes: list[int] | np.ndarray) -> int:
     """The fingerprint whose bits are set in over half of the hashes."""
-    if not hashes:
+    if not len(hashes):
         return 0
     bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes(), "big")
@@ -176,31 +178,63 @@ def links_within(tau: int) -> Column:
     return link(F.col("members"))
 
 
+def _stars(within: DataFrame, tau: int) -> DataFrame:
+    """within: bucket (a struct), fingerprint."""
+    return within.groupBy("bucket").agg(F.collect_list("fingerprint").alias("members")).select(F.explode(links_within(tau)).alias("e")).select("e.*")
+
+
+def _hubs(large: DataFrame) -> DataFrame:
+    """Links up to 2 bits: two such fingerprints share one of their one-bit neighbours, and at most 65 meet at one."""
+    around = large.select("fingerprint", F.explode(F.array(F.col("fingerprint"), *[F.col("fingerprint").bitwiseXOR(F.lit(signed(1 << b))) for b in range(BITS)])).alias("at"))
+    return around.groupBy("at").agg(F.min("fingerprint").alias("v"), F.collect_list("fingerprint").alias("u")).select(F.explode("u").alias("u"), "v").where("u <> v")
+
+
+def _split(large: DataFrame, tau: int, level: int) -> DataFrame:
+    """Buckets dealt on: of tau + 1 groups of the 64 bits, drawn anew for each level, two within tau bits agree in one."""
+    groups = np.array_split(np.random.default_rng(level).permutation(BITS), tau + 1)
+    masks = [signed(sum(1 << int(b) for b in g)) for g in groups]
+    keys = F.array(*[F.struct(F.lit(g).alias("group"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("value")) for g, m in enumerate(masks)])
+    dealt = large.select("bucket", "fingerprint", F.explode(keys).alias("k"))
+    return dealt.select(F.struct(F.xxhash64("bucket").alias("part"), F.xxhash64("k.group", "k.value").alias("value")).alias("bucket"), "fingerprint").distinct()
+
+
 def simhash_links(prints: DataFrame, tau: int, bucket: int = BUCKET) -> DataFrame:
     """Edges u, v that connect what fingerprints within tau bits connect. prints: one column of distinct fingerprints."""
     keys = probe_keys(prints, plan_partitions(prints, tau))
     counts = settle(keys.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 AND any_own").drop("any_own"))
-    within = keys.join(counts.where(F.col("n") <= bucket), ["part", "value"])
-    stars = within.groupBy("part", "value").agg(F.collect_list("fingerprint").alias("members")).select(F.explode(links_within(tau)).alias("e")).select("e.*")
-    if counts.where(F.col("n") > bucket).limit(1).count() == 0:
-        return stars
-    if tau > 2:
-        raise ValueError("large buckets have an exact form for up to 2 bits; use near_duplicates for more")
-    large = keys.join(counts.where(F.col("n") > bucket), ["part", "value"], "left_semi").select("fingerprint").distinct()
-    around = large.select("fingerprint", F.explode(F.array(F.col("fingerprint"), *[F.col("fingerprint").bitwiseXOR(F.lit(signed(1 << b))) for b in range(BITS)])).alias("at"))
-    hubs = around.groupBy("at").agg(F.min("fingerprint").alias("v"), F.collect_list("fingerprint").alias("u")).select(F.explode("u").alias("u"), "v").where("u <> v")
-    return stars.unionByName(hubs)
+    named = lambda rows: rows.select(F.struct(F.col("part").cast("long").alias("part"), "value").alias("bucket"), "fingerprint")
+    edges = _stars(named(keys.join(counts.where(F.col("n") <= bucket), ["part", "value"])), tau)
+    if not counts.where(F.col("n") > bucket).take(1):
+        return edges
+    large, level = named(keys.join(counts.where(F.col("n") > bucket), ["part", "value"], "left_semi")), 0
+    if tau <= 2:
+        return edges.unionByName(_hubs(large.select("fingerprint").distinct()))
+    while True:
+        large = settle(_split(large, tau, level))
+        sizes = settle(large.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        edges = edges.unionByName(_stars(large.join(sizes.where(F.col("n") <= bucket), "bucket"), tau))
+        over = sizes.where(F.col("n") > bucket)
+        if not over.take(1):
+            return edges
+        large, level = large.join(over, "bucket", "left_semi"), level + 1
+
+
+def print_components(prints: DataFrame, tau: int, bucket: int = BUCKET) -> DataFrame:
+    """node, label: the smallest fingerprint of its component, for all but those. prints: one column of distinct fingerprints."""
+    with scratch(prints.sparkSession) as outer:
+        return settle(components(simhash_links(prints, tau, bucket)), outer)
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, tau: int = 2, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (long) and component_id of every row."""
     small_batches(docs.sparkSession)
     rows = settle(docs.select(F.col(doc_id).alias("doc_id"), simhash(text, shingle).alias("fingerprint")))
-    nodes = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    found = settle(components(simhash_links(nodes.select("fingerprint"), tau, bucket)))
-    labelled = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
-    ids = settle(labelled.groupBy("label").agg(F.min("least").alias("component_id")))
-    by_print = settle(labelled.join(ids, "label").select("fingerprint", "component_id"))
+    with scratch(docs.sparkSession) as outer:
+        nodes = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+        found = print_components(nodes.select("fingerprint"), tau, bucket)
+        labelled = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
+        ids = settle(labelled.groupBy("label").agg(F.min("least").alias("component_id")))
+        by_print = settle(labelled.join(ids, "label").select("fingerprint", "component_id"), outer)
     return rows.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import op9_decontaminate as leaks
 from quire.llm.graph import components
-from quire.llm.near_duplicates import drop_near_duplicates
+from quire.llm.near_duplicates import drop_near_duplicates, links_among
 from quire.llm.op8_simhash import Part, group_bits, hashes_of, majority, plan_partitions, simhash_groups, simhash_links
 from quire.llm.op10_quality import fit_quality, held_out, score_quality
 
@@ -37,7 +37,7 @@ def test_components(spark, small):
     assert components(spark.createDataFrame([], "u long, v long"), small).count() == 0
 
 
-@pytest.mark.parametrize(("tau", "bucket"), [(2, 512), (2, 3), (1, 512), (0, 512)])
+@pytest.mark.parametrize(("tau", "bucket"), [(2, 512), (2, 3), (1, 512), (0, 512), (3, 512), (3, 24), (5, 40)])
 def test_links_against_all_pairs(spark, tau, bucket):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 40)
@@ -75,8 +75,8 @@ def test_simhash_groups(documents, awkward):
     assert simhash_groups(documents([])).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [512, 24])
-def test_near_duplicates(documents, awkward, bucket):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 20_000])
+def test_near_duplicates(documents, awkward, block_bytes):
     rng = np.random.default_rng(10)
     vocabulary = np.array([f"w{i}" for i in range(3000)])
     rows, texts = [], [list(rng.choice(vocabulary, 300)) for _ in range(30)]
@@ -89,15 +89,15 @@ def test_near_duplicates(documents, awkward, bucket):
     sets = {d: {tuple(t.split()[j : j + 5]) for j in range(296)} for d, t, _ in rows}
     pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = set(union(pairs, sets).values())
-    kept = drop_near_duplicates(documents(rows), bucket=bucket).collect()
+    kept = drop_near_duplicates(documents(rows), block_bytes=block_bytes).collect()
     assert {r["doc_id"] for r in kept} == want and len(kept) == len(want)
     left = drop_near_duplicates(awkward).collect()
     assert sorted((r["doc_id"] for r in left), key=str) == sorted([1, 3, 4, 6, None, 8], key=str)
     assert drop_near_duplicates(documents([])).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [512, 24])
-def test_near_duplicates_with_contiguous_edits(documents, bucket):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 20_000])
+def test_near_duplicates_with_contiguous_edits(documents, block_bytes):
     """Appended, cut and replaced blocks, down to a similarity of 0.8 and just below, against all pairs."""
     rng = np.random.default_rng(15)
     say = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
@@ -111,7 +111,39 @@ def test_near_duplicates_with_contiguous_edits(documents, bucket):
     rows = [(k, " ".join(rows[k]), "s") for k in range(len(rows))]
     sets = {d: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for d, t, _ in rows}
     pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert sorted(r["doc_id"] for r in drop_near_duplicates(documents(rows), bucket=bucket).collect()) == sorted(set(union(pairs, sets).values()))
+    assert sorted(r["doc_id"] for r in drop_near_duplicates(documents(rows), block_bytes=block_bytes).collect()) == sorted(set(union(pairs, sets).values()))
+
+
+@pytest.mark.parametrize(("copies", "block_bytes"), [(700, 16 << 20), (700, 60_000)])
+def test_near_copies_of_one_text(spark, documents, copies, block_bytes):
+    """A cloud of copies with a few changed words each: many pairs just below and above the limit, and outliers."""
+    rng = np.random.default_rng(18)
+    base, rows = [f"w{i}" for i in rng.integers(0, 4000, 200)], []
+    for k in range(copies):
+        own = list(base)
+        for at in rng.choice(200, int(rng.integers(0, 8)), replace=False):
+            own[at] = f"x{rng.integers(0, 500)}"
+        rows.append((k, " ".join(own), "s"))
+    sets = {d: {tuple(t.split()[j : j + 5]) for j in range(196)} for d, t, _ in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = sorted(set(union(pairs, sets).values()))
+    assert 1 < len(want) < copies // 2
+    assert sorted(r["doc_id"] for r in drop_near_duplicates(documents(rows), block_bytes=block_bytes).collect()) == want
+
+
+def test_links_among():
+    """Against all pairs, with dense and rare elements, sizes at the limit and empty sets."""
+    rng = np.random.default_rng(19)
+    for m in (2, 3, 40, 150):
+        core = rng.integers(0, 1 << 60, 60)
+        sets = [np.unique(np.concatenate([rng.choice(core, int(rng.integers(40, 60)), replace=False), rng.integers(0, 40, int(rng.integers(0, 9)))])) for _ in range(m)] + [np.zeros(0, np.int64)] * 2
+        labels = rng.integers(0, max(2, m // 2), len(sets))
+        same = [(i, j) for i in range(len(sets)) for j in range(i) if labels[i] == labels[j]]
+        jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) if len(a) + len(b) else 1.0
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if labels[i] != labels[j] and jaccard(sets[i], sets[j]) >= 0.8]
+        found = links_among(sets, labels, 0.8)
+        assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in near}
+        assert union(same + found, range(len(sets))) == union(same + near, range(len(sets)))
 
 
 def plain_leaks(text, items):
