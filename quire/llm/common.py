@@ -59,6 +59,14 @@ def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A beginning that no column's name has, for columns that an operator adds for itself."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A thin table, written and counted: broadcast if it has at most so many rows, else left for a shuffled join."""
     df = settle(df)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import scratch, settle, small_batches, small_side
+from quire.llm.common import own_prefix, scratch, settle, small_batches, small_side
 from quire.llm.graph import components
 from quire.llm.op8_simhash import hashes_of, majority, print_components, word_lists
 
@@ -214,9 +214,10 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     kept = labelled.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("k")).select(F.col("k.node").alias("node"), F.col("k.least").alias("least"))
     kept = settle(kept.withColumn("keeps", F.lit(True)))
     counted = settle(rows.groupBy("doc", "node").count().join(kept, "node", "left").withColumn("keeps", F.coalesce(F.col("keeps") & F.col("doc").eqNullSafe(F.col("least")), F.lit(False))))
-    gone = small_side(counted.where("NOT keeps").select(F.col("doc").alias("__doc"), F.col("node").alias("__gone")))
-    left = docs.withColumn("__node", F.xxhash64(body))
-    left = left.join(gone, (F.col("__node") == F.col("__gone")) & F.col(doc_id).eqNullSafe(F.col("__doc")), "left_anti")
+    mine = own_prefix(docs)
+    gone = small_side(counted.where("NOT keeps").select(F.col("doc").alias(f"{mine}doc"), F.col("node").alias(f"{mine}gone")))
+    left = docs.withColumn(f"{mine}node", F.xxhash64(body))
+    left = left.join(gone, (F.col(f"{mine}node") == F.col(f"{mine}gone")) & F.col(doc_id).eqNullSafe(F.col(f"{mine}doc")), "left_anti")
     if counted.where("keeps AND count > 1").take(1):
-        left = left.dropDuplicates([doc_id, "__node"])
-    return left.drop("__node")
+        left = left.dropDuplicates([doc_id, f"{mine}node"])
+    return left.drop(f"{mine}node")

@@ -4,11 +4,11 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^
 Words are hashed; a word's value is the logarithm of its count, with unit length over the text. Structure statistics
 (shares of character classes, line and word shapes, repetition) and the logarithm of n_chars, where the table has it, are
 standardised. It is trained in the driver on at most ``sample`` labelled rows, picked by a hash of doc_id from those
-whose crc32(doc_id) mod 3 is not 1; doc_id, lang, source and labels are no features. All rows are scored in whole texts.
+whose crc32(doc_id) mod 3 is not 1 (of rows that share a doc_id one is learnt from); doc_id, lang, source and labels are no features. All rows are scored in whole texts.
 
 Nulls: a null text counts as empty, and is scored; a null n_chars counts as 0; labels that are null are not learnt from;
-a null doc_id is not held out. Without any usable label the score is 0.5. Repeated rows are scored alike. An empty table
-gives no rows. Columns named like this operator's are replaced; others pass through.
+a null doc_id is not held out. Without any usable label the score is 0.5. Very long texts are read whole. Ties and repeated
+rows are scored alike. An empty table gives no rows. Columns named like this operator's are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -150,8 +150,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     n_chars = F.coalesce(F.col("n_chars").cast("long"), F.lit(0)) if "n_chars" in docs.columns else F.lit(0).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), n_chars.alias("n_chars")).join(F.broadcast(chosen), "doc_id")
+    # one row of a repeated doc_id, so that the bound holds for rows; picked by thin keys, since texts may be long and the copies many
+    rows = rows.withColumn("hash", F.xxhash64("text", "n_chars"))
+    one = rows.groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    rows = rows.join(F.broadcast(one), ["doc_id", "hash"])
     # features are made where the texts are; a row to the driver has a few hundred numbers
-    made = rows.mapInArrow(_packed, "doc_id long, quality int, buckets binary, counts binary, stats binary").orderBy("doc_id", "stats").toArrow()
+    made = rows.select("doc_id", "quality", "text", "n_chars").mapInArrow(_packed, "doc_id long, quality int, buckets binary, counts binary, stats binary")
+    made = made.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("quality", "buckets", "counts", "stats")]).orderBy("doc_id").toArrow()
     y = np.asarray(made["quality"], dtype=np.float64)
     if len(np.unique(y)) < 2:
         return None
@@ -170,11 +175,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part["doc_id"], part["quality"], pa.array([x.buckets[a:z].astype(np.int32).tobytes() for a, z in rows], pa.binary()), pa.array([x.values[a:z].astype(np.float32).tobytes() for a, z in rows], pa.binary()), pa.array([s.tobytes() for s in x.stats], pa.binary())], names=["doc_id", "quality", "buckets", "counts", "stats"])
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine | None, text: str = "text") -> DataFrame:
-    """The rows with ``score``."""
+def score_quality(docs: DataFrame, model: FactorisationMachine | None, text: str = "text", name: str = "score") -> DataFrame:
+    """The rows with the score, under ``name``."""
     small_batches(docs.sparkSession)
     if model is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return docs.withColumn(name, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # BUCKETS * (FACTORS + 1) numbers, whatever the input
 
     @F.arrow_udf("double")
@@ -184,7 +189,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, text: str
             out = [model.scores(features_of(texts.slice(a, b - a), np.asarray(n_chars.slice(a, b - a).fill_null(0), dtype=np.float64))) for a, b in blocks(pc.binary_length(texts), BLOCK_BYTES)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("score", score(F.col(text), F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(0).cast("long")))
+    return docs.withColumn(name, score(F.col(text), F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(0).cast("long")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

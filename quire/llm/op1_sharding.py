@@ -1,6 +1,6 @@
 """Sharding by histogram sort.
 
-A row's key is (hash of its text, doc_id). The driver keeps, for each of the shard and piece targets, the bucket of keys
+A row's key is (hash of its text, doc_id), or two numbers that give an order to keep: then shards are its successive parts. The driver keeps, for each of the shard and piece targets, the bucket of keys
 that it falls in; in each round all partitions count the exact bytes and rows of the buckets between the probes, and
 buckets that are still too wide get finer probes between the smallest and largest key that occur in them. When every
 target is near enough to a boundary, the rows are exchanged once, by piece, and sorted within it.
@@ -9,25 +9,29 @@ Law ``bytes``: shards hold nearly equal bytes. Equal texts are neighbours, so th
 is so large that keeping it whole would move a boundary by over ``group_tolerance`` of a shard; such a group is split
 by doc_id. Rows that agree in text and doc_id can't be told apart and stay together.
 
-Nulls: a null text has size 1 and its own hash; a null doc_id sorts first. An empty table gives no rows. Other
+Nulls: a null text has size 1 and its own hash; a null doc_id sorts first. Very long texts are one row like others and may
+make a shard larger by their size. Ties (rows of one key) have slots in no set order. An empty table gives no rows. Other
 columns pass through; of the names this operator adds, those that the input already has are replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import settle, table
+from quire.llm.common import own_prefix, settle, table
 
 LOW, HIGH = 0, 1 << 128
+#: Pieces in all; beyond them pieces grow, so that the driver's work and the broadcast splitters (16 bytes each) stay bounded.
+MOST_PIECES = 1 << 16
 _FLIP = np.uint64(1 << 63)
 
 
@@ -80,23 +84,24 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerance: float, grou
     for _ in range(rounds):
         counts = _count(keys, probes)
         below_bytes = below_rows = 0
-        edges, spans = [LOW, *probes, HIGH], []
+        edges, spans, ends = [LOW, *probes, HIGH], [], []
         for i in range(len(probes) + 1):
             known[edges[i]] = (below_bytes, below_rows)
             if i in counts:
                 size, rows, low, high = counts[i]
                 spans.append((below_bytes, below_bytes + size, edges[i], edges[i + 1], low, high))
+                ends.append(below_bytes + size)
                 below_bytes, below_rows = below_bytes + size, below_rows + rows
         known[HIGH], total = (below_bytes, below_rows), below_bytes
         finer: set[int] = set()
         for k, target in enumerate(targets):
             if k in done:
                 continue
-            span = next((s for s in spans if s[0] <= target < s[1]), None)
-            if span is None:
+            found = bisect.bisect_right(ends, target)  # the span with above > target
+            if target < 0 or found == len(spans):
                 done[k] = LOW if target <= 0 or not total else HIGH
                 continue
-            below, above, left, right, low, high = span
+            below, above, left, right, low, high = spans[found]
             near = left if target - below <= above - target else right
             if min(target - below, above - target) <= tolerance or low == high:
                 done[k] = near
@@ -113,20 +118,23 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerance: float, grou
             else:
                 step = max(1 << 64, _aligned((high - low) // fan))
                 finer |= {min(_aligned(high), _aligned(low) + (1 << 64) + i * step) for i in range(fan)}
+            if k not in done:
+                finer |= {left, right}
         if len(done) == len(targets):
             break
-        probes = sorted({done[k] for k in done} | finer | {b for s in spans for k, t in enumerate(targets) if k not in done and s[0] <= t < s[1] for b in s[2:4]} - {HIGH}) 
-        probes = [p for p in probes if LOW < p < HIGH]
+        probes = [p for p in sorted(set(done.values()) | finer) if LOW < p < HIGH]
     return [(done[k], *known[done[k]]) for k in range(len(targets))]
 
 
-def histogram_shards(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id", piece_bytes: int = 64 << 20, tolerance: float = 0.01, group_tolerance: float = 0.025) -> DataFrame:
-    """The rows with ``size``, ``shard`` and ``slot``, exchanged once and sorted by key within each piece of a shard."""
+def histogram_shards(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id", order: tuple[Column, Column] | None = None, piece_bytes: int = 64 << 20, tolerance: float = 0.01, group_tolerance: float = 0.025) -> DataFrame:
+    """The rows with ``size``, ``shard`` and ``slot``, exchanged once and sorted by key within each piece of a shard. order: two longs that are the key instead."""
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    docs = docs.withColumns({"size": size, "__digest": F.xxhash64(F.col(text)), "__second": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))})
-    keys = settle(docs.select("__digest", "__second", "size"))
+    first, second = order or (F.xxhash64(F.col(text)), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))))
+    mine = own_prefix(docs)
+    docs = docs.withColumns({f"{mine}digest": first, f"{mine}second": second}).withColumn("size", size)
+    keys = settle(docs.select(f"{mine}digest", f"{mine}second", "size"))
     total = keys.agg(F.sum("size")).first()[0] or 0
-    per = max(1, math.ceil(total / (shards * piece_bytes)))  # pieces of a shard, so that no task gets a whole shard
+    per = max(1, min(math.ceil(total / (shards * piece_bytes)), MOST_PIECES // shards))  # pieces of a shard, so that no task gets a whole shard
     share = total / shards
     cuts = find_splitters(keys, [total * i / (shards * per) for i in range(1, shards * per)], tolerance * share / per, group_tolerance * share / per)
     for i in range(1, len(cuts)):  # two targets within one group may choose boundaries out of order
@@ -138,11 +146,11 @@ def histogram_shards(docs: DataFrame, shards: int = 16, text: str = "text", doc_
         return pd.Series(np.searchsorted(edges, _encode(digest.to_numpy(), second.to_numpy()), side="right").astype(np.int32))
 
     n = shards * per
-    offsets = docs.sparkSession.createDataFrame([(i, rows_below[i] - rows_below[i // per * per]) for i in range(n)], "__piece int, __before long")
-    dealt = docs.withColumn("__piece", piece("__digest", "__second")).repartitionById(n, F.col("__piece"))
-    within = F.row_number().over(Window.partitionBy("__piece").orderBy("__digest", "__second"))
-    placed = dealt.withColumn("__row", within).join(F.broadcast(offsets), "__piece")
-    return placed.withColumns({"shard": F.floor(F.col("__piece") / per).cast("int"), "slot": F.col("__before") + F.col("__row") - 1}).drop("__piece", "__before", "__row", "__digest", "__second")
+    offsets = docs.sparkSession.createDataFrame([(i, rows_below[i] - rows_below[i // per * per]) for i in range(n)], f"{mine}piece int, {mine}before long")
+    dealt = docs.withColumn(f"{mine}piece", piece(f"{mine}digest", f"{mine}second")).repartitionById(n, F.col(f"{mine}piece"))
+    within = F.row_number().over(Window.partitionBy(f"{mine}piece").orderBy(f"{mine}digest", f"{mine}second"))
+    placed = dealt.withColumn(f"{mine}row", within).join(F.broadcast(offsets), f"{mine}piece")
+    return placed.withColumns({"shard": F.floor(F.col(f"{mine}piece") / per).cast("int"), "slot": F.col(f"{mine}before") + F.col(f"{mine}row") - 1}).drop(f"{mine}piece", f"{mine}before", f"{mine}row", f"{mine}digest", f"{mine}second")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

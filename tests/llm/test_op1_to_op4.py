@@ -1,16 +1,20 @@
+import bisect
 import collections
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import op2_line_dedup as lines
-from quire.llm.op1_sharding import histogram_shards
+from quire.llm.op1_sharding import find_splitters, histogram_shards, op1_sharding
 from quire.llm.op3_license import scan_licenses
-from quire.llm.op4_mixing import curriculum_mix, source_targets, training_sequence
+from quire.llm.op4_mixing import curriculum_plan, source_targets, training_sequence
+
+DATA = Path("/root/testdata/sf0.001")
 
 
 def check_shards(rows, shards):
@@ -51,6 +55,45 @@ def test_shards_of_awkward_rows(awkward, documents):
     assert histogram_shards(documents([])).count() == 0
 
 
+def test_shards_of_an_order(documents):
+    """Shards are successive parts of the order, and slots follow it."""
+    rng = np.random.default_rng(20)
+    docs = documents([(i, "x" * int(rng.integers(10, 300)), "s") for i in range(2000)])
+    rows = sorted(histogram_shards(docs, order=(F.col("doc_id") % 3, -F.col("doc_id")), piece_bytes=4000).collect(), key=lambda r: (r["shard"], r["slot"]))
+    check_shards(rows, 16)
+    assert [r["doc_id"] for r in rows] == sorted(range(2000), key=lambda i: (i % 3, -i))
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) < 1.06 * sum(sizes.values()) / 16
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+def test_shard_query(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    rows = op1_sharding(spark, str(DATA)).collect()
+    want = {r["doc_id"]: (len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == want and len(rows) == len(docs)
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)}
+    check_shards(rows, 16)
+
+
+def test_splitters_of_many_targets(spark):
+    """Exact bytes and rows below each splitter, near its target."""
+    rng = np.random.default_rng(22)
+    rows = [(int(a), i, int(s)) for i, (a, s) in enumerate(zip(rng.integers(-(1 << 62), 1 << 62, 20_000), rng.integers(1, 100, 20_000), strict=True))]
+    total = sum(r[2] for r in rows)
+    targets = [total * i / 500 for i in range(1, 500)]
+    keys = spark.createDataFrame(rows, "digest long, second long, size long").cache()
+    found = find_splitters(keys, targets, total / 500 * 0.5, total / 500)
+    order = sorted(rows)
+    at = [((r[0] + (1 << 63)) << 64) + r[1] + (1 << 63) for r in order]
+    sums = np.concatenate([[0], np.cumsum([r[2] for r in order])])
+    for target, (key, below, n) in zip(targets, found, strict=True):
+        k = bisect.bisect_left(at, key)
+        assert (below, n) == (sums[k], k) and abs(below - target) <= total / 500 * 0.5
+
+
 def plain_dedup(rows, least_chars=40, least_docs=5):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     held = collections.defaultdict(list)
@@ -122,19 +165,38 @@ def test_targets_against_plain_refilling(spark):
 def test_mix(documents, awkward):
     rng = np.random.default_rng(4)
     docs = documents([(100 + i, " ".join("w" * int(rng.integers(1, 60))), ("hot" if i % 3 else f"s{i % 5}")) for i in range(400)]).unionByName(awkward).withColumn("target", F.lit("clash"))
-    mixed = curriculum_mix(docs)
+    mixed = curriculum_plan(docs)
     rows = mixed.collect()
-    assert len(rows) == 410 and all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows)
+    sizes = sorted((str(r["doc_id"]), len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs.collect())
+    assert len(rows) == 410 and sorted((str(r["doc_id"]), r["size"]) for r in rows) == sizes
     by = collections.defaultdict(lambda: [0, 0])
     for r in rows:
         assert 0 <= r["taken"] <= 2 * r["size"]
         by[r["source"]][0] += r["taken"]
         by[r["source"]][1] = r["target"]
     assert all(abs(took - target) <= 1 for took, target in by.values())
-    assert sorted(map(str, rows)) == sorted(map(str, curriculum_mix(docs.repartition(5)).collect()))
-    order = [r["position"] for r in training_sequence(mixed).collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, curriculum_plan(docs.repartition(5), bucket_rows=16).collect()))
+    sequence = training_sequence(docs, mixed).collect()
+    order = [r["position"] for r in sequence]
     assert order == sorted(order) and all(0 <= p <= 1 for p in order)
-    assert curriculum_mix(documents([])).count() == 0
+    whole = collections.Counter()
+    for r in rows:
+        first = min(r["taken"], r["size"])
+        whole[r["doc_id"]] += (r["first_position"] is not None and 2 * first >= r["size"]) + (r["second_position"] is not None and 2 * (r["taken"] - first) >= r["size"])
+    assert collections.Counter(r["doc_id"] for r in sequence) == +whole
+    assert all(r["target"] == "clash" for r in sequence)
+    assert curriculum_plan(documents([])).count() == 0 and training_sequence(documents([]), curriculum_plan(documents([]))).count() == 0
+
+
+def test_positions_are_shares_of_all_demand(documents):
+    """At each position, the words of all copies before it are that share of all words taken."""
+    rng = np.random.default_rng(21)
+    docs = documents([(i, " ".join("w" * int(rng.integers(1, 9))), f"s{i % 3}") for i in range(3000)])
+    copies = [(p, n) for r in curriculum_plan(docs).collect() for p, n in ((r["first_position"], min(r["size"], r["taken"])), (r["second_position"], r["taken"] - min(r["size"], r["taken"]))) if p is not None]
+    total, so_far = sum(n for _, n in copies), 0
+    for p, n in sorted(copies):
+        assert abs(so_far / total - p) < 0.01
+        so_far += n
 
 
 def test_crc_is_unsigned(spark):
