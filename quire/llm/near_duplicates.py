@@ -8,8 +8,9 @@ class and never paired. Classes are gathered into clusters, whose members are co
    at least must be in a similar one, so by the pigeonhole principle two similar sets share one of their first n - ceil(s n) + 1.
    The classes that share a shingle in their prefixes gather around the smallest of them, their pivot: one cluster for each
    pivot, however many shingles it shares. The order comes from a sample of texts; another sample changes the work but no result.
+   Before texts are moved, prefixes are compared: they bound what two sets can share, and clusters fall into the parts that may have links.
 
-Clusters are compared in rounds: those of fingerprints; each class with its smallest pivot; all clusters of prefixes. A round
+Clusters are compared in rounds: those of fingerprints; each class in one of its clusters of prefixes; all clusters of prefixes. A round
 leaves out clusters whose members are of one group already, deals the members of the others into blocks of ``block_bytes``
 of text, and finds the links between groups inside each block from the whole shingle sets: a task gives at most one link less than its
 block has members, never pairs. So all texts of a cluster meet in its block or, if it has several blocks, most of its groups
@@ -25,12 +26,14 @@ names. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.common import own_prefix, scratch, settle, small_batches, small_side
 from quire.llm.graph import components
@@ -39,6 +42,7 @@ from quire.llm.op8_simhash import hashes_of, majority, print_components, word_li
 SAMPLE = 2000  # texts by which shingles are ordered
 ORDERED = 100_000  # shingles that are known to be frequent, at most
 BLOCK_BYTES = 16 << 20  # of text that one task compares
+FILTERED = 4096  # members of a cluster up to which the beginnings of sets are compared before texts are moved; beyond it texts are compared at once
 DENSE = 32  # a shingle that more than one in so many members have is a bit, rarer ones are postings
 
 
@@ -63,91 +67,181 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(text: Column, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Column:
-    """A text's fingerprint, and as much of its sorted shingle set as a similar one must share a shingle with."""
+    """A text's fingerprint, the size of its shingle set, and as much of the sorted set as a similar one must share a shingle with.
+
+    Shingles are numbers whose order is the common one: hashes, then the frequent shingles by their counts.
+    """
     known, counts = frequent
+    place = np.empty(len(known), dtype=np.int64)
+    place[np.lexsort((known, counts))] = np.arange(len(known))
 
-    @F.arrow_udf("struct<fingerprint:long,keys:array<long>>")
+    @F.arrow_udf("struct<fingerprint:long,size:int,keys:array<long>>")
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            prints, keys = [], []
+            prints, sizes, keys = [], [], []
             for w in word_lists(texts):
                 hashes = np.array(hashes_of(w, shingle), dtype=np.uint64)
-                own = np.unique(hashes).view(np.int64)
-                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                often = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), np.int64)
+                own = np.unique(hashes)
+                codes = (own >> np.uint64(2)).view(np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own.view(np.int64)), len(known) - 1)
+                    codes = np.where(known[at] == own.view(np.int64), (1 << 62) + (place[at] << 31), codes)
+                codes = np.unique(codes)
                 prints.append(majority(hashes))
-                keys.append(own[np.lexsort((own, often))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if len(own) else np.zeros(1, np.int64))
+                sizes.append(len(codes))
+                keys.append(codes[: len(codes) - math.ceil(similarity * len(codes) - 1e-9) + 1] if len(codes) else np.zeros(1, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.StructArray.from_arrays([pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), lists], names=["fingerprint", "keys"])
+            yield pa.StructArray.from_arrays([pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["fingerprint", "size", "keys"])
 
     return sketch(text)
 
 
+class _Members:
+    """What both comparisons need of the sets of a block, smaller sets first: numbered elements, and who has the shared ones."""
+
+    def __init__(self, sets: list[np.ndarray], size: np.ndarray, labels: np.ndarray):
+        self.order = np.argsort(size, kind="stable")
+        self.size, self.group = size[self.order], np.unique(labels[self.order], return_inverse=True)[1]
+        length = np.array([len(sets[i]) for i in self.order], dtype=np.int64)
+        self.starts, self.row = np.concatenate([[0], np.cumsum(length)]), np.repeat(np.arange(len(sets)), length)
+        self.number, self.count = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True, return_counts=True)[1:]
+
+    def post(self, which: np.ndarray) -> None:
+        """Postings of the elements that are marked."""
+        by_number = np.argsort(self.number[which], kind="stable")
+        posted, self.which = self.number[which][by_number], which
+        self.owner = self.row[which][by_number]
+        self.first, self.last = np.searchsorted(posted, self.number, side="left"), np.searchsorted(posted, self.number, side="right")
+
+    def shared(self, x: int) -> np.ndarray:
+        """How many posted elements of x each member has."""
+        mine = np.flatnonzero(self.which[self.starts[x] : self.starts[x + 1]]) + self.starts[x]
+        owners = [self.owner[self.first[k] : self.last[k]] for k in mine]
+        return np.bincount(np.concatenate(owners), minlength=len(self.size)) if owners else np.zeros(len(self.size), np.int64)
+
+    def others(self, x: int, similarity: float) -> np.ndarray:
+        """Later members of other groups that aren't too large."""
+        end = int(np.searchsorted(self.size, self.size[x] / similarity + 1e-6, side="right")) if self.size[x] else int((self.size == 0).sum())
+        return x + 1 + np.flatnonzero(self.group[x + 1 : end] != self.group[x])
+
+
+def candidates_among(keys: list[np.ndarray], size: np.ndarray, labels: np.ndarray, similarity: float) -> np.ndarray:
+    """For each member the least position that pairs which may be similar connect it with; its own if none does. keys: beginnings of sorted sets.
+
+    Of two sets, all shared elements up to the smaller of the last keys are shared keys; behind it at most as many as either set has left.
+    Keys may be shortened, as long as their order stays: then more pairs may be similar, never fewer.
+    """
+    b = _Members(keys, size, labels)
+    b.post(b.count[b.number] > 1)
+    length, n = np.diff(b.starts), len(keys)
+    last, wide = b.number[b.starts[1:] - 1], len(b.count)
+    place = b.row * wide + b.number
+    joined = np.arange(n)
+    for x in range(n):
+        others = b.others(x, similarity)
+        if not len(others):
+            continue
+        both = b.shared(x)[others]
+        others, both = others[both > 0], both[both > 0]
+        mine = b.number[b.starts[x] : b.starts[x + 1]]
+        behind_x = np.minimum(b.size[x] - length[x], b.size[others] - (np.searchsorted(place, others * wide + last[x], side="left") - b.starts[others]))
+        behind_y = np.minimum(b.size[x] - np.searchsorted(mine, last[others], side="left"), b.size[others] - length[others])
+        most = both + np.where(last[x] <= last[others], behind_x, behind_y)
+        found = others[most >= similarity / (1 + similarity) * (b.size[x] + b.size[others]) - 1e-6]
+        if len(found):
+            parts = np.unique(np.append(joined[found], joined[x]))
+            joined[np.isin(joined, parts)] = parts[0]
+    out = np.arange(n)
+    least = np.full(n, n)
+    np.minimum.at(least, joined, b.order)
+    out[b.order] = least[joined]
+    return out
+
+
 def links_among(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Pairs of positions that join all groups (members of one label) between which similar sets are; none within a group."""
-    m = len(sets)
-    order = np.argsort([len(x) for x in sets], kind="stable")
-    size = np.array([len(sets[i]) for i in order], dtype=np.int64)
-    flat, row = np.concatenate([sets[i] for i in order]) if m else np.zeros(0, np.int64), np.repeat(np.arange(m), size)
-    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
-    limit = max(1, m // DENSE)
-    dense = count > limit
-    bits = np.zeros((m, -(-int(dense.sum()) // 64)), dtype=np.uint64)
-    place = np.cumsum(dense) - 1
-    here = dense[number]
-    at = place[number[here]]
-    np.bitwise_or.at(bits, (row[here], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-    rare = ~here & (count[number] > 1)
-    by_number = np.argsort(number[rare], kind="stable")
-    posted, owner = number[rare][by_number], row[rare][by_number]
-    first, last = np.searchsorted(posted, number, side="left"), np.searchsorted(posted, number, side="right")
-    starts = np.concatenate([[0], np.cumsum(size)])
-    group = np.unique(labels[order], return_inverse=True)[1]
+    b = _Members(sets, np.array([len(x) for x in sets], dtype=np.int64), labels)
+    dense = b.count > max(1, len(sets) // DENSE)
+    bits = np.zeros((len(sets), -(-int(dense.sum()) // 64)), dtype=np.uint64)
+    here = dense[b.number]
+    at = (np.cumsum(dense) - 1)[b.number[here]]
+    np.bitwise_or.at(bits, (b.row[here], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    b.post(~here & (b.count[b.number] > 1))
     out = []
-    for x in range(m):
-        end = int(np.searchsorted(size, size[x] / similarity + 1e-6, side="right")) if size[x] else int((size == 0).sum())
-        others = x + 1 + np.flatnonzero(group[x + 1 : end] != group[x])
+    for x in range(len(sets)):
+        others = b.others(x, similarity)
         if not len(others):
             continue
-        both = np.bitwise_count(bits[others] & bits[x]).sum(axis=1, dtype=np.int64)
-        mine = np.flatnonzero(rare[starts[x] : starts[x + 1]]) + starts[x]
-        if len(mine):
-            both += np.bincount(np.concatenate([owner[first[k] : last[k]] for k in mine]), minlength=m)[others]
-        union = size[x] + size[others] - both
+        both = np.bitwise_count(bits[others] & bits[x]).sum(axis=1, dtype=np.int64) + b.shared(x)[others]
+        union = b.size[x] + b.size[others] - both
         near = others[np.where(union > 0, both / np.maximum(union, 1), 1.0) >= similarity]
-        joined, one = np.unique(group[near], return_index=True)
-        out += [(int(order[x]), int(order[near[k]])) for k in one]
+        joined, one = np.unique(b.group[near], return_index=True)
+        out += [(int(b.order[x]), int(b.order[near[k]])) for k in one]
         if len(joined):
-            group[np.isin(group, joined)] = group[x]
+            b.group[np.isin(b.group, joined)] = b.group[x]
     return out
 
 
-def _links(dealt: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links u, v between members of different labels in each block. dealt: block (an array), node, label."""
+def _in_blocks(rows: DataFrame, key: list[str], work: Callable[[list[dict]], pa.RecordBatch | None], read: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
+    """What a function makes of the rows of each block, one block at a time."""
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: tuple = ()
-        members: dict[int, tuple[int, np.ndarray]] = {}
-
-        def found() -> pa.RecordBatch | None:
-            nodes, labels = np.array(list(members), dtype=np.int64), np.array([v[0] for v in members.values()], dtype=np.int64)
-            pairs = np.array(links_among([v[1] for v in members.values()], labels, similarity), dtype=np.int64).reshape(-1, 2)
-            ends = nodes[pairs]
-            return pa.record_batch([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], names=["u", "v"]) if len(pairs) else None
-
-        for b in batches:
-            keys = zip(*(b[c].to_pylist() for c in ("cluster", "i", "j", "node", "label")), strict=True)
-            for (cluster, i, j, node, label), words in zip(keys, word_lists(b["body"]), strict=True):
-                if (cluster, i, j) != block:
-                    if len(members) > 1 and (out := found()):
+        members: list[dict] = []
+        for batch in batches:
+            for member, at in zip(read(batch), zip(*(batch[c].to_pylist() for c in key), strict=True), strict=True):
+                if at != block:
+                    if len(members) > 1 and (out := work(members)):
                         yield out
-                    block, members = (cluster, i, j), {}
-                members[node] = (label, _own(words, shingle))
-        if len(members) > 1 and (out := found()):
+                    block, members = at, []
+                members.append(member)
+        if len(members) > 1 and (out := work(members)):
             yield out
 
-    rows = dealt.join(texts, "node").select("cluster", "i", "j", "node", "label", "body")
-    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(link, "u long, v long")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
+def _promising(members: DataFrame, nodes: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """cluster, node: of clusters of at most FILTERED members, the parts whose beginnings of sets allow for links between groups; the others as they are."""
+    with_label = members.join(nodes.select("node", "size", "label"), "node")
+    clusters = small_side(with_label.groupBy("cluster").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cluster", "n"))
+    mixed = with_label.join(clusters, "cluster")
+
+    def read(batch: pa.RecordBatch) -> Iterator[dict]:
+        for cluster, node, label, size, keys in zip(*(batch[c].to_pylist() for c in ("cluster", "node", "label", "size")), batch["keys"], strict=True):
+            yield {"cluster": cluster, "node": node, "label": label, "size": size, "keys": np.asarray(keys.values, dtype=np.int64)}
+
+    def work(rows: list[dict]) -> pa.RecordBatch | None:
+        part = candidates_among([r["keys"] for r in rows], np.array([r["size"] for r in rows], dtype=np.int64), np.array([r["label"] for r in rows]), similarity)
+        kept = [k for k in range(len(rows)) if np.bincount(part, minlength=len(rows))[part[k]] > 1]
+        names = [xxhash.xxh64_intdigest(f"{rows[k]['cluster']} {rows[part[k]]['node']}") - (1 << 63) for k in kept]
+        return pa.record_batch([pa.array(names, pa.int64()), pa.array([rows[k]["node"] for k in kept], pa.int64())], names=["cluster", "node"]) if kept else None
+
+    # members of about no other's size leave first
+    by_size = Window.partitionBy("cluster").orderBy("size")
+    alike = (F.lag("size").over(by_size) >= similarity * F.col("size") - 1e-6) | (F.col("size") >= similarity * F.lead("size").over(by_size) - 1e-6)
+    small = mixed.where(F.col("n") <= FILTERED).withColumn("alike", alike).where("alike").select("cluster", "node", "label")
+    # thin rows go to the sets where they are few enough, so that sets are moved once, as numbers of 32 bits
+    short = F.transform("keys", lambda k: (F.shiftright(k, 31) - F.lit(1 << 31)).cast("int"))
+    small = classes.select("node", "size", short.alias("keys")).join(small_side(small), "node")
+    kept = _in_blocks(small.select("cluster", "node", "label", "size", "keys"), ["cluster"], work, read, "cluster long, node long")
+    return kept.unionByName(mixed.where(F.col("n") > FILTERED).select("cluster", "node"))
+
+
+def _links(dealt: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links u, v between members of different labels in each block. dealt: cluster, i, j, node, label."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[dict]:
+        for node, label, words in zip(batch["node"].to_pylist(), batch["label"].to_pylist(), word_lists(batch["body"]), strict=True):
+            yield {"node": node, "label": label, "set": _own(words, shingle)}
+
+    def work(rows: list[dict]) -> pa.RecordBatch | None:
+        nodes = np.array([r["node"] for r in rows], dtype=np.int64)
+        ends = nodes[np.array(links_among([r["set"] for r in rows], np.array([r["label"] for r in rows]), similarity), dtype=np.int64).reshape(-1, 2)]
+        return pa.record_batch([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], names=["u", "v"]) if len(ends) else None
+
+    rows = texts.join(small_side(dealt), "node").select("cluster", "i", "j", "node", "label", "body")
+    return _in_blocks(rows, ["cluster", "i", "j"], work, read, "u long, v long")
 
 
 def _compare(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, block_bytes: int, seed: int, last: bool) -> DataFrame | None:
@@ -180,28 +274,36 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
     with scratch(docs.sparkSession) as outer:
         sketch = _sketch(F.col("body"), shingle, similarity, _frequent(docs, shingle))
         rows = docs.select("doc", "node", F.octet_length("body").cast("long").alias("bytes"), sketch.alias("s"))
-        classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("bytes").alias("bytes"), F.first("s.fingerprint").alias("fingerprint"), F.first("s.keys").alias("keys")))
+        first = [F.first(f"s.{c}").alias(c) for c in ("fingerprint", "size", "keys")]
+        classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("bytes").alias("bytes"), *first))
+        thin = classes.select("node", "least", "bytes", "size")
+        labelled, links = thin.withColumn("label", F.col("node")), None
+
+        def take(new: DataFrame | None) -> None:
+            """Adds the links of a round."""
+            nonlocal labelled, links
+            if new is not None:
+                links = settle(new if links is None else links.unionByName(new))
+                labelled = thin.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+        def texts_of(members: DataFrame) -> DataFrame:
+            wanted = small_side(thin.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("__least")))
+            found = docs.join(wanted, "node").where(F.col("doc").eqNullSafe(F.col("__least"))).select("node", "body")
+            return settle(found.dropDuplicates(["node"]))
 
-        keys = classes.select("node", F.explode("keys").alias("value"))
-        ends = keys.groupBy("value").agg(F.min("node").alias("cluster"), F.max("node").alias("last")).where("cluster <> last").drop("last")
-        around = settle(keys.join(small_side(ends), "value").select("cluster", "node").distinct())
         found = print_components(classes.select("fingerprint").distinct(), tau)
         alike = classes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(F.coalesce("label", "fingerprint").alias("cluster"), "node")
-        shared = alike.groupBy("cluster").count().where("count > 1").select("cluster")
-        alike = settle(alike.join(shared, "cluster").select("cluster", "node"))
-        nearest = around.groupBy("node").agg(F.min("cluster").alias("cluster"))
+        alike = settle(alike.join(alike.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster"))
+        take(_compare(alike, labelled, texts_of(alike), shingle, similarity, block_bytes, 0, False))
 
-        wanted = small_side(classes.join(around.select("node").unionByName(alike.select("node")).distinct(), "node", "left_semi").select("node", F.col("least").alias("__least")))
-        texts = docs.join(wanted, "node").where(F.col("doc").eqNullSafe(F.col("__least"))).select("node", "body")
-        texts = settle(texts.dropDuplicates(["node"]))
-        thin = classes.select("node", "least", "bytes")
-        labelled, links = thin.withColumn("label", F.col("node")), None
-        for seed, (members, last) in enumerate([(alike, False), (nearest, False), (around, False), (around, True)]):
-            new = _compare(members, labelled, texts, shingle, similarity, block_bytes, seed, last)
-            if new is None:
-                continue
-            links = settle(new if links is None else links.unionByName(new))
-            labelled = thin.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        keys = classes.select("node", F.explode("keys").alias("value"))
+        ends = keys.groupBy("value").agg(F.min("node").alias("cluster"), F.max("node").alias("last")).where("cluster <> last").drop("last")
+        around = settle(keys.join(small_side(ends, 2_000_000), "value").select("cluster", "node").distinct())
+        around = settle(_promising(around, labelled, classes, similarity))
+        texts = texts_of(around)
+        nearest = around.groupBy("node").agg(F.min("cluster").alias("cluster"))
+        for seed, (members, last) in enumerate([(nearest, False), (around, False), (around, True)], 1):
+            take(_compare(members, labelled, texts, shingle, similarity, block_bytes, seed, last))
         return settle(labelled.select("node", "least", "label"), outer)
 
 

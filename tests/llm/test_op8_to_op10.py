@@ -1,4 +1,5 @@
 import collections
+import math
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import op9_decontaminate as leaks
 from quire.llm.graph import components
-from quire.llm.near_duplicates import drop_near_duplicates, links_among
+from quire.llm.near_duplicates import candidates_among, drop_near_duplicates, links_among
 from quire.llm.op8_simhash import Part, group_bits, hashes_of, majority, plan_partitions, simhash_groups, simhash_links
 from quire.llm.op10_quality import fit_quality, held_out, score_quality
 
@@ -146,6 +147,25 @@ def test_links_among():
         assert union(same + found, range(len(sets))) == union(same + near, range(len(sets)))
 
 
+def test_candidates_lose_no_similar_pair():
+    rng = np.random.default_rng(23)
+    for _ in range(30):
+        m, core = int(rng.integers(2, 60)), np.sort(rng.choice(1 << 40, 90, replace=False))
+        sets = []
+        for _ in range(m):
+            part = np.sort(rng.choice(core, int(rng.integers(40, 90)), replace=False))[int(rng.integers(0, 9)) :]
+            sets.append(np.unique(np.concatenate([part, rng.integers(0, 1 << 40, int(rng.integers(0, 12)))])))
+        keys = [x[: len(x) - math.ceil(0.8 * len(x) - 1e-9) + 1] for x in sets]
+        labels = rng.integers(0, m, m)
+        part = candidates_among(keys, np.array([len(x) for x in sets]), labels, 0.8)
+        for i in range(m):
+            for j in range(i):
+                if labels[i] != labels[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
+                    assert part[i] == part[j]
+    apart = [np.arange(k * 100, k * 100 + 21) for k in range(5)]
+    assert (candidates_among(apart, np.full(5, 100), np.arange(5), 0.8) == np.arange(5)).all()
+
+
 def plain_leaks(text, items):
     words = lambda t: "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in (t or "").translate(LOWER)).split()
     w, out = words(text), set()
