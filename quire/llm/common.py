@@ -67,7 +67,7 @@ def own_prefix(df: DataFrame) -> str:
     return prefix
 
 
-def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
+def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A thin table, written and counted: broadcast if it has at most so many rows, else left for a shuffled join."""
     df = settle(df)
     return F.broadcast(df) if df.count() <= rows else df

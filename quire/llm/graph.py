@@ -52,7 +52,9 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, small: int = 1 << 18) -> DataFrame:
     """edges: u, v long. Gives node, label: the smallest node of its component, for all nodes but those smallest ones."""
     with scratch(edges.sparkSession) as outer:
-        found, before = settle(edges.where("u <> v").select("u", "v").distinct()), None
+        found, before = settle(edges.where("u <> v").select("u", "v")), None
+        if found.count() > small:
+            found = settle(found.distinct())
         while True:
             now = found.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if now[0] <= small:

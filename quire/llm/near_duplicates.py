@@ -10,7 +10,8 @@ class and never paired. Classes are gathered into clusters, whose members are co
    pivot, however many shingles it shares. The order comes from a sample of texts; another sample changes the work but no result.
    Before texts are moved, prefixes are compared: they bound what two sets can share, and clusters fall into the parts that may have links.
 
-Clusters are compared in rounds: those of fingerprints; each class in one of its clusters of prefixes; all clusters of prefixes. A round
+Clusters are compared in rounds: each class in one of its clusters, that of its fingerprint if it has company there; then in all
+its clusters of prefixes. A round
 leaves out clusters whose members are of one group already, deals the members of the others into blocks of ``block_bytes``
 of text, and finds the links between groups inside each block from the whole shingle sets: a task gives at most one link less than its
 block has members, never pairs. So all texts of a cluster meet in its block or, if it has several blocks, most of its groups
@@ -42,7 +43,7 @@ from quire.llm.op8_simhash import hashes_of, majority, print_components, word_li
 SAMPLE = 2000  # texts by which shingles are ordered
 ORDERED = 100_000  # shingles that are known to be frequent, at most
 BLOCK_BYTES = 16 << 20  # of text that one task compares
-FILTERED = 4096  # members of a cluster up to which the beginnings of sets are compared before texts are moved; beyond it texts are compared at once
+FILTERED = 1024  # members of a cluster up to which the beginnings of sets are compared before texts are moved; beyond it texts are compared at once
 DENSE = 32  # a shingle that more than one in so many members have is a bit, rarer ones are postings
 
 
@@ -201,18 +202,17 @@ def _in_blocks(rows: DataFrame, key: list[str], work: Callable[[list[dict]], pa.
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
-def _promising(members: DataFrame, nodes: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """cluster, node: of clusters of at most FILTERED members, the parts whose beginnings of sets allow for links between groups; the others as they are."""
-    with_label = members.join(nodes.select("node", "size", "label"), "node")
-    clusters = small_side(with_label.groupBy("cluster").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cluster", "n"))
-    mixed = with_label.join(clusters, "cluster")
+def _promising(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """cluster, node: of clusters of at most FILTERED members, the parts whose beginnings of sets allow for links; the others as they are. members: cluster, node, size."""
+    counts = small_side(members.groupBy("cluster").agg(F.count("*").alias("n")))
+    counted = members.join(counts, "cluster")
 
     def read(batch: pa.RecordBatch) -> Iterator[dict]:
-        for cluster, node, label, size, keys in zip(*(batch[c].to_pylist() for c in ("cluster", "node", "label", "size")), batch["keys"], strict=True):
-            yield {"cluster": cluster, "node": node, "label": label, "size": size, "keys": np.asarray(keys.values, dtype=np.int64)}
+        for cluster, node, size, keys in zip(*(batch[c].to_pylist() for c in ("cluster", "node", "size")), batch["keys"], strict=True):
+            yield {"cluster": cluster, "node": node, "size": size, "keys": np.asarray(keys.values, dtype=np.int64)}
 
     def work(rows: list[dict]) -> pa.RecordBatch | None:
-        part = candidates_among([r["keys"] for r in rows], np.array([r["size"] for r in rows], dtype=np.int64), np.array([r["label"] for r in rows]), similarity)
+        part = candidates_among([r["keys"] for r in rows], np.array([r["size"] for r in rows], dtype=np.int64), np.arange(len(rows)), similarity)
         kept = [k for k in range(len(rows)) if np.bincount(part, minlength=len(rows))[part[k]] > 1]
         names = [xxhash.xxh64_intdigest(f"{rows[k]['cluster']} {rows[part[k]]['node']}") - (1 << 63) for k in kept]
         return pa.record_batch([pa.array(names, pa.int64()), pa.array([rows[k]["node"] for k in kept], pa.int64())], names=["cluster", "node"]) if kept else None
@@ -220,12 +220,12 @@ def _promising(members: DataFrame, nodes: DataFrame, classes: DataFrame, similar
     # members of about no other's size leave first
     by_size = Window.partitionBy("cluster").orderBy("size")
     alike = (F.lag("size").over(by_size) >= similarity * F.col("size") - 1e-6) | (F.col("size") >= similarity * F.lead("size").over(by_size) - 1e-6)
-    small = mixed.where(F.col("n") <= FILTERED).withColumn("alike", alike).where("alike").select("cluster", "node", "label")
+    small = counted.where(F.col("n") <= FILTERED).withColumn("alike", alike).where("alike").select("cluster", "node")
     # thin rows go to the sets where they are few enough, so that sets are moved once, as numbers of 32 bits
     short = F.transform("keys", lambda k: (F.shiftright(k, 31) - F.lit(1 << 31)).cast("int"))
     small = classes.select("node", "size", short.alias("keys")).join(small_side(small), "node")
-    kept = _in_blocks(small.select("cluster", "node", "label", "size", "keys"), ["cluster"], work, read, "cluster long, node long")
-    return kept.unionByName(mixed.where(F.col("n") > FILTERED).select("cluster", "node"))
+    kept = _in_blocks(small.select("cluster", "node", "size", "keys"), ["cluster"], work, read, "cluster long, node long")
+    return kept.unionByName(counted.where(F.col("n") > FILTERED).select("cluster", "node"))
 
 
 def _links(dealt: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -244,17 +244,20 @@ def _links(dealt: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return _in_blocks(rows, ["cluster", "i", "j"], work, read, "u long, v long")
 
 
-def _compare(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, block_bytes: int, seed: int, last: bool) -> DataFrame | None:
-    """The links of a round, or None if no cluster needs it. members: cluster, node. nodes: node, bytes, label."""
+def _compare(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, block_bytes: int, seed: int, last: bool) -> tuple[DataFrame | None, bool]:
+    """The links of a round, or None if no cluster needs it, and whether a cluster had several blocks. members: cluster, node. nodes: node, bytes, label."""
     with_label = members.join(nodes, "node")
-    # the members of a label are summed first, so that a large cluster is a few rows
-    groups = with_label.groupBy("cluster", "label").agg(F.sum("bytes").alias("bytes"))
-    clusters = groups.groupBy("cluster").agg(F.max(F.struct("bytes", "label")).alias("top"), F.sum("bytes").alias("total"), F.count("*").alias("n")).where("n > 1")
     parts = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(block_bytes))).cast("int")
-    clusters = clusters.select("cluster", F.col("top.label").alias("most"), parts(F.col("total")).alias("parts"), parts(F.col("top.bytes")).alias("inner"), parts(F.col("total") - F.col("top.bytes")).alias("outer"))
-    clusters = small_side(clusters.where("parts > 1") if last else clusters)
-    if not clusters.take(1):
-        return None
+    if not last:
+        clusters = with_label.groupBy("cluster").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.sum("bytes").alias("total")).where("a <> b").select("cluster", parts(F.col("total")).alias("parts"))
+    else:  # the members of a label are summed first, so that a large cluster is a few rows
+        groups = with_label.groupBy("cluster", "label").agg(F.sum("bytes").alias("bytes"))
+        clusters = groups.groupBy("cluster").agg(F.max(F.struct("bytes", "label")).alias("top"), F.sum("bytes").alias("total"), F.count("*").alias("n")).where("n > 1")
+        clusters = clusters.select("cluster", F.col("top.label").alias("most"), parts(F.col("total")).alias("parts"), parts(F.col("top.bytes")).alias("inner"), parts(F.col("total") - F.col("top.bytes")).alias("outer")).where("parts > 1")
+    clusters = small_side(clusters)
+    most = clusters.agg(F.max("parts")).first()[0]
+    if most is None:
+        return None, False
     dealt = with_label.join(clusters, "cluster")
     part = lambda n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     if not last:
@@ -266,7 +269,7 @@ def _compare(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: in
         inside = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: row_of(o, k))
         outside = F.concat(F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda c: row_of(k, c)), F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda o: row_of(F.least(k, o), F.col("inner") + F.greatest(k, o))))
         dealt = dealt.withColumn("at", F.explode(F.when(F.col("inside"), inside).otherwise(outside))).select("cluster", "at.i", "at.j", "node", "label")
-    return _links(dealt.select("cluster", "i", "j", "node", "label"), texts, shingle, similarity)
+    return _links(dealt.select("cluster", "i", "j", "node", "label"), texts, shingle, similarity), most > 1
 
 
 def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -276,34 +279,29 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
         rows = docs.select("doc", "node", F.octet_length("body").cast("long").alias("bytes"), sketch.alias("s"))
         first = [F.first(f"s.{c}").alias(c) for c in ("fingerprint", "size", "keys")]
         classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("bytes").alias("bytes"), *first))
-        thin = classes.select("node", "least", "bytes", "size")
-        labelled, links = thin.withColumn("label", F.col("node")), None
+        keys = classes.select("node", "size", F.explode("keys").alias("value"))
+        ends = keys.groupBy("value").agg(F.min("node").alias("cluster"), F.max("node").alias("last")).where("cluster <> last").drop("last")
+        around = settle(keys.join(small_side(ends), "value").select("cluster", "node", "size").distinct())
+        around = settle(_promising(around, classes, similarity))
+        # first, each class is compared in one cluster: that of its fingerprint if there is one, else one of prefixes
+        found = print_components(classes.select("fingerprint").distinct(), tau)
+        alike = classes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(F.coalesce("label", "fingerprint").alias("cluster"), "node")
+        alike = alike.join(alike.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster")
+        near = alike.select("cluster", "node", F.lit(0).alias("rank")).unionByName(around.select("cluster", "node", F.lit(1).alias("rank")))
+        one = settle(near.groupBy("node").agg(F.min(F.struct("rank", "cluster"))["cluster"].alias("cluster")))
+        thin = classes.select("node", "least", "bytes")
+        wanted = small_side(thin.join(one, "node", "left_semi").select("node", F.col("least").alias("__least")))
+        texts = docs.join(wanted, "node").where(F.col("doc").eqNullSafe(F.col("__least"))).select("node", "body")
+        texts = settle(texts.dropDuplicates(["node"]))
 
-        def take(new: DataFrame | None) -> None:
-            """Adds the links of a round."""
-            nonlocal labelled, links
+        labelled, links = thin.withColumn("label", F.col("node")), None
+        for seed, (members, last) in enumerate([(one, False), (around, False), (around, True)]):
+            new, split = _compare(members, labelled, texts, shingle, similarity, block_bytes, seed, last)
             if new is not None:
                 links = settle(new if links is None else links.unionByName(new))
                 labelled = thin.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-        def texts_of(members: DataFrame) -> DataFrame:
-            wanted = small_side(thin.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("__least")))
-            found = docs.join(wanted, "node").where(F.col("doc").eqNullSafe(F.col("__least"))).select("node", "body")
-            return settle(found.dropDuplicates(["node"]))
-
-        found = print_components(classes.select("fingerprint").distinct(), tau)
-        alike = classes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(F.coalesce("label", "fingerprint").alias("cluster"), "node")
-        alike = settle(alike.join(alike.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster"))
-        take(_compare(alike, labelled, texts_of(alike), shingle, similarity, block_bytes, 0, False))
-
-        keys = classes.select("node", F.explode("keys").alias("value"))
-        ends = keys.groupBy("value").agg(F.min("node").alias("cluster"), F.max("node").alias("last")).where("cluster <> last").drop("last")
-        around = settle(keys.join(small_side(ends, 2_000_000), "value").select("cluster", "node").distinct())
-        around = settle(_promising(around, labelled, classes, similarity))
-        texts = texts_of(around)
-        nearest = around.groupBy("node").agg(F.min("cluster").alias("cluster"))
-        for seed, (members, last) in enumerate([(nearest, False), (around, False), (around, True)], 1):
-            take(_compare(members, labelled, texts, shingle, similarity, block_bytes, seed, last))
+            if seed == 1 and not split:
+                break  # all members of each cluster have met
         return settle(labelled.select("node", "least", "label"), outer)
 
 
