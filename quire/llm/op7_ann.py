@@ -1,22 +1,28 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Index: a bounded sample of unit vectors is split by balanced k-means until every cluster has at most ``list_rows`` of its
-share; each vector then goes to its nearest centroid and, near a boundary, also to other clusters almost as near
-(``replicas`` at most). Lists that still come out long, such as those of many equal vectors, are cut into salted sublists,
-all of which are searched. Search: centroids are found with a best-first walk over an in-memory neighbour graph of the
-centroids; of those found, the lists within a ratio of the nearest one's distance are read; their vectors are compared
-exactly, and the best of all lists are merged.
+Index: coarse centroids by balanced k-means on a bounded sample of unit vectors; each of their cells is split again, from a
+bounded sample of its members, into lists of about ``list_rows`` vectors, so that the number of lists grows with the table (up
+to ``lists``; beyond it lists grow). A vector goes to its nearest cell and list and, near a boundary, also to others almost as
+near (``replicas`` at most). Lists that still come out long are cut into sublists, all of which are searched. Search: coarse centroids are
+found with a best-first walk over their in-memory neighbour graph; of the cells, and then of all their lists, those
+within a ratio of the nearest one's distance are read, whatever their number (a query that finds fewer than k reads all); their vectors are compared exactly, and the best of all lists are merged.
+With ``exact`` every query reads every list, and the result is that of a full search.
+
+Equal vectors: only the k + 1 smallest ids of a vector can be among the k nearest of any query, so only those are searched; a
+very common vector is therefore no long list. Queries of one list are cut into blocks.
 
 Nearness is the cosine in double precision of the original vectors, ties go to the smaller id. Vectors that are null,
-zero, of another length than most, or hold null or non-finite components take no part. Repeated ids with different
-vectors are candidates each. Queries without candidates have no rows; an empty table gives none.
+zero, of another length than most, or hold null or non-finite components take no part, nor do null ids. Repeated ids: all rows
+of an id are candidates (the nearest counts, and an id is in a result once); of a query's rows the smallest vector asks, and
+none of its id's rows is its candidate. Queries without candidates have no rows; an empty table gives none. The columns of the result are this
+operator's, whatever others the table has.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,15 +36,21 @@ from quire.llm.common import settle, table
 
 @dataclass(frozen=True)
 class AnnOptions:
-    sample: int = 20_000  # rows that the centroids are fitted on, at most
-    lists_per_sample: float = 1 / 100  # clusters for each sampled row
+    sample: int = 20_000  # rows that the coarse centroids are fitted on, at most
+    cells: int = 64  # coarse centroids
+    cell_sample: int = 8192  # rows of a cell that its lists are fitted on, about
+    list_rows: int = 256
+    lists: int = 1 << 18  # in all, since all tasks hold their centroids
     replicas: int = 4
     boundary: float = 1.1  # distance to a cluster, over that to the nearest, up to which a vector is replicated
+    cell_ratio: float = 1.5  # the same for the cells that a query looks into
     probe_ratio: float = 1.35  # the same for the lists that a query reads
-    probes: int = 64  # lists that a query reads, at most
+    least: int = 3  # cells, and lists, that a query reads at least
     degree: int = 16  # neighbours of a centroid in the graph
-    beam: int = 96
-    sublist: int = 1024  # rows of a list that one task searches at once
+    beam: int = 64  # cells that a walk finds
+    sublist: int = 2048  # rows of a list that one task searches at once
+    asked: int = 1024  # queries that it answers at once
+    exact: bool = False
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -112,68 +124,149 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return np.asarray(lists.flatten(), dtype=np.float64).reshape(len(lists), -1)
 
 
+class Index:
+    """Coarse centroids with their graph, and the centroids of the lists by cell."""
+
+    def __init__(self, centres: np.ndarray, graph: np.ndarray, lists: np.ndarray, starts: np.ndarray):
+        self.centres, self.graph, self.lists, self.starts = centres, graph, lists, starts
+
+    def of_cells(self, cells: np.ndarray) -> np.ndarray:
+        """The lists of some cells."""
+        return np.concatenate([np.arange(self.starts[c], self.starts[c + 1]) for c in cells])
+
+    def homes(self, u: np.ndarray, o: AnnOptions) -> tuple[np.ndarray, np.ndarray]:
+        """Row and list of each place of the vectors: the nearest, and others almost as near."""
+        rows, found = [], []
+        for cell, members in _grouped(np.argmax(u @ self.centres.T, axis=1)):
+            # the lists of a vector lie in its cell and in the cells next to it
+            near = self.of_cells(np.unique(np.append(self.graph[cell], cell)))
+            far = _distances(u[members], self.lists[near])
+            best = np.argpartition(far, min(o.replicas, far.shape[1]) - 1, axis=1)[:, : o.replicas]
+            d = np.take_along_axis(far, best, axis=1)
+            row, col = np.nonzero(d <= np.maximum(d.min(axis=1, keepdims=True) * o.boundary, 1e-6))
+            rows.append(members[row])
+            found.append(near[best[row, col]])
+        return np.concatenate(rows), np.concatenate(found)
+
+    def probes(self, q: np.ndarray, o: AnnOptions) -> np.ndarray:
+        """The lists that a query reads."""
+        start = np.unique(np.linspace(0, len(self.centres) - 1, 8).astype(np.int64))
+        cells, far = graph_search(q, self.centres, self.graph, start, min(o.beam, len(self.centres)))
+        near = self.of_cells(cells[far <= max(far[: o.least][-1], far[0] * o.cell_ratio)])
+        d = _distances(q[None, :], self.lists[near])[0]
+        return near[d <= max(np.sort(d)[: o.least][-1], d.min() * o.probe_ratio)]
+
+
+def _distances(u: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (u @ centres.T), 0))
+
+
+def _grouped(label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(label, kind="stable")
+    edges = np.flatnonzero(np.diff(label[order], prepend=-1))
+    for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        yield int(label[order[a]]), order[a:b]
+
+
+def build_index(rows: DataFrame, o: AnnOptions) -> Index | None:
+    """rows: id, v."""
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(o.sample).select("v").toArrow()["v"].combine_chunks()
+    if not len(picked):
+        return None
+    centres = balanced_centroids(np.unique(_unit(_matrix(picked)), axis=0), max(1, min(o.cells, len(picked) // o.list_rows)))
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([pa.array(np.argmax(_unit(_matrix(b["v"])) @ shared.value.T, axis=1).astype(np.int32)), b["id"], b["v"]], names=["cell", "id", "v"])
+
+    placed = rows.mapInArrow(cells, "cell int, id long, v array<double>")
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row per cell
+    total = sum(sizes.values())
+    per = max(o.list_rows, total / o.lists)
+    counts = {c: max(1, round(n / per)) for c, n in sizes.items()}
+    table = rows.sparkSession.createDataFrame([(c, sizes[c], counts[c]) for c in sorted(sizes)], "cell int, n long, count int")
+    sampled = placed.join(F.broadcast(table), "cell").where(F.pmod(F.xxhash64("id"), F.col("n")) < o.cell_sample)
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.unique(_unit(np.stack(pdf["v"].to_numpy())), axis=0)
+        found = balanced_centroids(x, int(pdf["count"].iloc[0])).astype(np.float32)
+        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "centres": [found.tobytes()]})
+
+    made = dict(sampled.select("cell", "count", "v").groupBy("cell").applyInPandas(split, "cell int, centres binary").collect())
+    width = centres.shape[1]
+    # a cell without a sampled member is a list of its own
+    lists = [np.frombuffer(made[c], np.float32).reshape(-1, width) if c in made else centres[c : c + 1].astype(np.float32) for c in range(len(centres))]
+    return Index(centres.astype(np.float32), neighbour_graph(centres, o.degree), np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])]))
+
+
 def nearest_neighbours(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, options: AnnOptions = AnnOptions()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest that were found for each row whose id is divisible by ``every``."""
     spark, o = df.sparkSession, options
     rows = valid_vectors(df, vec_id, vector)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(o.sample).toPandas()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not len(picked):
-        return spark.createDataFrame([], schema)
-    x = _unit(np.stack(picked["v"].to_numpy()))
-    centres = balanced_centroids(np.unique(x, axis=0), max(1, int(len(x) * o.lists_per_sample)))
-    shared = spark.sparkContext.broadcast((centres, neighbour_graph(centres, o.degree)))  # bounded by the sample
+    same = Window.partitionBy("v").orderBy("id")
+    rows = settle(rows.distinct().withColumn("place", F.row_number().over(same)).where((F.col("place") <= k + 1) | (F.col("id") % every == 0)))
+    members = rows.where(F.col("place") <= k + 1).select("id", "v")
+    index = build_index(members, o)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = spark.sparkContext.broadcast(index)  # bounded by the sample and the number of lists
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value[0]
         for b in batches:
-            if not b.num_rows:
-                continue
-            u = _unit(_matrix(b["v"]))
-            far = np.sqrt(np.maximum(2 - 2 * (u @ centres.T), 0))
-            near = np.argpartition(far, min(o.replicas, far.shape[1]) - 1, axis=1)[:, : o.replicas]
-            d = np.take_along_axis(far, near, axis=1)
-            use = d <= np.maximum(d.min(axis=1, keepdims=True) * o.boundary, 1e-9)
-            row, col = np.nonzero(use)
-            at = pa.array(row)
-            yield pa.record_batch([pa.array(near[row, col].astype(np.int32)), b["id"].take(at), b["v"].take(at)], names=["list", "id", "v"])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, graph = shared.value
-        start = np.unique(np.linspace(0, len(centres) - 1, 8).astype(np.int64))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            out = [graph_search(q, centres, graph, start, min(o.beam, len(centres))) for q in _unit(_matrix(b["v"]))]
-            take = [found[d <= max(d[0] * o.probe_ratio, 1e-9)][: o.probes] for found, d in out]
-            at = pa.array(np.repeat(np.arange(b.num_rows), [len(t) for t in take]))
-            yield pa.record_batch([pa.array(np.concatenate(take).astype(np.int32)), b["id"].take(at), b["v"].take(at)], names=["list", "query_id", "q"])
-
-    lists = settle(rows.mapInArrow(assign, "list int, id long, v array<double>"))
-    lengths = lists.groupBy("list").agg(F.ceil(F.count("*") / o.sublist).cast("int").alias("subs"))  # a row per centroid
-    dealt = lists.join(F.broadcast(lengths), "list").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
-    asked = rows.where(F.col("id") % every == 0).mapInArrow(probe, "list int, query_id long, q array<double>").join(F.broadcast(lengths), "list").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+            if b.num_rows:
+                row, found = shared.value.homes(_unit(_matrix(b["v"])).astype(np.float32), replace(o, replicas=1) if o.exact else o)
+                at = pa.array(row)
+                yield pa.record_batch([pa.array(found.astype(np.int32)), b["id"].take(at), b["v"].take(at)], names=["list", "id", "v"])
+
+    lists = settle(members.mapInArrow(assign, "list int, id long, v array<double>"))
+    cuts = lambda table, most, name: table.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    subs = settle(cuts(lists, o.sublist, "subs"))  # a row per list
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["list", "sub", "turn"]
+
+    def answers(askers: DataFrame, exact: bool) -> DataFrame:
+        """query_id, vec_id, score: of the lists that the queries (id, v) read, or of all."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    index = shared.value
+                    take = [np.arange(len(index.lists)) if exact else index.probes(q, o) for q in _unit(_matrix(b["v"])).astype(np.float32)]
+                    at = pa.array(np.repeat(np.arange(b.num_rows), [len(t) for t in take]))
+                    yield pa.record_batch([pa.array(np.concatenate(take).astype(np.int32)), b["id"].take(at), b["v"].take(at)], names=["list", "query_id", "q"])
+
+        wanted = settle(askers.mapInArrow(probe, "list int, query_id long, q array<double>"))
+        lengths = settle(subs.join(cuts(wanted, o.asked, "turns"), "list"))
+        dealt = lists.join(F.broadcast(lengths), "list").withColumn("sub", block("id", "subs")).withColumn("turn", every_block("turns"))
+        asked = wanted.join(F.broadcast(lengths), "list").withColumn("turn", block("query_id", "turns")).withColumn("sub", every_block("subs"))
+        found = asked.select(*keys, "query_id", "q").groupBy(*keys).cogroup(dealt.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+        return settle(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
 
     def search(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(members):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         m, ids = np.stack(members["v"].to_numpy()), members["id"].to_numpy()
-        norms, out = np.linalg.norm(m, axis=1), []
-        for query, q in zip(queries["query_id"], queries["q"], strict=True):
-            rough = np.where(ids == query, -np.inf, (m @ q) / (norms * np.linalg.norm(q)))
-            if len(rough) > k:  # near ties stay in, so that rounding decides none
-                keep = np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9)
-            else:
-                keep = np.arange(len(rough))
-            keep = keep[ids[keep] != query]
-            score = (m[keep] * q).sum(axis=1) / (np.sqrt((m[keep] * m[keep]).sum(axis=1)) * np.sqrt((q * q).sum()))
-            best = np.lexsort((ids[keep], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[keep][best], "score": score[best]}))
-        return pd.concat(out)
-
-    found = asked.select("list", "sub", "query_id", "q").groupBy("list", "sub").cogroup(dealt.select("list", "sub", "id", "v").groupBy("list", "sub")).applyInPandas(search, "query_id long, vec_id long, score double")
+        q, own = np.stack(queries["q"].to_numpy()), queries["query_id"].to_numpy()
+        rough = np.where(ids[None, :] == own[:, None], -np.inf, _unit(q) @ _unit(m).T)
+        # near ties stay in, so that rounding decides none; rows of one id may be several
+        most = min(len(ids), k * int(np.unique(ids, return_counts=True)[1].max())) - 1
+        least = np.partition(rough, len(ids) - 1 - most, axis=1)[:, len(ids) - 1 - most]
+        row, col = np.nonzero((rough >= least[:, None] - 1e-9) & np.isfinite(rough))
+        score = (m[col] * q[row]).sum(axis=1) / (np.sqrt((m[col] * m[col]).sum(axis=1)) * np.sqrt((q[row] * q[row]).sum(axis=1)))
+        return pd.DataFrame({"query_id": own[row], "vec_id": ids[col], "score": score})
+
+    askers = settle(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")))
+    best = answers(askers, o.exact)
+    if not o.exact:  # a query whose lists hold too few candidates reads all lists
+        enough = best.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+        short = askers.join(enough, "id", "left_anti")
+        if short.take(1):
+            best = best.join(enough.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(answers(short, True))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # of a query: k rows for each list that it read
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.op5_secrets import BASE_RULES, RULES, find_secrets, trigram_query
 from quire.llm.op6_url_filter import UrlRule, filter_urls
-from quire.llm.op7_ann import AnnOptions, nearest_neighbours
+from quire.llm.op7_ann import AnnOptions, build_index, nearest_neighbours
 
 
 def plain_secrets(text):
@@ -72,7 +72,7 @@ def test_neighbours_recall_and_ties(spark, sublist):
     rng = np.random.default_rng(5)
     rows = [(i, v) for i, v in enumerate(rng.normal(size=(600, 16)) + 3 * rng.normal(size=(6, 16))[np.arange(600) % 6])] + [(1000 + i, np.ones(16)) for i in range(60)]
     df = spark.createDataFrame([(i, [float(np.float32(x)) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
-    found = nearest_neighbours(df, every=20, options=AnnOptions(sublist=sublist, lists_per_sample=1 / 20)).collect()
+    found = nearest_neighbours(df, every=20, options=AnnOptions(sublist=sublist, cells=6, list_rows=20)).collect()
     want = plain_neighbours([(i, v.astype(np.float32).astype(float)) for i, v in rows], 20, 5)
     got = {(r["query_id"], r["rank"], r["vec_id"]) for r in found}
     assert len({(q, i) for q, _, i in got} & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
@@ -86,3 +86,43 @@ def test_awkward_vectors(spark):
     assert found == {(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)}
     assert nearest_neighbours(spark.createDataFrame([], schema)).count() == 0
     assert nearest_neighbours(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
+
+
+def test_exact_search_of_repeated_ids_and_a_common_vector(spark):
+    """Every query reads every list: the result of a full search, with a vector that a third of the rows share and ids of several rows."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), rng.normal(size=8).astype(np.float32).astype(float)) for i in rng.integers(0, 300, 400)] + [(1000 + i, np.ones(8)) for i in range(200)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["rank"], r["vec_id"]) for r in nearest_neighbours(df, every=20, options=AnnOptions(exact=True, sublist=50, asked=3, list_rows=40, cells=4)).collect()}
+    asks = {}
+    for i, v in rows:
+        if i % 20 == 0:
+            asks[i] = min(asks.get(i, list(v)), list(v))
+    want = set()
+    for q, x in asks.items():
+        x, best = np.array(x), {}
+        for i, y in rows:
+            if i != q:
+                best[i] = max(best.get(i, -2), round(float((y * x).sum() / (np.sqrt((y * y).sum()) * np.sqrt((x * x).sum()))), 12))
+        want |= {(q, rank + 1, i) for rank, (_, i) in enumerate(sorted((-s, i) for i, s in best.items())[:5])}
+    assert found == want
+
+
+def test_recall_at_default_options(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32)) + 1.5 * rng.normal(size=(40, 32))[np.arange(6000) % 40]
+    df = spark.createDataFrame([(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["vec_id"]) for r in nearest_neighbours(df).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u[::50] @ u.T
+    near[np.arange(len(near)), np.arange(0, 6000, 50)] = -2
+    want = {(50 * i, int(j)) for i, r in enumerate(np.argsort(-near, axis=1)[:, :5]) for j in r}
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_lists_grow_with_the_table(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(4000, 8)))], "id long, v array<double>").cache()
+    lists = [len(build_index(rows.where(f"id < {n}"), AnnOptions(cells=8, list_rows=50)).lists) for n in (1000, 4000)]
+    assert lists[1] > 2.5 * lists[0]
