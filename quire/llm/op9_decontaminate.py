@@ -15,7 +15,7 @@
    words of a passage in order, or any ``WINDOW`` consecutive words of the item. Passages are retrieved by words as items are.
 
 The projection, search and checks run where the text is, so documents are not shuffled and no candidate is cut off. The
-benchmark is worked through in blocks of ``ITEMS`` items, so what tasks hold is bounded whatever the benchmark's size.
+benchmark is worked through in blocks of about ``ITEMS`` items or ``ITEM_BYTES`` bytes, so what tasks hold is bounded whatever the benchmark's size.
 
 Words are runs of ASCII letters, digits and non-ASCII characters; A-Z are lower-cased. Nulls: null or empty texts and
 items leak nothing. Repeated rows are judged alike, repeated items are reported each. An empty table on either side gives no leaks. A
@@ -28,6 +28,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,8 @@ from quire.llm.common import WORD_BYTES, blocks, segment_sum, settle, small_batc
 
 WINDOW, STEP = 24, 8
 RANK, OVERSAMPLE, POWER = 256, 16, 2
-ITEMS = 20_000
+ITEMS, ITEM_BYTES = 20_000, 16 << 20  # of a block of the benchmark
+SUM_ROWS = 1024
 PASSAGES = 10_000  # of a task of the decomposition
 BLOCK_BYTES = 512 << 10
 HITS = 1 << 20  # word occurrences that are counted at once
@@ -113,12 +115,21 @@ def randomised_svd(passages: DataFrame, words: int, rank: int = RANK, oversample
                     total += y.T @ y
                 else:
                     np.add.at(total, ids, np.repeat(y, np.diff(starts), axis=0) * values[:, None])
-            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sum"])
+            for at in range(0, len(total), SUM_ROWS):
+                if total[at : at + SUM_ROWS].any():
+                    yield pa.record_batch([pa.array([at]), pa.array([total[at : at + SUM_ROWS].tobytes()], pa.binary())], names=["at", "sum"])
 
-        rows = passages.mapInArrow(part, "sum binary").collect()
+        def added(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"at": [pdf["at"].iloc[0]], "sum": [sum(np.frombuffer(b) for b in pdf["sum"]).tobytes()]})
+
+        # blocks of rows of the sums are added up in the cluster; one matrix comes here
+        rows = passages.mapInArrow(part, "at long, sum binary").groupBy("at").applyInPandas(added, "at long, sum binary").collect()
         shared.destroy()
-        shape = (q.shape[1], q.shape[1]) if gram else q.shape
-        return sum((np.frombuffer(r[0]).reshape(shape) for r in rows), np.zeros(shape))
+        out = np.zeros((q.shape[1], q.shape[1]) if gram else q.shape)
+        for at, block in rows:
+            block = np.frombuffer(block).reshape(-1, q.shape[1])
+            out[at : at + len(block)] = block
+        return out
 
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(words, k)))[0]
     for _ in range(1 + power):
@@ -253,7 +264,8 @@ class LatentIndex:
                 if any(abs(at[i] - t) < STEP * 2 for t in tried) or any(x["item_id"] == self.ids[j] for x in out[r]):
                     continue
                 tried.append(at[i])
-                judge(r, j, at[i], at[i] - len(item), at[i] + WINDOW + len(item))
+                # as much wider as windows that are passed over for this one may lie away
+                judge(r, j, at[i], at[i] - len(item) - 2 * STEP, at[i] + WINDOW + len(item) + 2 * STEP)
         passages = []  # judged after the items
         for r, j, first in self.pieces.stretches(ids, starts):
             k = j - len(self.items)
@@ -297,7 +309,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine
     """The rows with the benchmark items that each text holds: item_id, a word position near it, and the share found."""
     small_batches(docs.sparkSession)
     usable = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    rounds = max(1, -(-usable.count() // ITEMS))
+    n, size = usable.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    rounds = max(1, -(-n // ITEMS), -(-(size or 0) // ITEM_BYTES))
     found = []
     for k in range(rounds):
         index = _index(docs, text, usable.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k), min(whole, paraphrase), whole)
