@@ -1,20 +1,20 @@
 """Line dedup with sharded minimal perfect hashes.
 
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Long keys are hashed to 128
-bits and counted by document. The hashes of frequent keys are dealt to shards; each shard's task builds a minimal perfect
-hash over them (levels of bit arrays; a key's rank among the set bits is its slot) with arrays of fingerprints, document
-counts and last documents in slot order. Documents probe the arrays: a line whose slot holds its fingerprint is frequent.
-The fingerprint is half of the hash and the other half helps to find the slot, so a wrong match needs two keys that agree
-in about 128 bits.
+bits and counted by document. The distinct hashes are dealt to shards (but for those of a single document, which no probe
+could find frequent); each shard's task builds a minimal perfect hash over them (levels of bit arrays; a key's rank among
+the set bits is its slot) with arrays of fingerprints, document counts and last documents in slot order. Documents probe the
+arrays: a line is frequent if its slot holds its fingerprint and a large enough count. The fingerprint is half of the hash
+and the other half helps to find the slot, so a wrong match needs two keys that agree in about 128 bits.
 
 Where all arrays together are below ``broadcast_bytes`` (their size is summed first) every task gets them; beyond it the
-line hashes, not the documents, are dealt to the shards, several salted copies of each shard sharing the load, and
+line hashes, not the documents, are dealt to the shards, as many salted copies of a shard as its lines need sharing the load, and
 only the lines to be dropped return to their documents.
 
-Keys of at least ``least_chars`` code points found in at least ``least_docs`` documents lose all lines but those of the
-largest doc_id that has the key. Nulls: a null text is one empty line; a null doc_id counts as a document and as the
-smallest one, and lines that only such documents hold stay. Repeated rows count as documents each, and all rows with the
-largest doc_id keep the line. An empty table gives no rows. Columns named like this operator's are replaced.
+Keys of at least ``least_chars`` code points found in at least ``least_docs`` documents (distinct doc_ids) lose all lines but those
+of the largest doc_id that has the key. Nulls: a null text is one empty line; a null doc_id is no document to count, and its
+frequent lines go. All rows with the largest doc_id keep the line. Very long texts and lines are read whole. An empty table
+gives no rows. Columns named like this operator's are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from quire.llm.common import LOWER_BYTES, recoded, settle, small_batches, table
 
 STRIP = b" \t\n\x0b\x0c\r"
 GAMMA = 2.0  # bits of a level for each of its keys
-SALTS = 8  # copies of a shard, where lines are dealt to shards
+SALT_LINES = 500_000  # that a copy of a shard serves, where lines are dealt to shards
 NULL_ID = -(1 << 63)
 
 
@@ -88,7 +88,7 @@ def _joined(first: np.ndarray, second: np.ndarray, seed: int) -> np.ndarray:
 
 
 class LineShard:
-    """The frequent keys of a shard: fingerprints, counts and last documents in the order of the slots."""
+    """The keys of a shard: fingerprints, counts and last documents in the order of the slots."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray, counts: np.ndarray, last: np.ndarray):
         self.seed = 0
@@ -99,11 +99,11 @@ class LineShard:
         self.second, self.counts, self.last = np.empty_like(second), np.empty(len(second), np.uint32), np.empty_like(last)
         self.second[slot], self.counts[slot], self.last[slot] = second, np.minimum(counts, 2**32 - 1), last
 
-    def last_of(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the lines are in the shard, and the last document of those."""
+    def last_of(self, first: np.ndarray, second: np.ndarray, least_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the lines so many documents have, and the last document of those."""
         slot = self.hash.slots(_joined(first, second, self.seed))
         found = np.maximum(slot, 0)
-        return (slot >= 0) & (self.second[found] == second), self.last[found]
+        return (slot >= 0) & (self.second[found] == second) & (self.counts[found] >= least_docs), self.last[found]
 
     def dump(self) -> bytes:
         return pickle.dumps(self.__dict__ | {"hash": self.hash.__dict__}, protocol=5)
@@ -141,16 +141,17 @@ def line_hashes(text: Column, least_chars: int) -> Column:
     return hashes(text)
 
 
-def build_shards(lines: DataFrame, shards: int, least_docs: int) -> DataFrame:
-    """shard, data: the arrays of each shard. lines: doc_id and the array of line hashes of each document."""
-    counted = lines.select("doc_id", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h")).groupBy("h.first", "h.second").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-    frequent = counted.where(F.col("docs") >= least_docs).withColumn("shard", F.pmod(F.xxhash64("second"), F.lit(shards)).cast("int"))
+def build_shards(lines: DataFrame, shards: int) -> DataFrame:
+    """shard, data: the arrays of each shard, over the lines of several documents. lines: doc_id and the array of line hashes of each document."""
+    each = lines.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h")).select("doc_id", "h.*")
+    counted = each.groupBy("first", "second").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last"))
+    several = counted.where("docs > 1").withColumn("shard", F.pmod(F.xxhash64("second"), F.lit(shards)).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         made = LineShard(*(pdf[c].to_numpy(np.int64) for c in ("first", "second", "docs", "last")))
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "data": [made.dump()]})
 
-    return frequent.withColumn("last", F.coalesce("last", F.lit(NULL_ID))).groupBy("shard").applyInPandas(build, "shard int, data binary")
+    return several.groupBy("shard").applyInPandas(build, "shard int, data binary")
 
 
 def line_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = 40, least_docs: int = 5, shards: int | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -161,16 +162,16 @@ def line_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), line_hashes(F.col(text), least_chars).alias("hashes"))
     if shards is None:  # about 100,000 documents' frequent lines to a shard
         shards = max(4, docs.count() // 100_000)
-    made = settle(build_shards(lines, shards, least_docs))
+    made = settle(build_shards(lines, shards))
     size = made.agg(F.sum(F.length("data"))).first()[0] or 0
     rows = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "lines": split})
     rows = rows.withColumn("__hashes", line_hashes(F.col(text), least_chars))
-    flagged = _probe_here(rows, made, shards) if size <= broadcast_bytes else _probe_there(rows, made, shards)
+    flagged = _probe_here(rows, made, shards, least_docs) if size <= broadcast_bytes else _probe_there(rows, made, shards, least_docs)
     kept = F.transform(F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("dropped", s["i"])), lambda s: s["x"])
     return flagged.withColumn("kept_text", F.array_join(kept, "\n")).drop("__doc", "__hashes")
 
 
-def _probe_here(rows: DataFrame, made: DataFrame, shards: int) -> DataFrame:
+def _probe_here(rows: DataFrame, made: DataFrame, shards: int, least_docs: int) -> DataFrame:
     """The arrays are small: every task has them all."""
     data = rows.sparkSession.sparkContext.broadcast(dict(made.collect()))
 
@@ -188,7 +189,7 @@ def _probe_here(rows: DataFrame, made: DataFrame, shards: int) -> DataFrame:
             doc = np.asarray(docs, dtype=np.int64)[row[there]]
             for k, t in tables.items():
                 mine = np.flatnonzero(shard == k)
-                known, last = t.last_of(first[mine], second[mine])
+                known, last = t.last_of(first[mine], second[mine], least_docs)
                 drop[mine] = known & (last != doc[mine])
             hit = there[drop]
             ends = np.searchsorted(row[hit], np.arange(len(hashes) + 1))
@@ -202,17 +203,19 @@ def _shard_of(second: np.ndarray, shards: int) -> np.ndarray:
     return np.array([(v - (1 << 64) if (v := xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), 42)) >= 1 << 63 else v) % shards for x in second.tolist()], dtype=np.int64)
 
 
-def _probe_there(rows: DataFrame, made: DataFrame, shards: int) -> DataFrame:
+def _probe_there(rows: DataFrame, made: DataFrame, shards: int, least_docs: int) -> DataFrame:
     """The line hashes go to the shards; the lines to drop come back by document and text."""
     same = F.xxhash64(F.to_json(F.struct("lines")))
     lines = rows.select("__doc", same.alias("__same"), F.posexplode("__hashes").alias("at", "h")).where("h IS NOT NULL").select("__doc", "__same", "at", "h.*")
-    lines = lines.withColumns({"shard": F.pmod(F.xxhash64("second"), F.lit(shards)).cast("int"), "salt": F.pmod(F.xxhash64("__doc", "at"), F.lit(SALTS)).cast("int")})
-    copies = made.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    lines = lines.withColumn("shard", F.pmod(F.xxhash64("second"), F.lit(shards)).cast("int"))
+    salts = settle(lines.groupBy("shard").agg(F.ceil(F.count("*") / SALT_LINES).cast("int").alias("salts")))  # a row per shard
+    lines = lines.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.xxhash64("__doc", "at"), F.col("salts")).cast("int")).drop("salts")
+    copies = made.join(F.broadcast(salts), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def probe(pdf: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(pdf):
             return pd.DataFrame({"__doc": np.zeros(0, np.int64), "__same": np.zeros(0, np.int64), "at": np.zeros(0, np.int32)})
-        known, last = LineShard.load(shard["data"].iloc[0]).last_of(pdf["first"].to_numpy(np.int64), pdf["second"].to_numpy(np.int64))
+        known, last = LineShard.load(shard["data"].iloc[0]).last_of(pdf["first"].to_numpy(np.int64), pdf["second"].to_numpy(np.int64), least_docs)
         return pdf.loc[known & (last != pdf["__doc"].to_numpy(np.int64)), ["__doc", "__same", "at"]]
 
     hits = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "__doc long, __same long, at int")
@@ -233,7 +236,7 @@ WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FRO
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
 k AS (SELECT doc_id, line, i, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
 f AS (SELECT k, max(doc_id) AS last FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-j AS (SELECT k.doc_id, k.line, k.i, f.k IS NOT NULL AND k.doc_id <> f.last AS dropped FROM k LEFT JOIN f ON k.k = f.k)
+j AS (SELECT k.doc_id, k.line, k.i, f.k IS NOT NULL AND k.doc_id IS DISTINCT FROM f.last AS dropped FROM k LEFT JOIN f ON k.k = f.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
