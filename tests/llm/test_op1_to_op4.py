@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import op2_line_dedup as lines
 from quire.llm.op1_sharding import find_splitters, histogram_shards, op1_sharding
-from quire.llm.op3_license import scan_licenses
+from quire.llm.op3_license import KNOWN, canonical_lines, scan_licenses, whole_form
 from quire.llm.op4_mixing import curriculum_plan, source_targets, training_sequence
 
 DATA = Path("/root/testdata/sf0.001")
@@ -98,9 +98,9 @@ def plain_dedup(rows, least_chars=40, least_docs=5):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     held = collections.defaultdict(list)
     for doc, text in rows:
-        for k in {key(x) for x in (text or "").split("\n")}:
-            held[k].append(-(1 << 63) if doc is None else doc)
-    gone = {k: max(d) for k, d in held.items() if len(k) >= least_chars and len(d) >= least_docs}
+        for k in {key(x) for x in (text or "").split("\n")} if doc is not None else ():
+            held[k].append(doc)
+    gone = {k: max(d) for k, d in held.items() if len(k) >= least_chars and len(set(d)) >= least_docs}
     out = []
     for doc, text in rows:
         all_lines = (text or "").split("\n")
@@ -119,6 +119,23 @@ def test_lines_against_plain_code(documents, awkward, limit):
     assert sorted((tuple(r) for r in found), key=str) == plain_dedup([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_lines_of_repeated_and_null_ids(documents, limit):
+    """Rows of one doc_id are one document, rows without one are none; a hot line is served by several copies of its shard."""
+    line, other = "one line that is long enough to count for certain", "another line that is long enough to count, surely"
+    rows = [(i, line, "s") for i in (1, 2, 3, 4, 4, None, None)] + [(i, other + "\nshort", "s") for i in (*range(10, 400), 399, None)]
+    found = lines.line_duplicates(documents(rows), broadcast_bytes=limit).select("doc_id", F.size("lines"), F.size("dropped"), F.sha2("kept_text", 256)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == plain_dedup([(d, t) for d, t, _ in rows])
+    assert sorted(r[2] for r in found) == [0] * 9 + [1] * 390
+
+
+def test_counts_are_read_from_the_arrays():
+    shard = lines.LineShard(*(np.array(x, dtype=np.int64) for x in ([1, 2], [3, 4], [4, 5], [9, 8])))
+    known, last = shard.last_of(np.array([1, 2, 7]), np.array([3, 4, 7]), 5)
+    assert known.tolist() == [False, True, False] and last[1] == 8
+    assert shard.last_of(np.array([1]), np.array([3]), 4)[0].tolist() == [True]
+
+
 def test_no_lines(documents):
     assert lines.line_duplicates(documents([])).count() == 0
 
@@ -135,11 +152,28 @@ def test_licenses(documents, awkward):
     docs = documents([(20, "RELEASED under the mit licence", "a"), (21, "Copyright 2020 Somebody\nReleased under the MIT License!", "a"), (22, "Text.\n  Licensed under CC BY-NC 4.0\nMore.", "a"), (23, "Released under the MIT License, mostly", "a")])
     found = {r["doc_id"]: (r["license"], r["line_licenses"]) for r in scan_licenses(docs.withColumn("license", F.lit("x"))).collect()}
     assert found[20] == ("MIT", ["MIT"]) and found[21][0] == "MIT" and found[22] == (None, ["CC-BY-NC-4.0"]) and found[23] == (None, [])
+    clash = scan_licenses(docs.withColumns({"License": F.lit("x"), "__lines": F.lit("own")})).collect()
+    assert {r["doc_id"]: r["license"] for r in clash} == {k: v[0] for k, v in found.items()} and {r["__lines"] for r in clash} == {"own"}
     rows = scan_licenses(awkward).collect()
     assert len(rows) == 10 and all(r["digest"] is None for r in rows if not (r["text"] or "").strip())
     assert scan_licenses(documents([])).count() == 0
 
 
+def test_canonical_forms(spark):
+    """Neighbouring equivalents, spellings across lines, and every known text under changes that don't matter."""
+    form = lambda t: spark.createDataFrame([(t,)], "t string").select(whole_form(canonical_lines(F.col("t")))).first()[0]
+    assert form("Licence licence LICENCE") == "license license license" and form("a sub-\nlicence, non commercial") == "a sublicense noncommercial"
+    assert form("Copyright 2020 Me\n(c) you\nThe text.") == "the text" and form("") == "" and form("\n \t.") == ""
+    rows = [(i, "Copyright (c) 2021 Somebody\n\n" + body.upper().replace(" LICENSE", " LICENCE").replace("\n\n", "\n * "), "s") for i, (_, body) in enumerate(KNOWN)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = {}
+    for name, body in KNOWN:
+        first[form(body)] = min(name, first.get(form(body), name))
+    assert {r["doc_id"]: r["license"] for r in scan_licenses(docs).collect()} == {i: first[form(body)] for i, (_, body) in enumerate(KNOWN)}
+    own = spark.createDataFrame([("Own", "Some other text")], "license string, body string")
+    assert [r["license"] for r in scan_licenses(spark.createDataFrame([(1, "some OTHER text")], "doc_id long, text string"), known=own).collect()] == ["Own"]
+
+
 def plain_targets(sizes, weights, total):
     target, open_ = dict.fromkeys(sizes, 0.0), set(sizes)
     while open_:
