@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,9 +69,18 @@ def own_prefix(df: DataFrame) -> str:
 
 
 def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A thin table, written and counted: broadcast if it has at most so many rows, else left for a shuffled join."""
+    """A thin table, written and counted: broadcast if it has at most so many rows, else the hashed side of a shuffled join, whose other side isn't sorted."""
     df = settle(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df.hint("shuffle_hash")
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, since Python workers stay."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def lower_ascii(c: Column) -> Column:

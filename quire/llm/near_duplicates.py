@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import own_prefix, scratch, settle, small_batches, small_side
+from quire.llm.common import give_back, own_prefix, scratch, settle, small_batches, small_side
 from quire.llm.graph import components
 from quire.llm.op8_simhash import hashes_of, majority, print_components, word_lists
 
@@ -93,6 +93,7 @@ def _sketch(text: Column, shingle: int, similarity: float, frequent: tuple[np.nd
                 keys.append(codes[: len(codes) - math.ceil(similarity * len(codes) - 1e-9) + 1] if len(codes) else np.zeros(1, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.StructArray.from_arrays([pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["fingerprint", "size", "keys"])
+        give_back()
 
     return sketch(text)
 
@@ -198,6 +199,8 @@ def _in_blocks(rows: DataFrame, key: list[str], work: Callable[[list[dict]], pa.
                 members.append(member)
         if len(members) > 1 and (out := work(members)):
             yield out
+        members = []
+        give_back()
 
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD_BYTES, blocks, recoded, segment_sum, small_batches, table, words_of
+from quire.llm.common import WORD_BYTES, blocks, give_back, recoded, segment_sum, small_batches, table, words_of
 
 BUCKETS = 1 << 16
 FACTORS = 8
@@ -188,6 +188,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, text: str
         for texts, n_chars in batches:
             out = [model.scores(features_of(texts.slice(a, b - a), np.asarray(n_chars.slice(a, b - a).fill_null(0), dtype=np.float64))) for a, b in blocks(pc.binary_length(texts), BLOCK_BYTES)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
+        give_back()
 
     return docs.withColumn(name, score(F.col(text), F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(0).cast("long")))
 

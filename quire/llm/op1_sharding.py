@@ -21,7 +21,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,9 +140,9 @@ def histogram_shards(docs: DataFrame, shards: int = 16, text: str = "text", doc_
         cuts[i] = max(cuts[i], cuts[i - 1])
     edges, rows_below = _bytes([c[0] for c in cuts if c[0] < HIGH]), [0, *(c[2] for c in cuts)]
 
-    @F.pandas_udf("int")
-    def piece(digest: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, _encode(digest.to_numpy(), second.to_numpy()), side="right").astype(np.int32))
+    @F.arrow_udf("int")
+    def piece(digest: pa.Array, second: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, _encode(np.asarray(digest), np.asarray(second)), side="right").astype(np.int32))
 
     n = shards * per
     offsets = docs.sparkSession.createDataFrame([(i, rows_below[i] - rows_below[i // per * per]) for i in range(n)], f"{mine}piece int, {mine}before long")

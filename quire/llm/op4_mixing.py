@@ -98,7 +98,7 @@ def training_sequence(docs: DataFrame, plan: DataFrame, text: str = "text", doc_
     if plan.groupBy(*keys).count().where("count > 1").take(1):  # rows that agree in these stand for each other
         rows = rows.dropDuplicates([doc_id, source, f"{mine}hash"])
     same = F.col(doc_id).eqNullSafe(F.col(f"{mine}doc_id")) & F.col(source).eqNullSafe(F.col(f"{mine}source")) & (F.col(f"{mine}hash") == F.col(f"{mine}text_hash"))
-    taken = rows.join(small_side(placed), same).orderBy("position", f"{mine}text_hash", f"{mine}doc_id")
+    taken = rows.join(small_side(placed, 500_000), same).orderBy("position", f"{mine}text_hash", f"{mine}doc_id")
     return taken.drop(f"{mine}hash", *[mine + k for k in keys])
 
 

@@ -28,13 +28,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD_BYTES, blocks, segment_sum, settle, small_batches, table, words_of
+from quire.llm.common import WORD_BYTES, blocks, give_back, segment_sum, settle, small_batches, table, words_of
 
 WINDOW, STEP = 24, 8
 RANK, OVERSAMPLE, POWER = 256, 16, 2
@@ -119,11 +118,11 @@ def randomised_svd(passages: DataFrame, words: int, rank: int = RANK, oversample
                 if total[at : at + SUM_ROWS].any():
                     yield pa.record_batch([pa.array([at]), pa.array([total[at : at + SUM_ROWS].tobytes()], pa.binary())], names=["at", "sum"])
 
-        def added(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"at": [pdf["at"].iloc[0]], "sum": [sum(np.frombuffer(b) for b in pdf["sum"]).tobytes()]})
+        def added(blocks: pa.Table) -> pa.Table:
+            return pa.table({"at": blocks["at"].slice(0, 1), "sum": pa.array([sum(np.frombuffer(b.as_buffer()) for b in blocks["sum"]).tobytes()], pa.binary())})
 
         # blocks of rows of the sums are added up in the cluster; one matrix comes here
-        rows = passages.mapInArrow(part, "at long, sum binary").groupBy("at").applyInPandas(added, "at long, sum binary").collect()
+        rows = passages.mapInArrow(part, "at long, sum binary").groupBy("at").applyInArrow(added, "at long, sum binary").collect()
         shared.destroy()
         out = np.zeros((q.shape[1], q.shape[1]) if gram else q.shape)
         for at, block in rows:
@@ -331,6 +330,7 @@ def _search(docs: DataFrame, text: str, index: LatentIndex, *limits: float):  #
         known = pa.array(index.vocabulary, pa.large_string())
         for texts in batches:
             yield pa.array([x for a, b in blocks(pc.binary_length(texts), BLOCK_BYTES) for x in index.leaks(texts.slice(a, b - a), known, *limits)], kind)
+        give_back()
 
     return search(F.col(text))
 
