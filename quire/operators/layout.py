@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import compatible
 from quire.plans.options import LayoutOptions
 
 PAGE = ["doc", "page"]
+ROWS = 256  # blocks that are looked at at once
 
 
 def first_font(sizes: Column, default: float) -> Column:
@@ -26,24 +33,65 @@ def font_ladder(start: Column, o: LayoutOptions) -> Column:
     return F.concat(above, F.array(F.lit(float(o.least_font))))
 
 
+def _by_page(blocks: DataFrame, found: Callable[..., np.ndarray], kind: str, name: str) -> DataFrame:
+    """The blocks with what a function finds from all boxes of their page: no pairs of blocks leave the task."""
+
+    @F.arrow_udf(f"array<{kind}>")
+    def run(pages: pa.Array) -> pa.Array:
+        flat, ends = pages.flatten(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(pages), dtype=np.int64))])
+        box = [np.asarray(pc.struct_field(flat, c), dtype=np.float64) for c in ("x0", "y0", "x1", "y1")]
+        ids = np.asarray(pc.struct_field(flat, "block_id").dictionary_encode().indices)
+        values = [found(*(c[a:b] for c in (*box, ids))) for a, b in zip(ends, ends[1:], strict=False)]
+        one = pa.concat_arrays([pa.array(v, from_pandas=True) for v in values]) if values else pa.array([], pa.float64())
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), one)
+
+    whole = [c for c in blocks.columns if c not in (*PAGE, name)]
+    pages = blocks.groupBy(*PAGE).agg(F.collect_list(F.struct(*whole)).alias("blocks"))
+    rows = pages.withColumn("found", run("blocks")).select(*PAGE, F.explode(F.arrays_zip("blocks", "found")).alias("z"))
+    return rows.select(*PAGE, "z.blocks.*", F.col("z.found").alias(name)).select(*[c for c in blocks.columns if c != name], name)
+
+
+def _next_below(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The top of the next block below each that overlaps it sideways; NaN without one."""
+    order, out = np.argsort(y0, kind="stable"), np.full(len(x0), np.nan)
+    left, right, top, name = x0[order], x1[order], y0[order], ids[order]
+    first = np.searchsorted(top, y1, side="left")
+    for i in range(len(x0)):
+        for a in range(first[i], len(order), ROWS):  # the first that fits is the nearest
+            part = slice(a, a + ROWS)
+            hit = np.flatnonzero((left[part] < x1[i]) & (right[part] > x0[i]) & (name[part] != ids[i]))
+            if len(hit):
+                out[i] = top[a + hit[0]]
+                break
+    return out
+
+
 def lower_limits(blocks: DataFrame, o: LayoutOptions) -> DataFrame:
     """limit: how far down each block may grow, which is to a gap above the next block below it that overlaps it sideways, or the page's end."""
-    a, b = blocks.alias("a"), blocks.select(*PAGE, "block_id", "x0", "x1", "y0").alias("b")
-    below = (F.col("a.doc") == F.col("b.doc")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.block_id") != F.col("b.block_id")) & (F.col("b.y0") >= F.col("a.y1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("b.x1") > F.col("a.x0"))
-    near = a.join(b, below).groupBy(F.col("a.doc").alias("doc"), F.col("a.page").alias("page"), F.col("a.block_id").alias("block_id")).agg(F.min("b.y0").alias("next_y0"))
-    gap = max(o.padding, 1.0)
-    return blocks.join(near, [*PAGE, "block_id"], "left").withColumn("limit", F.greatest(F.col("y1"), F.coalesce(F.least(F.col("page_h"), F.col("next_y0") - gap), F.col("page_h")))).drop("next_y0")
+    rows, gap = _by_page(blocks, _next_below, "double", "next_y0"), max(o.padding, 1.0)
+    return rows.withColumn("limit", F.greatest(F.col("y1"), F.coalesce(F.least(F.col("page_h"), F.col("next_y0") - gap), F.col("page_h")))).drop("next_y0")
 
 
 def redaction_boxes(blocks: DataFrame, o: LayoutOptions) -> DataFrame:
-    """padded: whether a block's box may be padded, as no other is hit that wasn't before."""
+    """padded: whether a block's box may be padded, as no other is hit that wasn't before; redaction: the box, clipped to the page."""
     p = o.padding
-    hits = lambda pad: (F.col("a.x0") - pad < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1") + pad) & (F.col("a.y0") - pad < F.col("b.y1")) & (F.col("b.y0") < F.col("a.y1") + pad)
-    a, b = blocks.alias("a"), blocks.select(*PAGE, "block_id", "x0", "y0", "x1", "y1").alias("b")
-    other = (F.col("a.doc") == F.col("b.doc")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.block_id") != F.col("b.block_id"))
-    conflicts = a.join(b, other & hits(p) & ~hits(0.0), "left_semi").select(*PAGE, "block_id", F.lit(True).alias("conflict"))
-    rows = blocks.join(conflicts, [*PAGE, "block_id"], "left")
-    return rows.withColumn("padded", F.col("conflict").isNull()).drop("conflict")
+
+    def free(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        order, out = np.argsort(y0, kind="stable"), np.ones(len(x0), dtype=bool)
+        left, right, top, bottom, name = x0[order], x1[order], y0[order], y1[order], ids[order]
+        tallest = float((bottom - top).max()) if len(top) else 0.0
+        # only blocks that begin between these can reach the padded box
+        first, last = np.searchsorted(top, y0 - p - tallest, side="left"), np.searchsorted(top, y1 + p, side="left")
+        for i in range(len(x0)):
+            part = slice(first[i], last[i])
+            hits = lambda d, i=i, part=part: (x0[i] - d < right[part]) & (left[part] < x1[i] + d) & (y0[i] - d < bottom[part]) & (top[part] < y1[i] + d)
+            out[i] = not (hits(p) & ~hits(0.0) & (name[part] != ids[i])).any()
+        return out
+
+    rows = _by_page(blocks, free, "boolean", "padded")
+    pad = F.when(F.col("padded"), F.lit(float(p))).otherwise(F.lit(0.0))
+    box = F.struct(F.greatest(F.col("x0") - pad, F.lit(0.0)).alias("x0"), F.greatest(F.col("y0") - pad, F.lit(0.0)).alias("y0"), F.least(F.col("x1") + pad, F.col("page_w")).alias("x1"), F.least(F.col("y1") + pad, F.col("page_h")).alias("y1"))
+    return rows.withColumn("redaction", box)
 
 
 def fits(text: Column, size: Column, width: Column, height: Column, o: LayoutOptions) -> Column:
@@ -73,5 +121,5 @@ def layout_counters(plan: DataFrame, *by: str) -> DataFrame:
 
 def clip_matches(clips: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """Whether what a page has in a block's place contains the expected text, after folding dashes, brackets and spaces. clips: expected, found."""
-    fold = lambda c: F.trim(F.regexp_replace(F.translate(c, "‐‑‒–—−（）", "------()"), r"(?U)\s+", " "))
+    fold = lambda c: F.trim(F.regexp_replace(F.translate(compatible(c), "‐‑‒–—−（）", "------()"), r"(?U)\s+", " "))
     return clips.withColumn("verified", F.contains(fold(F.col("found")), fold(F.col("expected"))))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import CAPTION, LIST_MARKER, TERMINAL, is_lower_start, is_soft_hyphen, join_text
+from quire.functions.text import CAPTION, LIST_MARKER, TERMINAL, is_lower_start, is_soft_hyphen, join_text, rstrip, strip
 from quire.plans.options import ParagraphOptions
 
 REPEATED_KINDS = {"page_number": "page_number", "running_header": "header", "running_footer": "footer", "repeated_boilerplate": "repeated_boilerplate", "watermark_candidate": "watermark_candidate", "unknown_repeated": "unknown_repeated"}
@@ -19,20 +19,27 @@ BOUNDARIES = (("heading", "heading_boundary"), ("list_item", "list_boundary"), (
 PAGE = ["doc", "page"]
 
 
+def _facing(fragments: DataFrame, o: ParagraphOptions) -> DataFrame:
+    """facing: whether a fragment on one side of the gutter overlaps, in height, an earlier one on the other side."""
+    middle, half = F.col("page_w") / 2, F.col("page_w") * o.gutter / 2
+    left, right = F.col("x1") <= middle - half, F.col("x0") >= middle + half
+    # from the top of the page down, the lowest end of each side so far; an empty box comes before others that begin where it is
+    above = Window.partitionBy(*PAGE).orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    lowest = lambda side: F.max(F.when(side, F.col("y1"))).over(above)
+    return fragments.withColumn("facing", F.coalesce((left & (lowest(right) > F.col("y0"))) | (right & (lowest(left) > F.col("y0"))), F.lit(False)))
+
+
 def two_column_pages(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()) -> DataFrame:
     """Pages on which a fragment left of the gutter overlaps, in height, one to the right of it."""
-    middle, half = F.col("page_w") / 2, F.col("page_w") * o.gutter / 2
-    left = fragments.where(F.col("x1") <= middle - half).select(*PAGE, "y0", "y1").alias("l")
-    right = fragments.where(F.col("x0") >= middle + half).select(*PAGE, "y0", "y1").alias("r")
-    overlap = (F.col("l.doc") == F.col("r.doc")) & (F.col("l.page") == F.col("r.page")) & (F.col("l.y0") < F.col("r.y1")) & (F.col("r.y0") < F.col("l.y1"))
-    return left.join(right, overlap, "left_semi").select(*PAGE).distinct()
+    boxes = fragments.select(*PAGE, "x0", "y0", "x1", "y1", "page_w")
+    return _facing(boxes, o).groupBy(*PAGE).agg(F.max("facing").alias("two")).where("two").select(*PAGE)
 
 
 def reading_order(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()) -> DataFrame:
     """The fragments with column and seq (from 1 on each page)."""
-    two = two_column_pages(fragments, o).withColumn("two", F.lit(True))
+    two = F.max("facing").over(Window.partitionBy(*PAGE))
     column = F.when(F.col("two") & (F.col("x1") > F.col("page_w") / 2) & (F.col("x0") >= F.col("page_w") / 2), 1).otherwise(0)
-    rows = fragments.join(two, PAGE, "left").withColumn("column", column).drop("two")
+    rows = _facing(fragments, o).withColumn("two", two).withColumn("column", column).drop("two", "facing")
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy(*PAGE).orderBy("column", "y0", "x0", "block_id", "ord")))
 
 
@@ -61,7 +68,7 @@ def _boundary(a: Column, b: Column) -> Column:
 
 
 def _unfinished(text: Column) -> Column:
-    last = F.right(F.rtrim(text), F.lit(1))
+    last = F.right(rstrip(text), F.lit(1))
     return (last != "") & ~last.isin(*TERMINAL)
 
 
@@ -74,8 +81,8 @@ def page_decisions(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(
     rows = fragments if "repeated" in fragments.columns else fragments.withColumn("repeated", F.lit(None).cast("string"))
     rows = _kinds(reading_order(rows, o), o)
     by_page = Window.partitionBy(*PAGE).orderBy("seq")
-    was = lambda c: F.lag(c).over(by_page)
-    rows = rows.withColumns({f"p_{c}": was(c) for c in ("x0", "y0", "x1", "y1", "font", "bold", "text", "kind", "column", "block_id", "ord")})
+    names = ("x0", "y0", "x1", "y1", "font", "bold", "text", "kind", "column", "block_id", "ord")
+    rows = rows.withColumn("p", F.lag(F.struct(*names)).over(by_page)).select("*", *[F.col(f"p.{c}").alias(f"p_{c}") for c in names]).drop("p")
     special = [v for v in REPEATED_KINDS.values()]
     height = F.least(F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0)), F.greatest(F.col("p_y1") - F.col("p_y0"), F.lit(1.0)))
     wide, p_wide = F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)), F.greatest(F.col("p_x1") - F.col("p_x0"), F.lit(1.0))
@@ -94,7 +101,7 @@ def page_decisions(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(
     first = (F.lit(True), "same_column"), (aligned, "aligned")
     middle = (~far, "close_vertical_gap"), (~far & style, "compatible_style")
     last = (same_block, "same_source_block"), (~same_block & similar, "similar_width")
-    tail = (soft, "soft_hyphen"), (~soft & F.rtrim("p_text").endswith("-"), "protected_hyphen"), (~soft & lower, "lowercase_continuation"), (~soft & open_end, "unfinished_sentence"), (~soft & ~open_end, "terminal_punctuation"), (~soft & geometry & ~goes_on, "ambiguous_geometry")
+    tail = (soft, "soft_hyphen"), (~soft & rstrip(F.col("p_text")).endswith("-"), "protected_hyphen"), (~soft & lower, "lowercase_continuation"), (~soft & open_end, "unfinished_sentence"), (~soft & ~open_end, "terminal_punctuation"), (~soft & geometry & ~goes_on, "ambiguous_geometry")
     reasons = (
         F.when(F.col("p_kind").isNull(), None)
         .when(boundary.isNotNull(), F.array(boundary))
@@ -106,65 +113,86 @@ def page_decisions(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(
     return rows.withColumns({"action": action, "reasons": reasons})
 
 
-def paragraphs_of(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()) -> tuple[DataFrame, DataFrame]:
-    """Logical paragraphs (doc, para, id, page, kind, text, box, n_fragments, ambiguous) and decisions (doc, page, previous, current, action, reasons, cross_page)."""
-    if o.mode == "off":
-        alone = fragments.withColumn("para", F.row_number().over(Window.partitionBy("doc").orderBy("page", "ord")))
-        plain = alone.select("doc", "para", F.col("block_id").alias("id"), "page", F.lit("body").alias("kind"), F.trim("text").alias("text"), "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("n_fragments"), F.lit(False).alias("ambiguous"))
-        none = fragments.sparkSession.createDataFrame([], "doc string, page int, previous string, current string, action string, reasons array<string>, cross_page boolean")
-        return plain, none
+def _folded(items: Column) -> Column:
+    """Texts of fragments in order, as one."""
+    return F.aggregate(F.slice(items, 2, F.size(items)), strip(items[0]["text"]), lambda acc, x: join_text(acc, x["text"]))
+
+
+def page_paragraphs(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()) -> DataFrame:
+    """A row per paragraph of a page, with the decision towards the page before and the number that joins paragraphs across pages.
+
+    Fragments are windows by page; across pages only a paragraph's ends and counters are, so a document is no large state.
+    """
     rows = page_decisions(fragments, o)
     by_page = Window.partitionBy(*PAGE).orderBy("seq")
-    starts = F.when(F.coalesce(F.col("action") == "merge", F.lit(False)), 0).otherwise(1)
-    rows = rows.withColumns({"local": F.sum(starts).over(by_page), "after": F.lead("action").over(by_page)})
-    fold = lambda items: F.aggregate(F.slice(items, 2, F.size(items)), F.trim(items[0]["text"]), lambda acc, x: join_text(acc, x["text"]))
-    item = F.struct("page", "seq", "text")
+    merges, doubtful = (F.coalesce(F.col("action") == a, F.lit(False)) for a in ("merge", "ambiguous"))
+    rows = rows.withColumns({"local": F.sum(F.when(merges, 0).otherwise(1)).over(by_page), "after": F.lead("action").over(by_page)})
+    # each block counts where it first occurs
+    rows = rows.withColumn("new_block", F.row_number().over(Window.partitionBy(*PAGE, "block_id").orderBy("seq")) == 1)
+    rows = rows.withColumn("locals", F.max("local").over(Window.partitionBy(*PAGE)))
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     first, last = lambda c: F.min_by(c, "seq"), lambda c: F.max_by(c, "seq")
-    doubtful = F.max((F.coalesce(F.col("action") == "ambiguous", F.lit(False))) | F.coalesce(F.col("after") == "ambiguous", F.lit(False)))
-    on_page = rows.groupBy(*PAGE, "local").agg(
-        first("block_id").alias("id"), first("kind").alias("kind"), F.sort_array(F.collect_list(item)).alias("items"), doubtful.alias("ambiguous"), *box, F.first("page_h").alias("page_h"),
-        first(F.struct("x0", "y0", "column", "text", "block_id")).alias("head"), last(F.struct("x0", "y1", "column", "text", "block_id")).alias("tail"),
+    made = F.when(F.col("action").isNotNull(), F.struct("seq", F.col("p_block_id").alias("previous"), F.col("block_id").alias("current"), "action", "reasons"))
+    p = rows.groupBy(*PAGE, "local").agg(
+        first("block_id").alias("id"), first("kind").alias("kind"), F.sort_array(F.collect_list(F.struct("page", "seq", "text"))).alias("items"),
+        F.max(doubtful | F.coalesce(F.col("after") == "ambiguous", F.lit(False))).alias("ambiguous"), *box, F.first("page_h").alias("page_h"), F.first("locals").alias("locals"),
+        first(F.struct("x0", "y0", "column", "text", "block_id")).alias("head"), last(F.struct("x0", "y1", "column", "block_id")).alias("tail"),
+        F.count("*").alias("n_fragments"), F.count_if("new_block").alias("n_blocks"), F.count("action").alias("n_decisions"), F.count_if(doubtful).alias("n_ambiguous"),
+        F.count_if(merges & F.array_contains("reasons", "soft_hyphen")).alias("n_soft"), F.sort_array(F.collect_list(made)).alias("inside"), F.collect_set("block_id").alias("blocks"),
     )
+    # texts matter to the next page only at a page's ends
+    p = p.withColumn("edge", F.when((F.col("local") == 1) | (F.col("local") == F.col("locals")), _folded(F.col("items"))))
     by_doc = Window.partitionBy("doc").orderBy("page", "local")
-    p = on_page.withColumn("text", fold(F.col("items")))
-    p = p.withColumns({f"q_{c}": F.lag(c).over(by_doc) for c in ("page", "kind", "tail", "text", "page_h")})
+    names = ("page", "kind", "tail", "edge", "page_h")
+    p = p.withColumn("q", F.lag(F.struct(*names)).over(by_doc)).select("*", *[F.col(f"q.{c}").alias(f"q_{c}") for c in names]).drop("q")
     crosses = F.col("q_page") != F.col("page")
     aligned, column = F.abs(F.col("q_tail.x0") - F.col("head.x0")) <= o.alignment, F.col("q_tail.column") == F.col("head.column")
-    lower, open_end, soft = is_lower_start(F.col("head.text")), _unfinished(F.col("q_text")), is_soft_hyphen(F.col("q_text"), F.col("text"))
+    lower, open_end, soft = is_lower_start(F.col("head.text")), _unfinished(F.col("q_edge")), is_soft_hyphen(F.col("q_edge"), F.col("edge"))
     edges = (F.col("q_tail.y1") >= F.col("q_page_h") * (1 - o.page_edge)) & (F.col("head.y0") <= F.col("page_h") * o.page_edge)
     able = column & aligned & (lower | open_end)
-    action = F.when(~crosses | F.col("q_page").isNull(), None).when(F.col("page") != F.col("q_page") + 1, "keep").when((F.col("q_kind") != "body") | (F.col("kind") != "body"), "keep").when(able & edges, "merge").when(able, "ambiguous").otherwise("keep")
+    bodies, next_page = (F.col("q_kind") == "body") & (F.col("kind") == "body"), F.col("page") == F.col("q_page") + 1
+    action = F.when(~crosses | F.col("q_page").isNull(), None).when(~next_page | ~bodies, "keep").when(able & edges, "merge").when(able, "ambiguous").otherwise("keep")
+    weak = F.lit("page_boundary_weak")
     said = _prefixed((column, "same_column"), (aligned, "aligned"), (lower, "lowercase_continuation"), (open_end, "unfinished_sentence"), (soft, "soft_hyphen"), (able & edges, "cross_page_continuation"), (~(able & edges), "page_boundary_weak"))
-    reasons = F.when(F.col("page") != F.col("q_page") + 1, F.array(F.lit("page_boundary_weak"))).when((F.col("q_kind") != "body") | (F.col("kind") != "body"), F.array(F.coalesce(_boundary(F.col("q_kind"), F.col("kind")), F.lit("page_boundary_weak")))).otherwise(said)
-    p = p.withColumns({"action": action, "reasons": reasons})
-    p = p.withColumn("para", F.sum(F.when(F.coalesce(F.col("action") == "merge", F.lit(False)), 0).otherwise(1)).over(by_doc))
-    # only paragraphs that really cross a page are put together again; anchor: their first page
+    reasons = F.when(~next_page, F.array(weak)).when(~bodies, F.array(F.coalesce(_boundary(F.col("q_kind"), F.col("kind")), weak))).otherwise(said)
+    p = p.withColumns({"action": action, "reasons": F.when(action.isNotNull(), reasons)})
+    return p.withColumn("para", F.sum(F.when(F.coalesce(F.col("action") == "merge", F.lit(False)), 0).otherwise(1)).over(by_doc))
+
+
+def paragraphs_of(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()) -> tuple[DataFrame, DataFrame]:
+    """Logical paragraphs (doc, para, id, page, kind, text, box, n_fragments, ambiguous, blocks) and decisions (doc, page, previous, current, action, reasons, cross_page)."""
+    if o.mode == "off":
+        alone = fragments.withColumn("para", F.row_number().over(Window.partitionBy("doc").orderBy("page", "ord")))
+        plain = alone.select("doc", "para", F.col("block_id").alias("id"), "page", F.lit("body").alias("kind"), strip(F.col("text")).alias("text"), "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("n_fragments"), F.lit(False).alias("ambiguous"), F.array("block_id").alias("blocks"))
+        none = fragments.sparkSession.createDataFrame([], "doc string, page int, previous string, current string, action string, reasons array<string>, cross_page boolean")
+        return plain, none
+    p = page_paragraphs(fragments, o)
+    # anchor: the first page of a paragraph, whose box it has
     at = F.struct("page", "local")
-    anchor = Window.partitionBy("doc", "para")
-    p = p.withColumn("anchor", F.min("page").over(anchor))
+    whole = p.withColumn("anchor", F.min("page").over(Window.partitionBy("doc", "para")))
     here = F.col("page") == F.col("anchor")
-    merged = p.groupBy("doc", "para").agg(
-        F.min_by("id", at).alias("id"), F.min("anchor").alias("page"), F.min_by("kind", at).alias("kind"), F.sort_array(F.collect_list(F.struct("page", "local", "text"))).alias("parts"),
+    merged = whole.groupBy("doc", "para").agg(
+        F.min_by("id", at).alias("id"), F.min("anchor").alias("page"), F.min_by("kind", at).alias("kind"), F.sort_array(F.collect_list(F.struct("page", "local", _folded(F.col("items")).alias("text")))).alias("parts"),
         F.min(F.when(here, F.col("x0"))).alias("x0"), F.min(F.when(here, F.col("y0"))).alias("y0"), F.max(F.when(here, F.col("x1"))).alias("x1"), F.max(F.when(here, F.col("y1"))).alias("y1"),
-        F.sum(F.size("items")).cast("long").alias("n_fragments"), F.max(F.col("ambiguous") | F.coalesce(F.col("action") == "ambiguous", F.lit(False))).alias("ambiguous"),
+        F.sum("n_fragments").cast("long").alias("n_fragments"), F.max(F.col("ambiguous") | F.coalesce(F.col("action") == "ambiguous", F.lit(False))).alias("ambiguous"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks"),
     )
     paragraphs = merged.withColumn("text", F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0]["text"], lambda acc, x: join_text(acc, x["text"]))).drop("parts")
-    inside = rows.where("action IS NOT NULL").select("doc", "page", F.col("p_block_id").alias("previous"), F.col("block_id").alias("current"), "action", "reasons", F.lit(False).alias("cross_page"))
-    across = p.where("action IS NOT NULL").select("doc", "page", F.col("q_tail.block_id").alias("previous"), F.col("head.block_id").alias("current"), "action", "reasons", F.lit(True).alias("cross_page"))
-    return paragraphs, inside.unionByName(across)
-
-
-def paragraph_metrics(fragments: DataFrame, paragraphs: DataFrame, decisions: DataFrame, *by: str) -> DataFrame:
-    """Raw lines and blocks, paragraphs, merged fragments, ambiguous decisions, merges across pages, soft hyphens removed."""
-    a = fragments.groupBy(*by).agg(F.count("*").alias("raw_lines"), F.count_distinct("doc", "block_id").alias("raw_blocks"))
-    b = paragraphs.groupBy(*by).agg(F.count("*").alias("n_paragraphs"), F.sum(F.col("n_fragments") - 1).cast("long").alias("merged"))
-    merge = F.col("action") == "merge"
-    c = decisions.groupBy(*by).agg(F.count("*").alias("n_decisions"), F.count_if(F.col("action") == "ambiguous").alias("n_ambiguous"), F.count_if(merge & F.col("cross_page")).alias("cross_page_merges"), F.count_if(merge & F.array_contains("reasons", "soft_hyphen")).alias("soft_hyphens"))
-    if not by:
-        return a.crossJoin(b).crossJoin(c)  # one row each
-    zero = {k: 0 for k in ("n_decisions", "n_ambiguous", "cross_page_merges", "soft_hyphens")}
-    return a.join(b, list(by)).join(c, list(by), "left").fillna(zero)
+    across = F.when(F.col("action").isNotNull(), F.array(F.struct(F.lit(0).alias("seq"), F.col("q_tail.block_id").alias("previous"), F.col("head.block_id").alias("current"), "action", "reasons")))
+    tag = lambda items, cross: F.transform(items, lambda x: F.struct(x["previous"].alias("previous"), x["current"].alias("current"), x["action"].alias("action"), x["reasons"].alias("reasons"), F.lit(cross).alias("cross_page")))
+    both = F.concat(tag(F.col("inside"), False), F.coalesce(tag(across, True), F.array().cast("array<struct<previous:string,current:string,action:string,reasons:array<string>,cross_page:boolean>>")))
+    return paragraphs, p.select(*PAGE, F.explode(both).alias("d")).select(*PAGE, "d.*")
+
+
+def paragraph_metrics(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(), by: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """Raw lines and blocks, paragraphs, merged fragments, decisions, ambiguous ones, merges across pages, soft hyphens removed. by: doc, or nothing."""
+    p = page_paragraphs(fragments, o)
+    decided, merges = F.col("action").isNotNull(), F.coalesce(F.col("action") == "merge", F.lit(False))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return p.groupBy(*by).agg(
+        n("n_fragments").alias("raw_lines"), n("n_blocks").alias("raw_blocks"), F.count_if(~merges).alias("n_paragraphs"), (n("n_fragments") - F.count_if(~merges)).alias("merged"),
+        (n("n_decisions") + F.count_if(decided)).alias("n_decisions"), (n("n_ambiguous") + F.count_if(F.coalesce(F.col("action") == "ambiguous", F.lit(False)))).alias("n_ambiguous"),
+        F.count_if(merges).alias("cross_page_merges"), (n("n_soft") + F.count_if(merges & F.array_contains("reasons", "soft_hyphen"))).alias("soft_hyphens"),
+    )
 
 
 def merge_adjacent_blocks(blocks: DataFrame) -> DataFrame:
@@ -177,5 +205,5 @@ def merge_adjacent_blocks(blocks: DataFrame) -> DataFrame:
     rows = blocks.withColumn("n", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(by_page))
     items = F.sort_array(F.collect_list(F.struct("ord", "text")))
     out = rows.groupBy(*PAGE, "n").agg(items.alias("items"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    text = F.aggregate(F.slice("items", 2, F.size("items")), F.trim(F.col("items")[0]["text"]), lambda acc, x: join_text(acc, x["text"]))
+    text = F.aggregate(F.slice("items", 2, F.size("items")), strip(F.col("items")[0]["text"]), lambda acc, x: join_text(acc, x["text"]))
     return out.select(*PAGE, (F.col("n") - 1).cast("int").alias("ord"), F.format_string("p%04d-b%04d", F.col("page").cast("int"), F.col("n").cast("int")).alias("block_id"), text.alias("text"), "x0", "y0", "x1", "y1", F.size("items").alias("n_merged"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import collapse, group_id
 from quire.plans.options import RepeatedOptions
+from quire.plans.scratch import settle
 
 # What a result must agree on.
 PAGE_NUMBER = r"(?i)^\s*(?:page\s+)?(\d+)(?:\s*(?:of|/)\s*\d+)?\s*$"
@@ -29,7 +30,7 @@ def classify_repeated(blocks: DataFrame, options: RepeatedOptions = RepeatedOpti
     rows = candidates(blocks, o)
     if o.mode == "off":
         return rows.withColumns({"kind": F.lit("body"), "policy": F.lit("translate"), "confidence": F.lit(1.0), "ambiguous": F.lit(False), "group_id": F.lit(None).cast("string")})
-    return _label(rows, repeated_groups(rows, o, pages))
+    return _label(rows, settle(repeated_groups(rows, o, pages)))  # a row per repeated text
 
 
 def _label(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -52,32 +53,26 @@ def _label(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def repeated_groups(rows: DataFrame, o: RepeatedOptions, pages: DataFrame | None = None) -> DataFrame:
     """One row per group: of a text, or (sequence) of a document's page numbers. rows: from candidates()."""
-    available = (rows if pages is None else pages).select("doc", "page").distinct()
     odd = F.col("page") % 2 == 1
-    by_doc = available.groupBy("doc").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("n_pages"), F.count_if(odd).alias("n_odd"), F.count_if(~odd).alias("n_even"))
-    seen = rows.groupBy("doc").agg(F.expr("percentile(CASE WHEN font > 0 THEN font END, 0.5)").alias("doc_font"), F.count_distinct("page").alias("total_pages"))
-    numbers = rows.where("sequential").select("doc", "page").distinct().groupBy("doc").agg(F.count("*").alias("number_pages"))
-    docs = by_doc.join(seen, "doc").join(numbers, "doc", "left").withColumn("numbered", F.coalesce(F.col("number_pages") >= 2, F.lit(False)))
+    font = "percentile(CASE WHEN font > 0 THEN font END, 0.5)"
+    seen = [F.expr(font).alias("doc_font"), F.count_distinct("page").alias("total_pages"), F.count_distinct(F.when(F.col("sequential"), F.col("page"))).alias("number_pages")]
+    span = [F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count_distinct("page").alias("n_pages"), F.count_distinct(F.when(odd, F.col("page"))).alias("n_odd"), F.count_distinct(F.when(~odd, F.col("page"))).alias("n_even")]
+    docs = rows.groupBy("doc").agg(*seen, *span) if pages is None else rows.groupBy("doc").agg(*seen).join(pages.groupBy("doc").agg(*span), "doc")
+    docs = settle(docs.withColumn("numbered", F.col("number_pages") >= 2))  # a row per document
     rest = rows.join(docs.select("doc", "numbered", "first_page", "last_page"), "doc").where(~(F.col("sequential") & F.col("numbered")))
     edge = lambda c, size: F.col(c) / F.col(size)
     spread = {"x0": "page_w", "y0": "page_h", "x1": "page_w", "y1": "page_h"}
-    font = F.when(F.col("font") > 0, F.col("font"))
-    # by page first: then a text has a row per page, pages are counted and not collected, and a text on every page of a huge document is no large state
-    per_page = rest.groupBy(*KEY, "page").agg(
-        F.min("region").alias("region"), F.max("region").alias("region_max"), F.max("first_page").alias("first_page"), F.max("last_page").alias("last_page"),
-        *[f(edge(c, s)).alias(f"{c}_{k}") for c, s in spread.items() for k, f in (("min", F.min), ("max", F.max))],
-        F.count("*").alias("n"),
-    )
-    font_of = rest.groupBy(*KEY).agg(F.min(font).alias("font_min"), F.max(font).alias("font_max"), F.expr("percentile(CASE WHEN font > 0 THEN font END, 0.5)").alias("font_mid"), F.min("font").alias("font_least"))
-    on_odd = F.col("page") % 2 == 1
-    per_text = per_page.groupBy(*KEY).agg(
-        F.count("*").alias("observed"), F.count_if(on_odd).alias("seen_odd"), F.count_if(~on_odd).alias("seen_even"),
+    sized = F.when(F.col("font") > 0, F.col("font"))
+    # pages are counted and not collected, and what can be is summed before the shuffle, so a text on every page of a huge document is no large state
+    per_text = rest.groupBy(*KEY).agg(
+        F.count_distinct("page").alias("observed"), F.count_distinct(F.when(odd, F.col("page"))).alias("seen_odd"), F.count_distinct(F.when(~odd, F.col("page"))).alias("seen_even"),
         F.max(F.col("page") == F.col("first_page")).alias("on_first"), F.max(F.col("page") == F.col("last_page")).alias("on_last"),
-        F.min("region").alias("region"), F.max("region_max").alias("region_max"),
-        *[(F.max(f"{c}_max") - F.min(f"{c}_min")).alias(f"spread_{c}") for c in spread],
-        F.min("y0_min").alias("y_least"), F.max("y0_max").alias("y_most"), F.sum("n").cast("long").alias("n_blocks"),
+        F.min("region").alias("region"), F.max("region").alias("region_max"),
+        *[(F.max(edge(c, size)) - F.min(edge(c, size))).alias(f"spread_{c}") for c, size in spread.items()],
+        F.min(edge("y0", "page_h")).alias("y_least"), F.max(edge("y0", "page_h")).alias("y_most"), F.count("*").alias("n_blocks"),
+        F.min(sized).alias("font_min"), F.max(sized).alias("font_max"), F.expr(font).alias("font_mid"), F.min("font").alias("font_least"),
     ).where((F.col("norm") != "") & (F.col("observed") >= 2))
-    g = per_text.join(font_of, KEY).join(docs.drop("first_page", "last_page"), "doc")
+    g = per_text.join(docs.drop("first_page", "last_page"), "doc")
     head = F.when(F.col("on_first"), 0).otherwise(1)
     tail = F.when((F.col("n_pages") - head > 0) & ~F.col("on_last"), 1).otherwise(0)
     g = g.withColumn("raw", F.col("observed") / F.greatest(F.col("n_pages") - head - tail, F.lit(1)))

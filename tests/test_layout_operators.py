@@ -14,7 +14,7 @@ def kinds(labelled):
 def test_stacked_blocks_are_one_paragraph(blocks):
     b = blocks([(1, i, f"generated continuation {i}", 50, 20 + 12 * i, 550, 30 + 12 * i, 10) for i in range(1000)], height=13000.0)
     p, d = paragraphs_of(b)
-    m = paragraph_metrics(b, p, d).first()
+    m = paragraph_metrics(b).first()
     assert (m["n_decisions"], m["merged"], m["n_paragraphs"]) == (999, 999, 1)
 
 
@@ -22,7 +22,7 @@ def test_soft_hyphen_and_legitimate_one(blocks):
     soft = blocks([(1, 0, "A deterministic para-", 50, 100, 500, 110, 10), (1, 1, "graph continues on the next line", 50, 114, 500, 124, 10)])
     p, d = paragraphs_of(soft)
     assert p.first()["text"] == "A deterministic paragraph continues on the next line"
-    assert paragraph_metrics(soft, p, d).first()["soft_hyphens"] == 1
+    assert paragraph_metrics(soft).first()["soft_hyphens"] == 1
     real = blocks([(1, 0, "A well-", 50, 100, 500, 110, 10), (1, 1, "known term remains protected.", 50, 114, 500, 124, 10), (1, 2, "1. First item", 50, 150, 500, 160, 10), (1, 3, "2. Second item", 50, 164, 500, 174, 10)])
     found = paragraphs_of(real)[0].orderBy("para").collect()
     assert found[0]["text"].startswith("A well- known") and [r["kind"] for r in found[1:]] == ["list_item", "list_item"]
@@ -37,7 +37,7 @@ def test_two_columns_left_first(blocks):
 def test_across_pages_and_off(blocks):
     b = blocks([(1, 0, "Sentence continues", 50, 760, 500, 774, 10), (2, 0, "on the next page.", 50, 20, 500, 34, 10)])
     p, d = paragraphs_of(b)
-    assert p.count() == 1 and paragraph_metrics(b, p, d).first()["cross_page_merges"] == 1
+    assert p.count() == 1 and paragraph_metrics(b, by=()).first()["cross_page_merges"] == 1
     alone, none = paragraphs_of(b, ParagraphOptions(mode="off"))
     assert alone.count() == 2 and none.count() == 0
 
@@ -98,7 +98,7 @@ def test_findings_and_statuses(spark):
     s = spark.createDataFrame(rows, "sample_id string, source string, output string, protected array<string>, n_segments int, n_outputs int, forced boolean")
     found = quality.analyse(s)
     codes = {(r["sample_id"], r["code"]): r["evidence"] for r in found.collect()}
-    assert set(codes) == {("b", "number-damaged"), ("b", "segment-count-mismatch"), ("b", "forced-split"), ("c", "untranslated-output")} and codes["b", "number-damaged"] == ["12"]
+    assert set(codes) == {("b", "number-damaged"), ("b", "segment-count-mismatch"), ("b", "forced-segmentation"), ("c", "untranslated-output")} and codes["b", "number-damaged"] == ["12"]
     assert {r["sample_id"]: r["status"] for r in quality.statuses(s, found).collect()} == {"a": "passed", "b": "failed", "c": "failed"}
 
 
