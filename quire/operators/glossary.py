@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import re
@@ -97,11 +98,15 @@ def matches(c: Column, glossary: Glossary) -> Column:
         out = []
         for text in texts.to_pylist():
             found = sorted((-t.priority, m.start() - m.end(), not t.case_sensitive, -RANK[t.match], t.id, m.start(), m.end()) for t, p in patterns for m in p.finditer(text or ""))
+            # taken spans stay sorted and apart, so only the two neighbours of a place can be in the way
+            starts: list[int] = []
             taken: list[tuple[int, int, str]] = []
             for *_, term, start, end in found:
-                if all(end <= a or b <= start for a, b, _ in taken):
-                    taken.append((start, end, term))
-            out.append([{"start": a, "end": b, "term": i} for a, b, i in sorted(taken)])
+                at = bisect.bisect_left(starts, start)
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= starts[at]):
+                    starts.insert(at, start)
+                    taken.insert(at, (start, end, term))
+            out.append([{"start": a, "end": b, "term": i} for a, b, i in taken])
         return pa.array(out, kind)
 
     return find(c)
