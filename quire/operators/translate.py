@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import cache_key, normalize, protect, recombine, restore, segment, skips_translation
+from quire.functions.text import CORE_MARK, cache_key, normalize, protect, restore_one, segment, skips_translation
 from quire.operators.glossary import Glossary, matches, prepare
 from quire.plans.options import TranslationOptions
 
@@ -78,28 +79,24 @@ def translate_misses(misses: DataFrame, o: TranslationOptions, translator: type
     rows = rows.withColumn("p", protect(F.col("text"))).withColumn("s", segment(F.col("p.text"), o.token_limit, counter))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
+        model, core = None, re.compile(CORE_MARK)
         for batch in batches:
             if model is None and len(batch):
                 model = translator()
             texts = [x["text"] for segments in batch["segments"] for x in segments]
             done = [y for i in range(0, len(texts), o.batch_size) for y in halving(model, texts[i : i + o.batch_size])]
             at, out = 0, []
-            for segments in batch["segments"]:
-                out.append(done[at : at + len(segments)])
+            for segments, *marked in zip(batch["segments"], batch["tokens"], *([batch["terms"]] if glossary else []), strict=True):
+                text = "".join(d + x["separator"] for d, x in zip(done[at : at + len(segments)], segments, strict=True))
                 at += len(segments)
-            yield batch[["cache_key"]].assign(outputs=out)
+                # tokens come back before glossary terms, whose marks are themselves tokens
+                for marks in marked:
+                    text = None if text is None else restore_one(text, marks, core)
+                out.append(text)
+            yield batch[["cache_key"]].assign(translated=out, n_segments=batch["segments"].map(len), forced=batch["forced"])
 
-    schema = "cache_key string, outputs array<string>"
     kept = rows.select("cache_key", F.col("s.segments").alias("segments"), F.col("s.forced").alias("forced"), F.col("p.tokens").alias("tokens"), *(["terms"] if glossary else []))
-    outputs = kept.select("cache_key", "segments").mapInPandas(run, schema)
-    joined = kept.join(outputs, "cache_key")
-    # tokens come back before glossary terms, whose marks are themselves tokens
-    text = restore(recombine(F.col("segments"), F.col("outputs")), F.col("tokens"))
-    joined = joined.withColumn("translated", text)
-    if glossary is not None:
-        joined = joined.withColumn("translated", restore(F.col("translated"), F.col("terms")))
-    return joined.select("cache_key", "translated", F.size("segments").alias("n_segments"), "forced")
+    return kept.mapInPandas(run, "cache_key string, translated string, n_segments int, forced boolean")
 
 
 def finish_units(planned: DataFrame, translated: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from quire.operators.layout import plan_layout
 from quire.operators.pages import classify_pages, inspect, ocr_targets
 from quire.operators.paragraphs import paragraphs_of
 from quire.operators.repeated import classify_repeated
-from quire.operators.translate import PrefixTranslator, finish_units, new_memory, plan_units, translate_misses
+from quire.operators.translate import PrefixTranslator, finish_units, new_memory, plan_units, policies, translate_misses
 from quire.plans.options import LayoutOptions, PageOptions, ParagraphOptions, RepeatedOptions, TranslationOptions, identity
+from quire.plans.scratch import settle
 from quire.sources.files import Memory, Workspace
 
 
@@ -43,23 +44,24 @@ class DocumentRun:
         kinds = classify_repeated(blocks, self.repeated)
         fragments = kinds.withColumnRenamed("kind", "repeated").drop("norm", "region", "sequential", "confidence", "ambiguous", "group_id")
         paragraphs, decisions = paragraphs_of(fragments.drop("policy"), self.paragraphs)
-        own = kinds.select("doc", F.col("block_id").alias("id"), "policy")
-        units = paragraphs.join(own, ["doc", "id"], "left").select(F.concat_ws("#", "doc", "para").alias("unit_id"), F.struct("doc", "para").alias("unit_order"), "doc", "page", "id", "kind", "text", F.coalesce("policy", F.lit("translate")).alias("policy"), "x0", "y0", "x1", "y1")
+        own = policies(paragraphs.select("doc", "para", F.explode("blocks").alias("block_id")), kinds.where("kind <> 'body'"))
+        units = paragraphs.join(own, ["doc", "para"], "left").select(F.concat_ws("#", "doc", "para").alias("unit_id"), F.struct("doc", "para").alias("unit_order"), "doc", "page", "id", "kind", "text", F.coalesce("policy", F.lit("translate")).alias("policy"), "x0", "y0", "x1", "y1")
         return units, decisions
 
     def translate(self, units: DataFrame, memory: Memory | None = None) -> DataFrame:
+        """The model sees each distinct text once: what it gave is written, and both the memory and the result read it there."""
         known = memory.read() if memory is not None and memory.exists() else None
-        planned = plan_units(units, known, self.translation, self.glossary)
-        done = translate_misses(planned.where("status = 'miss'"), self.translation, self.translator, self.glossary)
+        planned = settle(plan_units(units, known, self.translation, self.glossary))
+        done = settle(translate_misses(planned.where("status = 'miss'"), self.translation, self.translator, self.glossary))
         if memory is not None:
             memory.put(new_memory(done))
         return finish_units(planned, done)
 
-    def run(self, blocks: DataFrame, root: str, source_hash: str) -> dict[str, DataFrame]:
+    def run(self, blocks: DataFrame, root: str, source_hash: str, memory: Memory | None = None) -> dict[str, DataFrame]:
         """All stages, each kept under the run's identity and reused when it is complete."""
         space = Workspace(self.spark, root, self.run_id(source_hash))
         units = space.stage("units", lambda: self.reconstruct(blocks)[0])
-        finished = space.stage("translated", lambda: self.translate(units))
+        finished = space.stage("translated", lambda: self.translate(units, memory))
         fonts = blocks.groupBy("doc", F.col("block_id").alias("id")).agg(F.collect_list("font").alias("sizes"), F.first("page_h").alias("page_h"))
         drawn = finished.where(~F.col("policy").isin("preserve", "skip", "remove")).join(fonts, ["doc", "id"]).withColumnRenamed("id", "block_id")
         planned = space.stage("layout", lambda: plan_layout(drawn, self.layout))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import fold_case
+
 DOCUMENT = "schema_version string, doc string, sha256 string, file_size long, pages array<struct<page:int,width:double,height:double,class:string,blocks:array<struct<id:string,text:string,x0:double,y0:double,x1:double,y1:double,translated:string>>>>, paragraphs array<struct<id:string,page:int,kind:string,text:string,translated:string>>"
 TRANSLATED = re.compile(r"\.ru\.pdf$", re.IGNORECASE)
 
@@ -53,6 +55,21 @@ def output_name(path: Column) -> Column:
     return F.regexp_replace(path, r"(?i)\.pdf$", ".ru.pdf")
 
 
+def named_output(path: Column, kind: str) -> Column:
+    """Names beside a source or an output: translated, debug, failed, or (of a folder) batch."""
+    stem = F.regexp_replace(path, r"\.[^./]*$", "")
+    return {"translated": F.concat(stem, F.lit(".ru.pdf")), "debug": F.concat(stem, F.lit(".debug.pdf")), "failed": F.concat(stem, F.lit(".failed-render.pdf")), "batch": F.concat(F.rtrim(path, F.lit("/")), F.lit("_ru"))}[kind]
+
+
+def generated_id(path: Column) -> Column:
+    """The id of a document that a manifest doesn't name."""
+    return F.concat(F.lit("document-"), F.left(F.sha2(fold_case(path), 256), F.lit(12)))
+
+
+def folder_size(files: DataFrame) -> DataFrame:
+    return files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("bytes"), F.count("*").alias("n_files"))
+
+
 def scan_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
     """path, file_size, sha256 and content of a folder's files, at any depth."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
@@ -113,8 +130,12 @@ class Memory:
         rows = self.spark.read.schema(MEMORY).option("recursiveFileLookup", "true").parquet(self.path)
         return merge_memory(rows, rows.limit(0))
 
-    def put(self, fresh: DataFrame) -> None:
-        fresh.write.mode("append").parquet(self.path)
+    def put(self, fresh: DataFrame, update: str | None = None) -> None:
+        """Adds rows; under a name of its own an update can be repeated."""
+        if update is None:
+            fresh.write.mode("append").parquet(self.path)
+        else:
+            fresh.write.mode("overwrite").parquet(f"{self.path}/{update}")
 
     def exists(self) -> bool:
         fs = self.spark._jvm.org.apache.hadoop.fs

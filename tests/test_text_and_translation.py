@@ -1,15 +1,23 @@
+import re
+import sys
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators.glossary import Glossary, Term, conflicts, glossary_matches, prepare, matches
 from quire.operators.translate import PrefixTranslator, finish_units, halving, merge_memory, new_memory, plan_units, run_counters, translate_misses
 from quire.plans.options import TranslationOptions
+from quire.plans.pipeline import DocumentRun
 from quire.sources.files import Memory, glob_matches, parse_pages, skip_reasons, typed_blocks
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the models below go to workers
+
+
 def one(spark, text, column):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first()["x"]
 
@@ -117,6 +125,67 @@ class Small(PrefixTranslator):
         return super().translate_batch(texts)
 
 
+class Logged(PrefixTranslator):
+    """Writes down each text that it is given; its answers differ from call to call."""
+
+    folder = ""
+
+    def translate_batch(self, texts):
+        import os
+        import uuid
+
+        with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as f:
+            f.write("\n".join(texts))
+        return [f"RU {t} {uuid.uuid4().hex}" for t in texts]
+
+
+def logged(folder):
+    folder.mkdir()
+    return type("LoggedHere", (Logged,), {"folder": str(folder)}), lambda: sorted(line for p in folder.iterdir() for line in p.read_text().split("\n"))
+
+
+def test_each_text_is_translated_once(spark, tmp_path):
+    """Also where the result and the memory are read several times."""
+    model, asked = logged(tmp_path / "log")
+    units = spark.createDataFrame([(str(i), i, f"text {'abc'[i % 3]} here", "translate") for i in range(9)], UNITS)
+    memory = Memory(spark, str(tmp_path / "memory"))
+    done = DocumentRun(spark, translator=model).translate(units, memory)
+    first = {r["unit_id"]: r["translated"] for r in done.collect()}
+    assert {r["unit_id"]: r["translated"] for r in done.collect()} == first
+    assert {r["translated_text"] for r in memory.read().collect()} == set(first.values()) and len(set(first.values())) == 3
+    assert asked() == ["text a here", "text b here", "text c here"]
+
+
+def test_a_repeated_micro_batch_asks_no_model_again(spark, tmp_path):
+    import shutil
+
+    from quire.streaming.incremental import translate_stream
+
+    model, asked = logged(tmp_path / "log")
+    units = spark.createDataFrame([(str(i), i, f"text {'abc'[i % 3]} here", "translate") for i in range(5)], UNITS)
+    units.write.parquet(str(tmp_path / "in"))
+    out = tmp_path / "out"
+    run = lambda: translate_stream(spark, spark.readStream.schema(UNITS).parquet(str(tmp_path / "in")), str(out), translator=model).awaitTermination()
+    rows = lambda: sorted(map(tuple, spark.read.parquet(str(out / "translated")).select("unit_id", "status", "translated").collect()))
+    run()
+    before = rows()
+    for p in [*(out / "checkpoint" / "commits").iterdir(), out / "translated"]:  # as if it had been killed before the commit
+        shutil.rmtree(p) if p.is_dir() else p.unlink()
+    run()
+    assert rows() == before and asked() == ["text a here", "text b here", "text c here"]
+
+
+def test_long_words_and_many_tokens():
+    """Bisection over a long word, and one pass over thousands of marks."""
+    calls = []
+    s = T.segment_one("x" * 20_000, 512, lambda t: calls.append(1) or len(t))
+    assert [len(x["text"]) for x in s["segments"]] == [512] * 39 + [32] and s["forced"] and len(calls) < 2000
+    tokens = [{"mark": f"__KEEP_{i:04d}__", "token": str(i)} for i in range(20_000)]
+    core = re.compile(T.CORE_MARK)
+    assert T.restore_one(" ".join(t["mark"] for t in tokens), tokens, core) == " ".join(map(str, range(20_000)))
+    assert T.restore_one("___KEEP_0000___ __KEEP_0000__", [{"mark": "___KEEP_0000___", "token": "x"}], core) == "x __KEEP_0000__"
+
+
 def test_halving():
     assert halving(Small(), list("abcde")) == [f"RU {x}" for x in "abcde"]
 
