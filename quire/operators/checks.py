@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.sources.files import glob_matches
 
@@ -73,3 +74,47 @@ def resumable(run: DataFrame, units: DataFrame, stored: DataFrame, identity: str
     other = run.where(F.col("identity") != identity).select(F.lit("identity differs").alias("reason"))
     changed = units.join(stored.withColumnRenamed("text", "was"), "unit_id", "full_outer").where(~F.col("text").eqNullSafe(F.col("was"))).limit(1).select(F.lit("units differ").alias("reason"))
     return other.unionByName(changed)
+
+
+def first_boxes(fragments: DataFrame) -> DataFrame:
+    """Fragments with repeated: whether an earlier one (para, frag) has the same box on the same page, so that it is taken out once."""
+    earlier = F.row_number().over(Window.partitionBy("doc", "page", "x0", "y0", "x1", "y1").orderBy("para", "frag"))
+    return fragments.withColumn("repeated", earlier > 1)
+
+
+def shown(ids: Column, most: int = 8) -> Column:
+    """The first ids of a list, for a message."""
+    return F.array_join(F.slice(ids, 1, most), ", ")
+
+
+def snippet(text: Column, most: int = 240) -> Column:
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(most)), F.lit("...")))
+
+
+def rounded_box(*box: Column) -> Column:
+    """Half to even, as floating-point numbers are rounded."""
+    return F.array(*[F.bround(c, 2) for c in box])
+
+
+def first_known(value: str, order: str) -> Column:
+    """Of a group: the first value, in order, that there is."""
+    return F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+
+
+def iterations(runs: DataFrame, warmup: int) -> DataFrame:
+    """The runs of each batch size numbered from 0, warm-ups by themselves. runs: batch, place."""
+    n = F.row_number().over(Window.partitionBy("batch").orderBy("place")) - 1
+    return runs.withColumn("n", n).withColumns({"warmup": F.col("n") < warmup, "iteration": F.when(F.col("n") < warmup, F.col("n")).otherwise(F.col("n") - warmup)}).drop("n")
+
+
+def distinct_in_order(warnings: DataFrame, *by: str) -> DataFrame:
+    """The warnings of a group, each once, in the order of their first occurrence. warnings: place, warning."""
+    firsts = warnings.groupBy(*by, "warning").agg(F.min("place").alias("place"))
+    items = F.sort_array(F.collect_list(F.struct("place", "warning")))
+    return firsts.groupBy(*by).agg(F.transform(items, lambda x: x["warning"]).alias("warnings"))
+
+
+def compatible_runs(stored: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """Of each stored run the facts that differ from those wanted; none: it can be resumed. stored: run, and a column for each fact."""
+    differ = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.lit(v)), F.lit(c)) for c, v in wanted.items()]))
+    return stored.select("run", differ.alias("differ"), (F.size(differ) == 0).alias("resumable"))

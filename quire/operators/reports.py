@@ -79,3 +79,37 @@ def invariants(documents: DataFrame) -> DataFrame:
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]))
     return documents.select("doc", F.explode(found).alias("violation"))
+
+
+def document_summary(pages: DataFrame, units: DataFrame, metrics: DataFrame, labelled: DataFrame, layout: DataFrame, timings: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """The counters of a report, a row per document; without texts.
+
+    pages: doc, class, ocr. units: doc, status, n_segments. metrics: doc and the reconstruction counters. labelled: doc, kind, ambiguous. layout: doc,
+    font_size, font_first, expanded, overflow. timings: doc, stage, seconds. terms: doc, term, mode, n, n_violations.
+    """
+    counts = lambda rows, key, name: rows.groupBy("doc", key).agg(F.count("*").alias("n")).groupBy("doc").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(name))
+    sums = pages.groupBy("doc").agg(F.count("*").alias("page_count"), F.count_if("ocr").alias("ocr_pages"))
+    s = F.col("status")
+    done = units.groupBy("doc").agg(
+        F.count("*").alias("blocks_extracted"), F.count_if(s.isin("hit", "miss")).alias("blocks_translated"), F.count_if(s == "skipped").alias("blocks_skipped"), F.count_if(s == "hit").alias("cache_hits"),
+        F.count_if(s == "miss").alias("cache_misses"), F.coalesce(F.sum(F.when(s == "miss", F.col("n_segments"))), F.lit(0)).cast("long").alias("translated_segments"),
+    )
+    repeated = counts(labelled.where("kind <> 'body'"), "kind", "repeated_elements")
+    doubtful = labelled.groupBy("doc").agg(F.count_if("ambiguous").alias("ambiguous_repeated_elements"))
+    drawn = layout.groupBy("doc").agg(F.count_if(F.col("font_size") < F.col("font_first")).alias("font_reductions"), F.count_if("expanded").alias("expanded_blocks"), F.count_if("overflow").alias("overflow_blocks"))
+    took = timings.groupBy("doc").agg(F.sum("seconds").alias("elapsed_seconds"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "seconds")))).alias("stage_durations"))
+    parts = [counts(pages, "class", "pages_by_type"), done, metrics.select("doc", "raw_lines", F.col("n_paragraphs").alias("logical_paragraphs"), F.col("n_ambiguous").alias("ambiguous_decisions"), "cross_page_merges"), repeated, doubtful, drawn, took]
+    if terms is not None:
+        n = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")
+        parts.append(terms.groupBy("doc").agg(
+            F.count("*").alias("glossary_total_entries"), F.count_if(F.col("n") > 0).alias("glossary_matched_entries"), F.count_if(F.col("n") == 0).alias("glossary_unmatched_entries"), n(F.lit(True)).alias("glossary_applied_occurrences"),
+            n(F.col("mode") == "preserve").alias("glossary_preserved_occurrences"), n(F.col("mode") == "translate").alias("glossary_translation_occurrences"), F.sum("n_violations").cast("long").alias("glossary_violations"),
+        ))
+    for part in parts:
+        sums = sums.join(part, "doc", "left")
+    return sums.withColumn("glossary_enabled", F.lit(terms is not None))
+
+
+def failure_report(runs: DataFrame) -> DataFrame:
+    """The form of a report for a run that failed: its stage and error, exit code, and no texts. runs: run, doc, stage, error, message."""
+    return runs.where("error IS NOT NULL").select("run", "doc", F.lit("failed").alias("status"), "stage", "error", "message", exit_code(F.col("error")).alias("exit_code"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-SAMPLES = "dataset_version string, samples array<struct<id:string,category:string,source:string,reference:string,context:string,protected_tokens:array<string>,notes:string,stage_trace:struct<extracted_text:string,observed_translation:string,rendered_text:string>,human_review:struct<adequacy:int,fluency:int,terminology:int,token_preservation:int,segmentation:int,overall_acceptability:int>>>"
+SAMPLES = "dataset_version string, samples array<struct<id:string,category:string,source:string,reference:string,context:string,protected_tokens:array<string>,notes:string,stage_trace:struct<extracted_text:string,source_segments:array<string>,translated_segments:array<string>,observed_translation:string,rendered_text:string>,human_review:struct<adequacy:int,fluency:int,terminology:int,token_preservation:int,segmentation:int,overall_acceptability:int>>>"
 REVIEWS = "reviews array<struct<document_id:string,checks:map<string,string>>>"
 MANIFEST = "documents array<struct<document_id:string,path:string,categories:array<string>,notes:string>>"
 
@@ -26,8 +27,21 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a corpus; a path outside its folder is an error."""
     rows = spark.read.schema(MANIFEST).option("multiLine", "true").json(path).select(F.explode("documents").alias("d")).select("d.*")
-    bad = F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")
-    return rows.withColumn("path", F.when(bad, F.raise_error(F.concat(F.lit("not a path inside the corpus: "), "path"))).otherwise(F.col("path")))
+    return rows.withColumn("path", F.when(escapes(F.col("path")), F.raise_error(F.concat(F.lit("not a path inside the corpus: "), "path"))).otherwise(F.col("path")))
+
+
+def escapes(path: Column) -> Column:
+    """Whether a path is not one below the folder that it is relative to."""
+    return F.coalesce((path == "") | path.startswith("/") | path.rlike(r"^[A-Za-z]:") | path.rlike(r"(^|[/\\\\])\.\.([/\\\\]|$)"), F.lit(True))
+
+
+def manifest_problems(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """A row for each problem of a manifest: a path outside the corpus, an id or a path again (in any case of letters), a file that isn't there."""
+    again = lambda c: F.count("*").over(Window.partitionBy(F.lower(c))) > 1
+    there = files.select(F.col("path").alias("there")).distinct()
+    rows = manifest.withColumns({"id_again": again("document_id"), "path_again": again("path")}).join(there, F.col("path") == F.col("there"), "left")
+    found = F.array_compact(F.array(F.when(escapes(F.col("path")), "outside"), F.when(F.col("id_again"), "id repeated"), F.when(F.col("path_again"), "path repeated"), F.when(F.col("there").isNull(), "missing")))
+    return rows.select("document_id", F.explode(found).alias("problem"))
 
 
 def missing_documents(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -59,8 +73,31 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("errorifexists").json(path)
 
 
-def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A report table; a bounded number of rows, since it is text for readers."""
-    found = rows.limit(most).collect()
-    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found]) + "\n"
+def write_text(lines: DataFrame, path: str) -> None:
+    """Lines (place, value) in order as one text file; never over another."""
+    lines.repartitionByRange(1, "place").sortWithinPartitions("place").select("value").write.mode("errorifexists").text(path)
+
+
+def _cell(c: str) -> Column:
+    return F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+
+
+def markdown(rows: DataFrame, title: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """The lines (place, value) of a report table with all rows, in the given order or else that of all columns."""
+    sql = rows.sparkSession
+    head = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
+    lines = sql.createDataFrame([(i - len(head), line) for i, line in enumerate(head)], "place long, value string")
+    number = F.row_number().over(Window.orderBy(*(order or rows.columns))).cast("long")  # reports are small: rows that a reader reads
+    body = rows.select(number.alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(c) for c in rows.columns]), F.lit(" |")).alias("value"))
+    return lines.unionByName(body)
+
+
+def html(rows: DataFrame, title: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """The lines (place, value) of a page with one table; texts are escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    head = ["<!doctype html>", '<meta charset="utf-8">', f"<title>{title}</title>", "<table>", "<tr>" + "".join(f"<th>{c}</th>" for c in rows.columns) + "</tr>"]
+    lines = rows.sparkSession.createDataFrame([(i - len(head), line) for i, line in enumerate(head)], "place long, value string")
+    number = F.row_number().over(Window.orderBy(*(order or rows.columns))).cast("long")
+    body = rows.select(number.alias("place"), F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), safe(F.col(c)), F.lit("</td>")) for c in rows.columns], F.lit("</tr>")).alias("value"))
+    last = rows.sparkSession.createDataFrame([((1 << 62), "</table>")], "place long, value string")
+    return lines.unionByName(body).unionByName(last)

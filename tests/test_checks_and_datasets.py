@@ -72,7 +72,13 @@ def test_datasets(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"documents": [{"document_id": "d", "path": "../x.pdf", "categories": []}]}))
     with pytest.raises(Exception, match="inside the corpus"):
         datasets.read_manifest(spark, str(tmp_path / "m.json")).collect()
-    assert datasets.markdown(spark.createDataFrame([(1, None)], "a int, b int"), "T").endswith("| 1 |  |\n")
+    table = spark.createDataFrame([(i, None if i % 2 else "a|<b>") for i in range(1500)], "a int, b string")
+    lines = [r["value"] for r in datasets.markdown(table, "T", ("a",)).orderBy("place").collect()]
+    assert lines[:3] == ["# T", "", "| a | b |"] and len(lines) == 1504 and lines[4:6] == ["| 0 | a\\|<b> |", "| 1 |  |"]
+    page = [r["value"] for r in datasets.html(table, "T", ("a",)).orderBy("place").collect()]
+    assert page[5] == "<tr><td>0</td><td>a|&lt;b&gt;</td></tr>" and page[-1] == "</table>" and len(page) == 1506
+    datasets.write_text(datasets.markdown(table, "T", ("a",)), str(tmp_path / "report"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()] == lines
 
 
 def test_comparison_and_reviews(spark):
