@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import EMAIL, URL, cache_key, normalize, protect, restore, segment, skips_translation
+from quire import cases
+from quire.functions.text import CODE_LINE, DRIVE_PATH, EMAIL, LIGATURES, MEASUREMENTS, SPACES, URL, cache_key, normalize, protect, restore, segment, skips_translation
 from quire.operators import layout, pages, paragraphs, performance, quality, repeated, reports, translate
 from quire.operators.glossary import Glossary, Term, compliance, glossary_matches, statistics
 from quire.plans.options import LayoutOptions, TranslationOptions
@@ -16,7 +17,13 @@ from quire.sources import adapters
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-COMPOSED = True  # the tables' texts are NFC already
+
+#: SQL for a text with ligatures expanded, in NFC; and for white space of Unicode at the ends of one.
+_SOURCE = "text"
+for _one, _many in LIGATURES:
+    _SOURCE = f"replace({_SOURCE}, '{_one}', '{_many}')"
+_SOURCE = f"nfc_normalize({_SOURCE})"
+_SPACES = "'" + "'||chr(28)||chr(29)||chr(30)||chr(31)||'".join(SPACES.split("\x1c\x1d\x1e\x1f")) + "'"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -137,13 +144,13 @@ pk AS (SELECT *, regexp_replace(text, '\PL', '', 'g') AS letters FROM blocks),
 pl AS (SELECT *, CASE WHEN regexp_matches(text, '^\s*(?:[•◦▪‣]|[-*+]\s|\(?\d+[.)]\s|[A-Za-z][.)]\s)') THEN 'list_item' WHEN regexp_matches(text, '(?i)^\s*(?:figure|fig\.?|table|chart|image)\s+\d+\b') THEN 'caption'
   WHEN letters <> '' AND upper(letters) = letters AND regexp_matches(letters, '\p{{Lu}}') THEN 'heading' ELSE 'body' END AS kind FROM pk),
 pd AS (SELECT *, lag(kind) OVER w AS pkind, lag(text) OVER w AS ptext, lag(block_id) OVER w AS pblock FROM pl WINDOW w AS (PARTITION BY doc, page ORDER BY y0, x0, block_id)),
-pf AS (SELECT *, regexp_matches(text, '^\s*\p{{Ll}}') AS lower_start, rtrim(ptext) <> '' AND right(rtrim(ptext), 1) NOT IN ('.', '?', '!', ':', ';') AS open_end, {_SOFT.format(a="rtrim(ptext)", b="text")} AS soft FROM pd),
+pf AS (SELECT *, regexp_matches(text, '^\s*\p{{Ll}}') AS lower_start, rtrim(ptext, {_SPACES}) <> '' AND right(rtrim(ptext, {_SPACES}), 1) NOT IN ('.', '?', '!', ':', ';') AS open_end, {_SOFT.format(a=f"rtrim(ptext, {_SPACES})", b="text")} AS soft FROM pd),
 pa AS (SELECT *, CASE WHEN pkind IS NULL THEN NULL WHEN pkind <> 'body' OR kind <> 'body' THEN 'keep' WHEN soft OR lower_start OR open_end THEN 'merge' ELSE 'ambiguous' END AS action FROM pf),
 pb AS (SELECT *, sum(CASE WHEN action = 'merge' THEN 0 ELSE 1 END) OVER (PARTITION BY doc, page ORDER BY y0, x0, block_id) AS local, lead(action) OVER (PARTITION BY doc, page ORDER BY y0, x0, block_id) AS after FROM pa),
 pg AS (SELECT doc, page, local, min(kind) AS kind, min(y0) AS y0, max(y1) AS y1, arg_min(text, y0) AS head, arg_max(text, y0) AS tail, count(*) AS n FROM pb GROUP BY doc, page, local),
 pq AS (SELECT *, lag(page) OVER w AS qpage, lag(kind) OVER w AS qkind, lag(y1) OVER w AS qy1, lag(tail) OVER w AS qtail FROM pg WINDOW w AS (PARTITION BY doc ORDER BY page, local)),
 pr AS (SELECT *, CASE WHEN qpage IS NULL OR qpage = page THEN NULL WHEN page <> qpage + 1 OR qkind <> 'body' OR kind <> 'body' THEN 'keep'
-  WHEN regexp_matches(head, '^\s*\p{{Ll}}') OR (rtrim(qtail) <> '' AND right(rtrim(qtail), 1) NOT IN ('.', '?', '!', ':', ';')) THEN CASE WHEN qy1 >= 800 * 0.82::DOUBLE AND y0 <= 800 * 0.18::DOUBLE THEN 'merge' ELSE 'ambiguous' END ELSE 'keep' END AS action FROM pq)"""
+  WHEN regexp_matches(head, '^\s*\p{{Ll}}') OR (rtrim(qtail, {_SPACES}) <> '' AND right(rtrim(qtail, {_SPACES}), 1) NOT IN ('.', '?', '!', ':', ';')) THEN CASE WHEN qy1 >= 800 * 0.82::DOUBLE AND y0 <= 800 * 0.18::DOUBLE THEN 'merge' ELSE 'ambiguous' END ELSE 'keep' END AS action, {_SOFT.format(a=f"rtrim(qtail, {_SPACES})", b="head")} AS soft FROM pq)"""
 
 
 @query(f"WITH {_PARAGRAPHS} SELECT action, cross_page, count(*) AS n FROM (SELECT action, false AS cross_page FROM pa UNION ALL SELECT action, true FROM pr) WHERE action IS NOT NULL GROUP BY action, cross_page")
@@ -155,13 +162,11 @@ def paragraph_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_PARAGRAPHS},
 x AS (SELECT doc, count(*) AS raw_lines, count(DISTINCT block_id) AS raw_blocks, count(*) FILTER (WHERE action = 'ambiguous') AS amb, count(action) AS n_dec, count(*) FILTER (WHERE action = 'merge' AND soft) AS soft FROM pa GROUP BY doc),
-y AS (SELECT doc, count(*) FILTER (WHERE action IS DISTINCT FROM 'merge') AS n_paragraphs, count(action) AS n_dec, count(*) FILTER (WHERE action = 'ambiguous') AS amb, count(*) FILTER (WHERE action = 'merge') AS cross_merges FROM pr GROUP BY doc)
-SELECT x.doc, raw_lines, raw_blocks, n_paragraphs, raw_lines - n_paragraphs AS merged, x.n_dec + y.n_dec AS n_decisions, x.amb + y.amb AS n_ambiguous, cross_merges AS cross_page_merges FROM x JOIN y ON x.doc = y.doc""")
+y AS (SELECT doc, count(*) FILTER (WHERE action IS DISTINCT FROM 'merge') AS n_paragraphs, count(action) AS n_dec, count(*) FILTER (WHERE action = 'ambiguous') AS amb, count(*) FILTER (WHERE action = 'merge') AS cross_merges, count(*) FILTER (WHERE action = 'merge' AND soft) AS soft FROM pr GROUP BY doc)
+SELECT x.doc, raw_lines, raw_blocks, n_paragraphs, raw_lines - n_paragraphs AS merged, x.n_dec + y.n_dec AS n_decisions, x.amb + y.amb AS n_ambiguous, cross_merges AS cross_page_merges, x.soft + y.soft AS soft_hyphens FROM x JOIN y ON x.doc = y.doc""")
 def paragraph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reconstruction counters of each document."""
-    lines = adapters.wrapped(_table(spark, sf_dir, "documents")).withColumn("block_id", F.concat_ws("/", "block_id"))
-    found, decisions = paragraphs.paragraphs_of(lines)
-    return paragraphs.paragraph_metrics(lines, found, decisions, "doc").drop("soft_hyphens")
+    return paragraphs.paragraph_metrics(adapters.wrapped(_table(spark, sf_dir, "documents")))
 
 
 @query()
@@ -172,21 +177,20 @@ def paragraph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text
 
-@query(r"""
-WITH u AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)
-SELECT conv_id, turn, t = '' OR regexp_matches(t, '^\d+$') OR regexp_matches(t, '(?i)^\s*(?:\d+(?:[.,]\d+)?\s*(?:%|mm|cm|m|km|mg|g|kg|ml|l|°C|°F)(?:\s*[,;/x×]\s*)?)+\s*$')
-  OR (regexp_matches(t, '^[A-Z0-9][A-Z0-9_.:/\\-]*$') AND (regexp_matches(t, '\d') OR contains(t, '/')))
-  OR regexp_matches(t, '(?is)^\s*(?:```|def\s+\w+\s*\(|class\s+\w+|import\s+\w+|from\s+\w+\s+import|SELECT\s+.+\s+FROM|(?:if|for|while)\s*\(.+\)|[{}\[\];]{2,})') AS skipped FROM u""")
+@query(rf"""
+WITH u AS (SELECT conv_id, turn, trim({_SOURCE}, {_SPACES}) AS t FROM conversations)
+SELECT conv_id, turn, t = '' OR regexp_matches(t, '^\d+$') OR regexp_matches(t, '{MEASUREMENTS}')
+  OR (regexp_matches(t, '^[A-Z0-9][A-Z0-9_.:/\\-]*$') AND (regexp_matches(t, '\d') OR contains(t, '/'))) OR regexp_matches(t, '{CODE_LINE}') AS skipped FROM u""")
 def skip_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that a translation passes on as they are."""
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", skips_translation(F.coalesce("text", F.lit("")), COMPOSED).alias("skipped"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", skips_translation(F.coalesce("text", F.lit(""))).alias("skipped"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, 'https?://[^\s<>()]+'))::BIGINT AS n_urls, len(regexp_extract_all(text, '[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}'))::BIGINT AS n_emails FROM documents""")
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{URL}'))::BIGINT AS n_urls, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS n_emails, len(regexp_extract_all(text, '{DRIVE_PATH}'))::BIGINT AS n_paths FROM documents")
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links and mail addresses of each document."""
+    """Links, mail addresses and drive paths of each document."""
     n = lambda pattern: F.size(F.regexp_extract_all("text", F.lit(pattern), 0)).cast("long")
-    return _table(spark, sf_dir, "documents").select("doc_id", n(URL).alias("n_urls"), n(EMAIL).alias("n_emails"))
+    return _table(spark, sf_dir, "documents").select("doc_id", n(URL).alias("n_urls"), n(EMAIL).alias("n_emails"), n(DRIVE_PATH).alias("n_paths"))
 
 
 @query()
@@ -203,14 +207,14 @@ def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s.segments").cast("long").alias("n_segments"), F.col("s.forced").alias("forced"))
 
 
-_NORMALIZED = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_NORMALIZED = rf"trim(regexp_replace(regexp_replace({_SOURCE}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), {_SPACES})"
 
 
 @query(rf"SELECT doc_id, sha256('3' || chr(0) || 'fake' || chr(0) || 'prefix' || chr(0) || 'en' || chr(0) || 'ru' || chr(0) || 'no-glossary' || chr(0) || {_NORMALIZED}) AS cache_key FROM documents")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The memory key of each document's text."""
     o = TranslationOptions()
-    return _table(spark, sf_dir, "documents").select("doc_id", cache_key(normalize(F.col("text"), COMPOSED), o.backend, o.model, o.source, o.target).alias("cache_key"))
+    return _table(spark, sf_dir, "documents").select("doc_id", cache_key(normalize(F.col("text")), o.backend, o.model, o.source, o.target).alias("cache_key"))
 
 
 # Glossary and translation
@@ -240,7 +244,7 @@ def glossary_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the stand-in translation with glossary has every required target."""
     units = _units(spark, sf_dir)
     o = TranslationOptions(token_limit=4096)
-    planned = translate.plan_units(units, None, o, GLOSSARY, COMPOSED)
+    planned = translate.plan_units(units, None, o, GLOSSARY)
     finished = translate.finish_units(planned, translate.translate_misses(planned.where("status = 'miss'"), o, glossary=GLOSSARY))
     found = glossary_matches(units.join(planned.where("status <> 'skipped'").select("unit_id"), "unit_id", "left_semi"), GLOSSARY)
     return compliance(found.where("fixed"), finished.select("unit_id", "translated"))
@@ -254,7 +258,7 @@ k AS (SELECT unit_id, text, n, conv_id, turn, CASE WHEN skipped THEN 'skipped' W
 def translate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn's status and translation by the stand-in model, each distinct text translated once."""
     o = TranslationOptions(token_limit=1_000_000)
-    planned = translate.plan_units(_units(spark, sf_dir), None, o, composed=COMPOSED)
+    planned = translate.plan_units(_units(spark, sf_dir), None, o)
     done = translate.translate_misses(planned.where("status = 'miss'"), o)
     return translate.finish_units(planned, done).select("unit_id", "status", "translated")
 
@@ -262,7 +266,7 @@ def translate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_UNITS} SELECT status, count(*) AS n, count(DISTINCT n) AS n_texts FROM k GROUP BY status")
 def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and distinct texts by status."""
-    planned = translate.plan_units(_units(spark, sf_dir), None, TranslationOptions(), composed=COMPOSED)
+    planned = translate.plan_units(_units(spark, sf_dir), None, TranslationOptions())
     return planned.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("normalized").alias("n_texts"))
 
 
@@ -271,32 +275,35 @@ SELECT CASE WHEN status <> 'skipped' AND k.n IN (SELECT n FROM h) THEN 'hit' ELS
 def memory_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status counts of a run whose memory holds what the misses of even conversations gave."""
     units, o = _units(spark, sf_dir), TranslationOptions(token_limit=1_000_000)
-    planned = translate.plan_units(units, None, o, composed=COMPOSED)
+    planned = translate.plan_units(units, None, o)
     memory = translate.new_memory(translate.translate_misses(planned.where("status = 'miss' AND unit_order.conv_id % 2 = 0"), o))
-    return translate.plan_units(units, memory, o, composed=COMPOSED).groupBy("status").agg(F.count("*").alias("n"))
+    return translate.plan_units(units, memory, o).groupBy("status").agg(F.count("*").alias("n"))
 
 
 # Quality
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as sources; the output drops digits where doc_id is odd and is cut short where it is divisible by 7."""
+    """Documents as sources, their links as protected tokens; the output drops digits where doc_id is odd and is cut short where it is divisible by 7."""
     rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("source"))
     changed = F.when(F.col("sample_id") % 2 == 1, F.regexp_replace("source", "[0-9]", "")).otherwise(F.concat(F.lit("RU "), "source"))
     output = F.when(F.col("sample_id") % 7 == 0, F.left("source", F.lit(10))).otherwise(changed)
-    return rows.withColumns({"output": output, "protected": F.array().cast("array<string>"), "n_segments": F.lit(1), "n_outputs": F.lit(1), "forced": F.lit(False)})
+    return rows.withColumns({"output": output, "protected": F.array_distinct(F.coalesce(F.regexp_extract_all("source", F.lit(URL), 0), F.array().cast("array<string>"))), "n_segments": F.lit(1), "n_outputs": F.lit(1), "forced": F.lit(False)})
 
 
-_FINDINGS = r"""
+_FINDINGS = rf"""
 s AS (SELECT doc_id AS sample_id, text AS source, CASE WHEN doc_id % 7 = 0 THEN left(text, 10) WHEN doc_id % 2 = 1 THEN regexp_replace(text, '[0-9]', '', 'g') ELSE 'RU ' || text END AS output FROM documents),
 n AS (SELECT sample_id, lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS a, lower(trim(regexp_replace(output, '\s+', ' ', 'g'))) AS b FROM s),
+v AS (SELECT sample_id, output, regexp_extract_all(source, '{URL}') AS before, regexp_extract_all(output, '{URL}') AS after FROM s),
 f AS (SELECT sample_id, 'untranslated-output' AS code, 'error' AS severity FROM n WHERE a <> '' AND a = b
-  UNION ALL SELECT sample_id, 'suspicious-length-ratio', 'warning' FROM n WHERE a <> '' AND b <> '' AND (length(b) / length(a) < 0.25 OR length(b) / length(a) > 4))"""
+  UNION ALL SELECT sample_id, 'suspicious-length-ratio', 'warning' FROM n WHERE a <> '' AND b <> '' AND (length(b) / length(a) < 0.25 OR length(b) / length(a) > 4)
+  UNION ALL SELECT sample_id, 'protected-token-damaged', 'error' FROM v WHERE len(list_filter(before, lambda x: NOT contains(output, x))) > 0
+  UNION ALL SELECT sample_id, 'url-damaged', 'error' FROM v WHERE len(list_filter(before, lambda x: len(list_filter(before, lambda y: y = x)) > len(list_filter(after, lambda y: y = x)))) > 0)"""
 
 
 @query(f"WITH {_FINDINGS} SELECT code, severity, count(*) AS n FROM f GROUP BY code, severity")
 def quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings on derived outputs whose checks SQL can repeat: identity and length."""
-    return quality.analyse(_samples(spark, sf_dir)).where(F.col("code").isin("untranslated-output", "suspicious-length-ratio")).groupBy("code", "severity").agg(F.count("*").alias("n"))
+    """Findings on derived outputs whose checks SQL can repeat: identity, length, links and protected tokens; the case queries meet all codes."""
+    return quality.analyse(_samples(spark, sf_dir)).where(F.col("code").isin("untranslated-output", "suspicious-length-ratio", "url-damaged", "protected-token-damaged")).groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -378,3 +385,17 @@ def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Font sizes, expansion and overflow of blocks whose text grew by half."""
     blocks = _furniture(spark, sf_dir).withColumns({"translated": F.concat("text", F.left("text", F.ceil(F.length("text") / 2).cast("int"))), "sizes": F.array("font")})
     return layout.plan_layout(blocks, _LAYOUT)
+
+
+# Integers, hashes and literal cases
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content hash and size of each document."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return _table(spark, sf_dir, "documents").select("doc_id", performance.content_hash(content).alias("hash"), F.octet_length(content).cast("long").alias("bytes"))
+
+
+QUERIES |= cases.QUERIES
+SQL |= cases.SQL
