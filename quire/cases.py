@@ -646,3 +646,33 @@ def output_integrity(spark):
 @cases("batch int, identical boolean", (1, True), (4, False))
 def identical_outputs(spark):
     return performance.same_outputs(spark.createDataFrame([(1, "h"), (1, "h"), (4, "h"), (4, "i")], "batch int, hash string"), "batch")
+
+
+_TIMES = "doc string, status string, n_total int, n_completed int, n_skipped int, started int, updated int, completed int"
+
+
+@cases("doc string, violation string", ("b", "more completed than there are"), ("b", "completed with units left"), ("c", "more skipped than completed"), ("d", "updated before it started"), ("e", "completed without its time"), ("f", "time of completion too early"))
+def lifecycle_violations(spark):
+    rows = [("a", "completed", 2, 2, 1, 1, 2, 2), ("b", "completed", 2, 3, 1, 1, 2, 2), ("c", "running", 2, 1, 2, 1, 2, None), ("d", "running", 2, 1, 0, 2, 1, None), ("e", "completed", 2, 2, 0, 1, 2, None), ("f", "running", 2, 1, 0, 1, 2, 2)]
+    return reports.lifecycle_violations(spark.createDataFrame(rows, _TIMES))
+
+
+@cases("doc string, violation string", ("a", "translation not allowed"), ("b", "translation missing"), ("c", "paragraphs not allowed"), ("d", "reconstruction missing"), ("e", "number of paragraphs"), ("f", "translated paragraphs not allowed"), ("h", "unknown version"))
+def version_violations(spark):
+    rows = [("a", "1.0", True, False, 0, 0, 0), ("b", "1.1", False, False, 0, 0, 0), ("c", "1.1", True, False, 1, 0, 0), ("d", "1.2", False, False, 0, 0, 0), ("e", "1.3", True, True, 2, 3, 2), ("f", "1.2", False, True, 2, 2, 1), ("g", "1.3", True, True, 2, 2, 2), ("h", "2.0", False, True, 1, 1, 0)]
+    return reports.version_violations(spark.createDataFrame(rows, "doc string, version string, translated boolean, reconstructed boolean, n_paragraphs int, n_expected int, n_translated int"))
+
+
+@cases("run string, stage string, status string, seconds double", ("a", "inspect", "reused", 1.0), ("a", "extract", "passed", 2.0), ("a", "render", "not_run", 0.0), ("b", "inspect", "passed", 1.0), ("b", "extract", "failed", 3.0), ("b", "render", "not_run", 0.0), ("c", "inspect", "passed", 4.0), ("c", "extract", "not_run", 0.0), ("c", "render", "failed", 0.0))
+def stage_results(spark):
+    events = spark.createDataFrame([("a", "inspect", 0.0, True), ("a", "extract", 1.0, False), ("b", "inspect", 0.0, False), ("b", "extract", 1.0, False), ("c", "inspect", 0.0, False)], "run string, stage string, ts double, reused boolean")
+    runs = spark.createDataFrame([("a", 3.0, False, None), ("b", 4.0, True, None), ("c", 4.0, True, "render")], "run string, ended double, failed boolean, failed_stage string")
+    return performance.stage_results(events, runs, ("inspect", "extract", "render"))
+
+
+@cases("doc string, page int, problem string", ("d", 2, "geometry"), ("d", 3, "little text"), ("e", None, "page count"), ("e", 1, "little text"))
+def recognition_problems(spark):
+    schema = "doc string, page int, page_w double, page_h double, chars long, class string, processed boolean"
+    before = spark.createDataFrame([("d", 1, 6.0, 8.0, 0, "scanned", True), ("d", 2, 6.0, 8.0, 0, "scanned", True), ("d", 3, 6.0, 8.0, 5, "scanned", True), ("e", 1, 6.0, 8.0, 0, "scanned", True), ("e", 2, 6.0, 8.0, 0, "text", False)], schema)
+    after = spark.createDataFrame([("d", 1, 6.0, 8.0, 90, "text", True), ("d", 2, 6.5, 8.0, 90, "text", True), ("d", 3, 6.0, 8.0, 5, "text", True), ("e", 1, 6.0, 8.0, 30, "scanned", True)], schema)
+    return pages.recognition_problems(before, after)

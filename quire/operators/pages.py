@@ -52,3 +52,13 @@ def compare_pages(before: DataFrame, after: DataFrame, tolerance: float = 0.01)
     a, b = before.alias("a"), after.alias("b")
     same = (F.abs(F.col("a.page_w") - F.col("b.page_w")) <= tolerance) & (F.abs(F.col("a.page_h") - F.col("b.page_h")) <= tolerance)
     return a.join(b, ["doc", "page"]).select("doc", "page", same.alias("same_geometry"), (F.col("b.chars") - F.col("a.chars")).alias("gained"))
+
+
+def recognition_problems(before: DataFrame, after: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Of documents whose pages went through recognition: another number of pages, another geometry, little or no text gained. Both: doc, page, page_w, page_h, chars, class; after: processed."""
+    count = lambda rows, name: rows.groupBy("doc").agg(F.count("*").alias(name))
+    other = count(before, "n").join(count(after, "m"), "doc", "full_outer").where(~F.col("n").eqNullSafe(F.col("m"))).select("doc", F.lit(None).cast("int").alias("page"), F.lit("page count").alias("problem"))
+    pairs = compare_pages(before, after, tolerance).join(after.select("doc", "page", "class", "processed"), ["doc", "page"])
+    moved = pairs.where("NOT same_geometry").select("doc", "page", F.lit("geometry").alias("problem"))
+    poor = pairs.where("processed AND (class = 'scanned' OR gained <= 0)").select("doc", "page", F.lit("little text").alias("problem"))
+    return other.unionByName(moved).unionByName(poor)

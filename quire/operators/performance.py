@@ -32,6 +32,18 @@ def stage_durations(events: DataFrame, run: str, stage: str, ts: str) -> DataFra
     return events.select(run, stage, ts, (F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))).alias("micros"))
 
 
+def stage_results(events: DataFrame, runs: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    """A row per run and stage: passed, reused, failed or not_run, and its seconds. events: run, stage, ts, reused. runs: run, ended, failed and failed_stage (null: the one that was running)."""
+    after = F.lead("ts").over(Window.partitionBy("run").orderBy("ts"))
+    met = events.withColumn("after", after).select("run", "stage", "ts", "after", "reused")
+    rows = runs.withColumn("stage", F.explode(F.array(*[F.lit(s) for s in stages]))).join(met, ["run", "stage"], "left")
+    running = F.col("ts").isNotNull() & F.col("after").isNull()
+    failed = F.col("failed") & F.coalesce(F.col("stage") == F.col("failed_stage"), running)
+    status = F.when(failed, "failed").when(F.col("ts").isNull(), "not_run").when(F.col("reused"), "reused").otherwise("passed")
+    took = F.greatest(F.lit(0.0), F.coalesce("after", "ended") - F.col("ts"))
+    return rows.select("run", "stage", status.alias("status"), F.when(F.col("ts").isNull() | (failed & ~running), 0.0).otherwise(took).alias("seconds"))
+
+
 def ordered_hash(rows: DataFrame, text: str, order: str, *by: str) -> DataFrame:
     """The hash of a group's texts in order."""
     items = F.sort_array(F.collect_list(F.struct(order, text)))

@@ -19,8 +19,10 @@ def exit_code(error: Column) -> Column:
 def first_failures(files: DataFrame, continue_on_error: bool) -> DataFrame:
     """Files with outcome: ok, failed or not_run. A missing model stops a batch, as any error does unless told to go on. files: batch, path, error."""
     stops = (F.col("error") == "model_unavailable") if continue_on_error else F.col("error").isNotNull()
-    before = F.max(F.coalesce(stops, F.lit(False))).over(Window.partitionBy("batch").orderBy(F.lower("path"), "path").rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("outcome", F.when(F.coalesce(before, F.lit(False)), "not_run").when(F.col("error").isNull(), "ok").otherwise("failed"))
+    place = F.struct(F.lower("path").alias("folded"), F.col("path"))
+    first = files.where(stops).groupBy("batch").agg(F.min(place).alias("stop"))  # partly done before the shuffle, so a huge batch is no large state
+    after = F.coalesce(place > F.col("stop"), F.lit(False))
+    return files.join(first, "batch", "left").withColumn("outcome", F.when(after, "not_run").when(F.col("error").isNull(), "ok").otherwise("failed")).drop("stop")
 
 
 def batch_summary(files: DataFrame, *by: str) -> DataFrame:
@@ -81,6 +83,34 @@ def invariants(documents: DataFrame) -> DataFrame:
     return documents.select("doc", F.explode(found).alias("violation"))
 
 
+def lifecycle_violations(runs: DataFrame) -> DataFrame:
+    """What can't be so in a run's record. runs: doc, status, n_total, n_completed, n_skipped, started, updated, completed (times)."""
+    rules = {
+        "more completed than there are": F.col("n_completed") > F.col("n_total"),
+        "more skipped than completed": F.col("n_skipped") > F.col("n_completed"),
+        "updated before it started": F.col("updated") < F.col("started"),
+        "completed with units left": (F.col("status") == "completed") & (F.col("n_completed") != F.col("n_total")),
+        "completed without its time": (F.col("status") == "completed") & F.col("completed").isNull(),
+        "time of completion too early": (F.col("status") != "completed") & F.col("completed").isNotNull(),
+    }
+    return runs.select("doc", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]))).alias("violation"))
+
+
+def version_violations(documents: DataFrame) -> DataFrame:
+    """What a document's version does not allow. documents: doc, version, translated and reconstructed (booleans), n_paragraphs, n_expected, n_translated (paragraphs)."""
+    v, modern = F.col("version"), F.col("version").isin("1.2", "1.3")
+    rules = {
+        "unknown version": ~v.isin("1.0", "1.1", "1.2", "1.3"),
+        "translation not allowed": v.isin("1.0", "1.2") & F.col("translated"),
+        "translation missing": v.isin("1.1", "1.3") & ~F.col("translated"),
+        "paragraphs not allowed": v.isin("1.0", "1.1") & (F.col("reconstructed") | (F.col("n_paragraphs") > 0)),
+        "reconstruction missing": modern & ~F.col("reconstructed"),
+        "number of paragraphs": modern & F.col("reconstructed") & (F.col("n_paragraphs") != F.col("n_expected")),
+        "translated paragraphs not allowed": (v == "1.2") & (F.col("n_translated") > 0),
+    }
+    return documents.select("doc", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]))).alias("violation"))
+
+
 def document_summary(pages: DataFrame, units: DataFrame, metrics: DataFrame, labelled: DataFrame, layout: DataFrame, timings: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """The counters of a report, a row per document; without texts.
 

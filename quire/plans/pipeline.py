@@ -12,12 +12,16 @@ from quire.operators.layout import plan_layout
 from quire.operators.pages import classify_pages, inspect, ocr_targets
 from quire.operators.paragraphs import paragraphs_of
 from quire.operators.repeated import classify_repeated
+from quire.operators.reports import batch_summary, first_failures
 from quire.operators.translate import PrefixTranslator, finish_units, new_memory, plan_units, policies, translate_misses
 from quire.plans.options import LayoutOptions, PageOptions, ParagraphOptions, RepeatedOptions, TranslationOptions, identity
 from quire.plans.scratch import settle
 from quire.sources.files import Memory, Workspace
 
 
+REVISION = "1"  # of the stages; another one makes other runs
+
+
 @dataclass
 class DocumentRun:
     """Inspect, classify, reconstruct, translate and plan the layout of the blocks of many documents."""
@@ -32,7 +36,13 @@ class DocumentRun:
     translator: type = PrefixTranslator
 
     def run_id(self, source_hash: str) -> str:
-        return identity(source_hash, self.repeated, self.paragraphs, self.translation, self.layout, self.glossary.fingerprint() if self.glossary else None)
+        return identity(source_hash, self.repeated, self.paragraphs, self.translation, self.layout, self.glossary.fingerprint() if self.glossary else None, REVISION)
+
+    def facts(self, source_hash: str) -> dict[str, str]:
+        """What a stored run must agree on to be resumed."""
+        t = self.translation
+        said = {"source": source_hash, "backend": t.backend, "model": t.model, "languages": f"{t.source}-{t.target}", "batch_size": t.batch_size, "token_limit": t.token_limit}
+        return {k: str(v) for k, v in said.items()} | {"glossary": self.glossary.fingerprint() if self.glossary else "none", "revision": REVISION}
 
     def plan(self, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Without any model: page classes rolled up by document, and the pages that need recognition."""
@@ -59,10 +69,18 @@ class DocumentRun:
 
     def run(self, blocks: DataFrame, root: str, source_hash: str, memory: Memory | None = None) -> dict[str, DataFrame]:
         """All stages, each kept under the run's identity and reused when it is complete."""
-        space = Workspace(self.spark, root, self.run_id(source_hash))
+        space = Workspace(self.spark, root, self.run_id(source_hash), self.facts(source_hash))
         units = space.stage("units", lambda: self.reconstruct(blocks)[0])
         finished = space.stage("translated", lambda: self.translate(units, memory))
         fonts = blocks.groupBy("doc", F.col("block_id").alias("id")).agg(F.collect_list("font").alias("sizes"), F.first("page_h").alias("page_h"))
         drawn = finished.where(~F.col("policy").isin("preserve", "skip", "remove")).join(fonts, ["doc", "id"]).withColumnRenamed("id", "block_id")
         planned = space.stage("layout", lambda: plan_layout(drawn, self.layout))
         return {"units": units, "translated": finished, "layout": planned}
+
+    def batch(self, extracted: DataFrame, root: str, source_hash: str, continue_on_error: bool = True, memory: Memory | None = None) -> dict[str, DataFrame]:
+        """Many files at once: those that couldn't be read, and what a batch doesn't reach after them, are left out of the run and reported. extracted: blocks with path (as doc) and error."""
+        files = extracted.groupBy(F.col("doc").alias("path")).agg(F.max(F.when(F.col("error").isNotNull(), "input_error")).alias("error")).withColumn("batch", F.lit(source_hash))
+        files = settle(first_failures(files, continue_on_error))
+        good = extracted.join(files.where("outcome = 'ok'").select(F.col("path").alias("doc")), "doc", "left_semi").drop("error")
+        outcome = F.when(F.col("outcome") == "not_run", "skipped").otherwise(F.col("outcome"))
+        return self.run(good, root, source_hash, memory) | {"files": files, "summary": batch_summary(files.withColumn("outcome", outcome), "batch")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import fold_case
 
 DOCUMENT = "schema_version string, doc string, sha256 string, file_size long, pages array<struct<page:int,width:double,height:double,class:string,blocks:array<struct<id:string,text:string,x0:double,y0:double,x1:double,y1:double,translated:string>>>>, paragraphs array<struct<id:string,page:int,kind:string,text:string,translated:string>>"
+LOG = "stage string, status string, began double, seconds double, error string"
 TRANSLATED = re.compile(r"\.ru\.pdf$", re.IGNORECASE)
 
 
@@ -144,17 +146,40 @@ class Memory:
 
 
 class Workspace:
-    """Stage results of a run under its identity; a stage that is complete is read, not made again."""
+    """Stage results of a run under its identity; a stage that is complete is read, not made again. Keeps what the run is, and a log of its stages."""
 
-    def __init__(self, spark: SparkSession, root: str, run_id: str):
+    def __init__(self, spark: SparkSession, root: str, run_id: str, facts: dict[str, str] | None = None):
+        """facts: what the run is made of. A stored run of other facts is an error that names them."""
         self.spark, self.folder = spark, f"{root}/{run_id}"
+        if facts is None:
+            return
+        if self.complete("manifest"):
+            stored = {r["fact"]: r["value"] for r in spark.read.schema("fact string, value string").json(f"{self.folder}/manifest").collect()}
+            if differ := sorted(k for k in stored.keys() | facts.keys() if stored.get(k) != facts.get(k)):
+                raise ValueError(f"the stored run differs in {', '.join(differ)}")
+        else:
+            spark.createDataFrame(sorted(facts.items()), "fact string, value string").coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest")
 
     def complete(self, stage: str) -> bool:
         fs = self.spark._jvm.org.apache.hadoop.fs
         p = fs.Path(f"{self.folder}/{stage}/_SUCCESS")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _note(self, stage: str, status: str, began: float, error: str | None = None) -> None:
+        row = [(stage, status, began, time.time() - began, error)]
+        self.spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").json(f"{self.folder}/log")
+
+    def log(self) -> DataFrame:
+        """stage, status (passed, reused or failed), began, seconds and error of each attempt."""
+        return self.spark.read.schema(LOG).json(f"{self.folder}/log")
+
     def stage(self, stage: str, make: Callable[[], DataFrame]) -> DataFrame:
-        if not self.complete(stage):
-            make().write.mode("overwrite").parquet(f"{self.folder}/{stage}")
+        began, reused = time.time(), self.complete(stage)
+        if not reused:
+            try:
+                make().write.mode("overwrite").parquet(f"{self.folder}/{stage}")
+            except Exception as e:
+                self._note(stage, "failed", began, f"{type(e).__name__}: {e}"[:2000])
+                raise
+        self._note(stage, "reused" if reused else "passed", began)
         return self.spark.read.parquet(f"{self.folder}/{stage}")

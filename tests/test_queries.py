@@ -4,9 +4,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quire.plans.pipeline import DocumentRun
 from quire.queries import QUERIES, SQL
+from quire.sources.files import Workspace
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -38,3 +40,21 @@ def test_document_run(spark, blocks, tmp_path):
     assert status == {"miss": 5, "hit": 3, "skipped": 4}
     assert made["layout"].where("overflow").count() == 0
     assert run.run(blocks(rows), str(tmp_path), "hash")["units"].count() == made["units"].count()
+    space = Workspace(spark, str(tmp_path), run.run_id("hash"), run.facts("hash"))
+    assert {(r["stage"], r["status"]): r["count"] for r in space.log().groupBy("stage", "status").count().collect()} == {(s, k): 1 for s in ("units", "translated", "layout") for k in ("passed", "reused")}
+    with pytest.raises(ValueError, match="model, token_limit"):
+        Workspace(spark, str(tmp_path), run.run_id("hash"), run.facts("hash") | {"model": "other", "token_limit": "8"})
+    with pytest.raises(ZeroDivisionError):
+        space.stage("broken", lambda: 1 / 0)
+    assert [r["error"] for r in space.log().where("status = 'failed'").collect()] == ["ZeroDivisionError: division by zero"]
+
+
+def test_batch_goes_on_without_broken_files(spark, blocks, tmp_path):
+    rows = blocks([(1, 0, "Some text of a page.", 50, 150, 550, 164, 10)]).withColumn("error", F.lit(None).cast("string"))
+    both = rows.unionByName(rows.withColumns({"doc": F.lit("broken"), "error": F.lit("ValueError: no file")})).unionByName(rows.withColumn("doc", F.lit("z")))
+    made = DocumentRun(spark).batch(both, str(tmp_path / "a"), "h1")
+    assert {r["path"]: r["outcome"] for r in made["files"].collect()} == {"broken": "failed", "d": "ok", "z": "ok"}
+    assert {r["doc"] for r in made["translated"].collect()} == {"d", "z"} and made["summary"].first()["status"] == "partial"
+    stopped = DocumentRun(spark).batch(both, str(tmp_path / "b"), "h2", continue_on_error=False)
+    assert {r["path"]: r["outcome"] for r in stopped["files"].collect()} == {"broken": "failed", "d": "not_run", "z": "not_run"}
+    assert stopped["summary"].first()["exit_code"] == 10 and stopped["translated"].count() == 0
