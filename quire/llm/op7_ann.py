@@ -42,7 +42,7 @@ class AnnOptions:
     list_rows: int = 256
     lists: int = 1 << 18  # in all, since all tasks hold their centroids
     replicas: int = 4
-    boundary: float = 1.1  # distance to a cluster, over that to the nearest, up to which a vector is replicated
+    boundary: float = 1.05  # distance to a cluster, over that to the nearest, up to which a vector is replicated
     cell_ratio: float = 1.5  # the same for the cells that a query looks into
     probe_ratio: float = 1.35  # the same for the lists that a query reads
     least: int = 3  # cells, and lists, that a query reads at least
@@ -205,9 +205,9 @@ def nearest_neighbours(df: DataFrame, vec_id: str = "vec_id", vector: str = "emb
     """query_id, rank, vec_id, score: the k nearest that were found for each row whose id is divisible by ``every``."""
     spark, o = df.sparkSession, options
     rows = valid_vectors(df, vec_id, vector)
-    same = Window.partitionBy("v").orderBy("id")
-    rows = settle(rows.distinct().withColumn("place", F.row_number().over(same)).where((F.col("place") <= k + 1) | (F.col("id") % every == 0)))
-    members = rows.where(F.col("place") <= k + 1).select("id", "v")
+    rows = settle(rows.withColumn("key", F.xxhash64("v")).groupBy("key", "id").agg(F.first("v").alias("v")))
+    same = F.row_number().over(Window.partitionBy("key").orderBy("id"))  # equal vectors, by their hash
+    members = settle(rows.withColumn("place", same).where(F.col("place") <= k + 1).select("id", "v"))
     index = build_index(members, o)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
