@@ -35,8 +35,12 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     try:
         yield outer
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, _FOLDERS.pop())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
