@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.plans.scratch import ensure_checkpoints, remove, scratch, settle
+
+__all__ = ["ensure_checkpoints", "remove", "scratch", "settle"]
+
 #: The white space of the result contracts, as the body of a character class.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,43 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names; only a session without one on a single machine, as in tests, gets its own."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoints-"))
-
-
-#: Folders of the scratch tables that are being written, innermost last.
-_FOLDERS: list[str] = []
-
-
-def _root(spark: SparkSession) -> str:
-    ensure_checkpoints(spark)
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[str]:
-    """Tables settled inside go when it ends. Gives the folder around it, for those that stay."""
-    outer = _FOLDERS[-1] if _FOLDERS else _root(spark)
-    _FOLDERS.append(f"{outer}/scratch-{uuid.uuid4().hex}")
-    try:
-        yield outer
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder; later steps read them there, also after executors are lost."""
-    spark = df.sparkSession
-    path = f"{folder or (_FOLDERS[-1] if _FOLDERS else _root(spark))}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def own_prefix(df: DataFrame) -> str:
     """A beginning that no column's name has, for columns that an operator adds for itself."""
     prefix = "__"
