@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import ensure_checkpoints, scratch, table
+from quire.llm.common import ensure_checkpoints, remove, scratch, table
 from quire.llm.near_duplicates import drop_near_duplicates
 from quire.llm.op1_sharding import histogram_shards
 from quire.llm.op4_mixing import curriculum_plan, training_sequence
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared folder and read again by the next; what a stage wrote beside goes with it."""
+    """The stages over ``documents``, each written to the shared folder and read again by the next. What a stage wrote beside goes with it, and its rows when the next has ended."""
     ensure_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -75,4 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
