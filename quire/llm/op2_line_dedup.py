@@ -160,8 +160,8 @@ def line_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs = docs.drop("lines", "dropped", "kept_text")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), line_hashes(F.col(text), least_chars).alias("hashes"))
-    if shards is None:  # about 100,000 documents' frequent lines to a shard
-        shards = max(4, docs.count() // 100_000)
+    if shards is None:  # about 50,000 documents' lines to a shard
+        shards = max(16, docs.count() // 50_000)
     made = settle(build_shards(lines, shards))
     size = made.agg(F.sum(F.length("data"))).first()[0] or 0
     rows = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "lines": split})
