@@ -61,16 +61,25 @@ def passages_of(words: list[str]) -> list[list[str]]:
     return [words[i : i + WINDOW] for i in passage_starts(len(words))] if words else []
 
 
-def common_length(pattern: list[int], text: list[int]) -> int:
-    """The length of the longest common subsequence, by bits of one integer."""
+def places_of(pattern: list[int]) -> dict[int, int]:
+    """The places of each word of a pattern, as bits."""
     place: dict[int, int] = {}
     for i, w in enumerate(pattern):
         place[w] = place.get(w, 0) | 1 << i
-    full = (1 << len(pattern)) - 1
-    row = full
-    for w in text:
-        match = row & place.get(w, 0)
-        row = (row + match | row - match) & full
+    return place
+
+
+def common_length(pattern: list[int], text: list[int], least: int = 0, place: dict[int, int] | None = None) -> int:
+    """The length of the longest common subsequence, by bits of one integer; 0 if too few words of the pattern occur for ``least``."""
+    place = place if place is not None else places_of(pattern)
+    found = place.get
+    matches = [m for w in text if (m := found(w))]  # other words change nothing
+    if len(matches) < least:
+        return 0
+    row = full = (1 << len(pattern)) - 1
+    for match in matches:
+        both = row & match
+        row = (row + both | row - both) & full
     return len(pattern) - row.bit_count()
 
 
@@ -229,11 +238,19 @@ class LatentIndex:
         ids = np.asarray(pc.index_in(words, value_set=known).fill_null(-1), dtype=np.int64)
         row, at, projected, length = self.windows(ids, starts)
         out: list[list[dict]] = [[] for _ in range(len(texts))]
+        places: dict[int, tuple[dict[int, int], np.ndarray]] = {}
 
         def judge(r: int, j: int, at: int, low: int, high: int) -> None:
             """Takes down item j for text r if its words from low to high hold it."""
-            item, region = self.items[j], ids[starts[r] + max(0, low) : min(starts[r + 1], starts[r] + high)].tolist()
-            ratio = common_length(item, region) / len(item)
+            item, region = self.items[j], ids[starts[r] + max(0, low) : min(starts[r + 1], starts[r] + high)]
+            if j not in places:
+                places[j] = places_of(item), np.unique(item)
+            place, own = places[j]
+            least = math.ceil(min(whole, paraphrase) * len(item) - 1e-9)
+            if np.count_nonzero(own[np.minimum(np.searchsorted(own, region), len(own) - 1)] == region) < least:
+                return  # no subsequence can be longer than the words of the item that are there
+            region = region.tolist()
+            ratio = common_length(item, region, least, place) / len(item)
             tail = item[-max(3, len(item) // 4) :]
             if ratio >= whole or (ratio >= paraphrase and common_length(tail, region) >= answer * len(tail)):
                 out[r].append({"item_id": self.ids[j], "at": int(at), "ratio": ratio})
@@ -243,12 +260,14 @@ class LatentIndex:
             j, p = self.excerpts[k]
             item, passage = self.items[j], self.items[j][p : p + WINDOW]
             begin, end = starts[r] + first, min(starts[r + 1], starts[r] + first + 3 * WINDOW)
-            found = common_length(passage, ids[begin:end].tolist())
+            region = ids[begin:end].tolist()
+            found = common_length(passage, region, math.ceil(whole * WINDOW - 1e-9))
             if found < whole * WINDOW:
                 wide = ids[max(starts[r], begin - WINDOW) : min(starts[r + 1], end + WINDOW)].tolist()
                 runs = {tuple(wide[i : i + WINDOW]) for i in range(len(wide) - WINDOW + 1)}
                 if not any(tuple(item[i : i + WINDOW]) in runs for i in range(max(0, p - WINDOW // 2), min(p + WINDOW // 2, len(item) - WINDOW) + 1)):
                     return
+                found = common_length(passage, region)
             out[r].append({"item_id": self.ids[j], "at": int(first), "ratio": found / len(item)})
 
         able = np.flatnonzero(np.einsum("ij,ij->i", projected, projected) >= (cosine * length) ** 2)
