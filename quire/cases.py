@@ -676,3 +676,11 @@ def recognition_problems(spark):
     before = spark.createDataFrame([("d", 1, 6.0, 8.0, 0, "scanned", True), ("d", 2, 6.0, 8.0, 0, "scanned", True), ("d", 3, 6.0, 8.0, 5, "scanned", True), ("e", 1, 6.0, 8.0, 0, "scanned", True), ("e", 2, 6.0, 8.0, 0, "text", False)], schema)
     after = spark.createDataFrame([("d", 1, 6.0, 8.0, 90, "text", True), ("d", 2, 6.5, 8.0, 90, "text", True), ("d", 3, 6.0, 8.0, 5, "text", True), ("e", 1, 6.0, 8.0, 30, "scanned", True)], schema)
     return pages.recognition_problems(before, after)
+
+
+@cases("n int, calls int, texts int", (0, 3, 5))
+def measured_calls(spark):
+    model = translate.Measured(translate.PrefixTranslator())
+    for texts in (["a", "b"], ["c"], ["d", "e"]):
+        model.translate_batch(texts)
+    return spark.createDataFrame([(0, model.calls, model.texts)], "n int, calls int, texts int")

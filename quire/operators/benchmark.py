@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import CORE_MARK, protect, restore_one, segment
 from quire.operators.quality import REVIEW, analyse, analyse_trace, review_findings, stage_summary, statuses
-from quire.operators.translate import PrefixTranslator
+from quire.operators.translate import Measured, PrefixTranslator
 from quire.plans.options import TranslationOptions
 from quire.plans.scratch import settle
 
@@ -20,17 +20,18 @@ STAGES = ("extraction", "segmentation", "protected_token", "model", "terminology
 
 
 def evaluate(texts: DataFrame, o: TranslationOptions, translator: type = PrefixTranslator) -> DataFrame:
-    """source, output, n_segments, n_outputs, forced, protection_error and runtime_error of each text. A model that fails or miscounts is evidence, not a failure. texts: source."""
+    """source, output, n_segments, n_outputs, forced, protection_error, runtime_error, calls and seconds of each text. A model that fails or miscounts is evidence, not a failure. texts: source."""
     rows = texts.withColumn("p", protect(F.col("source"))).withColumn("s", segment(F.col("p.text"), o.token_limit, translator().count_tokens))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, core = None, re.compile(CORE_MARK)
         for batch in batches:
-            model = model or translator()
+            model = model or Measured(translator())
             out = []
             for segments, tokens in zip(batch["segments"], batch["tokens"], strict=True):
                 pieces, error, failed, output = [x["text"] for x in segments], None, None, None
                 done: list[str] = []
+                calls, seconds = model.calls, model.seconds
                 try:
                     for i in range(0, len(pieces), o.batch_size):
                         done += model.translate_batch(pieces[i : i + o.batch_size])
@@ -42,11 +43,11 @@ def evaluate(texts: DataFrame, o: TranslationOptions, translator: type = PrefixT
                             output, failed = joined, "a protected token is missing"
                 except (RuntimeError, ValueError, MemoryError) as e:
                     error = f"{type(e).__name__}: {e}"
-                out.append((output, len(pieces), len(done), failed, error))
-            found = pd.DataFrame(out, columns=["output", "n_segments", "n_outputs", "protection_error", "runtime_error"])
+                out.append((output, len(pieces), len(done), failed, error, model.calls - calls, model.seconds - seconds))
+            found = pd.DataFrame(out, columns=["output", "n_segments", "n_outputs", "protection_error", "runtime_error", "calls", "seconds"])
             yield pd.concat([batch[["source", "forced"]].reset_index(drop=True), found], axis=1)
 
-    schema = "source string, forced boolean, output string, n_segments int, n_outputs int, protection_error string, runtime_error string"
+    schema = "source string, forced boolean, output string, n_segments int, n_outputs int, protection_error string, runtime_error string, calls int, seconds double"
     return rows.select("source", F.col("s.segments").alias("segments"), F.col("s.forced").alias("forced"), F.col("p.tokens").alias("tokens")).mapInPandas(run, schema)
 
 

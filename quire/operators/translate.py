@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -36,6 +37,23 @@ class PrefixTranslator:
         return [f"RU {t}" for t in texts]
 
 
+class Measured:
+    """A model that counts: calls, texts and seconds, beside what another one gives."""
+
+    def __init__(self, translator: Translator):
+        self.translator, self.calls, self.texts, self.seconds = translator, 0, 0, 0.0
+
+    def count_tokens(self, text: str) -> int:
+        return self.translator.count_tokens(text)
+
+    def translate_batch(self, texts: list[str]) -> list[str]:
+        began = time.perf_counter()
+        try:
+            return self.translator.translate_batch(texts)
+        finally:
+            self.calls, self.texts, self.seconds = self.calls + 1, self.texts + len(texts), self.seconds + time.perf_counter() - began
+
+
 def halving(translator: Translator, texts: list[str]) -> list[str]:
     """A batch that doesn't fit in memory is tried in halves; a single text that doesn't fit is an error."""
     try:
