@@ -40,8 +40,8 @@ RANK, OVERSAMPLE, POWER = 256, 16, 2
 ITEMS, ITEM_BYTES = 20_000, 16 << 20  # of a block of the benchmark
 SUM_ROWS = 1024
 PASSAGES = 10_000  # of a task of the decomposition
-BLOCK_BYTES = 512 << 10
-HITS = 1 << 20  # word occurrences that are counted at once
+BLOCK_BYTES = 256 << 10
+HITS = 1 << 18  # word occurrences that are counted at once
 LEAKS = "array<struct<item_id:long,at:int,ratio:double>>"
 
 
