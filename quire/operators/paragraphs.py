@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import CAPTION, LIST_MARKER, TERMINAL, is_lower_start, is_soft_hyphen, join_text, rstrip, strip
+from quire.functions.text import CAPTION, LIST_MARKER, TERMINAL, is_ascii, is_lower_start, is_soft_hyphen, join_text, rstrip, strip
 from quire.plans.options import ParagraphOptions
 
 REPEATED_KINDS = {"page_number": "page_number", "running_header": "header", "running_footer": "footer", "repeated_boilerplate": "repeated_boilerplate", "watermark_candidate": "watermark_candidate", "unknown_repeated": "unknown_repeated"}
@@ -49,7 +49,8 @@ def _kinds(rows: DataFrame, o: ParagraphOptions) -> DataFrame:
     rows = rows.withColumn("page_font", F.coalesce(F.expr("percentile(CASE WHEN font > 0 THEN font END, 0.5)").over(page), F.lit(0.0)))
     known = (F.col("page_font") > 0) & (F.coalesce("font", F.lit(0.0)) > 0)
     letters = F.regexp_replace("text", r"\P{L}", "")
-    upper = (F.upper(letters) == letters) & letters.rlike(r"\p{Lu}")
+    # ASCII text with capitals only is its own upper case, which is cheaper to see than its letters
+    upper = ((F.upper("text") == F.col("text")) | ~is_ascii(F.col("text"))) & (F.upper(letters) == letters) & letters.rlike(r"\p{Lu}")
     words = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))
     larger = (F.col("page_font") > 0) & (F.coalesce("font", F.lit(0.0)) >= F.col("page_font") * o.heading_font)
     repeated = F.coalesce(*[F.when(F.col("repeated") == k, v) for k, v in REPEATED_KINDS.items()])
@@ -57,7 +58,7 @@ def _kinds(rows: DataFrame, o: ParagraphOptions) -> DataFrame:
         F.when(F.col("text").rlike(LIST_MARKER), "list_item")
         .when(F.col("text").rlike(CAPTION), "caption")
         .when(known & (F.col("font") <= F.col("page_font") * o.footnote_font) & (F.col("y0") >= F.col("page_h") * 0.6), "footnote")
-        .when((words <= 12) & (letters != "") & (upper | F.coalesce("bold", F.lit(False)) | larger), "heading")
+        .when((F.coalesce("bold", F.lit(False)) | larger | upper) & (letters != "") & (words <= 12), "heading")
         .otherwise("body")
     )
     return rows.withColumn("kind", F.coalesce(repeated, kind))
@@ -110,7 +111,7 @@ def page_decisions(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(
         .when(stop == "style_change", _prefixed(*first, middle[0], (F.lit(True), "style_change")))
         .otherwise(_prefixed(*first, *middle, *last, *tail))
     )
-    return rows.withColumns({"action": action, "reasons": reasons})
+    return rows.withColumns({"action": action, "reasons": reasons, "soft": soft})
 
 
 def _folded(items: Column) -> Column:
@@ -133,15 +134,16 @@ def page_paragraphs(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     first, last = lambda c: F.min_by(c, "seq"), lambda c: F.max_by(c, "seq")
     made = F.when(F.col("action").isNotNull(), F.struct("seq", F.col("p_block_id").alias("previous"), F.col("block_id").alias("current"), "action", "reasons"))
+    # texts matter to the next page only at a page's ends
+    at_end = F.when((F.col("local") == 1) | (F.col("local") == F.col("locals")), F.struct("page", "seq", "text"))
     p = rows.groupBy(*PAGE, "local").agg(
-        first("block_id").alias("id"), first("kind").alias("kind"), F.sort_array(F.collect_list(F.struct("page", "seq", "text"))).alias("items"),
-        F.max(doubtful | F.coalesce(F.col("after") == "ambiguous", F.lit(False))).alias("ambiguous"), *box, F.first("page_h").alias("page_h"), F.first("locals").alias("locals"),
+        first("block_id").alias("id"), first("kind").alias("kind"), F.sort_array(F.collect_list(F.struct("page", "seq", "text"))).alias("items"), F.sort_array(F.collect_list(at_end)).alias("ends"),
+        F.max(doubtful | F.coalesce(F.col("after") == "ambiguous", F.lit(False))).alias("ambiguous"), *box, F.first("page_h").alias("page_h"),
         first(F.struct("x0", "y0", "column", "text", "block_id")).alias("head"), last(F.struct("x0", "y1", "column", "block_id")).alias("tail"),
         F.count("*").alias("n_fragments"), F.count_if("new_block").alias("n_blocks"), F.count("action").alias("n_decisions"), F.count_if(doubtful).alias("n_ambiguous"),
-        F.count_if(merges & F.array_contains("reasons", "soft_hyphen")).alias("n_soft"), F.sort_array(F.collect_list(made)).alias("inside"), F.collect_set("block_id").alias("blocks"),
+        F.count_if(merges & F.col("soft")).alias("n_soft"), F.sort_array(F.collect_list(made)).alias("inside"), F.collect_set("block_id").alias("blocks"),
     )
-    # texts matter to the next page only at a page's ends
-    p = p.withColumn("edge", F.when((F.col("local") == 1) | (F.col("local") == F.col("locals")), _folded(F.col("items"))))
+    p = p.withColumn("edge", F.when(F.size("ends") > 0, _folded(F.col("ends"))))
     by_doc = Window.partitionBy("doc").orderBy("page", "local")
     names = ("page", "kind", "tail", "edge", "page_h")
     p = p.withColumn("q", F.lag(F.struct(*names)).over(by_doc)).select("*", *[F.col(f"q.{c}").alias(f"q_{c}") for c in names]).drop("q")
@@ -155,7 +157,7 @@ def page_paragraphs(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions
     weak = F.lit("page_boundary_weak")
     said = _prefixed((column, "same_column"), (aligned, "aligned"), (lower, "lowercase_continuation"), (open_end, "unfinished_sentence"), (soft, "soft_hyphen"), (able & edges, "cross_page_continuation"), (~(able & edges), "page_boundary_weak"))
     reasons = F.when(~next_page, F.array(weak)).when(~bodies, F.array(F.coalesce(_boundary(F.col("q_kind"), F.col("kind")), weak))).otherwise(said)
-    p = p.withColumns({"action": action, "reasons": F.when(action.isNotNull(), reasons)})
+    p = p.withColumns({"action": action, "reasons": F.when(action.isNotNull(), reasons), "soft": soft})
     return p.withColumn("para", F.sum(F.when(F.coalesce(F.col("action") == "merge", F.lit(False)), 0).otherwise(1)).over(by_doc))
 
 
@@ -191,7 +193,7 @@ def paragraph_metrics(fragments: DataFrame, o: ParagraphOptions = ParagraphOptio
     return p.groupBy(*by).agg(
         n("n_fragments").alias("raw_lines"), n("n_blocks").alias("raw_blocks"), F.count_if(~merges).alias("n_paragraphs"), (n("n_fragments") - F.count_if(~merges)).alias("merged"),
         (n("n_decisions") + F.count_if(decided)).alias("n_decisions"), (n("n_ambiguous") + F.count_if(F.coalesce(F.col("action") == "ambiguous", F.lit(False)))).alias("n_ambiguous"),
-        F.count_if(merges).alias("cross_page_merges"), (n("n_soft") + F.count_if(merges & F.array_contains("reasons", "soft_hyphen"))).alias("soft_hyphens"),
+        F.count_if(merges).alias("cross_page_merges"), (n("n_soft") + F.count_if(merges & F.col("soft"))).alias("soft_hyphens"),
     )
 
 

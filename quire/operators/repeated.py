@@ -54,25 +54,36 @@ def _label(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def repeated_groups(rows: DataFrame, o: RepeatedOptions, pages: DataFrame | None = None) -> DataFrame:
     """One row per group: of a text, or (sequence) of a document's page numbers. rows: from candidates()."""
     odd = F.col("page") % 2 == 1
-    font = "percentile(CASE WHEN font > 0 THEN font END, 0.5)"
-    seen = [F.expr(font).alias("doc_font"), F.count_distinct("page").alias("total_pages"), F.count_distinct(F.when(F.col("sequential"), F.col("page"))).alias("number_pages")]
-    span = [F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count_distinct("page").alias("n_pages"), F.count_distinct(F.when(odd, F.col("page"))).alias("n_odd"), F.count_distinct(F.when(~odd, F.col("page"))).alias("n_even")]
-    docs = rows.groupBy("doc").agg(*seen, *span) if pages is None else rows.groupBy("doc").agg(*seen).join(pages.groupBy("doc").agg(*span), "doc")
-    docs = settle(docs.withColumn("numbered", F.col("number_pages") >= 2))  # a row per document
-    rest = rows.join(docs.select("doc", "numbered", "first_page", "last_page"), "doc").where(~(F.col("sequential") & F.col("numbered")))
+    docs = settle(_documents(rows, pages))  # a row per document
+    rest = rows.join(docs.select("doc", "numbered"), "doc").where(~(F.col("sequential") & F.col("numbered")))
     edge = lambda c, size: F.col(c) / F.col(size)
     spread = {"x0": "page_w", "y0": "page_h", "x1": "page_w", "y1": "page_h"}
     sized = F.when(F.col("font") > 0, F.col("font"))
-    # pages are counted and not collected, and what can be is summed before the shuffle, so a text on every page of a huge document is no large state
-    per_text = rest.groupBy(*KEY).agg(
-        F.count_distinct("page").alias("observed"), F.count_distinct(F.when(odd, F.col("page"))).alias("seen_odd"), F.count_distinct(F.when(~odd, F.col("page"))).alias("seen_even"),
-        F.max(F.col("page") == F.col("first_page")).alias("on_first"), F.max(F.col("page") == F.col("last_page")).alias("on_last"),
-        F.min("region").alias("region"), F.max("region").alias("region_max"),
-        *[(F.max(edge(c, size)) - F.min(edge(c, size))).alias(f"spread_{c}") for c, size in spread.items()],
-        F.min(edge("y0", "page_h")).alias("y_least"), F.max(edge("y0", "page_h")).alias("y_most"), F.count("*").alias("n_blocks"),
-        F.min(sized).alias("font_min"), F.max(sized).alias("font_max"), F.expr(font).alias("font_mid"), F.min("font").alias("font_least"),
+    place = F.when(F.col("region") == "top", 0).when(F.col("region") == "middle", 1).otherwise(2)
+    # by page first: a text has a row per page, pages are counted and not collected, and sums are numbers that hash aggregates can hold
+    per_page = rest.groupBy(*KEY, "page").agg(
+        F.min(place).alias("place"), F.max(place).alias("place_max"),
+        *[f(edge(c, size)).alias(f"{c}_{k}") for c, size in spread.items() for k, f in (("min", F.min), ("max", F.max))],
+        F.min(sized).alias("font_min"), F.max(sized).alias("font_max"), F.min("font").alias("font_least"), F.count("*").alias("n"),
+    )
+    per_text = per_page.groupBy(*KEY).agg(
+        F.count("*").alias("observed"), F.count_if(odd).alias("seen_odd"), F.count_if(~odd).alias("seen_even"), F.min("page").alias("from_page"), F.max("page").alias("to_page"),
+        F.min("place").alias("place"), F.max("place_max").alias("place_max"),
+        *[(F.max(f"{c}_max") - F.min(f"{c}_min")).alias(f"spread_{c}") for c in spread],
+        F.min("y0_min").alias("y_least"), F.max("y0_max").alias("y_most"), F.sum("n").cast("long").alias("n_blocks"),
+        F.min("font_min").alias("font_min"), F.max("font_max").alias("font_max"), F.min("font_least").alias("font_least"),
     ).where((F.col("norm") != "") & (F.col("observed") >= 2))
-    g = per_text.join(docs.drop("first_page", "last_page"), "doc")
+    per_text = settle(per_text)
+    # a median matters only where fonts differ by more than half a point
+    varied = per_text.where("font_max - font_min > 0.5").select(*KEY)
+    if varied.take(1):
+        middle = rest.join(varied, KEY, "left_semi").groupBy(*KEY).agg(F.expr("percentile(CASE WHEN font > 0 THEN font END, 0.5)").alias("font_mid"))
+        per_text = per_text.join(middle, KEY, "left")
+    else:
+        per_text = per_text.withColumn("font_mid", F.lit(None).cast("double"))
+    region = lambda c: F.when(F.col(c) == 0, "top").when(F.col(c) == 1, "middle").otherwise("bottom")
+    g = per_text.withColumns({"region": region("place"), "region_max": region("place_max"), "font_mid": F.coalesce("font_mid", "font_min")}).join(docs, "doc")
+    g = g.withColumns({"on_first": F.col("from_page") == F.col("first_page"), "on_last": F.col("to_page") == F.col("last_page")})
     head = F.when(F.col("on_first"), 0).otherwise(1)
     tail = F.when((F.col("n_pages") - head > 0) & ~F.col("on_last"), 1).otherwise(0)
     g = g.withColumn("raw", F.col("observed") / F.greatest(F.col("n_pages") - head - tail, F.lit(1)))
@@ -108,6 +119,20 @@ def repeated_groups(rows: DataFrame, o: RepeatedOptions, pages: DataFrame | None
     return g.unionByName(sequence)
 
 
+def _documents(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """A row per document: its pages, median font, and whether they are numbered."""
+    odd = F.col("page") % 2 == 1
+    # both sums below read this one exchange
+    fonts = rows.groupBy("doc", "page", "font").agg(F.count("*").alias("n"), F.max("sequential").alias("sequential"))
+    on_page = fonts.where("n > 0").groupBy("doc", "page").agg(F.max("sequential").alias("sequential"))
+    span = [F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("n_pages"), F.count_if(odd).alias("n_odd"), F.count_if(~odd).alias("n_even")]
+    seen = [F.count("*").alias("total_pages"), F.count_if("sequential").alias("number_pages")]
+    docs = on_page.groupBy("doc").agg(*seen, *span) if pages is None else on_page.groupBy("doc").agg(*seen).join(pages.select("doc", "page").distinct().groupBy("doc").agg(*span), "doc")
+    sizes = fonts.where("sequential IS NOT NULL").groupBy("doc", "font").agg(F.sum("n").alias("n"))
+    middle = sizes.groupBy("doc").agg(F.expr("percentile(CASE WHEN font > 0 THEN font END, 0.5, n)").alias("doc_font"))
+    return docs.join(middle, "doc").withColumn("numbered", F.col("number_pages") >= 2)
+
+
 def group_pages(labelled: DataFrame) -> DataFrame:
     """The pages of each group, a row per page."""
     return labelled.where("group_id IS NOT NULL").select("doc", "group_id", "page").distinct()

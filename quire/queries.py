@@ -12,7 +12,9 @@ from quire.functions.text import CODE_LINE, DRIVE_PATH, EMAIL, LIGATURES, MEASUR
 from quire.operators import layout, pages, paragraphs, performance, quality, repeated, reports, translate
 from quire.operators.glossary import Glossary, Term, compliance, glossary_matches, statistics
 from quire.plans.options import LayoutOptions, TranslationOptions
+from quire.plans.scratch import settle
 from quire.sources import adapters
+from quire.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,16 +40,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.furniture(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-def _furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.furniture(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+def _stored_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once, for queries that read the blocks several times."""
+    return settle(_furniture(spark, sf_dir))
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.units(_table(spark, sf_dir, "conversations"))
+    return adapters.units(read_table(spark, sf_dir, "conversations"))
 
 
 # Pages
@@ -68,7 +71,7 @@ c AS (SELECT *, least(0.2 * images, 1.0) AS ratio, CASE WHEN images > 0 AND char
 SELECT class, count(*) AS n_pages, sum(images)::BIGINT AS n_images FROM c GROUP BY class""")
 def html_page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages by class, with advertisements as images."""
-    return pages.classify_pages(adapters.html_pages(_table(spark, sf_dir, "pages"))).groupBy("class").agg(F.count("*").alias("n_pages"), F.sum("images").cast("long").alias("n_images"))
+    return pages.classify_pages(adapters.html_pages(read_table(spark, sf_dir, "pages"))).groupBy("class").agg(F.count("*").alias("n_pages"), F.sum("images").cast("long").alias("n_images"))
 
 
 @query("""
@@ -76,7 +79,7 @@ WITH s AS (SELECT doc_id, coalesce(length(regexp_replace(text, '[^A-Za-z]', '',
 SELECT doc_id, latin, cyrillic, CASE WHEN latin + cyrillic >= 20 THEN CASE WHEN latin / (latin + cyrillic) >= 0.7 THEN 'en' WHEN cyrillic / (latin + cyrillic) >= 0.7 THEN 'ru' ELSE 'mixed' END END AS language FROM s""")
 def language_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters by script and the probable language of each document."""
-    return pages.languages(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return pages.languages(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 # Repeated elements
@@ -102,21 +105,21 @@ labelled AS (SELECT t.doc, t.page, t.block_id, CASE WHEN t.sequential AND t.numb
 @query(f"WITH {_REPEATED} SELECT kind, count(*) AS n_blocks, count(*) FILTER (WHERE kind IN ('watermark_candidate', 'unknown_repeated')) AS n_ambiguous, count(DISTINCT doc || group_id) AS n_groups FROM labelled GROUP BY kind")
 def repeated_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, ambiguous ones and groups of each kind of repeated element."""
-    return repeated.kind_counts(repeated.classify_repeated(_furniture(spark, sf_dir)))
+    return repeated.kind_counts(repeated.classify_repeated(_stored_furniture(spark, sf_dir)))
 
 
 @query(f"WITH {_REPEATED} SELECT doc, norm, kind, parity, ratio, n_blocks, group_id, n_pages FROM groups")
 def repeated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of repeated texts and page sequences."""
     o = repeated.RepeatedOptions()
-    groups = repeated.repeated_groups(repeated.candidates(_furniture(spark, sf_dir), o), o)
+    groups = repeated.repeated_groups(repeated.candidates(_stored_furniture(spark, sf_dir), o), o)
     return groups.select("doc", "norm", "kind", "parity", "ratio", "n_blocks", "group_id", "n_pages")
 
 
 @query(f"WITH {_REPEATED} SELECT doc, page, block_id, kind, group_id FROM labelled")
 def repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind and group of every block."""
-    return repeated.classify_repeated(_furniture(spark, sf_dir)).select("doc", "page", "block_id", "kind", "group_id")
+    return repeated.classify_repeated(_stored_furniture(spark, sf_dir)).select("doc", "page", "block_id", "kind", "group_id")
 
 
 # Paragraphs
@@ -128,14 +131,14 @@ _COLUMNS = adapters.wrapped_sql(6, 50, 2)
 WHERE a.x1 <= a.page_w / 2 - a.page_w * 0.04 AND b.x0 >= a.page_w / 2 + a.page_w * 0.04""")
 def two_column_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages set in two columns."""
-    return paragraphs.two_column_pages(adapters.wrapped(_table(spark, sf_dir, "documents"), 6, 50, 2))
+    return paragraphs.two_column_pages(adapters.wrapped(read_table(spark, sf_dir, "documents"), 6, 50, 2))
 
 
 @query(f"""WITH {_COLUMNS}, t AS (SELECT doc, page, max(x1 > 300) AS two FROM blocks GROUP BY doc, page)
 SELECT b.doc, b.page, b.block_id, CASE WHEN t.two AND b.x0 >= 300 THEN 1 ELSE 0 END AS "column", row_number() OVER (PARTITION BY b.doc, b.page ORDER BY CASE WHEN t.two AND b.x0 >= 300 THEN 1 ELSE 0 END, b.y0, b.x0, b.block_id)::INT AS seq FROM blocks b JOIN t ON b.doc = t.doc AND b.page = t.page""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading order of blocks on pages of two columns."""
-    return paragraphs.reading_order(adapters.wrapped(_table(spark, sf_dir, "documents"), 6, 50, 2)).select("doc", "page", "block_id", "column", "seq")
+    return paragraphs.reading_order(adapters.wrapped(read_table(spark, sf_dir, "documents"), 6, 50, 2)).select("doc", "page", "block_id", "column", "seq")
 
 
 _SOFT = r"regexp_matches({a}, '(^|\s)\pL{{3,}}-$') AND regexp_matches({b}, '^\s*\p{{Ll}}') AND NOT contains(regexp_extract({b}, '^\s*(\S+)', 1), '-') AND lower(regexp_extract({a}, '(\S+)-$', 1)) NOT IN ('well', 'ill', 'self', 'non', 'pre', 'post', 'high', 'low', 'long', 'short')"
@@ -156,7 +159,7 @@ pr AS (SELECT *, CASE WHEN qpage IS NULL OR qpage = page THEN NULL WHEN page <>
 @query(f"WITH {_PARAGRAPHS} SELECT action, cross_page, count(*) AS n FROM (SELECT action, false AS cross_page FROM pa UNION ALL SELECT action, true FROM pr) WHERE action IS NOT NULL GROUP BY action, cross_page")
 def paragraph_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions between neighbouring lines, and across pages."""
-    _, decisions = paragraphs.paragraphs_of(adapters.wrapped(_table(spark, sf_dir, "documents")))
+    _, decisions = paragraphs.paragraphs_of(adapters.wrapped(read_table(spark, sf_dir, "documents")))
     return decisions.groupBy("action", "cross_page").agg(F.count("*").alias("n"))
 
 
@@ -166,13 +169,13 @@ y AS (SELECT doc, count(*) FILTER (WHERE action IS DISTINCT FROM 'merge') AS n_p
 SELECT x.doc, raw_lines, raw_blocks, n_paragraphs, raw_lines - n_paragraphs AS merged, x.n_dec + y.n_dec AS n_decisions, x.amb + y.amb AS n_ambiguous, cross_merges AS cross_page_merges, x.soft + y.soft AS soft_hyphens FROM x JOIN y ON x.doc = y.doc""")
 def paragraph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reconstruction counters of each document."""
-    return paragraphs.paragraph_metrics(adapters.wrapped(_table(spark, sf_dir, "documents")))
+    return paragraphs.paragraph_metrics(adapters.wrapped(read_table(spark, sf_dir, "documents")))
 
 
 @query()
 def paragraph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of the logical paragraphs."""
-    return paragraphs.paragraphs_of(adapters.wrapped(_table(spark, sf_dir, "documents")))[0]
+    return paragraphs.paragraphs_of(adapters.wrapped(read_table(spark, sf_dir, "documents")))[0]
 
 
 # Text
@@ -183,27 +186,27 @@ SELECT conv_id, turn, t = '' OR regexp_matches(t, '^\d+$') OR regexp_matches(t,
   OR (regexp_matches(t, '^[A-Z0-9][A-Z0-9_.:/\\-]*$') AND (regexp_matches(t, '\d') OR contains(t, '/'))) OR regexp_matches(t, '{CODE_LINE}') AS skipped FROM u""")
 def skip_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that a translation passes on as they are."""
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", skips_translation(F.coalesce("text", F.lit(""))).alias("skipped"))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", skips_translation(F.coalesce("text", F.lit(""))).alias("skipped"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{URL}'))::BIGINT AS n_urls, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS n_emails, len(regexp_extract_all(text, '{DRIVE_PATH}'))::BIGINT AS n_paths FROM documents")
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, mail addresses and drive paths of each document."""
     n = lambda pattern: F.size(F.regexp_extract_all("text", F.lit(pattern), 0)).cast("long")
-    return _table(spark, sf_dir, "documents").select("doc_id", n(URL).alias("n_urls"), n(EMAIL).alias("n_emails"), n(DRIVE_PATH).alias("n_paths"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", n(URL).alias("n_urls"), n(EMAIL).alias("n_emails"), n(DRIVE_PATH).alias("n_paths"))
 
 
 @query()
 def protected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens each document has protected, and whether restoring them gives the text again."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", protect(F.col("text")).alias("p"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", protect(F.col("text")).alias("p"))
     return rows.select("doc_id", F.size("p.tokens").cast("long").alias("n_tokens"), (restore(F.col("p.text"), F.col("p.tokens")) == F.col("text")).alias("round_trip"))
 
 
 @query()
 def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each document for a model of 64 tokens."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", segment(F.col("text"), 64).alias("s"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", segment(F.col("text"), 64).alias("s"))
     return rows.select("doc_id", F.size("s.segments").cast("long").alias("n_segments"), F.col("s.forced").alias("forced"))
 
 
@@ -214,7 +217,7 @@ _NORMALIZED = rf"trim(regexp_replace(regexp_replace({_SOURCE}, '\r\n?', chr(10),
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The memory key of each document's text."""
     o = TranslationOptions()
-    return _table(spark, sf_dir, "documents").select("doc_id", cache_key(normalize(F.col("text")), o.backend, o.model, o.source, o.target).alias("cache_key"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", cache_key(normalize(F.col("text")), o.backend, o.model, o.source, o.target).alias("cache_key"))
 
 
 # Glossary and translation
@@ -230,13 +233,13 @@ m AS (SELECT doc_id, CASE WHEN lower(w) = 'of' THEN CASE WHEN lower(a) = 'the' A
 @query(f"WITH {_MATCHES} SELECT doc_id, term, count(*) AS n FROM m WHERE term IS NOT NULL GROUP BY doc_id, term")
 def glossary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected glossary matches of each document."""
-    return glossary_matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), GLOSSARY, key="doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return glossary_matches(read_table(spark, sf_dir, "documents").select("doc_id", "text"), GLOSSARY, key="doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_MATCHES} SELECT 4::BIGINT AS n_terms, count(DISTINCT term) AS n_matched, 4 - count(DISTINCT term) AS n_unmatched, count(term) AS n_occurrences, count(*) FILTER (WHERE term = 'und') AS n_preserved, count(*) FILTER (WHERE term <> 'und') AS n_required FROM m""")
 def glossary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glossary statistics of a run over all documents."""
-    return statistics(glossary_matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), GLOSSARY, key="doc_id"), GLOSSARY)
+    return statistics(glossary_matches(read_table(spark, sf_dir, "documents").select("doc_id", "text"), GLOSSARY, key="doc_id"), GLOSSARY)
 
 
 @query()
@@ -284,7 +287,7 @@ def memory_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sources, their links as protected tokens; the output drops digits where doc_id is odd and is cut short where it is divisible by 7."""
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("source"))
+    rows = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("source"))
     changed = F.when(F.col("sample_id") % 2 == 1, F.regexp_replace("source", "[0-9]", "")).otherwise(F.concat(F.lit("RU "), "source"))
     output = F.when(F.col("sample_id") % 7 == 0, F.left("source", F.lit(10))).otherwise(changed)
     return rows.withColumns({"output": output, "protected": F.array_distinct(F.coalesce(F.regexp_extract_all("source", F.lit(URL), 0), F.array().cast("array<string>"))), "n_segments": F.lit(1), "n_outputs": F.lit(1), "forced": F.lit(False)})
@@ -317,7 +320,7 @@ def quality_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, 'human-adequacy' AS code, 'model' AS stage, 'error' AS severity, adequacy AS score FROM r WHERE adequacy <= 2 UNION ALL SELECT doc_id, 'human-fluency', 'model', 'error', fluency FROM r WHERE fluency <= 2""")
 def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings from human scores, made of the labels."""
-    scores = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(1 + 4 * F.col("quality")).alias("adequacy"), F.max(5 - 4 * F.col("toxic")).alias("fluency"))
+    scores = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(1 + 4 * F.col("quality")).alias("adequacy"), F.max(5 - 4 * F.col("toxic")).alias("fluency"))
     return quality.review_findings(scores, "doc_id")
 
 
@@ -325,7 +328,7 @@ def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sample_id, was, "is", CASE WHEN was = 'passed' THEN 'regressed' ELSE 'improved' END AS change FROM b WHERE was <> "is" """)
 def baseline_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples whose status differs between two runs, made of the two labels."""
-    labels = _table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("sample_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    labels = read_table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("sample_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     status = lambda good: labels.select("sample_id", F.when(good, "passed").otherwise("failed").alias("status"))
     return quality.compare_with_baseline(status(F.col("q") == 1), status(F.col("t") == 0))
 
@@ -335,19 +338,19 @@ def baseline_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, count(value) FILTER (WHERE value >= 0) AS n, min(value) FILTER (WHERE value >= 0) AS least, median(value) FILTER (WHERE value >= 0) AS median, quantile_disc(value, 0.95) FILTER (WHERE value >= 0) AS p95, max(value) FILTER (WHERE value >= 0) AS most FROM events GROUP BY event_type""")
 def timing_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution of values by event type, with the nearest-rank 95th percentile."""
-    return performance.timings(_table(spark, sf_dir, "events"), "value", "event_type")
+    return performance.timings(read_table(spark, sf_dir, "events"), "value", "event_type")
 
 
 @query("""SELECT user_id, event_type, ts, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type)) - epoch_us(ts) AS micros FROM events""")
 def stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The time from each event of a user to the next."""
-    return performance.stage_durations(_table(spark, sf_dir, "events"), "user_id", "event_type", "ts")
+    return performance.stage_durations(read_table(spark, sf_dir, "events"), "user_id", "event_type", "ts")
 
 
 @query("""SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text)) AS hash, count(*) AS n FROM conversations GROUP BY conv_id""")
 def conversation_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The content hash of each conversation."""
-    return performance.ordered_hash(_table(spark, sf_dir, "conversations"), "text", "turn", "conv_id")
+    return performance.ordered_hash(read_table(spark, sf_dir, "conversations"), "text", "turn", "conv_id")
 
 
 @query("""WITH f AS (SELECT l_returnflag AS batch, CASE l_linestatus WHEN 'O' THEN 'ok' WHEN 'F' THEN CASE WHEN l_linenumber = 1 THEN 'failed' ELSE 'ok' END END AS outcome FROM lineitem),
@@ -356,7 +359,7 @@ SELECT *, CASE WHEN n_failed > 0 AND n_ok > 0 THEN 'partial' WHEN n_failed > 0 T
 def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch totals and status, with line items as files."""
     outcome = F.when(F.col("l_linestatus") == "O", "ok").when(F.col("l_linestatus") == "F", F.when(F.col("l_linenumber") == 1, "failed").otherwise("ok"))
-    return reports.batch_summary(_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("batch"), outcome.alias("outcome")), "batch")
+    return reports.batch_summary(read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("batch"), outcome.alias("outcome")), "batch")
 
 
 # Layout
@@ -394,7 +397,7 @@ def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The content hash and size of each document."""
     content = F.coalesce("text", F.lit("")).cast("binary")
-    return _table(spark, sf_dir, "documents").select("doc_id", performance.content_hash(content).alias("hash"), F.octet_length(content).cast("long").alias("bytes"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", performance.content_hash(content).alias("hash"), F.octet_length(content).cast("long").alias("bytes"))
 
 
 QUERIES |= cases.QUERIES
