@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.scratch import ensure_checkpoints, remove, scratch, settle
+from quire.sources.tables import read_table
 
 __all__ = ["ensure_checkpoints", "remove", "scratch", "settle"]
 
@@ -20,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def own_prefix(df: DataFrame) -> str:
