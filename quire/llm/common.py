@@ -51,9 +51,10 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch, since a batch of very long texts is built whole in memory."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bounds the rows and the bytes of an Arrow batch, since a batch of very long texts is built whole in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 #: Upper-case ASCII becomes lower case; ASCII controls, spaces and punctuation become a space; other bytes stay.
