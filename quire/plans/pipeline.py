@@ -15,7 +15,7 @@ from quire.operators.repeated import classify_repeated
 from quire.operators.reports import batch_summary, first_failures
 from quire.operators.translate import PrefixTranslator, finish_units, new_memory, plan_units, policies, translate_misses
 from quire.plans.options import LayoutOptions, PageOptions, ParagraphOptions, RepeatedOptions, TranslationOptions, identity
-from quire.plans.scratch import settle
+from quire.plans.scratch import scratch, settle
 from quire.sources.files import Memory, Workspace
 
 
@@ -70,11 +70,12 @@ class DocumentRun:
     def run(self, blocks: DataFrame, root: str, source_hash: str, memory: Memory | None = None) -> dict[str, DataFrame]:
         """All stages, each kept under the run's identity and reused when it is complete."""
         space = Workspace(self.spark, root, self.run_id(source_hash), self.facts(source_hash))
-        units = space.stage("units", lambda: self.reconstruct(blocks)[0])
-        finished = space.stage("translated", lambda: self.translate(units, memory))
-        fonts = blocks.groupBy("doc", F.col("block_id").alias("id")).agg(F.collect_list("font").alias("sizes"), F.first("page_h").alias("page_h"))
-        drawn = finished.where(~F.col("policy").isin("preserve", "skip", "remove")).join(fonts, ["doc", "id"]).withColumnRenamed("id", "block_id")
-        planned = space.stage("layout", lambda: plan_layout(drawn, self.layout))
+        with scratch(self.spark):  # what a stage writes beside its rows goes when all are there
+            units = space.stage("units", lambda: self.reconstruct(blocks)[0])
+            finished = space.stage("translated", lambda: self.translate(units, memory))
+            fonts = blocks.groupBy("doc", F.col("block_id").alias("id")).agg(F.collect_list("font").alias("sizes"), F.first("page_h").alias("page_h"))
+            drawn = finished.where(~F.col("policy").isin("preserve", "skip", "remove")).join(fonts, ["doc", "id"]).withColumnRenamed("id", "block_id")
+            planned = space.stage("layout", lambda: plan_layout(drawn, self.layout))
         return {"units": units, "translated": finished, "layout": planned}
 
     def batch(self, extracted: DataFrame, root: str, source_hash: str, continue_on_error: bool = True, memory: Memory | None = None) -> dict[str, DataFrame]:
