@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +19,8 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoints-"))
 
 
-#: Folders of the scratch tables that are being written, innermost last.
-_FOLDERS: list[str] = []
+#: The folder of the scratch tables that are being written, of each thread.
+_FOLDER: ContextVar[str | None] = ContextVar("quire_scratch", default=None)
 
 
 def _root(spark: SparkSession) -> str:
@@ -30,12 +31,14 @@ def _root(spark: SparkSession) -> str:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Tables settled inside go when it ends. Gives the folder around it, for those that stay."""
-    outer = _FOLDERS[-1] if _FOLDERS else _root(spark)
-    _FOLDERS.append(f"{outer}/scratch-{uuid.uuid4().hex}")
+    outer = _FOLDER.get() or _root(spark)
+    folder = f"{outer}/scratch-{uuid.uuid4().hex}"
+    before = _FOLDER.set(folder)
     try:
         yield outer
     finally:
-        remove(spark, _FOLDERS.pop())
+        _FOLDER.reset(before)
+        remove(spark, folder)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -46,6 +49,6 @@ def remove(spark: SparkSession, folder: str) -> None:
 def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows, written once to the shared checkpoint folder and read from there."""
     spark = df.sparkSession
-    path = f"{folder or (_FOLDERS[-1] if _FOLDERS else _root(spark))}/table-{uuid.uuid4().hex}"
+    path = f"{folder or _FOLDER.get() or _root(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
