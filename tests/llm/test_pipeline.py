@@ -14,7 +14,7 @@ STAGES = dict(corpus_pipeline.STAGES)
 
 
 def test_queries_are_registered():
-    assert {q.split("_")[0] for q in registry.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in registry.queries()} == {f"op{n}" for n in range(1, 14)}
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
