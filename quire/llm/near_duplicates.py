@@ -13,7 +13,7 @@ class and never paired. Classes are gathered into clusters, whose members are co
 Clusters are compared in rounds: each class in one of its clusters, that of its fingerprint if it has company there; then in all
 its clusters of prefixes. A round
 leaves out clusters whose members are of one group already, deals the members of the others into blocks of ``block_bytes``
-of text, and finds the links between groups inside each block from the whole shingle sets: a task gives at most one link less than its
+of text and MEMBERS members, and finds the links between groups inside each block from the whole shingle sets: a task gives at most one link less than its
 block has members, never pairs. So all texts of a cluster meet in its block or, if it has several blocks, most of its groups
 merge; a last round then lets the members outside the cluster's largest group meet all others. So no link between texts of
 different groups is lost, whatever a cluster's size, and what is shuffled grows with the members, not with their pairs.
@@ -39,12 +39,13 @@ from pyspark.sql.window import Window
 from quire.llm.common import give_back, own_prefix, scratch, settle, small_batches, small_side
 from quire.llm.graph import components
 from quire.llm.op8_simhash import hashes_of, majority, print_components, word_lists
+from quire.llm.overlap import links_among
 
 SAMPLE = 2000  # texts by which shingles are ordered
 ORDERED = 100_000  # shingles that are known to be frequent, at most
 BLOCK_BYTES = 16 << 20  # of text that one task compares
 FILTERED = 1024  # members of a cluster up to which the beginnings of sets are compared before texts are moved; beyond it texts are compared at once
-DENSE = 32  # a shingle that more than one in so many members have is a bit, rarer ones are postings
+MEMBERS = 4096  # that a block has at most, about
 
 
 def _own(words: list[bytes], shingle: int) -> np.ndarray:
@@ -89,7 +90,7 @@ def _sketch(text: Column, shingle: int, similarity: float, frequent: tuple[np.nd
                     codes = np.where(known[at] == own.view(np.int64), (1 << 62) + (place[at] << 31), codes)
                 codes = np.unique(codes)
                 prints.append(majority(hashes))
-                sizes.append(len(codes))
+                sizes.append(len(own))
                 keys.append(codes[: len(codes) - math.ceil(similarity * len(codes) - 1e-9) + 1] if len(codes) else np.zeros(1, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.StructArray.from_arrays([pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["fingerprint", "size", "keys"])
@@ -99,7 +100,7 @@ def _sketch(text: Column, shingle: int, similarity: float, frequent: tuple[np.nd
 
 
 class _Members:
-    """What both comparisons need of the sets of a block, smaller sets first: numbered elements, and who has the shared ones."""
+    """The beginnings of the sets of a cluster, smaller sets first: numbered elements, and who has the shared ones."""
 
     def __init__(self, sets: list[np.ndarray], size: np.ndarray, labels: np.ndarray):
         self.order = np.argsort(size, kind="stable")
@@ -160,30 +161,6 @@ def candidates_among(keys: list[np.ndarray], size: np.ndarray, labels: np.ndarra
     return out
 
 
-def links_among(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of positions that join all groups (members of one label) between which similar sets are; none within a group."""
-    b = _Members(sets, np.array([len(x) for x in sets], dtype=np.int64), labels)
-    dense = b.count > max(1, len(sets) // DENSE)
-    bits = np.zeros((len(sets), -(-int(dense.sum()) // 64)), dtype=np.uint64)
-    here = dense[b.number]
-    at = (np.cumsum(dense) - 1)[b.number[here]]
-    np.bitwise_or.at(bits, (b.row[here], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-    b.post(~here & (b.count[b.number] > 1))
-    out = []
-    for x in range(len(sets)):
-        others = b.others(x, similarity)
-        if not len(others):
-            continue
-        both = np.bitwise_count(bits[others] & bits[x]).sum(axis=1, dtype=np.int64) + b.shared(x)[others]
-        union = b.size[x] + b.size[others] - both
-        near = others[np.where(union > 0, both / np.maximum(union, 1), 1.0) >= similarity]
-        joined, one = np.unique(b.group[near], return_index=True)
-        out += [(int(b.order[x]), int(b.order[near[k]])) for k in one]
-        if len(joined):
-            b.group[np.isin(b.group, joined)] = b.group[x]
-    return out
-
-
 def _in_blocks(rows: DataFrame, key: list[str], work: Callable[[list[dict]], pa.RecordBatch | None], read: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """What a function makes of the rows of each block, one block at a time."""
 
@@ -275,24 +252,29 @@ def _compare(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: in
     return _links(dealt.select("cluster", "i", "j", "node", "label"), texts, shingle, similarity), most > 1
 
 
-def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs: doc, node (hash of body), body. Gives the classes of equal texts: node, least (doc), label (the smallest node of its group)."""
+def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int | None = 2, block_bytes: int = BLOCK_BYTES, empty: bool = True) -> DataFrame:
+    """docs: doc, node (hash of body), body. Gives the classes of equal texts: node, least (doc), size (of the set), label (the smallest node of its group).
+
+    tau: None leaves out the clusters of fingerprints, which only change the work. empty: whether texts without words are linked with each other.
+    """
     with scratch(docs.sparkSession) as outer:
         sketch = _sketch(F.col("body"), shingle, similarity, _frequent(docs, shingle))
         rows = docs.select("doc", "node", F.octet_length("body").cast("long").alias("bytes"), sketch.alias("s"))
         first = [F.first(f"s.{c}").alias(c) for c in ("fingerprint", "size", "keys")]
         classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("bytes").alias("bytes"), *first))
-        keys = classes.select("node", "size", F.explode("keys").alias("value"))
+        keys = classes.where(F.lit(empty) | (F.col("size") > 0)).select("node", "size", F.explode("keys").alias("value"))
         ends = keys.groupBy("value").agg(F.min("node").alias("cluster"), F.max("node").alias("last")).where("cluster <> last").drop("last")
         around = settle(keys.join(small_side(ends), "value").select("cluster", "node", "size").distinct())
         around = settle(_promising(around, classes, similarity))
         # first, each class is compared in one cluster: that of its fingerprint if there is one, else one of prefixes
-        found = print_components(classes.select("fingerprint").distinct(), tau)
-        alike = classes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(F.coalesce("label", "fingerprint").alias("cluster"), "node")
-        alike = alike.join(alike.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster")
-        near = alike.select("cluster", "node", F.lit(0).alias("rank")).unionByName(around.select("cluster", "node", F.lit(1).alias("rank")))
+        near = around.select("cluster", "node", F.lit(1).alias("rank"))
+        if tau is not None:
+            found = print_components(classes.select("fingerprint").distinct(), tau)
+            alike = classes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(F.coalesce("label", "fingerprint").alias("cluster"), "node")
+            alike = alike.join(alike.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster")
+            near = near.unionByName(alike.select("cluster", "node", F.lit(0).alias("rank")))
         one = settle(near.groupBy("node").agg(F.min(F.struct("rank", "cluster"))["cluster"].alias("cluster")))
-        thin = classes.select("node", "least", "bytes")
+        thin = classes.select("node", "least", "size", F.greatest("bytes", F.lit(max(1, block_bytes // MEMBERS)).cast("long")).alias("bytes"))
         wanted = small_side(thin.join(one, "node", "left_semi").select("node", F.col("least").alias("__least")))
         texts = docs.join(wanted, "node").where(F.col("doc").eqNullSafe(F.col("__least"))).select("node", "body")
         texts = settle(texts.dropDuplicates(["node"]))
@@ -305,7 +287,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
                 labelled = thin.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
             if seed == 1 and not split:
                 break  # all members of each cluster have met
-        return settle(labelled.select("node", "least", "label"), outer)
+        return settle(labelled.select("node", "least", "size", "label"), outer)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, **options: int) -> DataFrame:

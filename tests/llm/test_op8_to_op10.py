@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.llm import op9_decontaminate as leaks
 from quire.llm.graph import components
-from quire.llm.near_duplicates import candidates_among, drop_near_duplicates, links_among
+from quire.llm.near_duplicates import candidates_among, drop_near_duplicates
 from quire.llm.op8_simhash import Part, group_bits, hashes_of, majority, plan_partitions, simhash_groups, simhash_links
 from quire.llm.op10_quality import fit_quality, held_out, score_quality
+from quire.llm.overlap import links_among
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
