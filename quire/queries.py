@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire import cases
 from quire.functions.text import CODE_LINE, DRIVE_PATH, EMAIL, LIGATURES, MEASUREMENTS, SPACES, URL, cache_key, normalize, protect, restore, segment, skips_translation
 from quire.operators import layout, pages, paragraphs, performance, quality, repeated, reports, translate
 from quire.operators.glossary import Glossary, Term, compliance, glossary_matches, statistics
@@ -390,7 +389,7 @@ def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.plan_layout(blocks, _LAYOUT)
 
 
-# Integers, hashes and literal cases
+# Hashes
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents")
@@ -399,6 +398,3 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.coalesce("text", F.lit("")).cast("binary")
     return read_table(spark, sf_dir, "documents").select("doc_id", performance.content_hash(content).alias("hash"), F.octet_length(content).cast("long").alias("bytes"))
 
-
-QUERIES |= cases.QUERIES
-SQL |= cases.SQL

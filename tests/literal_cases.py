@@ -1,4 +1,4 @@
-"""Queries over literal cases: what small operators give for them, against the rows that were worked out by hand (as VALUES in SQL)."""
+"""Literal cases: what small operators give for them, and the rows that were worked out by hand."""
 
 from __future__ import annotations
 
@@ -13,28 +13,16 @@ from quire.operators.glossary import Glossary, Term, compliance, conflicts, glos
 from quire.plans.options import LayoutOptions, PageOptions, ParagraphOptions, RepeatedOptions, TranslationOptions, identity
 from quire.sources import datasets, files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
-
-
-def _literal(v: object) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    return str(v)
+#: name: (columns, rows, what gives them).
+CASES: dict[str, tuple[list[list[str]], list[tuple], Callable[[SparkSession], DataFrame]]] = {}
 
 
 def cases(columns: str, *rows: tuple) -> Callable:
-    """Registers a query over literals with its rows: columns as "name type, ..."."""
+    """Registers a case with its rows: columns as "name type, ..."."""
     named = [c.strip().split(" ") for c in columns.split(",")]
-    casts = ", ".join(f'CAST(c{i} AS {TYPES[t]}) AS "{n}"' for i, (n, t) in enumerate(named))
-    values = ", ".join("(" + ", ".join(map(_literal, r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
 
     def add(f: Callable[[SparkSession], DataFrame]) -> Callable[[SparkSession], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark).select(*[F.col(n).cast(t).alias(n) for n, t in named])
-        SQL[f.__name__] = f"SELECT {casts} FROM (VALUES {values}) AS t({', '.join(f'c{i}' for i in range(len(named)))})"
+        CASES[f.__name__] = named, [r if isinstance(r, tuple) else (r,) for r in rows], f
         return f
 
     return add
