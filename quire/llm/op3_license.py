@@ -1,7 +1,9 @@
 """Licence scans by canonical digest.
 
-A text is brought to a canonical form: lower-cased, copyright lines dropped, punctuation and white space
-folded to single spaces, and spellings that licence readers hold equivalent folded to one. The digest of the whole
+A text is brought to a canonical form: copyright notices dropped, lower-cased, titles of known licences and "all rights reserved"
+dropped, punctuation (typographic too) and white space folded to single spaces, and spellings that licence readers hold
+equivalent folded to one. A copyright notice is a line that begins with the word or sign and goes on with a year, a sign, a
+placeholder in brackets or a name; lines of a licence's body that happen to begin with the word stay. The digest of the whole
 canonical text is looked up among the digests of known licence texts by a hash join. The same lookup is applied to each line
 of a document as a text of its own, which finds licence notices inside documents; a line's digest is made only if its
 canonical form is as long as that of a known text, since no other can have its digest.
@@ -23,11 +25,16 @@ EQUIVALENT = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("noncommercially", "noncommercial"), ("whilst", "while"), ("acknowledgement", "acknowledgment"),
     ("favour", "favor"), ("honour", "honor"), ("organisation", "organization"), ("programme", "program"), ("copyright owner", "copyright holder"), ("v3", "version 3"), ("v2", "version 2"), ("gpl", "general public license"), ("this software is", "this work is"),
 )
-#: ASCII punctuation, white space and controls.
-PUNCTUATION = r"[\x00-\x20!-/:-@\[-`{-~]+"
-#: The same but for line feeds.
-IN_LINES = r"[\x00-\x09\x0B-\x20!-/:-@\[-`{-~]+"
-COPYRIGHT = r"^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
+#: Punctuation, white space and controls but for line feeds: of ASCII, typographic quotes, dashes and dots, and wide spaces.
+IN_LINES = r"[\x00-\x09\x0B-\x20!-/:-@\[-`{-~\x{A0}\x{AB}\x{BB}\x{2000}-\x{200B}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2022}\x{2026}\x{2212}\x{3000}\x{FEFF}]+"
+#: A line with a notice, before letters are lowered: capitals and small letters of a name tell it from a line in capitals.
+COPYRIGHT = r"^[^A-Za-z0-9\n]*(?:(?i:copyright)[^A-Za-z0-9\n]*(?:\([cC]\)|©|[\[<{]|(?:19|20)[0-9][0-9]|(?i:by) )|Copyright +(?:The +)?[A-Z][a-z.]|(?:\([cC]\)|©)[^A-Za-z0-9\n]*(?:(?:19|20)[0-9][0-9]|(?i:copyright|by)|[A-Z][a-z]))[^\n]*$"
+#: Titles that stand above known texts, in canonical form.
+TITLES = (
+    "(the )?mit license( mit)?", "(the )?isc license( isc)?", "(the )?bsd 2 clause (simplified )?license", "(the )?2 clause bsd license", "simplified bsd license", "(the )?bsd 3 clause (new or revised )?license", "(the )?3 clause bsd license", "new bsd license",
+    "(bsd zero clause|zero clause bsd) license", "boost software license (version )?1 0( august 17th 2003)?", "(the )?zlib license", "(the )?unlicense",
+)
+TITLE_LINE = "^ *(?:" + "|".join(t.replace(" ", " +") for t in TITLES) + ") *$"
 _BSD = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 #: Known licence texts and notices, without their copyright lines.
 KNOWN = (
@@ -60,12 +67,13 @@ def _equal_spellings(form: Column, pairs: tuple[tuple[str, str], ...]) -> Column
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with every line by itself: words between two spaces, lines between line feeds."""
-    lowered = F.lower(text)
-    # the expression for copyright lines runs only where one of its words is
-    marked = F.contains(lowered, F.lit("copyright")) | F.contains(lowered, F.lit("(c)")) | F.contains(lowered, F.lit("©"))
-    bare = F.when(marked, F.regexp_replace(lowered, "(?md)" + COPYRIGHT, " ")).otherwise(lowered)
-    spaced = F.replace(F.regexp_replace(bare, IN_LINES, "  "), F.lit("\n"), F.lit("  \n  "))
-    return _equal_spellings(F.concat(F.lit("  "), spaced, F.lit("  ")), EQUIVALENT)
+    # the expressions for notices and titles run only where one of their words is
+    marked = F.contains(F.lower(text), F.lit("copyright")) | F.contains(F.lower(text), F.lit("(c)")) | F.contains(text, F.lit("©"))
+    lowered = F.lower(F.when(marked, F.regexp_replace(text, "(?md)" + COPYRIGHT, " ")).otherwise(text))
+    spaced = F.replace(F.regexp_replace(lowered, IN_LINES, "  "), F.lit("\n"), F.lit("  \n  "))
+    form = _equal_spellings(F.concat(F.lit("  "), spaced, F.lit("  ")), EQUIVALENT)
+    form = F.replace(form, F.lit(" all  rights  reserved "), F.lit(" "))
+    return F.when(F.contains(form, F.lit("license")), F.regexp_replace(form, "(?md)" + TITLE_LINE, "  ")).otherwise(form)
 
 
 def _single(form: Column) -> Column:
@@ -116,10 +124,10 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_lines(text: str) -> str:
-    form = f"'  ' || replace(regexp_replace(regexp_replace(lower({text}), '(?m){COPYRIGHT}', ' ', 'g'), '{IN_LINES}', '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  '"
+    form = f"'  ' || replace(regexp_replace(lower(regexp_replace({text}, '(?m){COPYRIGHT}', ' ', 'g')), '{IN_LINES}', '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  '"
     for said, meant in EQUIVALENT:
         form = f"replace({form}, ' {said.replace(' ', '  ')} ', ' {meant.replace(' ', '  ')} ')"
-    return form
+    return f"regexp_replace(replace({form}, ' all  rights  reserved ', ' '), '(?m){TITLE_LINE}', '  ', 'g')"
 
 
 def _sql_whole(lines: str) -> str:

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from pathlib import Path
+import textwrap
 
 import numpy as np
 import pytest
@@ -235,3 +236,27 @@ def test_positions_are_shares_of_all_demand(documents):
 
 def test_crc_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit("hello").cast("binary"))).first()[0] == zlib.crc32(b"hello")
+
+
+def test_ordinary_license_files(documents):
+    """Every known text of several lines, wrapped at many widths, with a title, notices, typographic quotes and dashes; body lines that begin with the word copyright stay."""
+    titles = {"MIT": ("MIT License", "The MIT License (MIT)"), "ISC": ("ISC License",), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"), "Zlib": ("zlib License",), "0BSD": ("BSD Zero Clause License",), "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",), "Unlicense": ("The Unlicense",)}
+    notices = ("Copyright (c) 2021 Somebody", "Copyright 2019-2021 The Authors. All rights reserved.", "Copyright Jane Doe", "(c) 2020 Jane Doe\nAll rights reserved.", "© Jane Doe", "COPYRIGHT (C) 1999 JANE DOE", "Copyright [yyyy] [name of copyright owner]", "copyright by Jane Doe")
+    rows, want = [], {}
+    for name, body in KNOWN:
+        if len(body) < 400:
+            continue
+        for k, width in enumerate(range(50, 101)):
+            said = "\n\n".join(textwrap.fill(p, width) for p in body.split("\n\n"))
+            if k % 3 == 1:
+                said = said.replace('"AS IS"', "“AS IS”").replace("'as-is'", "‘as‑is’").replace("non-commercial", "non–commercial")
+            title = titles.get(name, ())
+            head = [*([title[k % len(title)]] if title and k % 2 else []), *([notices[k % len(notices)]] if k % 5 else [])]
+            want[len(rows)] = name
+            rows.append((len(rows), "\n\n".join([*head, said]), "s"))
+    assert len(rows) > 400
+    found = {r["doc_id"]: r["license"] for r in scan_licenses(documents(rows)).collect()}
+    assert [(i, n, rows[i][1][:80]) for i, n in want.items() if found[i] != n] == []
+    prose = [(1, "Copyright is a right. Read the MIT License.", "s"), (2, "copyright holders be liable\nfor this", "s"), (3, "(c) you must keep this", "s")]
+    forms = {r["doc_id"]: r["f"] for r in documents(prose).select("doc_id", whole_form(canonical_lines(F.col("text"))).alias("f")).collect()}
+    assert forms == {1: "copyright is a right read the mit license", 2: "copyright holders be liable for this", 3: "c you must keep this"}
