@@ -2,7 +2,7 @@
 
 Index: coarse centroids by balanced k-means on a bounded sample of unit vectors; each of their cells is split again, from a
 bounded sample of its members, into lists of about ``list_rows`` vectors, so that the number of lists grows with the table (up
-to ``lists``; beyond it lists grow). A vector goes to its nearest cell and list and, near a boundary, also to others almost as
+to ``lists`` and ``index_bytes``; beyond it lists grow). A vector goes to its nearest cell and list and, near a boundary, also to others almost as
 near (``replicas`` at most). Lists that still come out long are cut into sublists, all of which are searched. Search: coarse centroids are
 found with a best-first walk over their in-memory neighbour graph; of the cells, and then of all their lists, those
 within a ratio of the nearest one's distance are read, whatever their number (a query that finds fewer than k reads all); their vectors are compared exactly, and the best of all lists are merged.
@@ -40,7 +40,8 @@ class AnnOptions:
     cells: int = 64  # coarse centroids
     cell_sample: int = 8192  # rows of a cell that its lists are fitted on, about
     list_rows: int = 256
-    lists: int = 1 << 18  # in all, since all tasks hold their centroids
+    lists: int = 1 << 18  # in all
+    index_bytes: int = 64 << 20  # of the lists' centroids, which the driver and all tasks hold; with longer vectors there are fewer lists
     replicas: int = 4
     boundary: float = 1.05  # distance to a cluster, over that to the nearest, up to which a vector is replicated
     cell_ratio: float = 1.5  # the same for the cells that a query looks into
@@ -53,7 +54,13 @@ class AnnOptions:
     exact: bool = False
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which is exact, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(np.asarray(x, dtype=np.float64))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -184,7 +191,7 @@ def build_index(rows: DataFrame, o: AnnOptions) -> Index | None:
     placed = rows.mapInArrow(cells, "cell int, id long, v array<double>")
     sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row per cell
     total = sum(sizes.values())
-    per = max(o.list_rows, total / o.lists)
+    per = max(o.list_rows, total / max(1, min(o.lists, o.index_bytes // (4 * centres.shape[1]))))
     counts = {c: max(1, round(n / per)) for c, n in sizes.items()}
     table = rows.sparkSession.createDataFrame([(c, sizes[c], counts[c]) for c in sorted(sizes)], "cell int, n long, count int")
     sampled = placed.join(F.broadcast(table), "cell").where(F.pmod(F.xxhash64("id"), F.col("n")) < o.cell_sample)
@@ -255,6 +262,7 @@ def nearest_neighbours(df: DataFrame, vec_id: str = "vec_id", vector: str = "emb
         most = min(len(ids), k * int(np.unique(ids, return_counts=True)[1].max())) - 1
         least = np.partition(rough, len(ids) - 1 - most, axis=1)[:, len(ids) - 1 - most]
         row, col = np.nonzero((rough >= least[:, None] - 1e-9) & np.isfinite(rough))
+        m, q = scaled(m), scaled(q)
         score = (m[col] * q[row]).sum(axis=1) / (np.sqrt((m[col] * m[col]).sum(axis=1)) * np.sqrt((q[row] * q[row]).sum(axis=1)))
         return pd.DataFrame({"query_id": own[row], "vec_id": ids[col], "score": score})
 

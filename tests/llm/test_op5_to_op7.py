@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.op5_secrets import BASE_RULES, RULES, find_secrets, trigram_query
 from quire.llm.op6_url_filter import UrlRule, filter_urls
-from quire.llm.op7_ann import AnnOptions, build_index, nearest_neighbours
+from quire.llm.op7_ann import AnnOptions, build_index, nearest_neighbours, valid_vectors
 
 
 def plain_secrets(text):
@@ -126,3 +126,27 @@ def test_lists_grow_with_the_table(spark):
     rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(4000, 8)))], "id long, v array<double>").cache()
     lists = [len(build_index(rows.where(f"id < {n}"), AnnOptions(cells=8, list_rows=50)).lists) for n in (1000, 4000)]
     assert lists[1] > 2.5 * lists[0]
+
+
+def test_vectors_of_extreme_size(spark):
+    """Vectors whose squares vanish or overflow take part, and their cosines are those of their directions."""
+    rng = np.random.default_rng(44)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 300)]
+    sizes = (1e-200, 1e200, 5e-324, 1e-310, 1.7e308)
+    rows += [(1000 + k, [s, 0.0, 0.0, 0.0]) for k, s in enumerate(sizes)] + [(1100, [1e200, 1e200, 1e200, 1e200]), (1101, [1e-200, 1e-200, 0.0, 0.0]), (1150, [1e300, 1e-300, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    for options in (AnnOptions(), AnnOptions(exact=True, list_rows=40, cells=4)):
+        found = nearest_neighbours(df, options=options).collect()
+        assert {r["query_id"] for r in found} == {i for i, _ in rows if i % 50 == 0} and len(found) == 5 * len({r["query_id"] for r in found})
+        assert all(abs(r["score"] - float(unit[r["query_id"]] @ unit[r["vec_id"]])) < 1e-12 for r in found)
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 1000] == [1001, 1002, 1003, 1004, 1150]
+
+
+def test_index_is_bounded_in_bytes(spark):
+    """With longer vectors there are fewer lists."""
+    rng = np.random.default_rng(45)
+    rows = valid_vectors(spark.createDataFrame([(i, rng.normal(size=32).tolist()) for i in range(600)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    assert len(build_index(rows, AnnOptions(list_rows=10, cells=4)).lists) > 30
+    assert len(build_index(rows, AnnOptions(list_rows=10, cells=4, index_bytes=10 * 4 * 32)).lists) <= 20
