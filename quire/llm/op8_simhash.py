@@ -115,9 +115,11 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[tuple[int, ...]]:
 
 
 def plan_partitions(prints: DataFrame, tau: int) -> list[Part]:
-    """The cheapest partitions and thresholds for this table."""
+    """The cheapest partitions and thresholds for this table. Thresholds are 2 at most, so many bits need many partitions."""
+    if not 0 <= tau < BITS:
+        raise ValueError(f"tau is from 0 to {BITS - 1}")
     n, both = bit_statistics(prints)
-    plans = {m: group_bits(n, both, m) for m in range(1, min(BITS, tau + 1, 8) + 1) if tau - m + 1 <= 2 * m}
+    plans = {m: group_bits(n, both, m) for m in range(1, min(BITS, tau + 1, max(8, -(-(tau + 1) // 3))) + 1) if tau - m + 1 <= 2 * m}
     masks = [(m, i, signed(sum(1 << b for b in bits))) for m, groups in plans.items() for i, bits in enumerate(groups)]
     values = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.col("fingerprint").bitwiseAND(F.lit(mask)).alias("value")) for m, i, mask in masks]))
     same = prints.select(values.alias("s")).groupBy("s.m", "s.i", "s.value").count().groupBy("m", "i").agg(F.sum(F.col("count").cast("double") * F.col("count")))

@@ -52,10 +52,13 @@ def test_links_against_all_pairs(spark, tau, bucket):
 
 def test_plan_covers_the_threshold(spark):
     df = spark.createDataFrame([(int(x),) for x in np.random.default_rng(8).integers(0, 1 << 62, 500)], "fingerprint long")
-    for tau in (0, 2, 10):
+    for tau in (0, 2, 10, 24, 40, 63):
         parts = plan_partitions(df, tau)
         bits = [b for p in parts for b in p.bits]
         assert len(bits) == len(set(bits)) and sum(p.threshold + 1 for p in parts) >= tau + 1 and all(isinstance(p, Part) for p in parts)
+    for tau in (-1, 64):
+        with pytest.raises(ValueError, match="tau is from 0 to 63"):
+            plan_partitions(df, tau)
     both = np.ones((64, 64)) * 25 + np.eye(64) * 25
     both[0, 63] = both[63, 0] = 50
     assert any({0, 63} <= set(g) for g in group_bits(100, both, 4))
