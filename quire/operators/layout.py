@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import compatible
+from quire.operators.typeset import FontMetrics, largest_fit, measured_words, normalized_clip, words_width
 from quire.plans.options import LayoutOptions
 
 PAGE = ["doc", "page"]
@@ -94,24 +94,23 @@ def redaction_boxes(blocks: DataFrame, o: LayoutOptions) -> DataFrame:
     return rows.withColumn("redaction", box)
 
 
-def fits(text: Column, size: Column, width: Column, height: Column, o: LayoutOptions) -> Column:
-    """By an estimate of the glyphs' width; a font's own widths can take its place."""
-    per_line = F.greatest(F.lit(1), F.floor(width / (size * o.glyph_width)))
-    return F.ceil(F.length(text) / per_line) * size * o.line_height <= height
+def plan_layout(blocks: DataFrame, o: LayoutOptions = LayoutOptions(), metrics: FontMetrics = FontMetrics()) -> DataFrame:
+    """font_first, font_size (null: overflow), attempts, expanded, overflow and warning of each block. blocks: translated, sizes (of its spans), and the box.
 
-
-def plan_layout(blocks: DataFrame, o: LayoutOptions = LayoutOptions()) -> DataFrame:
-    """font_first, font_size (null: overflow), attempts, expanded, overflow and warning of each block. blocks: translated, sizes (of its spans), and the box."""
+    A text is set word by word in its box by the font's advances, at smaller and smaller sizes, then in the box grown downwards.
+    """
     rows = lower_limits(blocks, o) if o.expand else blocks.withColumn("limit", F.col("y1"))
     rows = rows.withColumn("font_first", first_font(F.col("sizes"), o.default_font)).withColumn("ladder", font_ladder(F.col("font_first"), o))
     width, own, grown = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("limit") - F.col("y0")
-    tried = lambda h: F.filter("ladder", lambda s: fits(F.col("translated"), s, width, h, o))
-    one, two = F.get(tried(own), F.lit(0)), F.get(tried(grown), F.lit(0))
-    rows = rows.withColumns({"size_here": one, "size_grown": F.when(F.col("limit") > F.col("y1") + 1e-6, two)})
-    size = F.coalesce("size_here", "size_grown")
-    n = lambda c: F.coalesce(F.nullif(F.array_position("ladder", c), F.lit(0)), F.size("ladder").cast("long"))
-    attempts = n(F.col("size_here")) + F.when(F.col("size_here").isNull() & (F.col("limit") > F.col("y1") + 1e-6), n(F.col("size_grown"))).otherwise(0)
-    expanded = F.col("size_here").isNull() & F.col("size_grown").isNotNull()
+    # words are measured once: widths are in thousandths of the size, whatever the size
+    rows = rows.withColumn("words", measured_words(F.coalesce("translated", F.lit("")), metrics)).withColumn("total", words_width(F.col("words")))
+    tried = lambda h: largest_fit(F.col("ladder"), F.col("words"), F.col("total"), width, h, o.line_height, metrics)
+    rows = rows.withColumn("here", tried(own))
+    grows = F.col("here.size").isNull() & (F.col("limit") > F.col("y1") + 1e-6)
+    rows = rows.withColumn("grown", F.when(grows, tried(grown)))
+    size = F.coalesce("here.size", "grown.size")
+    attempts = (F.col("here.attempts") + F.coalesce("grown.attempts", F.lit(0))).cast("long")
+    expanded = F.col("grown.size").isNotNull()
     return rows.select(*PAGE, "block_id", "font_first", size.alias("font_size"), attempts.alias("attempts"), expanded.alias("expanded"), size.isNull().alias("overflow"), F.when(size.isNull(), F.concat(F.lit("block "), "block_id", F.lit(" overflows at the least font"))).when(expanded, F.concat(F.lit("block "), "block_id", F.lit(" expanded downward"))).alias("warning"))
 
 
@@ -119,7 +118,6 @@ def layout_counters(plan: DataFrame, *by: str) -> DataFrame:
     return plan.groupBy(*by).agg(F.count("*").alias("n_blocks"), F.count_if(F.col("font_size") < F.col("font_first")).alias("n_reduced"), F.count_if("expanded").alias("n_expanded"), F.count_if("overflow").alias("n_overflow"))
 
 
-def clip_matches(clips: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """Whether what a page has in a block's place contains the expected text, after folding dashes, brackets and spaces. clips: expected, found."""
-    fold = lambda c: F.trim(F.regexp_replace(F.translate(compatible(c), "‐‑‒–—−（）", "------()"), r"(?U)\s+", " "))
-    return clips.withColumn("verified", F.contains(fold(F.col("found")), fold(F.col("expected"))))
+def clip_matches(clips: DataFrame) -> DataFrame:
+    """Whether what a page has in a block's place contains the expected text. clips: expected, found."""
+    return clips.withColumn("verified", F.contains(normalized_clip(F.col("found")), normalized_clip(F.col("expected"))))

@@ -2,7 +2,10 @@
 
 A decision between neighbours depends on the two fragments alone: every kind but body keeps its paragraph to itself, so a
 paragraph of several fragments is all body and its kind is its last fragment's. Paragraphs are therefore windows over
-pages (and then over documents), with a running sum of the breaks as number.
+pages, with a running sum of the breaks as number.
+
+Across pages, what a page needs of the one before and the numbers of paragraphs come in two levels: windows over ranges of
+pages, and then over one row for each range. A document of any number of pages is therefore spread over tasks.
 """
 
 from __future__ import annotations
@@ -13,10 +16,12 @@ from pyspark.sql.window import Window
 
 from quire.functions.text import CAPTION, LIST_MARKER, TERMINAL, is_ascii, is_lower_start, is_soft_hyphen, join_text, rstrip, strip
 from quire.plans.options import ParagraphOptions
+from quire.plans.scratch import settle
 
 REPEATED_KINDS = {"page_number": "page_number", "running_header": "header", "running_footer": "footer", "repeated_boilerplate": "repeated_boilerplate", "watermark_candidate": "watermark_candidate", "unknown_repeated": "unknown_repeated"}
 BOUNDARIES = (("heading", "heading_boundary"), ("list_item", "list_boundary"), ("caption", "caption_boundary"), ("footnote", "footnote_boundary"))
 PAGE = ["doc", "page"]
+RANGE = 1024  # pages that one task numbers at once
 
 
 def _facing(fragments: DataFrame, o: ParagraphOptions) -> DataFrame:
@@ -119,10 +124,35 @@ def _folded(items: Column) -> Column:
     return F.aggregate(F.slice(items, 2, F.size(items)), strip(items[0]["text"]), lambda acc, x: join_text(acc, x["text"]))
 
 
-def page_paragraphs(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()) -> DataFrame:
+def _same_range(p: DataFrame, ranges: DataFrame, *kept: str) -> DataFrame:
+    """Rows with what is known of their range of pages."""
+    thin = ranges.select(F.col("doc").alias("r_doc"), F.col("range").alias("r_range"), *kept)
+    return p.join(thin, F.col("doc").eqNullSafe(F.col("r_doc")) & (F.col("range") == F.col("r_range")), "left").drop("r_doc", "r_range")
+
+
+def with_previous(p: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """q: names of the row before, by page and local within a document; of a range's first row the last one of the ranges before. p: doc, range, page, local."""
+    within = Window.partitionBy("doc", "range").orderBy("page", "local")
+    one = F.struct(*names)
+    ends = p.groupBy("doc", "range").agg(F.max_by(one, F.struct("page", "local")).alias("end"))
+    ranges = ends.withColumn("before", F.lag("end").over(Window.partitionBy("doc").orderBy("range")))  # a row per range of pages
+    return _same_range(p.withColumn("q", F.lag(one).over(within)), ranges, "before").withColumn("q", F.coalesce("q", "before")).drop("before")
+
+
+def numbered(p: DataFrame, amount: Column, name: str, *order: str) -> DataFrame:
+    """The running sum of an amount by page and local (or ``order``) within a document: within ranges, plus the sum of the ranges before. p: doc, range, page, local."""
+    within = Window.partitionBy("doc", "range").orderBy(*(order or ("page", "local"))).rowsBetween(Window.unboundedPreceding, 0)
+    sums = p.select("doc", "range", amount.alias("n")).groupBy("doc", "range").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("doc").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return _same_range(p.withColumn(name, F.sum(amount).over(within)), ranges, "offset").withColumn(name, F.col(name) + F.col("offset")).drop("offset")
+
+
+def page_paragraphs(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(), dropped: tuple[str, ...] = (), span: int = RANGE) -> DataFrame:
     """A row per paragraph of a page, with the decision towards the page before and the number that joins paragraphs across pages.
 
-    Fragments are windows by page; across pages only a paragraph's ends and counters are, so a document is no large state.
+    Fragments are windows by page; across pages only a paragraph's ends and counters are, by ranges of ``span`` pages. The rows are
+    written in between, without the columns that are ``dropped``.
     """
     rows = page_decisions(fragments, o)
     by_page = Window.partitionBy(*PAGE).orderBy("seq")
@@ -144,9 +174,9 @@ def page_paragraphs(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions
         F.count_if(merges & F.col("soft")).alias("n_soft"), F.sort_array(F.collect_list(made)).alias("inside"), F.collect_set("block_id").alias("blocks"),
     )
     p = p.withColumn("edge", F.when(F.size("ends") > 0, _folded(F.col("ends"))))
-    by_doc = Window.partitionBy("doc").orderBy("page", "local")
     names = ("page", "kind", "tail", "edge", "page_h")
-    p = p.withColumn("q", F.lag(F.struct(*names)).over(by_doc)).select("*", *[F.col(f"q.{c}").alias(f"q_{c}") for c in names]).drop("q")
+    p = settle(p.drop(*dropped).withColumn("range", F.floor(F.col("page") / span)))
+    p = with_previous(p, names).select("*", *[F.col(f"q.{c}").alias(f"q_{c}") for c in names]).drop("q")
     crosses = F.col("q_page") != F.col("page")
     aligned, column = F.abs(F.col("q_tail.x0") - F.col("head.x0")) <= o.alignment, F.col("q_tail.column") == F.col("head.column")
     lower, open_end, soft = is_lower_start(F.col("head.text")), _unfinished(F.col("q_edge")), is_soft_hyphen(F.col("q_edge"), F.col("edge"))
@@ -158,17 +188,18 @@ def page_paragraphs(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions
     said = _prefixed((column, "same_column"), (aligned, "aligned"), (lower, "lowercase_continuation"), (open_end, "unfinished_sentence"), (soft, "soft_hyphen"), (able & edges, "cross_page_continuation"), (~(able & edges), "page_boundary_weak"))
     reasons = F.when(~next_page, F.array(weak)).when(~bodies, F.array(F.coalesce(_boundary(F.col("q_kind"), F.col("kind")), weak))).otherwise(said)
     p = p.withColumns({"action": action, "reasons": F.when(action.isNotNull(), reasons), "soft": soft})
-    return p.withColumn("para", F.sum(F.when(F.coalesce(F.col("action") == "merge", F.lit(False)), 0).otherwise(1)).over(by_doc))
+    breaks = F.when(F.coalesce(F.col("action") == "merge", F.lit(False)), 0).otherwise(1)
+    return numbered(p, breaks, "para").drop("range")
 
 
-def paragraphs_of(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()) -> tuple[DataFrame, DataFrame]:
+def paragraphs_of(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(), span: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """Logical paragraphs (doc, para, id, page, kind, text, box, n_fragments, ambiguous, blocks) and decisions (doc, page, previous, current, action, reasons, cross_page)."""
     if o.mode == "off":
-        alone = fragments.withColumn("para", F.row_number().over(Window.partitionBy("doc").orderBy("page", "ord")))
+        alone = numbered(fragments.withColumn("range", F.floor(F.col("page") / span)), F.lit(1), "para", "page", "ord").drop("range")
         plain = alone.select("doc", "para", F.col("block_id").alias("id"), "page", F.lit("body").alias("kind"), strip(F.col("text")).alias("text"), "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("n_fragments"), F.lit(False).alias("ambiguous"), F.array("block_id").alias("blocks"))
         none = fragments.sparkSession.createDataFrame([], "doc string, page int, previous string, current string, action string, reasons array<string>, cross_page boolean")
         return plain, none
-    p = page_paragraphs(fragments, o)
+    p = page_paragraphs(fragments, o, span=span)
     # anchor: the first page of a paragraph, whose box it has
     at = F.struct("page", "local")
     whole = p.withColumn("anchor", F.min("page").over(Window.partitionBy("doc", "para")))
@@ -187,7 +218,7 @@ def paragraphs_of(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()
 
 def paragraph_metrics(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(), by: tuple[str, ...] = ("doc",)) -> DataFrame:
     """Raw lines and blocks, paragraphs, merged fragments, decisions, ambiguous ones, merges across pages, soft hyphens removed. by: doc, or nothing."""
-    p = page_paragraphs(fragments, o)
+    p = page_paragraphs(fragments, o, ("items", "ends", "inside", "blocks", "ambiguous", "id", "x0", "x1", "y0", "y1"))
     decided, merges = F.col("action").isNotNull(), F.coalesce(F.col("action") == "merge", F.lit(False))
     n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return p.groupBy(*by).agg(

@@ -142,12 +142,13 @@ def words_width(words: Column) -> Column:
 
 def placed_words(blocks: DataFrame, text: str, size: str, line_height: float, metrics: FontMetrics) -> DataFrame:
     """doc, page, block_id, line, place, word and its box: a block's text set in its box from the top left corner. Lines below the box are set too."""
-    limit = line_limit(F.col("x1") - F.col("x0"), F.col(size))
-    rows = blocks.select(*PAGE, "block_id", *BOX, F.col(size).cast("double").alias("size"), F.posexplode(broken_lines(F.col(text), limit, metrics)).alias("line", "l"))
+    base = blocks.select(*PAGE, "block_id", *BOX, F.col(size).cast("double").alias("__size"), F.col(text).alias("__text"))
+    lines = broken_lines(F.col("__text"), line_limit(F.col("x1") - F.col("x0"), F.col("__size")), metrics)
+    rows = base.select(*PAGE, "block_id", *BOX, "__size", F.posexplode(lines).alias("line", "l"))
     split = F.split("l.text", " ")
     offset = lambda k: F.when(k == 0, 0).otherwise(metrics.width(F.array_join(F.slice("parts", 1, k), " ")) + metrics.space)
     words = F.transform("parts", lambda w, k: F.struct(w.alias("word"), offset(k).cast("long").alias("offset"), metrics.width(w).alias("width")))
-    rows = rows.withColumn("parts", split).where("l.text <> ''").select(*PAGE, "block_id", *BOX, "size", "line", F.posexplode(words).alias("place", "w"))
+    rows = rows.withColumn("parts", split).where("l.text <> ''").select(*PAGE, "block_id", *BOX, F.col("__size").alias("size"), "line", F.posexplode(words).alias("place", "w"))
     x, y = F.col("x0") + F.col("w.offset") * F.col("size") / EM, F.col("y0") + F.col("line") * F.col("size") * line_height
     return rows.select(*PAGE, "block_id", "line", "place", F.col("w.word").alias("word"), x.alias("x0"), y.alias("y0"), (x + F.col("w.width") * F.col("size") / EM).alias("x1"), (y + F.col("size")).alias("y1"))
 

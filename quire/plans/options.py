@@ -73,7 +73,6 @@ class LayoutOptions:
     padding: float = 0.5
     expand: bool = False
     default_font: float = 11.0
-    glyph_width: float = 0.5  # of the font size; stands in for a font's own widths
 
     def __post_init__(self) -> None:
         if min(self.least_font, self.font_step, self.line_height) <= 0 or self.padding < 0 or self.default_font < self.least_font:

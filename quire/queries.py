@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import CODE_LINE, DRIVE_PATH, EMAIL, LIGATURES, MEASUREMENTS, SPACES, URL, cache_key, normalize, protect, restore, segment, skips_translation
-from quire.operators import layout, pages, paragraphs, performance, quality, repeated, reports, translate
+from quire.operators import layout, pages, paragraphs, performance, quality, repeated, reports, translate, typeset
 from quire.operators.glossary import Glossary, Term, compliance, glossary_matches, statistics
+from quire.operators.typeset import FULL_WIDTH, FontMetrics
 from quire.plans.options import LayoutOptions, TranslationOptions
 from quire.plans.scratch import settle
 from quire.sources import adapters
@@ -382,13 +383,71 @@ def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.redaction_boxes(_furniture(spark, sf_dir), _LAYOUT).select("doc", "page", "block_id", "padded")
 
 
-@query()
+# Text in boxes
+
+_SANS = FontMetrics()
+
+
+def _width_sql(text: str) -> str:
+    """The width of a text in thousandths of the font size."""
+    quoted = lambda chars: "'" + chars.replace("'", "''") + "'"
+    parts = [f"length({text}) * {_SANS.default}", f"(length({text}) - length(regexp_replace({text}, '{FULL_WIDTH}', '', 'g'))) * {_SANS.overrides - _SANS.default}"]
+    return "(" + " + ".join([*parts, *(f"(length({text}) - length(translate({text}, {quoted(chars)}, ''))) * ({advance - _SANS.default})" for advance, chars in _SANS.groups().items())]) + ")::BIGINT"
+
+
+def _measured_sql(text: str) -> str:
+    """For each line of a text its words with their widths."""
+    return rf"list_transform(string_split({text}, chr(10)), lambda line: list_transform(list_filter(regexp_split_to_array(line, '[ \t\r]+'), lambda w: w <> ''), lambda w: {{'text': w, 'width': {_width_sql('w')}}}))"
+
+
+def _lines_sql(words: str, limit: str) -> str:
+    """How many lines measured words make: a fold over words, and over the characters of words that are wider than a line."""
+    piece = lambda width, space, fresh: f"{{'n': 1::BIGINT, 'at': -1::BIGINT, 'width': {width}::BIGINT, 'space': {space}::BIGINT, 'fresh': {fresh}}}"
+    pieces = f"flatten(list_transform(l, lambda w: CASE WHEN w.width > {limit} THEN list_transform(string_split(w.text, ''), lambda c, k: {piece(_width_sql('c'), 0, 'k = 1')}) ELSE [{piece('w.width', _SANS.space, 'false')}] END))"
+    stays = f"(a.at < 0 OR (NOT x.fresh AND a.at + x.space + x.width <= {limit}))"
+    fold = f"list_reduce(list_prepend({piece(0, 0, 'false')}, {pieces}), lambda a, x: {{'n': a.n + CASE WHEN {stays} THEN 0 ELSE 1 END, 'at': CASE WHEN {stays} AND a.at >= 0 THEN a.at + x.space + x.width ELSE x.width END, 'width': 0::BIGINT, 'space': 0::BIGINT, 'fresh': false}})"
+    return f"list_sum(list_transform({words}, lambda l: ({fold}).n))::BIGINT"
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, {_measured_sql("coalesce(text, '')")} AS m FROM documents)
+SELECT doc_id, {_lines_sql("m", "20000")} AS n_lines, len(list_filter(flatten(m), lambda w: w.width > 20000))::BIGINT AS n_broken, coalesce(list_sum(list_transform(flatten(m), lambda w: w.width)), 0)::BIGINT AS width FROM m""")
+def typeset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each document has in a column of 200 points at 10 points, words wider than it, and the width of all words."""
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", typeset.measured_words(F.coalesce("text", F.lit("")), _SANS).alias("m"))
+    n = typeset.line_count(F.col("m"), typeset.line_limit(F.lit(200.0), F.lit(10.0)), _SANS)
+    return rows.select("doc_id", n.alias("n_lines"), F.size(F.filter(F.flatten("m"), lambda w: w["width"] > 20_000)).cast("long").alias("n_broken"), typeset.words_width(F.col("m")).alias("width"))
+
+
+_FITS = lambda height: f"floor({height} / (size * 1.2::DOUBLE) + 1e-6) >= 1 AND total <= floor((x1 - x0) * 1000 / size + 1e-6) * floor({height} / (size * 1.2::DOUBLE) + 1e-6) AND n_lines <= floor({height} / (size * 1.2::DOUBLE) + 1e-6)"
+
+
+@query(f"""WITH lim AS ({SQL["expansion_limits"]}), {adapters.FURNITURE_SQL},
+t AS (SELECT b.doc, b.page, b.block_id, x0, x1, y0, y1, font, lim."limit" AS low, {_measured_sql("(text || left(text, ceil(length(text) / 2)::INT))")} AS m FROM blocks b JOIN lim ON b.doc = lim.doc AND b.page = lim.page AND b.block_id = lim.block_id),
+s AS (SELECT * EXCLUDE (ladder), unnest(ladder) AS size, generate_subscripts(ladder, 1) AS k FROM (SELECT *, list_append(list_transform(range(0, ceil((font - 6) / 0.5)::INT), lambda i: font - 0.5::DOUBLE * i), 6.0::DOUBLE) AS ladder FROM t)),
+n AS (SELECT *, coalesce(list_sum(list_transform(flatten(m), lambda w: w.width)), 0) AS total, {_lines_sql("m", "floor((x1 - x0) * 1000 / size + 1e-6)")} AS n_lines FROM s),
+f AS (SELECT doc, page, block_id, any_value(font) AS font_first, any_value(low) > any_value(y1) + 1e-6 AS grows, max(k) AS steps, min(k) FILTER (WHERE {_FITS("(y1 - y0)")}) AS here, min(k) FILTER (WHERE {_FITS("(low - y0)")}) AS grown, arg_min(size, k) FILTER (WHERE {_FITS("(y1 - y0)")}) AS size_here, arg_min(size, k) FILTER (WHERE {_FITS("(low - y0)")}) AS size_grown FROM n GROUP BY doc, page, block_id),
+g AS (SELECT *, coalesce(size_here, CASE WHEN grows THEN size_grown END) AS font_size, here IS NULL AND grows AND grown IS NOT NULL AS expanded FROM f)
+SELECT doc, page, block_id, font_first, font_size, (coalesce(here, steps) + CASE WHEN here IS NULL AND grows THEN coalesce(grown, steps) ELSE 0 END)::BIGINT AS attempts, expanded, font_size IS NULL AS overflow,
+  CASE WHEN font_size IS NULL THEN 'block ' || block_id || ' overflows at the least font' WHEN expanded THEN 'block ' || block_id || ' expanded downward' END AS warning FROM g""")
 def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Font sizes, expansion and overflow of blocks whose text grew by half."""
     blocks = _furniture(spark, sf_dir).withColumns({"translated": F.concat("text", F.left("text", F.ceil(F.length("text") / 2).cast("int"))), "sizes": F.array("font")})
     return layout.plan_layout(blocks, _LAYOUT)
 
 
+@query(f"""WITH {adapters.FURNITURE_SQL}, {adapters.WORDS_SQL},
+c AS (SELECT doc, page, block_id, text, greatest(0, x0 - greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS x0, greatest(0, y0 - greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS y0, least(page_w, x1 + greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS x1, least(page_h, y1 + greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS y1 FROM blocks),
+p AS (SELECT c.doc, c.page, c.block_id, string_agg(w.word, ' ' ORDER BY w.y0, w.x0, w.word) AS found FROM c JOIN words w ON c.doc = w.doc AND c.page = w.page AND w.x0 < c.x1 AND c.x0 < w.x1 AND w.y0 < c.y1 AND c.y0 < w.y1 GROUP BY ALL),
+n AS (SELECT c.doc, coalesce(p.found, '') AS found, trim(regexp_replace(translate(c.text, '‐‑‒–—−（）', '------()'), '\s+', ' ', 'g')) AS expected FROM c LEFT JOIN p ON c.doc = p.doc AND c.page = p.page AND c.block_id = p.block_id)
+SELECT doc, count(*) AS n_blocks, count(*) FILTER (WHERE contains(trim(regexp_replace(translate(found, '‐‑‒–—−（）', '------()'), '\s+', ' ', 'g')), expected)) AS n_verified, sum(length(found))::BIGINT AS chars FROM n GROUP BY doc""")
+def clip_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each logical document's blocks, those whose text is found among the words that the page has in their place."""
+    blocks = _stored_furniture(spark, sf_dir)
+    found = typeset.verified_clips(blocks, adapters.words(blocks), "text", "font")
+    return found.groupBy("doc").agg(F.count("*").alias("n_blocks"), F.count_if("verified").alias("n_verified"), F.sum(F.length(F.coalesce("found", F.lit("")))).alias("chars"))
+
+
 # Hashes
 
 

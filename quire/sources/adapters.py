@@ -89,3 +89,17 @@ def html_pages(pages: DataFrame) -> DataFrame:
     bare = F.trim(F.regexp_replace(F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>", " "), "<[^>]*>", " "))
     images = F.size(F.regexp_extract_all("html", F.lit('<div class="ad"'), 0))
     return pages.select(F.col("url").alias("doc"), F.lit(1).alias("page"), F.length(bare).cast("long").alias("chars"), F.lit(1).alias("n_blocks"), images.alias("images"), (0.2 * images).alias("image_area"))
+
+
+def words(blocks: DataFrame, advance: float = 5.0) -> DataFrame:
+    """The words of blocks as they stand on their line, each character ``advance`` wide: doc, page, word and its box."""
+    rows = blocks.select("doc", "page", "block_id", "x0", "y0", "y1", F.posexplode(F.split("text", " ")).alias("place", "word"))
+    before = Window.partitionBy("doc", "page", "block_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("x", F.col("x0") + advance * F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
+    return rows.where("word <> ''").select("doc", "page", "word", F.col("x").alias("x0"), "y0", (F.col("x") + advance * F.length("word")).alias("x1"), "y1")
+
+
+WORDS_SQL = """
+wd AS (SELECT doc, page, block_id, x0, y0, y1, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS place FROM blocks),
+we AS (SELECT *, x0 + 5.0::DOUBLE * coalesce(sum(length(word) + 1) OVER (PARTITION BY doc, page, block_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM wd),
+words AS (SELECT doc, page, word, x AS x0, y0, x + 5.0::DOUBLE * length(word) AS x1, y1 FROM we WHERE word <> '')"""
