@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+import resource
+import sys
 import time
+import types
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -37,6 +41,56 @@ class PrefixTranslator:
         return [f"RU {t}" for t in texts]
 
 
+class _Held(types.ModuleType):
+    """What a worker process holds: one model and its identity."""
+
+    def __init__(self) -> None:
+        super().__init__("quire_worker_model")
+        self.identity, self.model, self.made = "", None, 0
+
+
+def worker_model(translator: type, identity: str) -> Translator:
+    """The model of this process: made once for an identity and kept for all its tasks; a model of another identity takes its place, so that a process never holds two.
+
+    Functions reach workers by value, so what a process keeps is put where all of them find it: among the loaded modules.
+    """
+    held = sys.modules.setdefault("quire_worker_model", _Held())
+    if held.identity != identity:
+        held.model = None  # free the old one before the new one is loaded
+        held.identity, held.model, held.made = identity, translator(), held.made + 1
+    return held.model
+
+
+@dataclass(frozen=True)
+class ModelRuntime:
+    """A model for any number of runs and documents: a translator and the options that are its identity. Runs of other options are refused."""
+
+    translator: type
+    options: TranslationOptions = TranslationOptions()
+
+    @property
+    def identity(self) -> str:
+        o = self.options
+        return "\0".join((self.translator.__module__, self.translator.__qualname__, o.backend, o.model, o.source, o.target))
+
+    def check(self, o: TranslationOptions) -> None:
+        differ = [f for f in ("backend", "model", "source", "target", "token_limit") if getattr(o, f) != getattr(self.options, f)]
+        if differ:
+            raise ValueError(f"the shared model has another {', '.join(differ)}")
+
+    def model(self) -> Translator:
+        return worker_model(self.translator, self.identity)
+
+    def count_tokens(self, text: str) -> int:
+        """Counted in the worker, by the model that it translates with; the driver makes none."""
+        return self.model().count_tokens(text)
+
+
+def peak_memory() -> float:
+    """Megabytes that this process had at most."""
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / (1024 if sys.platform != "darwin" else 1 << 20)
+
+
 class Measured:
     """A model that counts: calls, texts and seconds, beside what another one gives."""
 
@@ -88,37 +142,57 @@ def plan_units(units: DataFrame, memory: DataFrame | None, o: TranslationOptions
     return rows.withColumn("status", status).drop("first_order")
 
 
-def translate_misses(misses: DataFrame, o: TranslationOptions, translator: type = PrefixTranslator, glossary: Glossary | None = None) -> DataFrame:
-    """cache_key, translated, n_segments, forced: of the texts that need the model. A distinct text is translated once."""
+def translate_misses(misses: DataFrame, o: TranslationOptions, translator: type | ModelRuntime = PrefixTranslator, glossary: Glossary | None = None, measures: bool = False) -> DataFrame:
+    """cache_key, translated, n_segments, forced: of the texts that need the model. A distinct text is translated once.
+
+    A text that the model fails on is a row with its error, and no other suffers. measures: also calls and seconds of the model and
+    peak_mb of the worker; those of an Arrow batch stand at its first row.
+    """
+    runtime = translator if isinstance(translator, ModelRuntime) else ModelRuntime(translator, o)
+    runtime.check(o)
     rows = misses.select("cache_key", "text")
     if glossary is not None:
         rows = rows.withColumn("found", matches(F.col("text"), glossary)).withColumn("g", prepare(F.col("text"), F.col("found"), glossary)).select("cache_key", "g.text", F.col("g.tokens").alias("terms"))
-    counter = translator().count_tokens
-    rows = rows.withColumn("p", protect(F.col("text"))).withColumn("s", segment(F.col("p.text"), o.token_limit, counter))
+    rows = rows.withColumn("p", protect(F.col("text"))).withColumn("s", segment(F.col("p.text"), o.token_limit, runtime.count_tokens))
+
+    def translated(model: Measured, texts: list[str]) -> list[str | Exception]:
+        """In batches; of a batch that fails each text by itself, so that the error is that of one text."""
+        try:
+            return halving(model, texts)
+        except Exception as e:  # the model's own errors are data here
+            return [e] if len(texts) == 1 else [y for t in texts for y in translated(model, [t])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, core = None, re.compile(CORE_MARK)
+        core = re.compile(CORE_MARK)
         for batch in batches:
-            if model is None and len(batch):
-                model = translator()
+            if not len(batch):
+                continue
+            model = Measured(runtime.model())
             texts = [x["text"] for segments in batch["segments"] for x in segments]
-            done = [y for i in range(0, len(texts), o.batch_size) for y in halving(model, texts[i : i + o.batch_size])]
-            at, out = 0, []
+            done = [y for i in range(0, len(texts), o.batch_size) for y in translated(model, texts[i : i + o.batch_size])]
+            at, out, errors = 0, [], []
             for segments, *marked in zip(batch["segments"], batch["tokens"], *([batch["terms"]] if glossary else []), strict=True):
-                text = "".join(d + x["separator"] for d, x in zip(done[at : at + len(segments)], segments, strict=True))
+                parts = done[at : at + len(segments)]
                 at += len(segments)
+                failed = next((p for p in parts if isinstance(p, Exception)), None)
+                text = None if failed else "".join(d + x["separator"] for d, x in zip(parts, segments, strict=True))
                 # tokens come back before glossary terms, whose marks are themselves tokens
                 for marks in marked:
                     text = None if text is None else restore_one(text, marks, core)
                 out.append(text)
-            yield batch[["cache_key"]].assign(translated=out, n_segments=batch["segments"].map(len), forced=batch["forced"])
+                errors.append(f"{type(failed).__name__}: {failed}" if failed else "ValueError: a protected token is lost" if text is None else None)
+            made = batch[["cache_key"]].assign(translated=out, n_segments=batch["segments"].map(len), forced=batch["forced"], error=errors)
+            if measures:
+                first = [1.0] + [0.0] * (len(batch) - 1)
+                made = made.assign(calls=[int(f) * model.calls for f in first], seconds=[f * model.seconds for f in first], peak_mb=[f * peak_memory() for f in first])
+            yield made
 
     kept = rows.select("cache_key", F.col("s.segments").alias("segments"), F.col("s.forced").alias("forced"), F.col("p.tokens").alias("tokens"), *(["terms"] if glossary else []))
-    return kept.mapInPandas(run, "cache_key string, translated string, n_segments int, forced boolean")
+    return kept.mapInPandas(run, "cache_key string, translated string, n_segments int, forced boolean, error string" + (", calls long, seconds double, peak_mb double" if measures else ""))
 
 
 def finish_units(planned: DataFrame, translated: DataFrame) -> DataFrame:
-    """Every unit with its translation: skipped ones keep (or, by policy, lose) their text, hits and misses get the memory's or the run's."""
+    """Every unit with its translation, or the error that it failed with: skipped ones keep (or, by policy, lose) their text, hits and misses get the memory's or the run's."""
     rows = planned.join(translated, "cache_key", "left")
     own = F.when(F.col("policy").isin("translate", "preserve"), F.col("text")).otherwise("")
     return rows.withColumn("translated", F.when(F.col("status") == "skipped", own).otherwise(F.coalesce("cached", "translated"))).drop("cached", "skipped")

@@ -13,7 +13,7 @@ from quire.operators.pages import classify_pages, inspect, ocr_targets
 from quire.operators.paragraphs import paragraphs_of
 from quire.operators.repeated import classify_repeated
 from quire.operators.reports import batch_summary, first_failures
-from quire.operators.translate import PrefixTranslator, finish_units, new_memory, plan_units, policies, translate_misses
+from quire.operators.translate import ModelRuntime, PrefixTranslator, finish_units, new_memory, plan_units, policies, translate_misses
 from quire.plans.options import LayoutOptions, PageOptions, ParagraphOptions, RepeatedOptions, TranslationOptions, identity
 from quire.plans.scratch import scratch, settle
 from quire.sources.files import Memory, Workspace
@@ -33,7 +33,7 @@ class DocumentRun:
     translation: TranslationOptions = field(default_factory=TranslationOptions)
     layout: LayoutOptions = field(default_factory=LayoutOptions)
     glossary: Glossary | None = None
-    translator: type = PrefixTranslator
+    translator: type | ModelRuntime = PrefixTranslator
 
     def run_id(self, source_hash: str) -> str:
         return identity(source_hash, self.repeated, self.paragraphs, self.translation, self.layout, self.glossary.fingerprint() if self.glossary else None, REVISION)
@@ -74,14 +74,26 @@ class DocumentRun:
             units = space.stage("units", lambda: self.reconstruct(blocks)[0])
             finished = space.stage("translated", lambda: self.translate(units, memory))
             fonts = blocks.groupBy("doc", F.col("block_id").alias("id")).agg(F.collect_list("font").alias("sizes"), F.first("page_h").alias("page_h"))
-            drawn = finished.where(~F.col("policy").isin("preserve", "skip", "remove")).join(fonts, ["doc", "id"]).withColumnRenamed("id", "block_id")
+            # documents with a unit that failed aren't drawn
+            drawn = finished.join(finished.where("error IS NOT NULL").select("doc").distinct(), "doc", "left_anti")
+            drawn = drawn.where(~F.col("policy").isin("preserve", "skip", "remove")).join(fonts, ["doc", "id"]).withColumnRenamed("id", "block_id")
             planned = space.stage("layout", lambda: plan_layout(drawn, self.layout))
         return {"units": units, "translated": finished, "layout": planned}
 
     def batch(self, extracted: DataFrame, root: str, source_hash: str, continue_on_error: bool = True, memory: Memory | None = None) -> dict[str, DataFrame]:
-        """Many files at once: those that couldn't be read, and what a batch doesn't reach after them, are left out of the run and reported. extracted: blocks with path (as doc) and error."""
+        """Many files at once: those that couldn't be read or translated, and what a batch doesn't reach after them, are left out and reported. extracted: blocks with path (as doc) and error.
+
+        files: path, error, outcome, and the stage that failed.
+        """
         files = extracted.groupBy(F.col("doc").alias("path")).agg(F.max(F.when(F.col("error").isNotNull(), "input_error")).alias("error")).withColumn("batch", F.lit(source_hash))
         files = settle(first_failures(files, continue_on_error))
         good = extracted.join(files.where("outcome = 'ok'").select(F.col("path").alias("doc")), "doc", "left_semi").drop("error")
+        made = self.run(good, root, source_hash, memory)
+        # a document whose model failed on a text has failed; the others go on
+        failed = made["translated"].where("error IS NOT NULL").groupBy(F.col("doc").alias("path")).agg(F.min("error").alias("why"))
+        files = files.drop("outcome").join(failed, "path", "left")
+        stage = F.when(F.col("error").isNotNull(), "extract").when(F.col("why").isNotNull(), "translated")
+        files = files.withColumn("failed_stage", stage).withColumn("error", F.coalesce("error", F.when(F.col("why").isNotNull(), "translation_failed")))
+        files = settle(first_failures(files, continue_on_error))
         outcome = F.when(F.col("outcome") == "not_run", "skipped").otherwise(F.col("outcome"))
-        return self.run(good, root, source_hash, memory) | {"files": files, "summary": batch_summary(files.withColumn("outcome", outcome), "batch")}
+        return made | {"files": files, "summary": batch_summary(files.withColumn("outcome", outcome), "batch")}

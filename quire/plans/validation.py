@@ -36,8 +36,10 @@ def validate_corpus(run: DocumentRun, manifest: DataFrame, before: DataFrame, af
         state = manifest.select("path", F.lit("planned").alias("status"), F.create_map().cast("map<string,string>").alias("stages"))
     else:
         files = run.batch(extracted, root, source_hash)["files"]
-        later = F.when(F.col("outcome") == "ok", "passed").otherwise("not_run")
-        stages = F.map_from_arrays(F.array(*[F.lit(s) for s in STAGES]), F.array(F.when(F.col("outcome") == "failed", "failed").otherwise(later), *[later] * (len(STAGES) - 1)))
+        # stages before the one that failed passed, those after it weren't run
+        at = {stage: k for k, stage in enumerate(STAGES)}
+        failed = F.coalesce(*[F.when(F.col("failed_stage") == stage, k) for stage, k in at.items()], F.when(F.col("outcome") == "ok", len(STAGES)), F.lit(-1))
+        stages = F.map_from_arrays(F.array(*[F.lit(stage) for stage in STAGES]), F.array(*[F.when(failed == k, "failed").when(failed > k, "passed").otherwise("not_run") for k in at.values()]))
         state = files.select("path", F.when(F.col("outcome") == "ok", "passed").otherwise("failed").alias("status"), stages.alias("stages"))
     rows = manifest.join(state, "path", "left").join(changed, "path", "left").select(F.col("document_id").alias("doc"), "path", F.coalesce("status", F.lit("failed")).alias("status"), F.coalesce("stages", F.create_map().cast("map<string,string>")).alias("stages"), F.coalesce("source_changed", F.lit(False)).alias("source_changed"))
     results = settle(with_reviews(rows, reviews, CHECKS))

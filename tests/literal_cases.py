@@ -237,8 +237,10 @@ def option_checks(spark):
     return spark.createDataFrame([(i, _valid(m)) for i, m in enumerate(made)], "n int, valid boolean")
 
 
-QUERIES["run_identity"] = lambda spark, sf_dir: spark.createDataFrame([(identity("abc", TranslationOptions()),)], "id string")
-SQL["run_identity"] = """SELECT sha256('["abc",{"backend":"fake","batch_size":8,"model":"prefix","source":"en","target":"ru","token_limit":64}]') AS id"""
+@cases("id string", ("7423ffe42376623513cd16c642cef17dbf188c1fe0e00aed34c1581bb752f4f4",))
+def run_identity(spark):
+    """The hash of ["abc",{"backend":"fake","batch_size":8,"model":"prefix","source":"en","target":"ru","token_limit":64}]."""
+    return spark.createDataFrame([(identity("abc", TranslationOptions()),)], "id string")
 
 
 # Layout

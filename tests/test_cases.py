@@ -1,9 +1,13 @@
 """Operators on literal cases, against rows worked out by hand."""
 
+import literal_cases
 import pytest
 from literal_cases import CASES
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(literal_cases)  # workers have no path to it
+
 
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_case(spark, name):
