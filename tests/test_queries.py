@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import quire.table_queries  # noqa: F401  registers its queries
 from quire.plans.pipeline import DocumentRun
 from quire.queries import QUERIES, SQL
 from quire.sources.files import Workspace
