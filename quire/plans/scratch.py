@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,9 +25,23 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 _FOLDER: ContextVar[str | None] = ContextVar("quire_scratch", default=None)
 
 
+#: Folders of applications whose tables go when the driver ends.
+_LEFT: set[str] = set()
+
+
 def _root(spark: SparkSession) -> str:
+    """The application's own folder. Tables that no ``scratch`` block removes stay there, since results that are read later may need them, and go with the driver."""
     ensure_checkpoints(spark)
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    folder = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/quire-{spark.sparkContext.applicationId}"
+    if folder not in _LEFT:
+        _LEFT.add(folder)
+        atexit.register(_clear, spark._jvm.org.apache.hadoop.fs.Path(folder), spark._jsc.hadoopConfiguration())
+    return folder
+
+
+def _clear(path: JavaObject, conf: JavaObject) -> None:
+    with suppress(Exception):  # the virtual machine may be gone already
+        path.getFileSystem(conf).delete(path, True)
 
 
 @contextmanager
