@@ -52,7 +52,10 @@ def lower_ascii(c: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
-    """Bounds the rows and the bytes of an Arrow batch, since a batch of very long texts is built whole in memory."""
+    """Bounds the rows and the bytes of an Arrow batch, since a batch of very long texts is built whole in memory.
+
+    The setting is the session's and stays, as the operators' tables are made later, when they are read.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 

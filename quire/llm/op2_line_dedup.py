@@ -7,9 +7,10 @@ the set bits is its slot) with arrays of fingerprints, document counts and last
 arrays: a line is frequent if its slot holds its fingerprint and a large enough count. The fingerprint is half of the hash
 and the other half helps to find the slot, so a wrong match needs two keys that agree in about 128 bits.
 
-Where all arrays together are below ``broadcast_bytes`` (their size is summed first) every task gets them; beyond it the
+A shard has about ``SHARD_LINES`` lines, which are counted first, so that what one task builds doesn't grow with the table or with
+its documents. Where all arrays together are below ``broadcast_bytes`` (their size is summed first) every task gets them; beyond it the
 line hashes, not the documents, are dealt to the shards, as many salted copies of a shard as its lines need sharing the load, and
-only the lines to be dropped return to their documents.
+the indexes of the lines to be dropped meet the documents by doc_id and a hash of the text (hashed or broadcast, as they are few).
 
 Keys of at least ``least_chars`` code points found in at least ``least_docs`` documents (distinct doc_ids) lose all lines but those
 of the largest doc_id that has the key. Nulls: a null text is one empty line; a null doc_id is no document to count, and its
@@ -30,10 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER_BYTES, recoded, settle, small_batches, table
+from quire.llm.common import LOWER_BYTES, recoded, settle, small_batches, small_side, table
 
 STRIP = b" \t\n\x0b\x0c\r"
 GAMMA = 2.0  # bits of a level for each of its keys
+SHARD_LINES = 100_000  # of several documents, in one shard
 SALT_LINES = 500_000  # that a copy of a shard serves, where lines are dealt to shards
 NULL_ID = -(1 << 63)
 
@@ -141,11 +143,15 @@ def line_hashes(text: Column, least_chars: int) -> Column:
     return hashes(text)
 
 
-def build_shards(lines: DataFrame, shards: int) -> DataFrame:
-    """shard, data: the arrays of each shard, over the lines of several documents. lines: doc_id and the array of line hashes of each document."""
+def shared_lines(lines: DataFrame) -> DataFrame:
+    """first, second, docs, last: the lines of several documents. lines: doc_id and the array of line hashes of each document."""
     each = lines.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h")).select("doc_id", "h.*")
-    counted = each.groupBy("first", "second").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last"))
-    several = counted.where("docs > 1").withColumn("shard", F.pmod(F.xxhash64("second"), F.lit(shards)).cast("int"))
+    return each.groupBy("first", "second").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last")).where("docs > 1")
+
+
+def build_shards(several: DataFrame, shards: int) -> DataFrame:
+    """shard, data: the arrays of each shard. several: of ``shared_lines``."""
+    several = several.withColumn("shard", F.pmod(F.xxhash64("second"), F.lit(shards)).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         made = LineShard(*(pdf[c].to_numpy(np.int64) for c in ("first", "second", "docs", "last")))
@@ -160,15 +166,16 @@ def line_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs = docs.drop("lines", "dropped", "kept_text")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), line_hashes(F.col(text), least_chars).alias("hashes"))
-    if shards is None:  # about 50,000 documents' lines to a shard
-        shards = max(16, docs.count() // 50_000)
-    made = settle(build_shards(lines, shards))
+    several = settle(shared_lines(lines))
+    if shards is None:
+        shards = max(16, several.count() // SHARD_LINES)
+    made = settle(build_shards(several, shards))
     size = made.agg(F.sum(F.length("data"))).first()[0] or 0
-    rows = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "lines": split})
+    rows = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__same": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "lines": split})
     rows = rows.withColumn("__hashes", line_hashes(F.col(text), least_chars))
     flagged = _probe_here(rows, made, shards, least_docs) if size <= broadcast_bytes else _probe_there(rows, made, shards, least_docs)
     kept = F.transform(F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("dropped", s["i"])), lambda s: s["x"])
-    return flagged.withColumn("kept_text", F.array_join(kept, "\n")).drop("__doc", "__hashes")
+    return flagged.withColumn("kept_text", F.array_join(kept, "\n")).drop("__doc", "__same", "__hashes")
 
 
 def _probe_here(rows: DataFrame, made: DataFrame, shards: int, least_docs: int) -> DataFrame:
@@ -205,8 +212,7 @@ def _shard_of(second: np.ndarray, shards: int) -> np.ndarray:
 
 def _probe_there(rows: DataFrame, made: DataFrame, shards: int, least_docs: int) -> DataFrame:
     """The line hashes go to the shards; the lines to drop come back by document and text."""
-    same = F.xxhash64(F.to_json(F.struct("lines")))
-    lines = rows.select("__doc", same.alias("__same"), F.posexplode("__hashes").alias("at", "h")).where("h IS NOT NULL").select("__doc", "__same", "at", "h.*")
+    lines = rows.select("__doc", "__same", F.posexplode("__hashes").alias("at", "h")).where("h IS NOT NULL").select("__doc", "__same", "at", "h.*")
     lines = lines.withColumn("shard", F.pmod(F.xxhash64("second"), F.lit(shards)).cast("int"))
     salts = settle(lines.groupBy("shard").agg(F.ceil(F.count("*") / SALT_LINES).cast("int").alias("salts")))  # a row per shard
     lines = lines.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.xxhash64("__doc", "at"), F.col("salts")).cast("int")).drop("salts")
@@ -220,8 +226,8 @@ def _probe_there(rows: DataFrame, made: DataFrame, shards: int, least_docs: int)
 
     hits = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "__doc long, __same long, at int")
     by_row = hits.groupBy("__doc", "__same").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
-    found = rows.withColumn("__same", same).join(by_row, ["__doc", "__same"], "left")
-    return found.withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>"))).drop("__same")
+    found = rows.join(small_side(by_row), ["__doc", "__same"], "left")
+    return found.withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
