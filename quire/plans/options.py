@@ -7,6 +7,8 @@ import json
 import os
 from dataclasses import asdict, dataclass, fields
 
+from pyspark.sql import SparkSession
+
 
 def _ratio(name: str, value: float, most: float = 1.0) -> None:
     if not 0 < value <= most:
@@ -99,7 +101,34 @@ def identity(*options: object) -> str:
     return hashlib.sha256(json.dumps(values, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def _parsed(name: str, kind: type, text: str) -> object:
+    if kind is bool:
+        if text.strip().lower() not in ("true", "false", "1", "0"):
+            raise ValueError(f"{name} is true or false, not {text!r}")
+        return text.strip().lower() in ("true", "1")
+    try:
+        return kind(text)
+    except ValueError as e:
+        raise ValueError(f"{name} is a value of type {kind.__name__}, not {text!r}") from e
+
+
 def from_environment(kind: type, prefix: str = "QUIRE_") -> object:
     """Options with the values that variables such as QUIRE_TOKEN_LIMIT give."""
-    given = {f.name: os.environ[prefix + f.name.upper()] for f in fields(kind) if prefix + f.name.upper() in os.environ}
-    return kind(**{k: type(getattr(kind(), k))(v) for k, v in given.items()})
+    return from_settings(kind, None, prefix)
+
+
+def from_settings(kind: type, spark: SparkSession | None = None, prefix: str = "QUIRE_", key: str = "spark.quire.") -> object:
+    """Options with the values of the session's settings, such as spark.quire.token_limit, or else of variables such as QUIRE_TOKEN_LIMIT.
+
+    A blank value counts as none. What a value can't be is an error that names it; bounds are those of the options themselves.
+    """
+    own, given = kind(), {}
+    for f in fields(kind):
+        for name, text in ((key + f.name, spark.conf.get(key + f.name, None) if spark else None), (prefix + f.name.upper(), os.environ.get(prefix + f.name.upper()))):
+            if text is not None and text.strip():
+                given[f.name] = _parsed(name, type(getattr(own, f.name)), text)
+                break
+    try:
+        return kind(**given)
+    except ValueError as e:
+        raise ValueError(f"settings of {kind.__name__}: {e}") from e

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -139,6 +140,23 @@ class Memory:
         else:
             fresh.write.mode("overwrite").parquet(f"{self.path}/{update}")
 
+    def updates(self) -> list[str]:
+        """The folders and files of the memory's updates."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in system.listStatus(path)] if system.exists(path) else []
+        return [p.toString() for p in found if not p.getName().startswith(("_", "."))]
+
+    def compact(self) -> int:
+        """Brings all updates together as one, and says how many there were. Readers see the latest row of each key before, meanwhile and after, as the new update holds the same rows; only then the old ones go."""
+        old = self.updates()
+        if len(old) > 1:
+            self.read().write.parquet(f"{self.path}/compact-{uuid.uuid4().hex}")
+            for path in old:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        return len(old)
+
     def exists(self) -> bool:
         fs = self.spark._jvm.org.apache.hadoop.fs
         p = fs.Path(self.path)

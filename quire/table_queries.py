@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import checks, glossary, layout, pages, paragraphs, performance, quality, repeated, reports, translate
 from quire.plans.options import TranslationOptions
-from quire.queries import _FINDINGS, _NORMALIZED, _PARAGRAPHS, _REPEATED, _SOURCE, _SPACES, _UNITS, SQL, _furniture, _samples, _stored_furniture, _units, query
+from quire.queries import _FINDINGS, _NORMALIZED, _PARAGRAPHS, _REPEATED, _SOFT, _SOURCE, _SPACES, _UNITS, SQL, _furniture, _samples, _stored_furniture, _units, query
 from quire.sources import adapters, datasets, files
 from quire.sources.tables import read_table
 
@@ -271,6 +271,16 @@ def paragraph_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc", _long(F.col("para")).alias("para"), "page", "kind", "y0", "y1", "n_fragments")
 
 
+@query(f"""WITH {_PARAGRAPHS}, n AS (SELECT doc, page, local, action, sum(CASE WHEN action = 'merge' THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page, local) AS para FROM pr),
+i AS (SELECT n.doc, n.para, b.block_id, b.page, b.y0, trim(b.text, {_SPACES}) AS text, coalesce(b.action = 'ambiguous', false) OR coalesce(b.after = 'ambiguous', false) OR coalesce(n.action = 'ambiguous', false) AS doubt FROM pb b JOIN n ON b.doc = n.doc AND b.page = n.page AND b.local = n.local)
+SELECT doc, para::BIGINT AS para, arg_min(block_id, page * 10000 + y0) AS id, bool_or(doubt) AS ambiguous, count(DISTINCT block_id) AS n_blocks,
+  list_reduce(list(text ORDER BY page, y0), lambda a, x: CASE WHEN {_SOFT.format(a="a", b="x")} THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END) AS text FROM i GROUP BY doc, para""")
+def paragraph_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every logical paragraph: its lines joined by spaces or, where a word is cut, without its hyphen; whether a decision about it was in doubt."""
+    made, _ = paragraphs.paragraphs_of(adapters.wrapped(read_table(spark, sf_dir, "documents")))
+    return made.select("doc", _long(F.col("para")).alias("para"), "id", "ambiguous", _long(F.size("blocks")).alias("n_blocks"), "text")
+
+
 @query(rf"""WITH {adapters.wrapped_sql()}, g AS (SELECT *, lag(y1) OVER w AS py1, lag(y0) OVER w AS py0, lag(text) OVER w AS ptext FROM blocks WINDOW w AS (PARTITION BY doc, page ORDER BY ord)),
 j AS (SELECT *, py1 IS NOT NULL AND (y0 - py1) >= -0.25 * greatest(least(y1 - y0, py1 - py0), 1) AND (y0 - py1) <= 0.5 * greatest(least(y1 - y0, py1 - py0), 1) AND regexp_matches(text, '^\s*\p{{Ll}}') AND rtrim(ptext, {_SPACES}) <> '' AND right(rtrim(ptext, {_SPACES}), 1) NOT IN ('.', '?', '!', ':', ';') AS joins FROM g),
 n AS (SELECT doc, page, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc, page ORDER BY ord) AS n, y0, y1 FROM j)

@@ -7,8 +7,9 @@ from quire.operators import checks
 from quire.operators.quality import analyse_trace, compare_with_baseline, finding_changes, stage_summary
 from quire.operators.reports import defects, invariants, validation_summary, with_reviews
 from quire.operators.translate import finish_units, plan_units, policies, run_counters, translate_misses
-from quire.plans.options import LayoutOptions, ParagraphOptions, RepeatedOptions, TranslationOptions, identity
+from quire.plans.options import LayoutOptions, ParagraphOptions, RepeatedOptions, TranslationOptions, from_environment, from_settings, identity
 from quire.sources import datasets, files
+from quire.sources.files import Memory
 
 
 def test_generated_set_counts(spark):
@@ -108,3 +109,35 @@ def test_options():
         with pytest.raises(ValueError):
             bad()
     assert identity(TranslationOptions()) == identity(TranslationOptions()) != identity(TranslationOptions(batch_size=9))
+
+
+def test_settings(spark, monkeypatch):
+    """Session before environment, blank values as none, errors that name what is wrong."""
+    monkeypatch.setenv("QUIRE_TOKEN_LIMIT", "99")
+    monkeypatch.setenv("QUIRE_BATCH_SIZE", " ")
+    monkeypatch.setenv("QUIRE_EXPAND", "False")
+    try:
+        assert from_settings(TranslationOptions, spark) == TranslationOptions(token_limit=99) == from_environment(TranslationOptions)
+        spark.conf.set("spark.quire.token_limit", "12")
+        assert from_settings(TranslationOptions, spark).token_limit == 12 and from_environment(TranslationOptions).token_limit == 99
+        assert from_settings(LayoutOptions, spark).expand is False
+        for key, value, said in (("token_limit", "7", "settings of TranslationOptions: .*8 tokens"), ("token_limit", "many", "spark.quire.token_limit is a value of type int, not 'many'"), ("expand", "maybe", "true or false")):
+            spark.conf.set(f"spark.quire.{key}", value)
+            with pytest.raises(ValueError, match=said):
+                from_settings(LayoutOptions if key == "expand" else TranslationOptions, spark)
+    finally:
+        for key in ("token_limit", "expand"):
+            spark.conf.unset(f"spark.quire.{key}")
+
+
+def test_a_compacted_memory(spark, tmp_path):
+    memory = Memory(spark, str(tmp_path))
+    row = lambda k, t, day: spark.createDataFrame([(k, t, f"2024-01-0{day} 00:00:00")], "cache_key string, translated_text string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    for n, (k, t, day) in enumerate([("a", "old", 1), ("a", "new", 3), ("b", "one", 2), ("a", "mid", 2)]):
+        memory.put(row(k, t, day), f"u{n}" if n % 2 else None)
+    want = {("a", "new"), ("b", "one")}
+    assert {tuple(r)[:2] for r in memory.read().collect()} == want and len(memory.updates()) >= 4
+    assert memory.compact() >= 4 and len(memory.updates()) == 1
+    assert {tuple(r)[:2] for r in memory.read().collect()} == want and memory.compact() == 1
+    memory.put(row("b", "two", 5), "u9")
+    assert {tuple(r)[:2] for r in memory.read().collect()} == {("a", "new"), ("b", "two")}
