@@ -110,11 +110,11 @@ def repeated_groups(rows: DataFrame, o: RepeatedOptions, pages: DataFrame | None
         by_kind({"watermark_candidate": F.lit("skip"), "unknown_repeated": F.lit("preserve")}, F.lit("translate")).alias("policy"),
         by_kind({"repeated_boilerplate": F.lit(0.94), "watermark_candidate": F.lit(0.82), "unknown_repeated": F.lit(0.55)}, F.least(F.lit(0.98), 0.76 + F.col("ratio") * 0.22)).alias("confidence"),
         F.col("kind").isin("watermark_candidate", "unknown_repeated").alias("ambiguous"),
-        group_id(F.col("kind"), F.col("norm"), F.col("parity")).alias("group_id"), "parity", "ratio", F.col("observed").alias("n_pages"), "n_blocks",
+        group_id(F.col("kind"), F.col("norm"), F.col("parity")).alias("group_id"), "parity", "ratio", F.col("observed").alias("n_pages"), "n_blocks", F.col("n_blocks").alias("n_marked"),
     )
     sequence = docs.where("numbered").select(
         "doc", F.lit("page-sequence").alias("norm"), F.lit(True).alias("sequence"), F.lit("page_number").alias("kind"), F.lit("preserve").alias("policy"), F.lit(0.99).alias("confidence"), F.lit(False).alias("ambiguous"),
-        group_id(F.lit("page_number"), F.lit("page-sequence"), F.lit("sequence")).alias("group_id"), F.lit("sequence").alias("parity"), (F.col("number_pages") / F.greatest(F.col("total_pages"), F.lit(1))).alias("ratio"), F.col("number_pages").alias("n_pages"), F.col("number_pages").alias("n_blocks"),
+        group_id(F.lit("page_number"), F.lit("page-sequence"), F.lit("sequence")).alias("group_id"), F.lit("sequence").alias("parity"), (F.col("number_pages") / F.greatest(F.col("total_pages"), F.lit(1))).alias("ratio"), F.col("number_pages").alias("n_pages"), F.col("number_pages").alias("n_blocks"), F.col("number_blocks").alias("n_marked"),
     )
     return g.unionByName(sequence)
 
@@ -123,10 +123,10 @@ def _documents(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
     """A row per document: its pages, median font, and whether they are numbered."""
     odd = F.col("page") % 2 == 1
     # both sums below read this one exchange
-    fonts = rows.groupBy("doc", "page", "font").agg(F.count("*").alias("n"), F.max("sequential").alias("sequential"))
-    on_page = fonts.where("n > 0").groupBy("doc", "page").agg(F.max("sequential").alias("sequential"))
+    fonts = rows.groupBy("doc", "page", "font").agg(F.count("*").alias("n"), F.max("sequential").alias("sequential"), F.count_if("sequential").alias("numbers"))
+    on_page = fonts.where("n > 0").groupBy("doc", "page").agg(F.max("sequential").alias("sequential"), F.sum("numbers").alias("numbers"))
     span = [F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("n_pages"), F.count_if(odd).alias("n_odd"), F.count_if(~odd).alias("n_even")]
-    seen = [F.count("*").alias("total_pages"), F.count_if("sequential").alias("number_pages")]
+    seen = [F.count("*").alias("total_pages"), F.count_if("sequential").alias("number_pages"), F.sum("numbers").alias("number_blocks")]
     docs = on_page.groupBy("doc").agg(*seen, *span) if pages is None else on_page.groupBy("doc").agg(*seen).join(pages.select("doc", "page").distinct().groupBy("doc").agg(*span), "doc")
     sizes = fonts.where("sequential IS NOT NULL").groupBy("doc", "font").agg(F.sum("n").alias("n"))
     middle = sizes.groupBy("doc").agg(F.expr("percentile(CASE WHEN font > 0 THEN font END, 0.5, n)").alias("doc_font"))
@@ -140,3 +140,13 @@ def group_pages(labelled: DataFrame) -> DataFrame:
 
 def kind_counts(labelled: DataFrame, *by: str) -> DataFrame:
     return labelled.groupBy(*by, "kind").agg(F.count("*").alias("n_blocks"), F.count_if("ambiguous").alias("n_ambiguous"), F.count_distinct("doc", "group_id").alias("n_groups"))
+
+
+def kind_totals(blocks: DataFrame, options: RepeatedOptions = RepeatedOptions()) -> DataFrame:
+    """The same as ``kind_counts`` of all blocks, from the groups alone: no block looks up its group."""
+    rows = candidates(blocks, options)
+    groups = settle(repeated_groups(rows, options))  # with the blocks that each marks
+    marked = groups.groupBy("kind").agg(F.sum("n_marked").alias("n_blocks"), F.sum(F.when(F.col("ambiguous"), F.col("n_marked")).otherwise(0)).alias("n_ambiguous"), F.count("*").alias("n_groups"))
+    none = F.lit(0).cast("long")
+    body = blocks.agg(F.count("*").alias("n")).unionByName(groups.agg(F.coalesce(-F.sum("n_marked"), none).alias("n"))).agg(F.sum("n").alias("n_blocks"))
+    return marked.unionByName(body.where("n_blocks > 0").select(F.lit("body").alias("kind"), "n_blocks", none.alias("n_ambiguous"), none.alias("n_groups")))

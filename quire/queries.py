@@ -105,7 +105,7 @@ labelled AS (SELECT t.doc, t.page, t.block_id, CASE WHEN t.sequential AND t.numb
 @query(f"WITH {_REPEATED} SELECT kind, count(*) AS n_blocks, count(*) FILTER (WHERE kind IN ('watermark_candidate', 'unknown_repeated')) AS n_ambiguous, count(DISTINCT doc || group_id) AS n_groups FROM labelled GROUP BY kind")
 def repeated_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, ambiguous ones and groups of each kind of repeated element."""
-    return repeated.kind_counts(repeated.classify_repeated(_stored_furniture(spark, sf_dir)))
+    return repeated.kind_totals(_stored_furniture(spark, sf_dir))
 
 
 @query(f"WITH {_REPEATED} SELECT doc, norm, kind, parity, ratio, n_blocks, group_id, n_pages FROM groups")
