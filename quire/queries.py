@@ -436,7 +436,7 @@ def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.plan_layout(blocks, _LAYOUT)
 
 
-@query(f"""WITH {adapters.FURNITURE_SQL}, {adapters.WORDS_SQL},
+@query(rf"""WITH {adapters.FURNITURE_SQL}, {adapters.WORDS_SQL},
 c AS (SELECT doc, page, block_id, text, greatest(0, x0 - greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS x0, greatest(0, y0 - greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS y0, least(page_w, x1 + greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS x1, least(page_h, y1 + greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS y1 FROM blocks),
 p AS (SELECT c.doc, c.page, c.block_id, string_agg(w.word, ' ' ORDER BY w.y0, w.x0, w.word) AS found FROM c JOIN words w ON c.doc = w.doc AND c.page = w.page AND w.x0 < c.x1 AND c.x0 < w.x1 AND w.y0 < c.y1 AND c.y0 < w.y1 GROUP BY ALL),
 n AS (SELECT c.doc, coalesce(p.found, '') AS found, trim(regexp_replace(translate(c.text, '‐‑‒–—−（）', '------()'), '\s+', ' ', 'g')) AS expected FROM c LEFT JOIN p ON c.doc = p.doc AND c.page = p.page AND c.block_id = p.block_id)
