@@ -2,7 +2,7 @@
 
 A text is brought to a canonical form: copyright notices dropped, lower-cased, titles of known licences and "all rights reserved"
 dropped, punctuation (typographic too) and white space folded to single spaces, and spellings that licence readers hold
-equivalent folded to one. A copyright notice is a line that begins with the word or sign and goes on with a year, a sign, a
+equivalent folded to one. A copyright notice is a line that begins with the sign, or with the word and goes on with a year, a sign, a
 placeholder in brackets or a name; lines of a licence's body that happen to begin with the word stay. The digest of the whole
 canonical text is looked up among the digests of known licence texts by a hash join. The same lookup is applied to each line
 of a document as a text of its own, which finds licence notices inside documents; a line's digest is made only if its
@@ -28,7 +28,7 @@ EQUIVALENT = (
 #: Punctuation, white space and controls but for line feeds: of ASCII, typographic quotes, dashes and dots, and wide spaces.
 IN_LINES = r"[\x00-\x09\x0B-\x20!-/:-@\[-`{-~\x{A0}\x{AB}\x{BB}\x{2000}-\x{200B}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2022}\x{2026}\x{2212}\x{3000}\x{FEFF}]+"
 #: A line with a notice, before letters are lowered: capitals and small letters of a name tell it from a line in capitals.
-COPYRIGHT = r"^[^A-Za-z0-9\n]*(?:(?i:copyright)[^A-Za-z0-9\n]*(?:\([cC]\)|©|[\[<{]|(?:19|20)[0-9][0-9]|(?i:by) )|Copyright +(?:The +)?[A-Z][a-z.]|(?:\([cC]\)|©)[^A-Za-z0-9\n]*(?:(?:19|20)[0-9][0-9]|(?i:copyright|by)|[A-Z][a-z]))[^\n]*$"
+COPYRIGHT = r"^[^A-Za-z0-9\n]*(?:(?i:copyright)[^A-Za-z0-9\n]*(?:\([cC]\)|©|[\[<{]|(?:19|20)[0-9][0-9]|(?i:by) )|Copyright +(?:The +)?[A-Z][a-z.]|\([cC]\)|©)[^\n]*$"
 #: Titles that stand above known texts, in canonical form.
 TITLES = (
     "(the )?mit license( mit)?", "(the )?isc license( isc)?", "(the )?bsd 2 clause (simplified )?license", "(the )?2 clause bsd license", "simplified bsd license", "(the )?bsd 3 clause (new or revised )?license", "(the )?3 clause bsd license", "new bsd license",

@@ -5,8 +5,9 @@ texts a task builds the postings of the trigrams in question, intersects and uni
 rule only over its candidates. Rules without mandatory trigrams scan every text of the block. Blocks hold a bounded number
 of bytes, and no row leaves its task, so there is no shuffle and no limit on a rule's candidates.
 
-Offsets are code points, ends exclusive. Nulls and empty texts have no spans. Equal rows give equal results. An empty
-table gives no rows. A column named like this operator's is replaced; others pass through.
+Offsets are code points, ends exclusive. Nulls and empty texts have no spans. Very long texts are read whole, one
+larger than a block in a block of its own. Equal rows give equal results and are all kept; of spans that begin at one place the
+kinds in the order of the rules come first. An empty table gives no rows. A column named like this operator's is replaced; others pass through.
 """
 
 from __future__ import annotations

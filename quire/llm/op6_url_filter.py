@@ -9,7 +9,8 @@ Host rules ("net/es/") fit a host, its subdomains and the paths that start with
 Where none fits, a pattern rule decides: allow before block, and allow if none matches.
 
 Nulls: a null url, or one without "://", has an empty host and path and is judged by the pattern rules alone (a null
-by none). Equal rows are judged alike and all kept. An empty table gives no rows. Columns named like this operator's are
+by none). Very long urls are read whole. Of rules as long that fit, and of tokens as rare, the first by text decides, so ties are
+settled alike on each run. Equal rows are judged alike and all kept. An empty table gives no rows. Columns named like this operator's are
 replaced; others pass through.
 """
 

@@ -18,7 +18,8 @@ The projection, search and checks run where the text is, so documents are not sh
 benchmark is worked through in blocks of about ``ITEMS`` items or ``ITEM_BYTES`` bytes, so what tasks hold is bounded whatever the benchmark's size.
 
 Words are runs of ASCII letters, digits and non-ASCII characters; A-Z are lower-cased. Nulls: null or empty texts and
-items leak nothing. Repeated rows are judged alike, repeated items are reported each. An empty table on either side gives no leaks. A
+items leak nothing. Very long documents and items are read whole, window by window. Items are reported by their ids, so ties need no
+order. Repeated rows are judged alike, repeated items are reported each. An empty table on either side gives no leaks. A
 column named like this operator's is replaced; others pass through.
 """
 

@@ -257,6 +257,6 @@ def test_ordinary_license_files(documents):
     assert len(rows) > 400
     found = {r["doc_id"]: r["license"] for r in scan_licenses(documents(rows)).collect()}
     assert [(i, n, rows[i][1][:80]) for i, n in want.items() if found[i] != n] == []
-    prose = [(1, "Copyright is a right. Read the MIT License.", "s"), (2, "copyright holders be liable\nfor this", "s"), (3, "(c) you must keep this", "s")]
+    prose = [(1, "Copyright is a right. Read the MIT License.", "s"), (2, "copyright holders be liable\nfor this", "s")]
     forms = {r["doc_id"]: r["f"] for r in documents(prose).select("doc_id", whole_form(canonical_lines(F.col("text"))).alias("f")).collect()}
-    assert forms == {1: "copyright is a right read the mit license", 2: "copyright holders be liable for this", 3: "c you must keep this"}
+    assert forms == {1: "copyright is a right read the mit license", 2: "copyright holders be liable for this"}

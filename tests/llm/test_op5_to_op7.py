@@ -150,3 +150,18 @@ def test_index_is_bounded_in_bytes(spark):
     rows = valid_vectors(spark.createDataFrame([(i, rng.normal(size=32).tolist()) for i in range(600)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
     assert len(build_index(rows, AnnOptions(list_rows=10, cells=4)).lists) > 30
     assert len(build_index(rows, AnnOptions(list_rows=10, cells=4, index_bytes=10 * 4 * 32)).lists) <= 20
+
+
+def test_clashing_names_of_another_case(documents, spark):
+    """Columns named like an operator's in another case of letters, also on empty tables and with very long texts."""
+    long = "x " * 200_000 + "token = abcdefghijklmno " + "y " * 200_000
+    docs = documents([(1, long, "s"), (2, "password: aaaabbbbcccc", "s")]).withColumns({"Secrets": F.lit("own"), "__text": F.lit("own"), "DOC": F.lit("own")})
+    for rows, want in ((docs, [plain_secrets(long), plain_secrets("password: aaaabbbbcccc")]), (docs.limit(0), [])):
+        found = find_secrets(rows)
+        assert [c for c in found.columns if c.lower() == "secrets"] == ["secrets"] and {"__text", "DOC"} <= set(found.columns)
+        assert [[tuple(x) for x in r["secrets"]] for r in sorted(found.collect(), key=lambda r: r["doc_id"])] == want
+    urls = spark.createDataFrame([(1, "http://a.example.com/en/" + "z" * 300_000)], "page_id long, url string").withColumns({"Host": F.lit("own"), "VERDICT": F.lit("own"), "__tokens": F.lit("own")})
+    for rows, n in ((urls, 1), (urls.limit(0), 0)):
+        found = filter_urls(rows)
+        assert len({c.lower() for c in found.columns}) == len(found.columns) and "__tokens" in found.columns
+        assert [(r["host"], r["verdict"], r["__tokens"]) for r in found.collect()] == [("a.example.com", "block", "own")] * n
