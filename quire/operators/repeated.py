@@ -144,6 +144,8 @@ def kind_counts(labelled: DataFrame, *by: str) -> DataFrame:
 
 def kind_totals(blocks: DataFrame, options: RepeatedOptions = RepeatedOptions()) -> DataFrame:
     """The same as ``kind_counts`` of all blocks, from the groups alone: no block looks up its group."""
+    if options.mode == "off":
+        return kind_counts(classify_repeated(blocks, options))
     rows = candidates(blocks, options)
     groups = settle(repeated_groups(rows, options))  # with the blocks that each marks
     marked = groups.groupBy("kind").agg(F.sum("n_marked").alias("n_blocks"), F.sum(F.when(F.col("ambiguous"), F.col("n_marked")).otherwise(0)).alias("n_ambiguous"), F.count("*").alias("n_groups"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import layout, pages, performance, quality, reports
+from quire.operators import layout, pages, performance, quality, repeated, reports
 from quire.operators.paragraphs import merge_adjacent_blocks, paragraph_metrics, paragraphs_of, reading_order
 from quire.operators.repeated import classify_repeated, kind_counts
 from quire.plans.options import LayoutOptions, ParagraphOptions, RepeatedOptions
@@ -108,3 +108,11 @@ def test_batches(spark):
     assert [r["outcome"] for r in stop.orderBy("path").collect()] == ["ok", "failed", "not_run"]
     assert reports.batch_summary(reports.first_failures(files, True), "batch").first()["status"] == "partial"
     assert [r[0] for r in files.select(reports.exit_code(F.col("error"))).collect()] == [0, 6, 0]
+
+
+def test_totals_from_groups(blocks):
+    """Counts of kinds from the groups are those of all labelled blocks, also with nothing repeated and in mode off."""
+    rows = [(k, j, *row) for k in range(1, 6) for j, row in enumerate([("Company manual", 50, 20, 550, 34, 10), (f"Page text {'abcde'[k - 1]}.", 50, 150, 550, 164, 10), ("DRAFT", 220, 320, 380, 350, 28), (str(k), 290, 770, 310, 784, 10), (str(k), 20, 770, 40, 784, 10)])]
+    for some, o in ((rows, repeated.RepeatedOptions()), (rows[:3], repeated.RepeatedOptions()), ([], repeated.RepeatedOptions()), (rows, repeated.RepeatedOptions(mode="off"))):
+        b = blocks(some)
+        assert sorted(map(tuple, repeated.kind_totals(b, o).collect())) == sorted(map(tuple, repeated.kind_counts(repeated.classify_repeated(b, o)).collect()))
