@@ -7,6 +7,7 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,27 @@ def words_of(text: pa.Array, lut: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(keep)), kept[starts - starts[0]]
 
 
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of each text (words as in ``word_lists``), repeats included, and where each text's begin and end.
+
+    A text of fewer words has one of all its words, one without words none. Distinct words are hashed, and their hashes mixed in order.
+    """
+    words, starts = words_of(texts, LOWER_BYTES)
+    coded = words.dictionary_encode()
+    own = np.array([xxhash.xxh64_intdigest(w, 42) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+    word, count = own[np.asarray(coded.indices)] if len(words) else own, np.diff(starts)
+    n = np.where(count > 0, np.maximum(count - shingle + 1, 1), 0)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    first = np.arange(ends[-1]) + np.repeat(starts[:-1] - ends[:-1], n)
+    length = np.repeat(np.minimum(count, shingle), n)
+    out = np.zeros(len(first), dtype=np.uint64)
+    for k in range(int(length.max(initial=0))):
+        at = slice(None) if k < length.min() else np.flatnonzero(k < length)
+        mixed = (out[at] ^ word[first[at] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out[at] = mixed ^ (mixed >> np.uint64(32))
+    return out, ends
+
+
 def segment_sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the rows of ``values`` between neighbouring starts; zero for empty segments."""
     out = np.zeros((len(starts) - 1, *values.shape[1:]), dtype=values.dtype)

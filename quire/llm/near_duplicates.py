@@ -6,7 +6,8 @@ class and never paired. Classes are gathered into clusters, whose members are co
 1. A cluster for each component of fingerprints that the SimHash operator links (``tau`` bits or fewer).
 2. Prefixes complete what fingerprints miss. All sets are sorted in one order, rare shingles first. Of n shingles of a set s n
    at least must be in a similar one, so by the pigeonhole principle two similar sets share one of their first n - ceil(s n) + 1.
-   The classes that share a shingle in their prefixes gather around the smallest of them, their pivot: one cluster for each
+   It must also be one behind which both have enough left, and their sizes must be near, so chance meetings, whose number grows faster than the table, mostly end there.
+   The classes that share such a shingle in their prefixes gather around the smallest of them, their pivot: one cluster for each
    pivot, however many shingles it shares. The order comes from a sample of texts; another sample changes the work but no result.
    Before texts are moved, prefixes are compared: they bound what two sets can share, and clusters fall into the parts that may have links.
 
@@ -31,26 +32,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import give_back, own_prefix, scratch, settle, small_batches, small_side
+from quire.llm.common import blocks, give_back, own_prefix, scratch, settle, shingle_hashes, small_batches, small_side
 from quire.llm.graph import components
-from quire.llm.op8_simhash import hashes_of, majority, print_components, word_lists
+from quire.llm.op8_simhash import majority, print_components
 from quire.llm.overlap import links_among
 
-SAMPLE = 2000  # texts by which shingles are ordered
-ORDERED = 100_000  # shingles that are known to be frequent, at most
+SAMPLE = 2000, 20_000, 20  # texts by which shingles are ordered: at least, at most, one in so many between. It grows with the table, as chance meetings do
+ORDERED = 300_000  # shingles that are known to be frequent, at most
+HASHED_BYTES = 512 << 10  # of text whose shingles are in memory at once
 BLOCK_BYTES = 16 << 20  # of text that one task compares
 FILTERED = 1024  # members of a cluster up to which the beginnings of sets are compared before texts are moved; beyond it texts are compared at once
 MEMBERS = 4096  # that a block has at most, about
 
 
-def _own(words: list[bytes], shingle: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    return np.unique(np.array(hashes_of(words, shingle), dtype=np.uint64)).view(np.int64)
+def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The distinct hashes of each text's shingles."""
+    for low, high in blocks(pc.binary_length(texts), HASHED_BYTES):
+        hashes, ends = shingle_hashes(texts.slice(low, high - low), shingle)
+        for a, z in zip(ends, ends[1:], strict=False):
+            yield np.unique(hashes[a:z]).view(np.int64)
 
 
 def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,17 +65,18 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     @F.arrow_udf("array<long>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([_own(w, shingle) for w in word_lists(texts)], pa.list_(pa.int64()))
+            yield pa.array(list(_sets(texts, shingle)), pa.list_(pa.int64()))
 
-    rate = max(1, docs.count() // SAMPLE)
+    n = docs.count()
+    rate = max(1, n // max(SAMPLE[0], min(SAMPLE[1], n // SAMPLE[2])))
     sample = docs.where(F.pmod("node", F.lit(rate)) == 0).dropDuplicates(["node"])
-    counts = sample.select(F.explode(sets(F.col("body"))).alias("key")).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(ORDERED).collect()
-    found = np.array(sorted((r[0], r[1]) for r in counts), dtype=np.int64).reshape(-1, 2)
-    return found[:, 0], found[:, 1]
+    counts = settle(sample.select(F.explode(sets(F.col("body"))).alias("key")).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(ORDERED))
+    found = counts.orderBy("key").toArrow()
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, dtype=np.int64) for x in found[c].chunks)]) for c in ("key", "count"))
 
 
-def _sketch(text: Column, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Column:
-    """A text's fingerprint, the size of its shingle set, and as much of the sorted set as a similar one must share a shingle with.
+def _sketch(text: Column, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray], prints: bool) -> Column:
+    """A text's fingerprint (zero without ``prints``), the size of its shingle set, and as much of the sorted set as a similar one must share a shingle with.
 
     Shingles are numbers whose order is the common one: hashes, then the frequent shingles by their counts.
     """
@@ -80,20 +87,20 @@ def _sketch(text: Column, shingle: int, similarity: float, frequent: tuple[np.nd
     @F.arrow_udf("struct<fingerprint:long,size:int,keys:array<long>>")
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            prints, sizes, keys = [], [], []
-            for w in word_lists(texts):
-                hashes = np.array(hashes_of(w, shingle), dtype=np.uint64)
-                own = np.unique(hashes)
-                codes = (own >> np.uint64(2)).view(np.int64)
+            marks, sizes, keys = [], [], []
+            for low, high in blocks(pc.binary_length(texts), HASHED_BYTES):
+                hashes, ends = shingle_hashes(texts.slice(low, high - low), shingle)
+                codes = (hashes >> np.uint64(2)).view(np.int64)
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, own.view(np.int64)), len(known) - 1)
-                    codes = np.where(known[at] == own.view(np.int64), (1 << 62) + (place[at] << 31), codes)
-                codes = np.unique(codes)
-                prints.append(majority(hashes))
-                sizes.append(len(own))
-                keys.append(codes[: len(codes) - math.ceil(similarity * len(codes) - 1e-9) + 1] if len(codes) else np.zeros(1, np.int64))
+                    at = np.minimum(np.searchsorted(known, hashes.view(np.int64)), len(known) - 1)
+                    codes = np.where(known[at] == hashes.view(np.int64), (1 << 62) + (place[at] << 31), codes)
+                for a, z in zip(ends, ends[1:], strict=False):
+                    own = np.unique(codes[a:z])
+                    marks.append(majority(hashes[a:z]) if prints else 0)
+                    sizes.append(len(own))
+                    keys.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if len(own) else np.zeros(1, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.StructArray.from_arrays([pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["fingerprint", "size", "keys"])
+            yield pa.StructArray.from_arrays([pa.array(np.array(marks, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["fingerprint", "size", "keys"])
         give_back()
 
     return sketch(text)
@@ -182,6 +189,28 @@ def _in_blocks(rows: DataFrame, key: list[str], work: Callable[[list[dict]], pa.
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
+def _gathered(classes: DataFrame, similarity: float) -> DataFrame:
+    """cluster, node, size: the classes around the smallest class that they share a shingle of their prefixes with. classes: node, size, keys.
+
+    A shared shingle only counts if it can be the first that two similar sets share: behind it each must have as many as both have in
+    common at least, and sizes must be near. Two sets are told exactly, of more the members that no size in their band lets pass leave.
+    """
+    bound = similarity / (1 + similarity)  # of the sum of two sizes, what similar sets have in common
+    keys = classes.select("node", "size", F.posexplode("keys").alias("at", "value")).select("value", "node", "size", (F.col("size") - F.col("at")).alias("rest"))
+    lead = F.col("rest") >= F.lit(2 * bound) * F.col("size") - 1e-6  # so for the smaller of two
+    able = (F.col("n") > 1) & F.col("lead") & ((F.col("n") > 2) | (F.col("least") >= bound * F.col("total") - 1e-6))
+    sums = {"cluster": F.min("node"), "n": F.count("*"), "total": F.sum("size"), "least": F.min("rest"), "lead": F.max(lead)}
+    ends = keys.groupBy("value").agg(*[c.alias(k) for k, c in sums.items()]).where(able).select("value", "cluster", "n")
+    found = settle(keys.join(small_side(ends), "value"))
+    # of two similar sets the sizes are in one band or in neighbouring ones
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(1e-6 - math.log(max(similarity, 1e-9))))
+    small = found.where(F.col("n") <= FILTERED).drop("cluster", "n").withColumn("band", F.explode(F.array(band, band + 1)))
+    within = Window.partitionBy("value", "band")
+    small = small.withColumns({k: c.over(within) for k, c in (sums | {"smallest": F.min("size")}).items()})
+    small = small.where(able & (F.col("rest") >= bound * (F.col("size") + F.col("smallest")) - 1e-6))
+    return found.where(F.col("n") > FILTERED).select("cluster", "node", "size").unionByName(small.select("cluster", "node", "size")).distinct()
+
+
 def _promising(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """cluster, node: of clusters of at most FILTERED members, the parts whose beginnings of sets allow for links; the others as they are. members: cluster, node, size."""
     counts = small_side(members.groupBy("cluster").agg(F.count("*").alias("n")))
@@ -212,8 +241,8 @@ def _links(dealt: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     """Links u, v between members of different labels in each block. dealt: cluster, i, j, node, label."""
 
     def read(batch: pa.RecordBatch) -> Iterator[dict]:
-        for node, label, words in zip(batch["node"].to_pylist(), batch["label"].to_pylist(), word_lists(batch["body"]), strict=True):
-            yield {"node": node, "label": label, "set": _own(words, shingle)}
+        for node, label, own in zip(batch["node"].to_pylist(), batch["label"].to_pylist(), _sets(batch["body"], shingle), strict=True):
+            yield {"node": node, "label": label, "set": own}
 
     def work(rows: list[dict]) -> pa.RecordBatch | None:
         nodes = np.array([r["node"] for r in rows], dtype=np.int64)
@@ -258,13 +287,11 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
     tau: None leaves out the clusters of fingerprints, which only change the work. empty: whether texts without words are linked with each other.
     """
     with scratch(docs.sparkSession) as outer:
-        sketch = _sketch(F.col("body"), shingle, similarity, _frequent(docs, shingle))
+        sketch = _sketch(F.col("body"), shingle, similarity, _frequent(docs, shingle), tau is not None)
         rows = docs.select("doc", "node", F.octet_length("body").cast("long").alias("bytes"), sketch.alias("s"))
         first = [F.first(f"s.{c}").alias(c) for c in ("fingerprint", "size", "keys")]
         classes = settle(rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("bytes").alias("bytes"), *first))
-        keys = classes.where(F.lit(empty) | (F.col("size") > 0)).select("node", "size", F.explode("keys").alias("value"))
-        ends = keys.groupBy("value").agg(F.min("node").alias("cluster"), F.max("node").alias("last")).where("cluster <> last").drop("last")
-        around = settle(keys.join(small_side(ends), "value").select("cluster", "node", "size").distinct())
+        around = settle(_gathered(classes.where(F.lit(empty) | (F.col("size") > 0)).select("node", "size", "keys"), similarity))
         around = settle(_promising(around, classes, similarity))
         # first, each class is compared in one cluster: that of its fingerprint if there is one, else one of prefixes
         near = around.select("cluster", "node", F.lit(1).alias("rank"))

@@ -62,9 +62,18 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Shuffle files go when the execution that wrote them ends; else they stay until the driver's virtual machine happens to collect its plans.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder and read from there."""
+    """The rows, written once to the shared checkpoint folder and read from there. What was shuffled for them goes at once."""
     spark = df.sparkSession
     path = f"{folder or _FOLDER.get() or _root(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

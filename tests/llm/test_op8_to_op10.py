@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import op9_decontaminate as leaks
 from quire.llm.graph import components
-from quire.llm.near_duplicates import candidates_among, drop_near_duplicates
+from quire.llm.near_duplicates import _gathered, candidates_among, drop_near_duplicates
 from quire.llm.op8_simhash import Part, group_bits, hashes_of, majority, plan_partitions, simhash_groups, simhash_links
 from quire.llm.op10_quality import fit_quality, held_out, score_quality
 from quire.llm.overlap import links_among
@@ -270,3 +270,21 @@ def test_quality(documents, awkward, spark):
     assert np.allclose(again.linear, model.linear)
     assert {r["score"] for r in score_quality(docs, fit_quality(docs, labels.limit(0))).collect()} == {0.5}
     assert score_quality(documents([]), model).count() == 0
+
+
+def test_chance_meetings_of_sets_are_no_clusters(spark):
+    # one shared shingle: sizes too far apart; too late in both sets; and early enough in sets of one size, alone and among others
+    rows = [(1, 100, [5, 900]), (2, 200, [5, 901]), (3, 100, [*range(1000, 1015), 6]), (4, 100, [*range(2000, 2015), 6]), (5, 100, [7]), (6, 110, [7]), (7, 100, [8]), (8, 110, [8]), (9, 1000, [8])]
+    found = _gathered(spark.createDataFrame(rows, "node long, size int, keys array<long>"), 0.8)
+    assert sorted(map(tuple, found.collect())) == [(5, 5, 100), (5, 6, 110), (7, 7, 100), (7, 8, 110)]
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    from quire.plans.scratch import CLEANUP, settle
+
+    before = spark.conf.get(CLEANUP)
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    kept = tracker.shuffleStatuses().size()
+    assert settle(spark.range(100).repartition(3, "id")).count() == 100
+    assert tracker.shuffleStatuses().size() <= kept + 1  # that of the count
+    assert spark.conf.get(CLEANUP) == before
