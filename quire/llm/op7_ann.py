@@ -31,7 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import settle, table
+from quire.llm.common import settle, small_batches, table
+
+
+PIECE = 4096  # rows of a batch in which a task hands on copies of vectors
+FAR = 1 << 20  # distances that are in memory at once
 
 
 @dataclass(frozen=True)
@@ -147,12 +151,14 @@ class Index:
         for cell, members in _grouped(np.argmax(u @ self.centres.T, axis=1)):
             # the lists of a vector lie in its cell and in the cells next to it
             near = self.of_cells(np.unique(np.append(self.graph[cell], cell)))
-            far = _distances(u[members], self.lists[near])
-            best = np.argpartition(far, min(o.replicas, far.shape[1]) - 1, axis=1)[:, : o.replicas]
-            d = np.take_along_axis(far, best, axis=1)
-            row, col = np.nonzero(d <= np.maximum(d.min(axis=1, keepdims=True) * o.boundary, 1e-6))
-            rows.append(members[row])
-            found.append(near[best[row, col]])
+            step = max(1, FAR // len(near))
+            for some in (members[k : k + step] for k in range(0, len(members), step)):
+                far = _distances(u[some], self.lists[near])
+                best = np.argpartition(far, min(o.replicas, far.shape[1]) - 1, axis=1)[:, : o.replicas]
+                d = np.take_along_axis(far, best, axis=1)
+                row, col = np.nonzero(d <= np.maximum(d.min(axis=1, keepdims=True) * o.boundary, 1e-6))
+                rows.append(some[row])
+                found.append(near[best[row, col]])
         return np.concatenate(rows), np.concatenate(found)
 
     def probes(self, q: np.ndarray, o: AnnOptions) -> np.ndarray:
@@ -175,6 +181,14 @@ def _grouped(label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(label[order[a]]), order[a:b]
 
 
+def _copies(b: pa.RecordBatch, lists: Iterator[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row (list, id, v) for each row of a batch and list of it, in batches of PIECE rows. lists: rows and their lists, a few at a time."""
+    for row, found in lists:
+        for k in range(0, len(row), PIECE):
+            at = pa.array(row[k : k + PIECE])
+            yield pa.record_batch([pa.array(found[k : k + PIECE].astype(np.int32)), b["id"].take(at), b["v"].take(at)], names=names)
+
+
 def build_index(rows: DataFrame, o: AnnOptions) -> Index | None:
     """rows: id, v."""
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(o.sample).select("v").toArrow()["v"].combine_chunks()
@@ -211,6 +225,7 @@ def build_index(rows: DataFrame, o: AnnOptions) -> Index | None:
 def nearest_neighbours(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, options: AnnOptions = AnnOptions()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest that were found for each row whose id is divisible by ``every``."""
     spark, o = df.sparkSession, options
+    small_batches(spark)
     rows = valid_vectors(df, vec_id, vector)
     rows = settle(rows.withColumn("key", F.xxhash64("v")).groupBy("key", "id").agg(F.first("v").alias("v")))
     same = F.row_number().over(Window.partitionBy("key").orderBy("id"))  # equal vectors, by their hash
@@ -223,9 +238,8 @@ def nearest_neighbours(df: DataFrame, vec_id: str = "vec_id", vector: str = "emb
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                row, found = shared.value.homes(_unit(_matrix(b["v"])).astype(np.float32), replace(o, replicas=1) if o.exact else o)
-                at = pa.array(row)
-                yield pa.record_batch([pa.array(found.astype(np.int32)), b["id"].take(at), b["v"].take(at)], names=["list", "id", "v"])
+                homes = shared.value.homes(_unit(_matrix(b["v"])).astype(np.float32), replace(o, replicas=1) if o.exact else o)
+                yield from _copies(b, iter([homes]), ["list", "id", "v"])
 
     lists = settle(members.mapInArrow(assign, "list int, id long, v array<double>"))
     cuts = lambda table, most, name: table.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
@@ -241,9 +255,9 @@ def nearest_neighbours(df: DataFrame, vec_id: str = "vec_id", vector: str = "emb
             for b in batches:
                 if b.num_rows:
                     index = shared.value
-                    take = [np.arange(len(index.lists)) if exact else index.probes(q, o) for q in _unit(_matrix(b["v"])).astype(np.float32)]
-                    at = pa.array(np.repeat(np.arange(b.num_rows), [len(t) for t in take]))
-                    yield pa.record_batch([pa.array(np.concatenate(take).astype(np.int32)), b["id"].take(at), b["v"].take(at)], names=["list", "query_id", "q"])
+                    u = _unit(_matrix(b["v"])).astype(np.float32)
+                    some = ([(k, np.arange(len(index.lists)) if exact else index.probes(u[k], o)) for k in range(a, min(a + 16, len(u)))] for a in range(0, len(u), 16))
+                    yield from _copies(b, ((np.repeat([k for k, _ in x], [len(t) for _, t in x]), np.concatenate([t for _, t in x])) for x in some), ["list", "query_id", "q"])
 
         wanted = settle(askers.mapInArrow(probe, "list int, query_id long, q array<double>"))
         lengths = settle(subs.join(cuts(wanted, o.asked, "turns"), "list"))

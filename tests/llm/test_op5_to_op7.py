@@ -165,3 +165,24 @@ def test_clashing_names_of_another_case(documents, spark):
         found = filter_urls(rows)
         assert len({c.lower() for c in found.columns}) == len(found.columns) and "__tokens" in found.columns
         assert [(r["host"], r["verdict"], r["__tokens"]) for r in found.collect()] == [("a.example.com", "block", "own")] * n
+
+
+def test_copies_of_vectors_leave_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    from quire.llm import op7_ann
+
+    b = pa.record_batch([pa.array([7, 8]), pa.array([[1.0, 0.0], [0.0, 1.0]], pa.list_(pa.float64()))], names=["id", "v"])
+    lists = [(np.full(10_000, k), np.arange(10_000)) for k in range(2)]
+    out = list(op7_ann._copies(b, iter(lists), ["list", "id", "v"]))
+    assert max(x.num_rows for x in out) <= op7_ann.PIECE and sum(x.num_rows for x in out) == 20_000
+    # cells of any size, in pieces: the same homes
+    rng = np.random.default_rng(1)
+    u, lists = (op7_ann._unit(rng.normal(size=(n, 8))).astype(np.float32) for n in (300, 40))
+    index = op7_ann.Index(lists[:4], op7_ann.neighbour_graph(lists[:4], 2), lists, np.array([0, 10, 20, 30, 40]))
+    whole, sizes, distances = index.homes(u, op7_ann.AnnOptions()), [], op7_ann._distances
+    monkeypatch.setattr(op7_ann, "FAR", 100)
+    monkeypatch.setattr(op7_ann, "_distances", lambda a, c: sizes.append(len(a) * len(c)) or distances(a, c))
+    parts = index.homes(u, op7_ann.AnnOptions())
+    assert max(sizes) <= 100
+    assert sorted(zip(*map(np.ndarray.tolist, whole))) == sorted(zip(*map(np.ndarray.tolist, parts)))
