@@ -173,7 +173,8 @@ def page_paragraphs(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions
         F.count("*").alias("n_fragments"), F.count_if("new_block").alias("n_blocks"), F.count("action").alias("n_decisions"), F.count_if(doubtful).alias("n_ambiguous"),
         F.count_if(merges & F.col("soft")).alias("n_soft"), F.sort_array(F.collect_list(made)).alias("inside"), F.collect_set("block_id").alias("blocks"),
     )
-    p = p.withColumn("edge", F.when(F.size("ends") > 0, _folded(F.col("ends"))))
+    # what is written and shuffled again holds each text once
+    p = p.withColumns({"edge": F.when(F.size("ends") > 0, _folded(F.col("ends"))), "text": _folded(F.col("items"))}).drop("items", "ends")
     names = ("page", "kind", "tail", "edge", "page_h")
     p = settle(p.drop(*dropped).withColumn("range", F.floor(F.col("page") / span)))
     p = with_previous(p, names).select("*", *[F.col(f"q.{c}").alias(f"q_{c}") for c in names]).drop("q")
@@ -205,7 +206,7 @@ def paragraphs_of(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()
     whole = p.withColumn("anchor", F.min("page").over(Window.partitionBy("doc", "para")))
     here = F.col("page") == F.col("anchor")
     merged = whole.groupBy("doc", "para").agg(
-        F.min_by("id", at).alias("id"), F.min("anchor").alias("page"), F.min_by("kind", at).alias("kind"), F.sort_array(F.collect_list(F.struct("page", "local", _folded(F.col("items")).alias("text")))).alias("parts"),
+        F.min_by("id", at).alias("id"), F.min("anchor").alias("page"), F.min_by("kind", at).alias("kind"), F.sort_array(F.collect_list(F.struct("page", "local", "text"))).alias("parts"),
         F.min(F.when(here, F.col("x0"))).alias("x0"), F.min(F.when(here, F.col("y0"))).alias("y0"), F.max(F.when(here, F.col("x1"))).alias("x1"), F.max(F.when(here, F.col("y1"))).alias("y1"),
         F.sum("n_fragments").cast("long").alias("n_fragments"), F.max(F.col("ambiguous") | F.coalesce(F.col("action") == "ambiguous", F.lit(False))).alias("ambiguous"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks"),
     )
@@ -218,7 +219,7 @@ def paragraphs_of(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions()
 
 def paragraph_metrics(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(), by: tuple[str, ...] = ("doc",)) -> DataFrame:
     """Raw lines and blocks, paragraphs, merged fragments, decisions, ambiguous ones, merges across pages, soft hyphens removed. by: doc, or nothing."""
-    p = page_paragraphs(fragments, o, ("items", "ends", "inside", "blocks", "ambiguous", "id", "x0", "x1", "y0", "y1"))
+    p = page_paragraphs(fragments, o, ("text", "inside", "blocks", "ambiguous", "id", "x0", "x1", "y0", "y1"))
     decided, merges = F.col("action").isNotNull(), F.coalesce(F.col("action") == "merge", F.lit(False))
     n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return p.groupBy(*by).agg(
