@@ -197,11 +197,12 @@ def _gathered(classes: DataFrame, similarity: float) -> DataFrame:
     """
     bound = similarity / (1 + similarity)  # of the sum of two sizes, what similar sets have in common
     keys = classes.select("node", "size", F.posexplode("keys").alias("at", "value")).select("value", "node", "size", (F.col("size") - F.col("at")).alias("rest"))
+    keys = keys.repartition("value")  # moved once, at any size: counted where they are, and met there by what is counted
     lead = F.col("rest") >= F.lit(2 * bound) * F.col("size") - 1e-6  # so for the smaller of two
     able = (F.col("n") > 1) & F.col("lead") & ((F.col("n") > 2) | (F.col("least") >= bound * F.col("total") - 1e-6))
     sums = {"cluster": F.min("node"), "n": F.count("*"), "total": F.sum("size"), "least": F.min("rest"), "lead": F.max(lead)}
     ends = keys.groupBy("value").agg(*[c.alias(k) for k, c in sums.items()]).where(able).select("value", "cluster", "n")
-    found = settle(keys.join(small_side(ends), "value"))
+    found = settle(keys.join(ends.hint("shuffle_hash"), "value"))
     # of two similar sets the sizes are in one band or in neighbouring ones
     band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(1e-6 - math.log(max(similarity, 1e-9))))
     small = found.where(F.col("n") <= FILTERED).drop("cluster", "n").withColumn("band", F.explode(F.array(band, band + 1)))

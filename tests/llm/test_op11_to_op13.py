@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import op11_importance as importance
 from quire.llm import op12_whitening as whitening
+from quire.llm import near_duplicates as near
 from quire.llm import op13_ngram_join as joined
 from quire.llm.near_duplicates import drop_near_duplicates
 from quire.llm.overlap import links_among
@@ -209,6 +210,26 @@ def test_many_short_texts_of_one_template(documents):
     assert joined.ngram_join(documents(rows)).where("component_id <> doc_id").count() == 0
 
 
+def test_prefixes_are_moved_once(spark, monkeypatch):
+    """Whatever the number of shared shingles, a key of a prefix is shuffled once: it is counted and met in the same place."""
+    monkeypatch.setattr(near, "small_side", lambda df: near.settle(df).hint("shuffle_hash"))  # as if there were too many to broadcast
+    # 2,000 sets of 100, each but the last sharing five of their first shingles with one neighbour
+    keys = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.when(k < 5, F.floor(F.col("id") / 2) * 5 + k).otherwise(1_000_000 + F.col("id") * 21 + k))
+    classes = spark.range(1999).select(F.col("id").alias("node"), F.lit(100).alias("size"), keys.alias("keys"))
+    with near.scratch(spark):
+        classes = near.settle(classes)
+        spark.sparkContext.setJobGroup("prefixes", "prefixes")
+        got = {(r["cluster"], r["node"]) for r in near._gathered(classes, 0.8).collect()}
+        jobs = [spark.sparkContext.statusTracker().getJobInfo(j) for j in spark.sparkContext.statusTracker().getJobIdsForGroup("prefixes")]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in jobs for s in j.stageIds}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert got == {(k - k % 2, k) for k in range(1998)}
+    first = [store.lastStageAttempt(s).shuffleWriteRecords() for s in stages]
+    assert sum(n >= 1999 * 16 for n in first) == 1 and moved < 1.5 * 1999 * 21 + 4 * 1998 * 5
+
+
 def test_blocks_of_many_sets():
     """Thousands of sets of one template, of a cloud of near copies and of no similar pair."""
     rng = np.random.default_rng(71)
