@@ -18,6 +18,7 @@ from quire.functions.text import compatible
 PAGE = ["doc", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
 EM = 1000
+WIDE = 8  # times as wide as high are the cells in which words and clips meet, as lines are
 #: Advances of a plain sans-serif face by groups of characters; all others have the default.
 SANS = {"ijl'|": 222, " !,./:;I[]ft()-\\": 278, "rt\"`*": 333, "cksvxyzJ": 500, "ABEKPSVXY&": 667, "CDHNRUw": 722, "GOQ": 778, "mM": 833, "W": 944, "%": 889, "@": 1015}
 
@@ -159,23 +160,43 @@ def validation_clips(blocks: DataFrame, size: str, *kept: str) -> DataFrame:
     return blocks.select(*PAGE, "block_id", *kept, F.greatest(F.lit(0.0), F.col("x0") - margin).alias("x0"), F.greatest(F.lit(0.0), F.col("y0") - margin).alias("y0"), F.least(F.col("page_w"), F.col("x1") + margin).alias("x1"), F.least(F.col("page_h"), F.col("y1") + margin).alias("y1"))
 
 
-def clip_texts(clips: DataFrame, words: DataFrame, cell: float = 72.0) -> DataFrame:
-    """clip_id, found: the words that overlap each clip, lines from the top down and words from the left. clips: doc, page, clip_id, box; words: doc, page, word, box.
+def _met(clips: DataFrame, words: DataFrame, cell: float, *kept: str) -> DataFrame:
+    """doc, page, clip_id, found (null: no word) and owns: what is ``kept`` of each row of the clip.
 
     Both sides are dealt to the cells of their page that they touch. A word and a clip that meet in several cells are a pair only in the
-    cell that holds the upper left corner of what they share, so no pair leaves a cell, and none is made twice. Of clips without
-    words there is no row. Words of one height are a line; of equal words at one place each one counts.
+    cell that holds the upper left corner of what they share, so no pair leaves a cell, and none is made twice. Clips and words are
+    rows of one table, so if both come dealt by pages, nothing is shuffled: not the words, of which there are many, nor their pairs.
     """
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    cells = lambda a, b: F.explode(F.sequence(at(a), F.greatest(at(a), at(b))))
-    touched = lambda df, *names: df.select(*names, *BOX, "page", "doc", cells("x0", "x1").alias("cx")).select("*", cells("y0", "y1").alias("cy"))
-    c = touched(clips, "clip_id").select(F.struct(*BOX, "clip_id").alias("c"), "doc", "page", "cx", "cy")
-    w = touched(words, "word").select(F.struct(*BOX, "word").alias("w"), "doc", "page", "cx", "cy")
+    wide = {"x0": WIDE * cell, "x1": WIDE * cell}
+    at = lambda c: F.floor(F.col(c) / wide.get(c, cell)).cast("long")
+    known = F.lit(True)
+    for c in BOX:
+        known = known & F.col(c).isNotNull()
+    cells = lambda a, b: F.when(known, F.sequence(at(a), F.greatest(at(a), at(b))))
+    # a clip has a row in its first cell, or in none, that stands for it if it has no words
+    home = ~known | ((F.col("cx") == at("x0")) & (F.col("cy") == at("y0")))
+    c = clips.select("*", F.explode_outer(cells("x0", "x1")).alias("cx")).select("*", F.explode_outer(cells("y0", "y1")).alias("cy"))
+    c = c.select(*PAGE, "cx", "cy", F.struct(*BOX, "clip_id", F.when(home, F.struct(F.lit(True).alias("home"), *kept)).alias("own")).alias("c"))
+    w = words.select(*PAGE, *BOX, "word").where("doc IS NOT NULL AND page IS NOT NULL")
+    w = w.select("*", F.explode(cells("x0", "x1")).alias("cx")).select("*", F.explode(cells("y0", "y1")).alias("cy")).select(*PAGE, "cx", "cy", F.struct(*BOX, "word").alias("w"))
+    met = c.unionByName(w, allowMissingColumns=True).groupBy(*PAGE, "cx", "cy").agg(F.collect_list("c").alias("cs"), F.collect_list("w").alias("ws"))
+    met = met.select(*PAGE, "cx", "cy", "cs", F.concat("ws", F.array(F.lit(None))).alias("ws")).select(*PAGE, "cx", "cy", F.explode("cs").alias("c"), "ws").select(*PAGE, "cx", "cy", "c", F.explode("ws").alias("w"))
     left, top = F.greatest("c.x0", "w.x0"), F.greatest("c.y0", "w.y0")
     meets = (F.col("w.x0") < F.col("c.x1")) & (F.col("c.x0") < F.col("w.x1")) & (F.col("w.y0") < F.col("c.y1")) & (F.col("c.y0") < F.col("w.y1"))
-    pairs = w.join(c, ["doc", "page", "cx", "cy"]).where(meets & (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy")))
-    items = F.sort_array(F.collect_list(F.struct("w.y0", "w.x0", "w.word")))
-    return pairs.groupBy("doc", "page", "c.clip_id").agg(F.array_join(F.transform(items, lambda x: x["word"]), " ").alias("found"))
+    first, stands = (F.floor(left / wide["x0"]) == F.col("cx")) & (F.floor(top / cell) == F.col("cy")), F.col("w").isNull()
+    met = met.where((stands & F.col("c.own").isNotNull()) | (meets & first))
+    met = met.select(*PAGE, "c.clip_id", F.when(stands, F.col("c.own")).alias("own"), F.when(~stands, F.struct("w.y0", "w.x0", "w.word")).alias("item"))
+    met = met.groupBy(*PAGE, "clip_id").agg(F.collect_list("item").alias("items"), F.collect_list("own").alias("owns"))
+    found = F.array_join(F.transform(F.sort_array("items"), lambda x: x["word"]), " ")
+    return met.select(*PAGE, "clip_id", F.when(F.size("items") > 0, found).alias("found"), "owns")
+
+
+def clip_texts(clips: DataFrame, words: DataFrame, cell: float = 72.0) -> DataFrame:
+    """clip_id, found: the words that overlap each clip, lines from the top down and words from the left. clips: doc, page, clip_id, box; words: doc, page, word, box.
+
+    Of clips without words there is no row. Words of one height are a line; of equal words at one place each one counts.
+    """
+    return _met(clips, words, cell).where("found IS NOT NULL").select(*PAGE, "clip_id", "found")
 
 
 def normalized_clip(c: Column) -> Column:
@@ -184,10 +205,15 @@ def normalized_clip(c: Column) -> Column:
 
 
 def verified_clips(blocks: DataFrame, words: DataFrame, text: str, size: str, cell: float = 72.0) -> DataFrame:
-    """doc, page, block_id, found and verified: whether the words in a block's place hold its text. blocks: doc, page, block_id, the text, the size, box and page."""
+    """doc, page, block_id, found and verified: whether the words in a block's place hold its text. blocks: doc, page, block_id, the text, the size, box and page.
+
+    Words may have the page's size: clips end with the page, so words beyond it can be in none.
+    """
+    if {"page_w", "page_h"} <= set(words.columns):
+        words = words.where("x0 < page_w AND y0 < page_h")
     clips = validation_clips(blocks.withColumn("__expected", F.col(text)), size, "__expected")
-    found = clip_texts(clips.withColumn("clip_id", F.col("block_id")), words, cell).withColumnRenamed("clip_id", "block_id")
-    rows = clips.select(*PAGE, "block_id", "__expected").join(found, [*PAGE, "block_id"], "left")
+    met = _met(clips.withColumnRenamed("block_id", "clip_id"), words, cell, "__expected")
+    rows = met.select(*PAGE, F.col("clip_id").alias("block_id"), F.when(F.col("clip_id").isNotNull(), F.col("found")).alias("found"), F.explode("owns.__expected").alias("__expected"))
     holds = F.contains(normalized_clip(F.coalesce("found", F.lit(""))), normalized_clip(F.coalesce("__expected", F.lit(""))))
     return rows.select(*PAGE, "block_id", "found", holds.alias("verified"))
 

@@ -436,6 +436,9 @@ def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.plan_layout(blocks, _LAYOUT)
 
 
+CLIPPED = 20_000  # blocks of a task, about
+
+
 @query(rf"""WITH {adapters.FURNITURE_SQL}, {adapters.WORDS_SQL},
 c AS (SELECT doc, page, block_id, text, greatest(0, x0 - greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS x0, greatest(0, y0 - greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS y0, least(page_w, x1 + greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS x1, least(page_h, y1 + greatest(2.0::DOUBLE, font * 0.8::DOUBLE)) AS y1 FROM blocks),
 p AS (SELECT c.doc, c.page, c.block_id, string_agg(w.word, ' ' ORDER BY w.y0, w.x0, w.word) AS found FROM c JOIN words w ON c.doc = w.doc AND c.page = w.page AND w.x0 < c.x1 AND c.x0 < w.x1 AND w.y0 < c.y1 AND c.y0 < w.y1 GROUP BY ALL),
@@ -444,6 +447,8 @@ SELECT doc, count(*) AS n_blocks, count(*) FILTER (WHERE contains(trim(regexp_re
 def clip_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each logical document's blocks, those whose text is found among the words that the page has in their place."""
     blocks = _stored_furniture(spark, sf_dir)
+    # blocks are shuffled and words aren't; so many tasks that the words of one are sorted in memory
+    blocks = blocks.repartition(max(spark.sparkContext.defaultParallelism, blocks.count() // CLIPPED + 1), "doc", "page")
     found = typeset.verified_clips(blocks, adapters.words(blocks), "text", "font")
     return found.groupBy("doc").agg(F.count("*").alias("n_blocks"), F.count_if("verified").alias("n_verified"), F.sum(F.length(F.coalesce("found", F.lit("")))).alias("chars"))
 

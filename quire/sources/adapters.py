@@ -92,11 +92,15 @@ def html_pages(pages: DataFrame) -> DataFrame:
 
 
 def words(blocks: DataFrame, advance: float = 5.0) -> DataFrame:
-    """The words of blocks as they stand on their line, each character ``advance`` wide: doc, page, word and its box."""
-    rows = blocks.select("doc", "page", "block_id", "x0", "y0", "y1", F.posexplode(F.split("text", " ")).alias("place", "word"))
-    before = Window.partitionBy("doc", "page", "block_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("x", F.col("x0") + advance * F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
-    return rows.where("word <> ''").select("doc", "page", "word", F.col("x").alias("x0"), "y0", (F.col("x") + advance * F.length("word")).alias("x1"), "y1")
+    """The words of blocks as they stand on their line, each character ``advance`` wide: doc, page, word, its box and the page's size.
+
+    A word begins behind the space before it, so places come from the text alone and nothing is shuffled.
+    """
+    characters = F.transform(F.split("text", ""), lambda c, k: F.when(c == " ", k + 1))
+    begins = F.concat(F.array(F.lit(0)), F.array_compact(characters))
+    rows = blocks.select("doc", "page", "x0", "y0", "y1", "page_w", "page_h", F.explode(F.arrays_zip(F.split("text", " ").alias("word"), begins.alias("begin"))).alias("w"))
+    rows = rows.where("w.word <> ''").withColumns({"word": F.col("w.word"), "x": F.col("x0") + advance * F.col("w.begin")})
+    return rows.select("doc", "page", "word", F.col("x").alias("x0"), "y0", (F.col("x") + advance * F.length("word")).alias("x1"), "y1", "page_w", "page_h")
 
 
 WORDS_SQL = """

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire import queries
 from quire.operators import glossary as g
 from quire.operators import layout, paragraphs, performance, typeset
 from quire.plans.options import LayoutOptions
+from quire.sources import adapters
 
 M = typeset.FontMetrics()
 
@@ -111,6 +113,52 @@ def test_placed_words_and_clips(spark):
     assert not lost["verified"] and lost["found"] is None
 
 
+LINE = "doc string, page int, block_id string, text string, size double, x0 double, y0 double, x1 double, y1 double, page_w double, page_h double"
+
+
+def test_words_as_they_stand(spark):
+    texts = ["a bc  d", "", " ", "  lead and trail ", "\u00e9\u4e2d \U0001f600x y", "w" * 90 + " off the page", None]
+    blocks = spark.createDataFrame([("d", 1, f"b{k}", t, 9.0, 50.0, 20.0 * k, 500.0, 20.0 * k + 10, 600.0, 800.0) for k, t in enumerate(texts)], LINE)
+    want = []
+    for k, t in enumerate(texts):
+        at = 0
+        for w in (t or "").split(" "):
+            want += [(w, 50.0 + 5 * at, 20.0 * k, 50.0 + 5 * (at + len(w)), 20.0 * k + 10)] if w else []
+            at += len(w) + 1
+    assert sorted(map(tuple, adapters.words(blocks).select("word", "x0", "y0", "x1", "y1").collect())) == sorted(want)
+
+
+def test_clips_of_odd_rows(spark):
+    """Null boxes, documents and ids keep their block without words; of blocks of one id each has the words of all."""
+    rows = [
+        ("d", 1, "a", "one two", 10.0, 50.0, 20.0, 100.0, 30.0, 600.0, 800.0),
+        ("d", 1, "a", "two", 10.0, 300.0, 20.0, 350.0, 30.0, 600.0, 800.0),
+        ("d", 1, "no box", "one", 10.0, 50.0, 20.0, None, 30.0, None, 800.0),
+        ("d", 1, None, "one", 10.0, 50.0, 20.0, 100.0, 30.0, 600.0, 800.0),
+        (None, 1, "a", "one", 10.0, 50.0, 20.0, 100.0, 30.0, 600.0, 800.0),
+        ("d", 1, "far", "", 10.0, 50.0, 700.0, 50.0, 710.0, 600.0, 800.0),
+    ]
+    words = [("d", 1, "one", 50.0, 20.0, 65.0, 30.0), ("d", 1, "two", 70.0, 20.0, 85.0, 30.0), (None, 1, "one", 50.0, 20.0, 65.0, 30.0), ("d", 1, "one", None, 20.0, 65.0, 30.0)]
+    words = spark.createDataFrame(words, "doc string, page int, word string, x0 double, y0 double, x1 double, y1 double")
+    got = typeset.verified_clips(spark.createDataFrame(rows, LINE), words, "text", "size").collect()
+    want = [("d", "a", "one two", True), ("d", "a", "one two", True), ("d", "no box", None, False), ("d", None, None, False), (None, "a", None, False), ("d", "far", None, True)]
+    assert sorted(((r["doc"], r["block_id"], r["found"], r["verified"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_clips_shuffle_blocks_and_no_words(spark, tmp_path):
+    """Of long lines, what is shuffled are the blocks, not their words or what words and clips make."""
+    text = "\n".join(" ".join(f"w{k}" for k in range(40)) for _ in range(10))
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("s").alias("source"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("clips", "clips")
+    (row,) = queries.clip_checks(spark, str(tmp_path)).collect()
+    stages = {s for j in tracker.getJobIdsForGroup("clips") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert row["n_blocks"] == 40 * 14 and row["chars"] > 40 * 10 * 100
+    assert max(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) <= 40 * 14
+
+
 def test_messages_of_missing_texts(spark):
     rows = spark.createDataFrame([("b1", 3, "e" * 300, "f", False), ("b2", 3, "x", "x", True), ("b3", 1, None, None, False)], "block_id string, page int, expected string, found string, verified boolean")
     said = {r["block_id"]: r["message"] for r in typeset.failure_message(rows).collect()}
