@@ -39,7 +39,7 @@ from quire.llm.common import WORD_BYTES, blocks, give_back, segment_sum, settle,
 WINDOW, STEP = 24, 8
 RANK, OVERSAMPLE, POWER = 256, 16, 2
 ITEMS, ITEM_BYTES = 20_000, 16 << 20  # of a block of the benchmark
-SUM_ROWS = 1024
+SUM_BYTES = 128 << 10  # of a row that brings a piece of a sum to the driver, whose virtual machine would grow by larger ones
 PASSAGES = 10_000  # of a task of the decomposition
 BLOCK_BYTES = 256 << 10
 HITS = 1 << 18  # word occurrences that are counted at once
@@ -108,6 +108,7 @@ def randomised_svd(passages: DataFrame, words: int, rank: int = RANK, oversample
     """The leading right singular vectors (as columns) and singular values. passages: words array<int>, weights array<double>."""
     sc = passages.sparkSession.sparkContext
     k = min(rank + oversample, words)
+    high = max(1, SUM_BYTES // (8 * k))  # rows of a sum in a piece
 
     def product(q: np.ndarray, gram: bool) -> np.ndarray:
         """A^T (A Q), or (A Q)^T (A Q), summed over the partitions."""
@@ -124,20 +125,21 @@ def randomised_svd(passages: DataFrame, words: int, rank: int = RANK, oversample
                     total += y.T @ y
                 else:
                     np.add.at(total, ids, np.repeat(y, np.diff(starts), axis=0) * values[:, None])
-            for at in range(0, len(total), SUM_ROWS):
-                if total[at : at + SUM_ROWS].any():
-                    yield pa.record_batch([pa.array([at]), pa.array([total[at : at + SUM_ROWS].tobytes()], pa.binary())], names=["at", "sum"])
+            for at in range(0, len(total), high):
+                if total[at : at + high].any():
+                    yield pa.record_batch([pa.array([at]), pa.array([total[at : at + high].tobytes()], pa.binary())], names=["at", "sum"])
 
         def added(blocks: pa.Table) -> pa.Table:
             return pa.table({"at": blocks["at"].slice(0, 1), "sum": pa.array([sum(np.frombuffer(b.as_buffer()) for b in blocks["sum"]).tobytes()], pa.binary())})
 
-        # blocks of rows of the sums are added up in the cluster; one matrix comes here
-        rows = passages.mapInArrow(part, "at long, sum binary").groupBy("at").applyInArrow(added, "at long, sum binary").collect()
+        # pieces of the sums are added up in the cluster; one matrix comes here, as Arrow batches that the virtual machine only hands on
+        found = passages.mapInArrow(part, "at long, sum binary").groupBy("at").applyInArrow(added, "at long, sum binary").toArrow()
         shared.destroy()
         out = np.zeros((q.shape[1], q.shape[1]) if gram else q.shape)
-        for at, block in rows:
-            block = np.frombuffer(block).reshape(-1, q.shape[1])
-            out[at : at + len(block)] = block
+        for b in found.to_batches():
+            for at, piece in zip(b["at"].to_pylist(), b["sum"], strict=True):
+                piece = np.frombuffer(piece.as_buffer()).reshape(-1, q.shape[1])
+                out[at : at + len(piece)] = piece
         return out
 
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(words, k)))[0]

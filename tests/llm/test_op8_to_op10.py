@@ -246,6 +246,33 @@ def test_common_length():
         assert leaks.common_length(a, b) == plain(a, b)
 
 
+def test_svd_reaches_the_driver_in_small_pieces(spark, monkeypatch):
+    """Of a wide vocabulary too; rows of megabytes make the driver's virtual machine grow."""
+    rng, kind, seen = np.random.default_rng(22), type(spark.range(0)), []
+
+    def spied(name):
+        read = getattr(kind, name)
+
+        def call(self, *args, **kwargs):
+            out = read(self, *args, **kwargs)
+            rows = out.to_pylist() if name == "toArrow" else [r.asDict() for r in out]
+            seen.extend(len(v) for r in rows for v in r.values() if isinstance(v, (bytes, bytearray)))
+            return out
+
+        monkeypatch.setattr(kind, name, call)
+
+    spied("collect")
+    spied("toArrow")
+    dense = np.zeros((300, 2500))
+    for row in dense:
+        row[rng.choice(2500, 24, replace=False)] = rng.random(24)
+    made = [(np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for r in dense]
+    basis, values = leaks.randomised_svd(spark.createDataFrame(made, "words array<int>, weights array<double>").repartition(3), 2500, rank=256)
+    assert seen and max(seen) <= 256 << 10 and sum(seen) >= 3 * 2500 * 256 * 8 * 0.8
+    s = np.linalg.svd(dense, compute_uv=False)
+    assert np.allclose(values[:40], s[:40], rtol=0.01) and np.allclose(basis.T @ basis, np.eye(256), atol=1e-6)
+
+
 def test_svd_finds_the_leading_vectors(spark):
     rng = np.random.default_rng(13)
     a = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 40)) + 0.001 * rng.normal(size=(60, 40))
