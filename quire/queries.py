@@ -175,7 +175,7 @@ def paragraph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def paragraph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of the logical paragraphs."""
-    return paragraphs.paragraphs_of(adapters.wrapped(read_table(spark, sf_dir, "documents")))[0]
+    return paragraphs.logical_paragraphs(adapters.wrapped(read_table(spark, sf_dir, "documents"), span=paragraphs.RANGE))
 
 
 # Text

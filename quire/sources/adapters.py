@@ -56,17 +56,28 @@ fu AS (SELECT doc, page, h, unnest(bs) AS b, generate_subscripts(bs, 1) - 1 AS o
 blocks AS (SELECT doc, page, ord, printf('p%04d-b%04d', page, ord + 1) AS block_id, b.text AS text, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, b.font AS font, 600.0::DOUBLE AS page_w, h AS page_h FROM fu)"""
 
 
-def wrapped(documents: DataFrame, words: int = 12, lines: int = 50, columns: int = 1) -> DataFrame:
-    """A logical document per doc_id, its words wrapped into line blocks, in one or two columns."""
+def wrapped(documents: DataFrame, words: int = 12, lines: int = 50, columns: int = 1, span: int | None = None) -> DataFrame:
+    """A logical document per doc_id, its words wrapped into line blocks, in one or two columns.
+
+    span: the blocks have page_range, the number of their range of so many pages, and those of a range are in one task. It is texts
+    that are shuffled for that, before they are cut into lines.
+    """
     tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("w") / words).cast("int") - 1)), lambda k: F.array_join(F.slice("w", k * words + 1, words), " "))
-    rows = documents.select(F.col("doc_id").cast("string").alias("doc"), tokens.alias("w")).where(F.size("w") > 0).select("doc", F.posexplode(cut).alias("n", "text"))
-    per = lines * columns
+    rows, per, range_ = documents.select(F.col("doc_id").cast("string").alias("doc"), tokens.alias("w")).where(F.size("w") > 0), lines * columns, []
+    if span is None:
+        rows = rows.select("doc", F.posexplode(cut).alias("n", "text"))
+    else:
+        held = words * per * span
+        texts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / held).cast("int") - 1), lambda k: F.array_join(F.slice("w", k * held + 1, held), " "))
+        rows = rows.select("doc", F.posexplode(texts).alias("page_range", "text")).repartition("doc", "page_range")
+        rows = rows.select("doc", "page_range", F.split("text", " ").alias("w")).select("doc", "page_range", F.posexplode(cut).alias("n", "text"))
+        rows, range_ = rows.withColumn("n", F.col("page_range") * per * span + F.col("n")), ["page_range"]
     slot = F.col("n") % per
     y0 = 20.0 + 15.0 * (slot % lines).cast("double")
     x0, x1 = (F.lit(50.0), F.lit(550.0)) if columns == 1 else (F.when(slot < lines, 40.0).otherwise(340.0), F.when(slot < lines, 260.0).otherwise(560.0))
     page, order = (F.floor(F.col("n") / per) + 1).cast("int"), slot.cast("int")
-    return rows.select("doc", page.alias("page"), order.alias("ord"), F.format_string("p%04d-b%04d", page, order + 1).alias("block_id"), "text", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 10.0).alias("y1"), F.lit(10.0).alias("font"), F.lit(False).alias("bold"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"))
+    return rows.select("doc", page.alias("page"), order.alias("ord"), F.format_string("p%04d-b%04d", page, order + 1).alias("block_id"), "text", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 10.0).alias("y1"), F.lit(10.0).alias("font"), F.lit(False).alias("bold"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), *range_)
 
 
 def wrapped_sql(words: int = 12, lines: int = 50, columns: int = 1) -> str:

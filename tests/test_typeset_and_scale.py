@@ -232,6 +232,37 @@ def test_one_large_document_is_spread(blocks, span):
     assert max(r["n_fragments"] for r in split[0].collect()) == 9
 
 
+@pytest.mark.parametrize("columns", [1, 2])
+def test_texts_dealt_by_ranges_of_pages(spark, columns):
+    """Blocks and paragraphs are those of texts that aren't dealt: odd white space, empty and null texts, a doc_id twice, texts at the end of a range."""
+    rng = random.Random(5)
+    words = ["goes", "on", "and", "be-", "ginning", "ends.", "TITLE", "\u00a0", "-"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t "]) for _ in range(n)) for n in (1, 3, 17, 24, 25, 48, 49, 200)]
+    docs = spark.createDataFrame([*enumerate([*texts, "", None, " \n "]), (7, texts[6])], "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    plain, dealt = adapters.wrapped(docs, 2, 3, columns), adapters.wrapped(docs, 2, 3, columns, span=2)
+    assert rows(plain) == rows(dealt.drop("page_range")) and dealt.where(F.col("page_range") != paragraphs.page_range(F.col("page"), 2)).count() == 0
+    single = dealt.where("doc <> '7'")  # two texts of one doc_id have equal blocks, whose order is open
+    one, two, spread = (rows(paragraphs.logical_paragraphs(df, span=2)) for df in (plain.where("doc <> '7'"), single, single.drop("page_range")))
+    assert one == two == spread and max(r[1] for r in one) > 1
+
+
+@pytest.mark.parametrize("name", ["paragraph_text"])
+def test_texts_of_paragraphs_are_shuffled_once(spark, tmp_path, name):
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"{rng.getrandbits(40):x}" for _ in range(3000))) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).head().totalShuffleWrite()
+
+    before = shuffled()
+    queries.QUERIES[name](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    assert shuffled() - before < 1.5 * sum(len(text) for _, text in rows)
+
+
 def test_exact_quantiles_in_rounds(spark):
     """Groups beyond the bound of one task: normal values, heavy ties at both ends and in the middle, tiny and huge ones."""
     rng = np.random.default_rng(9)
