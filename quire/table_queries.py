@@ -277,7 +277,7 @@ SELECT doc, para::BIGINT AS para, arg_min(block_id, page * 10000 + y0) AS id, bo
   list_reduce(list(text ORDER BY page, y0), lambda a, x: CASE WHEN {_SOFT.format(a="a", b="x")} THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END) AS text FROM i GROUP BY doc, para""")
 def paragraph_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every logical paragraph: its lines joined by spaces or, where a word is cut, without its hyphen; whether a decision about it was in doubt."""
-    made, _ = paragraphs.paragraphs_of(adapters.wrapped(read_table(spark, sf_dir, "documents")))
+    made = paragraphs.logical_paragraphs(adapters.wrapped(read_table(spark, sf_dir, "documents"), span=paragraphs.RANGE))
     return made.select("doc", _long(F.col("para")).alias("para"), "id", "ambiguous", _long(F.size("blocks")).alias("n_blocks"), "text")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire import queries
+from quire import queries, table_queries  # noqa: F401  the second registers its queries
 from quire.operators import glossary as g
 from quire.operators import layout, paragraphs, performance, typeset
 from quire.plans.options import LayoutOptions
@@ -247,7 +247,7 @@ def test_texts_dealt_by_ranges_of_pages(spark, columns):
     assert one == two == spread and max(r[1] for r in one) > 1
 
 
-@pytest.mark.parametrize("name", ["paragraph_text"])
+@pytest.mark.parametrize("name", ["paragraph_text", "paragraph_contents"])
 def test_texts_of_paragraphs_are_shuffled_once(spark, tmp_path, name):
     rng = random.Random(6)
     rows = [(k, " ".join(f"{rng.getrandbits(40):x}" for _ in range(3000))) for k in range(40)]
