@@ -126,9 +126,19 @@ def page_decisions(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions(
     return rows.withColumns({"action": action, "reasons": reasons, "soft": soft})
 
 
-def _folded(items: Column) -> Column:
-    """Texts of fragments in order, as one."""
-    return F.aggregate(F.slice(items, 2, F.size(items)), strip(items[0]["text"]), lambda acc, x: join_text(acc, x["text"]))
+def _folded(items: Column, first: Column) -> Column:
+    """Texts in order, as one; ``first`` stands for the first. The same as ``join_text`` from left to right, but what precedes the last space put in is kept aside, as no later text changes it."""
+    none = F.array().cast("array<string>")
+
+    def add(acc: Column, x: Column) -> Column:
+        left, right = rstrip(acc["last"]), lstrip(x["text"])
+        apart = F.struct(F.array_append(acc["done"], left).alias("done"), right.alias("last"))
+        onto = lambda last: F.struct(acc["done"].alias("done"), last.alias("last"))
+        # an empty text gives a space that goes again with the next one
+        return F.when(right == "", onto(F.concat(left, F.lit(" ")))).when(is_soft_hyphen(left, right), onto(F.concat(F.regexp_replace(left, "-$", ""), right))).otherwise(apart)
+
+    made = F.aggregate(F.slice(items, 2, F.size(items)), F.struct(none.alias("done"), first.alias("last")), add, lambda acc: F.array_join(F.array_append(acc["done"], acc["last"]), " "))
+    return F.when(~F.exists(items, lambda x: x["text"].isNull()), made)
 
 
 def _same_range(p: DataFrame, ranges: DataFrame, *kept: str) -> DataFrame:
@@ -193,7 +203,7 @@ def page_paragraphs(fragments: DataFrame, o: ParagraphOptions = ParagraphOptions
         F.count("*").alias("n_fragments"), F.count_if("new_block").alias("n_blocks"), F.count("action").alias("n_decisions"), F.count_if(doubtful).alias("n_ambiguous"),
         F.count_if(merges & F.col("soft")).alias("n_soft"), F.sort_array(F.collect_list(made)).alias("inside"), F.collect_set("block_id").alias("blocks"),
     )
-    p = p.withColumn("text", _folded(F.col("items"))).drop("items")
+    p = p.withColumn("text", _folded(F.col("items"), strip(F.col("items")[0]["text"]))).drop("items")
     # of a text the other page needs no more than its last or first word
     begin, end = F.substring_index(lstrip(F.col("text")), " ", 1), F.substring_index(rstrip(F.col("text")), " ", -1)
     p = p.withColumns({"start": F.struct("page", "kind", "page_h", "head.*", begin.alias("word")), "end": F.struct("page", "kind", "page_h", "tail.*", end.alias("word"))}).drop("head", "tail", "page_h")
@@ -229,7 +239,7 @@ def _joined(rows: DataFrame, by: tuple[str, ...], *more: Column) -> DataFrame:
         F.min(F.struct("page", "id", "kind", "x0", "y0", "x1", "y1")).alias("first"), F.sort_array(F.collect_list(F.struct("page", "text"))).alias("parts"), F.sum("n_fragments").cast("long").alias("n_fragments"),
         F.max("ambiguous").alias("ambiguous"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks"), *more,
     )
-    text = F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0]["text"], lambda acc, x: join_text(acc, x["text"]))
+    text = _folded(F.col("parts"), F.col("parts")[0]["text"])
     return merged.select(*by, "first.id", "first.page", "first.kind", "first.x0", "first.y0", "first.x1", "first.y1", "n_fragments", "ambiguous", "blocks", text.alias("text"), *merged.columns[len(by) + 5 :])
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import queries, table_queries  # noqa: F401  the second registers its queries
+from quire.functions.text import join_text, strip
 from quire.operators import glossary as g
 from quire.operators import layout, paragraphs, performance, typeset
 from quire.plans.options import LayoutOptions
@@ -247,6 +248,16 @@ def test_texts_dealt_by_ranges_of_pages(spark, columns):
     assert one == two == spread and max(r[1] for r in one) > 1
 
 
+def test_texts_are_put_together_as_one_by_one(spark):
+    rng = random.Random(1)
+    pieces = ["", " ", "\t", "be-", "we-", "ll-", "no-", "n-", "ginning", "ginning-", " and ", "x ", "--ab-", "a-b-", "Abc", "\x1c", "\u00e9-", "abc-\n", "-"]
+    rows = [([("".join(rng.choice(pieces) for _ in range(rng.randint(0, 3))) if rng.random() < 0.99 else None,) for _ in range(rng.randint(1, 7))],) for _ in range(2000)]
+    df, items = spark.createDataFrame(rows, "items array<struct<text: string>>"), F.col("items")
+    for first in (strip(items[0]["text"]), items[0]["text"]):
+        plain = F.aggregate(F.slice(items, 2, F.size(items)), first, lambda acc, x: join_text(acc, x["text"]))
+        assert df.where(~plain.eqNullSafe(paragraphs._folded(items, first))).count() == 0
+
+
 @pytest.mark.parametrize("name", ["paragraph_text", "paragraph_contents"])
 def test_texts_of_paragraphs_are_shuffled_once(spark, tmp_path, name):
     rng = random.Random(6)
